@@ -248,6 +248,25 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[d
         yield cols, _bounds(cols, keys)
 
 
+def runs_of_keys(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """One table for each run of equal keys, for keys whose runs are of bounded size."""
+    kept: list[pa.RecordBatch] = []
+    now = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        bounds = _bounds({k: batch.column(k).to_numpy(zero_copy_only=False) for k in keys}, keys).tolist()
+        for lo, hi in zip(bounds[:-1], bounds[1:]):
+            key = [batch.column(k)[lo].as_py() for k in keys]
+            if kept and key != now:
+                yield pa.Table.from_batches(kept)
+                kept = []
+            now = key
+            kept.append(batch.slice(lo, hi - lo))
+    if kept:
+        yield pa.Table.from_batches(kept)
+
+
 def _bounds(cols: dict[str, np.ndarray], keys: list[str]) -> np.ndarray:
     n = len(cols[keys[0]])
     new = np.zeros(n, bool)

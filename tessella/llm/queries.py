@@ -6,9 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import langid
+from .embeddings import embedding_groups
 from .sentencepiece_bpe import encode_decode
 from .simhash import simhash_groups
 from .token_counts import token_counts
+from .warc import archive_pages
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -33,10 +36,27 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.learn(docs))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = archive_pages(_read(spark, sf_dir, "pages"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "urlkey", "captured", "archive", "place")
+
+
+def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_groups(_read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op3_sentencepiece": op3_sentencepiece,
     "op6_token_counts": op6_token_counts,
+    "op7_language_id": op7_language_id,
+    "op8_warc": op8_warc,
+    "op10_embeddings": op10_embeddings,
 }
 
 #: DuckDB SQL of the queries that SQL can express at the size of whole tables.
