@@ -323,3 +323,69 @@ def spanning(links, n: int) -> np.ndarray:
         a, b = a[live], b[live]
         lab = new
     return lab
+
+
+# --------------------------------------------------------------------------
+# tables of bounded size that every worker gets
+# --------------------------------------------------------------------------
+
+#: Most bits of a filter: 2 MB, whatever the number of values.
+FILTER_BITS = 1 << 24
+
+
+class Filter:
+    """Bloom filter of longs; says yes to all its values and, if it isn't full, to few others."""
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+
+    @staticmethod
+    def _places(values: np.ndarray, bits: int) -> list[np.ndarray]:
+        h = mix(values.view(np.uint64))
+        return [h & np.uint64(bits - 1), (h >> np.uint64(32)) & np.uint64(bits - 1)]
+
+    def __contains__(self, value: int) -> bool:
+        return bool(self.has(np.array([value], np.int64))[0])
+
+    def has(self, values: np.ndarray) -> np.ndarray:
+        out = np.ones(len(values), bool)
+        for at in self._places(values, len(self.words) * 64):
+            out &= (self.words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+        return out
+
+
+def filter_of(df: DataFrame, col: str) -> Filter:
+    """Filter of a long column; its size is bounded by FILTER_BITS, so it may be sent to every worker."""
+    rows = df.select(F.col(col).cast("long").alias("x")).where("x is not null")
+    bits = 1 << 16
+    while bits < FILTER_BITS and bits < 12 * rows.count():
+        bits *= 16
+    bits = min(bits, FILTER_BITS)
+    schema = pa.schema([("at", pa.int32()), ("word", pa.int64())])
+
+    def work(batches: Iterator[pa.RecordBatch]):
+        words = np.zeros(bits // 64, np.uint64)
+        for batch in batches:
+            for at in Filter._places(batch.column("x").to_numpy(), bits):
+                np.bitwise_or.at(words, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+        some = np.flatnonzero(words)
+        if len(some):
+            yield table_of(schema, at=some, word=words[some].view(np.int64))
+
+    got = rows.mapInArrow(work, "at int, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toPandas()
+    words = np.zeros(bits // 64, np.uint64)
+    words[got["at"].to_numpy(np.int64)] = got["word"].to_numpy(np.int64).view(np.uint64)
+    return Filter(words)
+
+
+def split_by(df: DataFrame, col: str, kept: Filter) -> DataFrame:
+    """Rows whose long column may be in the filter."""
+    sent = df.sparkSession.sparkContext.broadcast(kept)
+
+    def work(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            ids = batch.column(batch.schema.get_field_index(col))
+            ok = sent.value.has(ids.fill_null(0).to_numpy()) & ids.is_valid().to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(ok))
+
+    return df.mapInArrow(work, df.schema)

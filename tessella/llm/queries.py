@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from . import langid
 from .embeddings import embedding_groups
+from .lines import line_dedup
 from .sentencepiece_bpe import encode_decode
 from .simhash import simhash_groups
 from .token_counts import token_counts
@@ -22,6 +23,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_read(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "removed_lines", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = encode_decode(_read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
     return out.select(
@@ -52,6 +58,7 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_line_dedup": op2_line_dedup,
     "op3_sentencepiece": op3_sentencepiece,
     "op6_token_counts": op6_token_counts,
     "op7_language_id": op7_language_id,
