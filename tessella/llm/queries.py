@@ -10,6 +10,7 @@ from . import langid
 from .decontaminate import contaminated
 from .embeddings import embedding_groups
 from .lines import line_dedup
+from .passages import repeated_passages
 from .sentencepiece_bpe import encode_decode
 from .simhash import simhash_groups
 from .token_counts import token_counts
@@ -39,6 +40,10 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_read(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -65,6 +70,7 @@ QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_line_dedup": op2_line_dedup,
     "op3_sentencepiece": op3_sentencepiece,
+    "op4_substring_dedup": op4_substring_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_language_id": op7_language_id,
     "op8_warc": op8_warc,
