@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from . import langid
 from .decontaminate import contaminated
 from .embeddings import embedding_groups
+from .licenses import find_licenses
 from .lines import line_dedup
 from .passages import repeated_passages
 from .sentencepiece_bpe import encode_decode
@@ -44,6 +45,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(_read(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_licenses(_read(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -71,6 +76,7 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_sentencepiece": op3_sentencepiece,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_license_scan": op5_license_scan,
     "op6_token_counts": op6_token_counts,
     "op7_language_id": op7_language_id,
     "op8_warc": op8_warc,
