@@ -389,3 +389,33 @@ def split_by(df: DataFrame, col: str, kept: Filter) -> DataFrame:
             yield batch.filter(pa.array(ok))
 
     return df.mapInArrow(work, df.schema)
+
+
+def mark_by(df: DataFrame, col: str, found: Filter, name: str) -> DataFrame:
+    """``df`` with a boolean that says whether the long column may be in the filter."""
+    sent = df.sparkSession.sparkContext.broadcast(found)
+    names = df.schema.names
+    at = names.index(col)
+
+    def work(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            ids = batch.column(at).cast(pa.int64())
+            hit = sent.value.has(ids.fill_null(0).to_numpy()) & ids.is_valid().to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit)], names=[*names, name])
+
+    return df.mapInArrow(work, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{name}` boolean")
+
+
+def without(df: DataFrame, col: str, gone: DataFrame, gone_col: str) -> DataFrame:
+    """Rows of ``df`` whose long column is null or not in ``gone``.
+
+    A filter of bounded size tells most rows that stay; only the others, whose
+    texts may be long, are shuffled for the join that decides.
+    """
+    gone = save(gone.select(F.col(gone_col).cast("long").alias("_gone")).distinct(), "gone")
+    if gone.isEmpty():
+        return df
+    marked = mark_by(df, col, filter_of(gone, "_gone"), "_hit")
+    rest = marked.where("_hit").drop("_hit")
+    rest = rest.join(gone, rest[col].cast("long") == gone["_gone"], "left_anti")
+    return marked.where("not _hit").drop("_hit").unionByName(rest)

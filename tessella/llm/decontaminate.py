@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._core import Tokens, save, shingles, strings, table_of, tokens_of
+from ._core import Tokens, save, shingles, strings, table_of, tokens_of, without
 
 #: Benchmark items of a block; each block is one pass over the documents.
 ITEMS = 20_000
@@ -194,5 +194,4 @@ _NONE = -(1 << 63)
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item; rows with a null id stay."""
-    hit = contaminated(docs, benchmark, id_col, text_col, **kw).where("doc_id is not null").select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, docs[id_col].cast("long") == hit["_hit"], "left_anti")
+    return without(docs, id_col, contaminated(docs, benchmark, id_col, text_col, **kw).where("doc_id is not null"), "doc_id")

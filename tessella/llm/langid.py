@@ -248,6 +248,23 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return fit(texts, langs)
 
 
+def _labelled(batches: Iterator[pa.RecordBatch], text: str, model: Crf | None) -> Iterator[tuple[pa.RecordBatch, list[str], np.ndarray]]:
+    """Rows with the label and the score of each."""
+    for batch, t in tokens_of(batches, text, SLICE_BYTES // 2):
+        total = np.zeros(len(t._data) + 1, np.int64)
+        np.cumsum(_LETTER[t._data], out=total[1:])
+        lettered = total[t._offs[1:]] > total[t._offs[:-1]]
+        for i in np.flatnonzero(~lettered).tolist():
+            lettered[i] = any(c.isalpha() for c in batch.column(text)[i].as_py() or "")
+        if model is None:
+            best, share = np.zeros(t.n_docs, np.int64), np.zeros(t.n_docs)
+            lettered[:] = False
+        else:
+            best, share = model.predict(t)
+        labels = [model.labels[b] if ok else "und" for b, ok in zip(best.tolist(), lettered.tolist())]
+        yield batch, labels, np.where(lettered, np.clip(share, 0, 1), 0.0)
+
+
 def identify(docs: DataFrame, crf: Crf | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``held_out``, ``lang_pred``, ``score`` of every whole text.
 
@@ -259,20 +276,22 @@ def identify(docs: DataFrame, crf: Crf | None, id_col: str = "doc_id", text_col:
     sent = docs.sparkSession.sparkContext.broadcast(crf)
 
     def work(batches: Iterator[pa.RecordBatch]):
-        model = sent.value
-        for batch, t in tokens_of(batches, "text", SLICE_BYTES // 2):
-            total = np.zeros(len(t._data) + 1, np.int64)
-            np.cumsum(_LETTER[t._data], out=total[1:])
-            lettered = total[t._offs[1:]] > total[t._offs[:-1]]
-            for i in np.flatnonzero(~lettered).tolist():
-                lettered[i] = any(c.isalpha() for c in batch.column("text")[i].as_py() or "")
-            if model is None:
-                best, share = np.zeros(t.n_docs, np.int64), np.zeros(t.n_docs)
-                lettered[:] = False
-            else:
-                best, share = model.predict(t)
-            labels = [model.labels[b] if ok else "und" for b, ok in zip(best.tolist(), lettered.tolist())]
-            yield table_of(schema, doc_id=batch.column("doc_id"), held_out=batch.column("held_out"), lang_pred=labels, score=np.where(lettered, np.clip(share, 0, 1), 0.0))
+        for batch, labels, score in _labelled(batches, "text", sent.value):
+            yield table_of(schema, doc_id=batch.column("doc_id"), held_out=batch.column("held_out"), lang_pred=labels, score=score)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(work, "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def keep_identified(docs: DataFrame, crf: Crf | None, least: float = 0.4, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose text has a language: neither ``und`` nor a score below ``least``.
+
+    Columns are those of ``docs``; nothing is shuffled.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(crf)
+
+    def work(batches: Iterator[pa.RecordBatch]):
+        for batch, labels, score in _labelled(batches, text_col, sent.value):
+            yield batch.filter(pa.array((np.array(labels, object) != "und") & (score >= least)))
+
+    return docs.mapInArrow(work, docs.schema)

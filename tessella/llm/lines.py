@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._core import Tokens, filter_of, mix, runs, save, slices, table_of, tokens_of
+from ._core import Tokens, filter_of, mark_by, mix, runs, save, table_of, tokens_of
 
 #: Counters of the rarity table; its size does not depend on the data.
 COUNTERS = 1 << 18
@@ -238,15 +238,8 @@ def drop_lines(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_co
     schema = docs.schema
     names = schema.names
     gone = save(gone.select(F.col("doc_id").alias("_id"), F.col("lines").alias("_lines")), "gone")
-    changed = docs.sparkSession.sparkContext.broadcast(filter_of(gone, "_id"))
     at = names.index(text_col)
 
-    def sort(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            ids = batch.column(names.index(id_col)).cast(pa.int64())
-            hit = changed.value.has(ids.fill_null(0).to_numpy()) & ids.is_valid().to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit)], names=[*names, "_hit"])
-
     def cut(batches: Iterator[pa.RecordBatch]):
         for whole in batches:
             for i in range(0, whole.num_rows, 512):
@@ -262,7 +255,7 @@ def drop_lines(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_co
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(removed, pa.int64()), pa.array(count, pa.int64())], names=[*names, "removed_lines", "n_lines"])
 
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    marked = docs.mapInArrow(sort, f"{out}, _hit boolean")
+    marked = mark_by(docs, id_col, filter_of(gone, "_id"), "_hit")
     plain = marked.where("not _hit").drop("_hit").withColumn("_lines", F.lit(None).cast("array<int>"))
     joined = marked.where("_hit").drop("_hit")
     joined = joined.join(gone, joined[id_col].cast("long") == gone["_id"], "left").drop("_id")

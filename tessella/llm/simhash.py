@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._core import components, runs, save, shingles, spanning, table_of, tokens_of  # noqa: F401
+from ._core import components, runs, save, spanning, table_of, tokens_of, without
 
 SEED = 42
 #: Shingles whose bits are counted at a time.
@@ -52,7 +52,7 @@ def _fingerprint(t, words: int) -> np.ndarray:
 
 def block_masks(distance: int, blocks: int | None = None) -> list[int]:
     """Masks of which one covers only equal bits of any two fingerprints within ``distance``."""
-    blocks = blocks or distance + 2
+    blocks = blocks or distance + (2 if distance < 6 else 3)
     size = [64 // blocks + (i < 64 % blocks) for i in range(blocks)]
     own, at = [], 0
     for n in size:
@@ -152,11 +152,10 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
-def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similar: float = 0.8, **kw) -> DataFrame:
+def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, distance: int = 6, **kw) -> DataFrame:
     """The rows of ``docs`` that stay: of each group that with the smallest id.
 
     Rows with a null id stay.  Columns are those of ``docs``.
     """
-    groups = simhash_groups(docs, id_col, text_col, words, **kw)
-    gone = groups.where("doc_id > component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == gone["_gone"], "left_anti")
+    groups = simhash_groups(docs, id_col, text_col, words, distance, **kw)
+    return without(docs, id_col, groups.where("doc_id > component_id"), "doc_id")
