@@ -1,10 +1,488 @@
-"""Registry of the engine's queries over the sample tables and their SQL."""
+"""Registry of the engine's queries over the sample tables and their SQL.
+
+Keys begin with the operator's id in the survey's inventory.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import scalars as sc
+from .operators import facts, graph, resolve
+from .sources.relations import DEFAULT_PACKAGES, load, with_relations
+from .streaming import state
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+#: In the sample, two brands stand in for packages that every file imports.
+DEFAULTS = [*DEFAULT_PACKAGES, "Brand#55", "Brand#54"]
+_DEFAULT_ROWS = ", ".join(f"('{p}', {1_000_000 + i})" for i, p in enumerate(DEFAULTS))
+
+
+def query(name: str, sql: str | None = None):
+    """Register a function of a loader of relations, and its SQL."""
+
+    def register(fn):
+        QUERIES[name] = lambda spark, sf_dir: fn(lambda r: load(spark, sf_dir, r))
+        if sql is not None:
+            ORACLE_SQL[name] = with_relations(sql)
+        return fn
+
+    return register
+
+
+_KIND_OK = """(use_kind = 'MemberSelector' OR (use_kind = 'Type' AND kind IN ('Class','Interface','Object','EnumClass','TypeAlias','TypeParameter'))
+  OR (use_kind = 'Call' AND kind IN ('Function','Class','Object','EnumClass')) OR (use_kind = 'Value' AND kind IN ('Property','Object','EnumEntry','Parameter','LocalVariable')))"""
+
+_CROSS = f"""
+  al AS (SELECT path, alias, arg_min(package, ord) AS apkg, arg_min(name, ord) AS real FROM imports WHERE NOT wildcard AND alias IS NOT NULL GROUP BY path, alias),
+  u AS (SELECT us.*, f.package AS own, al.apkg, coalesce(al.real, us.name) AS lookup FROM usages us JOIN file_ctx f USING (path) LEFT JOIN al ON al.path = us.path AND al.alias = us.name),
+  stages AS (
+    SELECT u.path, u.start_byte, s.sid, 0 AS stage FROM u JOIN symbols s ON s.name = lookup AND s.package = apkg WHERE apkg IS NOT NULL AND {_KIND_OK}
+    UNION ALL SELECT u.path, u.start_byte, s.sid, 1 FROM u JOIN symbols s ON s.name = lookup JOIN (SELECT DISTINCT path, name, package FROM imports WHERE NOT wildcard AND alias IS NULL) i ON i.path = u.path AND i.name = lookup AND i.package = s.package WHERE apkg IS NULL AND {_KIND_OK}
+    UNION ALL SELECT u.path, u.start_byte, s.sid, 2 FROM u JOIN symbols s ON s.name = lookup AND s.package = own WHERE apkg IS NULL AND {_KIND_OK}
+    UNION ALL SELECT u.path, u.start_byte, s.sid, 3 + i.ord FROM u JOIN symbols s ON s.name = lookup JOIN (SELECT path, package, min(ord) AS ord FROM imports WHERE wildcard GROUP BY path, package) i ON i.path = u.path AND i.package = s.package WHERE apkg IS NULL AND {_KIND_OK}
+    UNION ALL SELECT u.path, u.start_byte, s.sid, d.rank FROM u JOIN symbols s ON s.name = lookup JOIN (VALUES {_DEFAULT_ROWS}) d(package, rank) ON d.package = s.package WHERE apkg IS NULL AND {_KIND_OK}),
+  best AS (SELECT path, start_byte, min(stage) AS stage FROM stages GROUP BY path, start_byte),
+  found AS (SELECT DISTINCT s.path, s.start_byte, s.sid, CAST(s.stage AS BIGINT) AS stage FROM stages s JOIN best USING (path, start_byte, stage))"""
+
+
+def _found(t) -> DataFrame:
+    return resolve.cross_file(t("usages"), t("file_ctx"), t("imports"), t("symbols"), DEFAULTS)
+
+
+@query("r3_cross_file", f"WITH {_CROSS} SELECT * FROM found")
+def _(t):
+    return _found(t)
+
+
+@query("r8_source_set_narrowing", f"""WITH {_CROSS},
+  k AS (SELECT f.*, CASE WHEN s.path LIKE '%/src/main/%' OR s.path LIKE '%/src/commonMain/%' THEN 'Generic' WHEN s.path LIKE '%/src/jvmMain/%' THEN 'Specific' END AS k FROM found f JOIN symbols s USING (sid)),
+  g AS (SELECT path, start_byte, bool_and(k IS NOT NULL) AND bool_or(coalesce(k, '') = 'Specific') AS narrow FROM k GROUP BY path, start_byte)
+  SELECT k.path, k.start_byte, k.sid FROM k JOIN g USING (path, start_byte) WHERE NOT narrow OR k = 'Specific'""")
+def _(t):
+    s = t("symbols").select("sid", F.col("path").alias("sym_path"))
+    return resolve.narrow_source_sets(_found(t).join(s, "sid"), ["path", "start_byte"], "sym_path").select("path", "start_byte", "sid")
+
+
+@query("r12_references", f"WITH {_CROSS}, d AS (SELECT DISTINCT sid, path, start_byte FROM found), n AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY path, start_byte) AS nth FROM d) SELECT sid, path, start_byte, nth FROM n WHERE nth <= 5000")
+def _(t):
+    return resolve.references(_found(t))
+
+
+@query("r13_highlights", f"WITH {_CROSS}, d AS (SELECT DISTINCT sid, path, start_byte FROM found) SELECT path, sid, count(*) AS n FROM d GROUP BY path, sid")
+def _(t):
+    return resolve.references(_found(t)).groupBy("path", "sid").agg(F.count("*").alias("n"))
+
+
+@query("r9_status", f"""WITH {_CROSS}, whole AS (SELECT package, bool_and(clean) AS w FROM file_ctx GROUP BY package),
+  sees AS (SELECT path, package FROM file_ctx UNION SELECT path, package FROM imports),
+  gaps AS (SELECT path, string_agg(package, ',' ORDER BY package) AS gaps FROM sees LEFT JOIN whole USING (package) WHERE w IS NULL OR NOT w GROUP BY path),
+  hit AS (SELECT DISTINCT path, start_byte FROM found)
+  SELECT u.path, u.start_byte, CASE WHEN h.path IS NOT NULL THEN 'Found' WHEN gaps IS NULL THEN 'DefinitelyAbsent' ELSE 'Unknown' END AS status, CASE WHEN h.path IS NULL THEN gaps END AS reasons
+  FROM usages u LEFT JOIN hit h ON h.path = u.path AND h.start_byte = u.start_byte LEFT JOIN gaps g ON g.path = u.path""")
+def _(t):
+    return resolve.reference_status(t("usages"), _found(t), t("file_ctx"), t("imports"), resolve.completeness(t("file_ctx")))
+
+
+@query("r11_completeness", "SELECT package, bool_and(clean) AS whole, (SELECT string_agg(m, ',' ORDER BY m) FROM (SELECT DISTINCT module AS m FROM file_ctx f2 WHERE f2.package = f.package)) AS modules FROM file_ctx f GROUP BY package")
+def _(t):
+    return resolve.completeness(t("file_ctx"))
+
+
+@query("d4_unresolved", f"WITH {_CROSS}, whole AS (SELECT package FROM file_ctx GROUP BY package HAVING bool_and(clean)), sees AS (SELECT path, package FROM file_ctx UNION SELECT path, package FROM imports), bad AS (SELECT DISTINCT path FROM sees WHERE package NOT IN (SELECT package FROM whole)) SELECT path, start_byte, name FROM usages u WHERE NOT EXISTS (SELECT 1 FROM found f WHERE f.path = u.path AND f.start_byte = u.start_byte) AND path NOT IN (SELECT path FROM bad)")
+def _(t):
+    s = resolve.reference_status(t("usages"), _found(t), t("file_ctx"), t("imports"), resolve.completeness(t("file_ctx")))
+    return s.where("status = 'DefinitelyAbsent'").join(t("usages"), ["path", "start_byte"]).select("path", "start_byte", "name")
+
+
+@query("r4_import_target", "SELECT i.path, i.ord, s.sid FROM imports i JOIN symbols s ON s.package = i.package AND s.name = i.name WHERE NOT i.wildcard")
+def _(t):
+    return resolve.import_targets(t("imports"), t("symbols"))
+
+
+@query("r7_unique_member", "SELECT u.path, u.start_byte, s.sid FROM usages u JOIN symbols s ON s.name = u.name WHERE u.use_kind = 'MemberSelector' AND (SELECT count(*) FROM symbols z WHERE z.name = s.name) = 1")
+def _(t):
+    return resolve.unique_member(t("usages"), t("symbols"))
+
+
+@query("j1_candidates", f"SELECT u.path, count(*) AS n, sum(s.sid) AS sids FROM usages u JOIN symbols s USING (name) WHERE {_KIND_OK} GROUP BY u.path")
+def _(t):
+    c = resolve.candidates(t("usages"), t("symbols").drop("path", "start_byte", "end_byte"))
+    return c.groupBy("path").agg(F.count("*").alias("n"), F.sum("sid").cast("decimal(38,0)").alias("sids"))
+
+
+# ---- lookups
+
+@query("f1_lookup_by_name", "SELECT sid, package, kind FROM symbols WHERE name = 'cold_widget_0'")
+def _(t):
+    return t("symbols").where("name = 'cold_widget_0'").select("sid", "package", "kind")
+
+
+@query("f2_type_lookup", "SELECT sid, name FROM symbols WHERE kind IN ('Class','Interface','Object','EnumClass','TypeAlias','TypeParameter')")
+def _(t):
+    return facts.types_named(t("symbols")).select("sid", "name")
+
+
+@query("f3_members", "SELECT container, package, count(*) AS n, string_agg(concat('', sid), ',' ORDER BY sid) AS sids FROM symbols WHERE container IS NOT NULL GROUP BY container, package")
+def _(t):
+    return t("symbols").where("container is not null").groupBy("container", "package").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("sid")), ",").alias("sids"))
+
+
+@query("f4_extensions", "SELECT ext_receiver, count(*) AS n, min(sid) AS first_sid FROM symbols WHERE ext_receiver IS NOT NULL GROUP BY ext_receiver")
+def _(t):
+    return t("symbols").where("ext_receiver is not null").groupBy("ext_receiver").agg(F.count("*").alias("n"), F.min("sid").alias("first_sid"))
+
+
+@query("f5_first_type", "SELECT package, container, value_type FROM (SELECT *, row_number() OVER (PARTITION BY package, container ORDER BY path, start_byte, sid) AS r FROM symbols WHERE value_type IS NOT NULL) WHERE r = 1")
+def _(t):
+    return facts.first_typed(t("symbols"), ["package", "container"])
+
+
+@query("f6_direct_supertypes", "SELECT sub, count(DISTINCT sup) AS n, min(sup) AS least FROM type_edges GROUP BY sub")
+def _(t):
+    return t("type_edges").distinct().groupBy("sub").agg(F.count("*").alias("n"), F.min("sup").alias("least"))
+
+
+@query("f7_prefix", "SELECT sid, name FROM symbols WHERE starts_with(name, 'co') AND container IS NULL")
+def _(t):
+    return t("symbols").where(F.col("name").startswith("co") & F.col("container").isNull()).select("sid", "name")
+
+
+@query("f8_references_by_name", "SELECT name, count(*) AS n, min(path) AS first_path FROM usages GROUP BY name")
+def _(t):
+    return t("usages").groupBy("name").agg(F.count("*").alias("n"), F.min("path").alias("first_path"))
+
+
+@query("f9_exact_span", "SELECT a.sid, b.name FROM symbols a JOIN symbols b ON a.path = b.path AND a.start_byte = b.start_byte AND a.end_byte = b.end_byte")
+def _(t):
+    a, b = t("symbols").select("sid", "path", "start_byte", "end_byte"), t("symbols").select("path", "start_byte", "end_byte", "name")
+    return a.join(b, ["path", "start_byte", "end_byte"]).select("sid", "name")
+
+
+@query("f10_entries_in_order", "SELECT path, sid, row_number() OVER (PARTITION BY path ORDER BY start_byte, end_byte, name) AS nth FROM symbols")
+def _(t):
+    from pyspark.sql import Window
+
+    return t("symbols").select("path", "sid", F.row_number().over(Window.partitionBy("path").orderBy("start_byte", "end_byte", "name")).alias("nth"))
+
+
+@query("f12_c9_workspace_symbols", "SELECT sid, name, concat_ws('.', package, container) AS detail FROM symbols WHERE contains(lower(name), 'wid') OR contains(lower(concat_ws('.', package, container)), 'wid') ORDER BY CASE WHEN tier = 'Volatile' THEN 0 ELSE 1 END, length(name), lower(name), package, path, start_byte LIMIT 200")
+def _(t):
+    return facts.workspace_symbols(t("symbols"), "WID")
+
+
+@query("f13_visibility", f"""SELECT sid, count(DISTINCT path) AS n FROM (
+  SELECT f.path, s.sid FROM file_ctx f JOIN symbols s ON s.package = f.package
+  UNION ALL SELECT i.path, s.sid FROM imports i JOIN symbols s ON s.name = coalesce(i.alias, i.name) WHERE NOT i.wildcard
+  UNION ALL SELECT i.path, s.sid FROM imports i JOIN symbols s ON s.package = i.package WHERE i.wildcard
+  UNION ALL SELECT f.path, s.sid FROM file_ctx f JOIN symbols s ON s.package IN ({", ".join(f"'{p}'" for p in DEFAULT_PACKAGES)})) GROUP BY sid""")
+def _(t):
+    return facts.visible(t("symbols"), t("file_ctx"), t("imports"), DEFAULT_PACKAGES).groupBy("sid").agg(F.count("*").alias("n"))
+
+
+@query("f15_extension_visibility", "SELECT DISTINCT i.path, s.sid FROM imports i JOIN symbols s ON s.package = i.package AND s.ext_receiver IS NOT NULL AND (i.wildcard OR (i.alias IS NULL AND i.name = s.name)) UNION SELECT f.path, s.sid FROM file_ctx f JOIN symbols s ON s.package = f.package WHERE s.ext_receiver IS NOT NULL")
+def _(t):
+    s = t("symbols").where("ext_receiver is not null").select("sid", "package", F.col("name").alias("sname"))
+    by_import = t("imports").join(s, "package").where("wildcard or (alias is null and name = sname)").select("path", "sid")
+    return by_import.unionByName(t("file_ctx").join(s, "package").select("path", "sid")).distinct()
+
+
+@query("f19_valid_identifier", "SELECT sid, regexp_matches(name, '^[A-Za-z_][A-Za-z0-9_]*$') AND name NOT IN ('class', 'fun', 'val', 'var', 'object') AS ok FROM symbols")
+def _(t):
+    return t("symbols").select("sid", (F.col("name").rlike("^[A-Za-z_][A-Za-z0-9_]*$") & ~F.col("name").isin("class", "fun", "val", "var", "object")).alias("ok"))
+
+
+@query("f20_range_intersection", "SELECT file, ord FROM edits WHERE start_byte <= 20 AND end_byte >= 10")
+def _(t):
+    return t("edits").where("start_byte <= 20 and end_byte >= 10").select("file", "ord")
+
+
+@query("f21_package_relevance", "SELECT DISTINCT package, package = 'Brand#13' OR starts_with(package, 'Brand#13.') OR starts_with('Brand#13', concat(package, '.')) AS relevant FROM symbols")
+def _(t):
+    p = F.col("package")
+    return t("symbols").select("package", ((p == "Brand#13") | p.startswith("Brand#13.") | F.startswith(F.lit("Brand#13"), F.concat(p, F.lit(".")))).alias("relevant")).distinct()
+
+
+# ---- joins and closures
+
+@query("j4_enclosing", "SELECT d.path, d.pre AS d_pre, count(*) AS n, max(a.depth) AS deepest FROM nodes d JOIN nodes a ON a.path = d.path AND a.pre < d.pre AND a.post > d.post WHERE d.kind = 'identifier' GROUP BY d.path, d.pre")
+def _(t):
+    return graph.enclosing(t("nodes"), "identifier").groupBy("path", "d_pre").agg(F.count("*").alias("n"), F.max("depth").alias("deepest"))
+
+
+@query("j5_innermost", "SELECT path, d_pre, ref, depth FROM (SELECT d.path, d.pre AS d_pre, a.ref, a.depth, row_number() OVER (PARTITION BY d.path, d.pre ORDER BY a.depth DESC) AS r FROM nodes d JOIN nodes a ON a.path = d.path AND a.pre < d.pre AND a.post > d.post WHERE d.kind = 'identifier' AND a.kind IN ('function', 'file')) WHERE r = 1")
+def _(t):
+    return graph.innermost(t("nodes"), "identifier", ["function", "file"])
+
+
+@query("j6_as_of_declaration", "SELECT u.path, u.name, u.start_byte, max(d.start_byte) AS decl_start FROM usages u JOIN usages d ON d.path = u.path AND d.name = u.name AND d.start_byte < u.start_byte AND d.use_kind = 'Value' GROUP BY u.path, u.name, u.start_byte")
+def _(t):
+    return graph.nearest_before(t("usages").select("path", "name", "start_byte"), t("usages").where("use_kind = 'Value'"), ["path", "name"])
+
+
+@query("j7_exists", "SELECT path, start_byte FROM usages u WHERE EXISTS (SELECT 1 FROM symbols s WHERE s.name = u.name AND s.tier = 'Durable')")
+def _(t):
+    return t("usages").join(t("symbols").where("tier = 'Durable'").select("name"), "name", "left_semi").select("path", "start_byte")
+
+
+@query("j8_h2_subtypes", "SELECT sup, count(DISTINCT sub) AS n, min(sub) AS least FROM type_edges GROUP BY sup")
+def _(t):
+    return t("type_edges").distinct().groupBy("sup").agg(F.count("*").alias("n"), F.min("sub").alias("least"))
+
+
+@query("j9_supertype_closure", """WITH RECURSIVE walk(src, node, depth) AS (SELECT p_partkey, p_partkey, 0 FROM part WHERE p_partkey % 10 = 7
+  UNION SELECT w.src, e.sup, w.depth + 1 FROM walk w JOIN type_edges e ON e.sub = w.node WHERE w.depth < 32)
+  SELECT src, node, min(depth) AS depth FROM walk GROUP BY src, node""")
+def _(t):
+    return graph.closure(t("part").where("p_partkey % 10 = 7").select(F.col("p_partkey").alias("src")), t("type_edges"))
+
+
+@query("j10_subtype_test", """WITH RECURSIVE walk(src, node, depth) AS (SELECT p_partkey, p_partkey, 0 FROM part WHERE p_partkey % 10 = 7
+  UNION SELECT w.src, e.sup, w.depth + 1 FROM walk w JOIN type_edges e ON e.sub = w.node WHERE w.depth < 32)
+  SELECT p.p_partkey AS src, EXISTS (SELECT 1 FROM walk w WHERE w.src = p.p_partkey AND w.node = 3) AS is_subtype FROM part p WHERE p_partkey % 10 = 7""")
+def _(t):
+    seeds = t("part").where("p_partkey % 10 = 7").select(F.col("p_partkey").alias("src"))
+    return graph.closure(seeds, t("type_edges")).groupBy("src").agg(F.max(F.col("node") == 3).alias("is_subtype"))
+
+
+# ---- diagnostics
+
+@query("d2_unused_imports", "SELECT path, ord, coalesce(alias, name) AS local FROM imports i WHERE NOT wildcard AND NOT EXISTS (SELECT 1 FROM usages u WHERE u.path = i.path AND u.name = coalesce(i.alias, i.name))")
+def _(t):
+    return facts.unused_imports(t("imports"), t("usages"))
+
+
+@query("d3_duplicates", """SELECT sid, name, nth FROM (SELECT *, row_number() OVER (PARTITION BY package, container, k, name, ext_receiver ORDER BY start_byte) AS nth FROM
+  (SELECT *, CASE WHEN kind IN ('Class','Interface','Object','EnumClass','TypeAlias','TypeParameter') THEN 'classifier' WHEN kind IN ('Property','EnumEntry') THEN kind END AS k FROM symbols) WHERE k IS NOT NULL) WHERE nth > 1""")
+def _(t):
+    return facts.duplicate_declarations(t("symbols"))
+
+
+@query("d5_call_shape", "SELECT u.path, u.start_byte, u.name, u.n_args FROM usages u JOIN symbols s USING (name) WHERE u.use_kind = 'Call' GROUP BY u.path, u.start_byte, u.name, u.n_args HAVING bool_and(s.kind = 'Function') AND NOT bool_or(u.n_args BETWEEN least(s.min_arity, s.max_arity) AND s.max_arity)")
+def _(t):
+    return facts.call_shape(t("usages"), t("symbols").select("name", "kind", "min_arity", "max_arity"))
+
+
+@query("d7_overloads", "SELECT a.sid, count(DISTINCT b.sid) AS n FROM symbols a JOIN symbols b ON a.name = b.name AND b.kind = 'Function' AND (a.package = b.package AND b.container IS NULL OR a.path = b.path AND a.container IS NOT DISTINCT FROM b.container) WHERE a.kind = 'Function' GROUP BY a.sid")
+def _(t):
+    f = t("symbols").where("kind = 'Function'").select("sid", "name", "package", "container", "path")
+    a, b = f.alias("a"), f.alias("b")
+    j = a.join(b, F.col("a.name") == F.col("b.name")).where("a.package = b.package and b.container is null or a.path = b.path and a.container <=> b.container")
+    return j.groupBy(F.col("a.sid").alias("sid")).agg(F.countDistinct("b.sid").alias("n"))
+
+
+@query("d8_unresolved_imports", "SELECT path, ord FROM imports i WHERE NOT wildcard AND NOT EXISTS (SELECT 1 FROM symbols s WHERE s.package = i.package AND s.name = i.name AND s.kind IN ('Class','Interface','Object','EnumClass','TypeAlias','TypeParameter'))")
+def _(t):
+    return t("imports").where("not wildcard").join(facts.types_named(t("symbols")).select("package", "name"), ["package", "name"], "left_anti").select("path", "ord")
+
+
+# ---- completion
+
+@query("c4_rank", """SELECT qid, nth, sort_key, n > 20 AS is_incomplete FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sort_key, kind, coalesce(container, '')) AS nth, count(*) OVER (PARTITION BY qid) AS n FROM
+  (SELECT *, concat(CASE WHEN starts_with(name, 'co') THEN '0' ELSE '1' END, CASE WHEN tier = 'Volatile' THEN '0' ELSE '1' END, lpad(CAST(length(name) AS VARCHAR), 4, '0'), lower(name), package) AS sort_key FROM candidates)) WHERE nth <= 20""")
+def _(t):
+    return facts.rank_candidates(t("candidates"), "co", 20)
+
+
+@query("c2_scope_candidates", "SELECT qid, name, package, tier, kind FROM (SELECT *, row_number() OVER (PARTITION BY qid, name ORDER BY tier DESC, package, kind, coalesce(container, '')) AS r FROM candidates) WHERE r = 1")
+def _(t):
+    return facts.first_of_label(t("candidates"))
+
+
+@query("c5_insert_text", "SELECT sid, CASE WHEN kind = 'Function' AND max_arity = 0 THEN concat(name, '()') WHEN kind = 'Function' THEN concat(name, '($0)') ELSE name END AS text FROM symbols")
+def _(t):
+    return t("symbols").select("sid", facts.insert_text().alias("text"))
+
+
+@query("c10_document_symbols", "SELECT path, string_agg(name, ',' ORDER BY start_byte, sid) AS names FROM symbols GROUP BY path")
+def _(t):
+    return t("symbols").groupBy("path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_byte", "sid", "name"))), lambda x: x["name"]), ",").alias("names"))
+
+
+@query("c11_import_candidate", f"""WITH seen AS (SELECT f.path, s.name FROM file_ctx f JOIN symbols s ON s.package = f.package UNION SELECT i.path, s.name FROM imports i JOIN symbols s ON s.name = coalesce(i.alias, i.name) WHERE NOT i.wildcard UNION SELECT i.path, s.name FROM imports i JOIN symbols s ON s.package = i.package WHERE i.wildcard),
+  top AS (SELECT name, min(package) AS package FROM symbols WHERE container IS NULL GROUP BY name HAVING count(DISTINCT package) = 1)
+  SELECT u.path, concat(top.package, '.', u.name) AS fqn FROM (SELECT DISTINCT path, name FROM usages) u JOIN top USING (name) WHERE NOT EXISTS (SELECT 1 FROM seen WHERE seen.path = u.path AND seen.name = u.name)""")
+def _(t):
+    return facts.single_imports(t("usages"), facts.visible(t("symbols"), t("file_ctx"), t("imports"), DEFAULT_PACKAGES), t("symbols"))
+
+
+# ---- hierarchy and calls
+
+@query("h1_implementations", "SELECT DISTINCT a.sid AS target, b.sid AS impl FROM type_edges e JOIN symbols a ON a.sid = e.sup JOIN symbols b ON b.sid = e.sub WHERE a.kind = b.kind AND a.max_arity = b.max_arity AND a.value_type IS NOT DISTINCT FROM b.value_type")
+def _(t):
+    return facts.implementations(t("symbols"), t("type_edges"))
+
+
+_CALLS = "SELECT d.path, d.pre, d.ref AS callee, a.ref AS caller FROM nodes d JOIN nodes a ON a.path = d.path AND a.pre < d.pre AND a.post > d.post WHERE d.kind = 'identifier' AND a.kind = 'function'"
+
+
+@query("h4_outgoing_calls", f"SELECT caller, callee, count(*) AS n, string_agg(concat('', pre), ',' ORDER BY pre) AS places FROM ({_CALLS}) GROUP BY caller, callee")
+def _(t):
+    return facts.calls(t("nodes"), graph.innermost(t("nodes"), "identifier", ["function"]).drop("depth"))
+
+
+@query("h3_incoming_calls", f"SELECT callee, count(DISTINCT caller) AS callers, count(*) AS n FROM ({_CALLS}) GROUP BY callee")
+def _(t):
+    c = facts.calls(t("nodes"), graph.innermost(t("nodes"), "identifier", ["function"]).drop("depth"))
+    return c.groupBy("callee").agg(F.count("*").alias("callers"), F.sum("n").cast("bigint").alias("n"))
+
+
+@query("e17_selection_chain", "SELECT d.path, d.pre AS d_pre, string_agg(concat(a.pre, '-', a.post), ',' ORDER BY a.post - a.pre) AS chain FROM nodes d JOIN nodes a ON a.path = d.path AND a.pre < d.pre AND a.post > d.post WHERE d.kind = 'identifier' GROUP BY d.path, d.pre")
+def _(t):
+    return graph.selection_chain(t("nodes"), "identifier")
+
+
+# ---- edits
+
+@query("x1_overlapping_edits", "SELECT file, ord, start_byte, end_byte FROM (SELECT *, lag(end_byte) OVER (PARTITION BY file ORDER BY start_byte, end_byte, ord) AS last FROM edits) WHERE end_byte < start_byte OR last > start_byte")
+def _(t):
+    return facts.overlapping_edits(t("edits"))
+
+
+@query("x3_rename", f"WITH {_CROSS} SELECT f.path, f.start_byte, f.start_byte + length(s.name) AS end_byte, 'renamed' AS new_text FROM (SELECT DISTINCT path, start_byte, sid FROM found) f JOIN symbols s USING (sid) WHERE s.sid % 50 = 7 AND s.tier = 'Volatile'")
+def _(t):
+    s = t("symbols").where("sid % 50 = 7 and tier = 'Volatile'").select("sid", "name")
+    return resolve.references(_found(t)).join(s, "sid").select("path", "start_byte", (F.col("start_byte") + F.length("name")).alias("end_byte"), F.lit("renamed").alias("new_text"))
+
+
+@query("x4_organize_imports", "SELECT path, string_agg(line, chr(10) ORDER BY line) AS block FROM (SELECT DISTINCT path, concat('import ', package, CASE WHEN wildcard THEN '.*' ELSE concat('.', name) END, CASE WHEN alias IS NOT NULL THEN concat(' as ', alias) ELSE '' END) AS line FROM imports) GROUP BY path")
+def _(t):
+    return facts.organized_imports(t("imports"))
+
+
+# ---- statistics, sets, windows
+
+@query("a1_corpus_summary", "SELECT (SELECT count(*) FROM file_ctx) AS files, (SELECT count(*) FROM file_ctx WHERE clean) AS clean_files, (SELECT count(*) FROM symbols) AS symbols, (SELECT count(*) FROM usages) AS usages")
+def _(t):
+    parts = [t("file_ctx").select(F.lit("files").alias("k"), F.lit(1).alias("v")), t("file_ctx").where("clean").select(F.lit("clean_files"), F.lit(1)), t("symbols").select(F.lit("symbols"), F.lit(1)), t("usages").select(F.lit("usages"), F.lit(1))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out.agg(*(F.count_if(F.col("k") == k).alias(k) for k in ("files", "clean_files", "symbols", "usages")))
+
+
+@query("a2_a3_scenario_stats", "SELECT scenario, count(*) AS n, count(*) FILTER (NOT executed) AS failures, quantile_disc(wall_ms, 0.5) AS p50, quantile_disc(wall_ms, 0.95) AS p95, min(wall_ms) AS least, max(wall_ms) AS most FROM telemetry GROUP BY scenario")
+def _(t):
+    return facts.scenario_stats(t("telemetry"))
+
+
+@query("a4_telemetry", """SELECT count(*) AS total, count(*) FILTER (cold) AS cold, count(*) FILTER (NOT executed) AS up_to_date, count(*) FILTER (superseded) AS superseded, count(*) FILTER (executed AND NOT superseded AND NOT cold) AS steady,
+  coalesce(quantile_disc(wall_ms, 0.5) FILTER (executed AND NOT superseded AND NOT cold), 0.0) AS p50, coalesce(quantile_disc(wall_ms, 0.95) FILTER (executed AND NOT superseded AND NOT cold), 0.0) AS p95 FROM telemetry""")
+def _(t):
+    return facts.telemetry_summary(t("telemetry"))
+
+
+@query("a6_version_selection", "SELECT grp, artifact, version, ord, CASE WHEN row_number() OVER (PARTITION BY grp, artifact ORDER BY CAST(split_part(version, '.', 1) AS BIGINT) DESC, CAST(split_part(version, '.', 2) AS BIGINT) DESC, ord) = 1 THEN 'Selected' ELSE 'ShadowedBy' END AS decision FROM coordinates")
+def _(t):
+    return facts.selected_versions(t("coordinates"))
+
+
+@query("a9_medians", "SELECT scenario, median(wall_ms) AS median_ms FROM telemetry GROUP BY scenario")
+def _(t):
+    return t("telemetry").groupBy("scenario").agg(F.median("wall_ms").alias("median_ms"))
+
+
+@query("o1_multiset_diff", """SELECT path, line, col, severity, message, least(a, b) AS matched, greatest(a - b, 0) AS missing, greatest(b - a, 0) AS extra FROM (
+  SELECT path, line, col, severity, message, CAST(sum(a) AS BIGINT) AS a, CAST(sum(b) AS BIGINT) AS b FROM (SELECT path, line, col, severity, trim(regexp_replace(message, '\\s+', ' ', 'g')) AS message, 1 AS a, 0 AS b FROM diags_a UNION ALL SELECT path, line, col, severity, trim(regexp_replace(message, '\\s+', ' ', 'g')), 0, 1 FROM diags_b) GROUP BY ALL)""")
+def _(t):
+    return facts.multiset_diff(facts.normalized(t("diags_a")), facts.normalized(t("diags_b")))
+
+
+_NORM = "SELECT path, line, col, severity, trim(regexp_replace(message, '\\s+', ' ', 'g')) AS message FROM"
+
+
+@query("o2_mislocated", f"""WITH a AS (SELECT *, row_number() OVER (PARTITION BY severity, message ORDER BY path, line, col) AS nth FROM ({_NORM} diags_a EXCEPT ALL {_NORM} diags_b)),
+  b AS (SELECT *, row_number() OVER (PARTITION BY severity, message ORDER BY path, line, col) AS nth FROM ({_NORM} diags_b EXCEPT ALL {_NORM} diags_a))
+  SELECT a.severity, a.message, a.path, a.line, a.col, b.path AS path_b, b.line AS line_b, b.col AS col_b FROM a JOIN b USING (severity, message, nth)""")
+def _(t):
+    return facts.mislocated(facts.normalized(t("diags_a")), facts.normalized(t("diags_b")))
+
+
+@query("o4_set_difference", "SELECT DISTINCT package FROM file_ctx WHERE clean EXCEPT SELECT package FROM file_ctx WHERE NOT clean")
+def _(t):
+    f = t("file_ctx")
+    return f.where("clean").select("package").subtract(f.where("not clean").select("package"))
+
+
+@query("w3_token_order", "SELECT path, pre, row_number() OVER (PARTITION BY path ORDER BY pre, post, CASE kind WHEN 'file' THEN 0 WHEN 'class' THEN 1 WHEN 'function' THEN 2 ELSE 3 END) AS nth FROM nodes")
+def _(t):
+    from pyspark.sql import Window
+
+    rank = F.when(F.col("kind") == "file", 0).when(F.col("kind") == "class", 1).when(F.col("kind") == "function", 2).otherwise(3)
+    return t("nodes").select("path", "pre", F.row_number().over(Window.partitionBy("path").orderBy("pre", "post", rank)).alias("nth"))
+
+
+@query("e16_line_runs", "SELECT file, min(ord) AS first_line, max(ord) AS last_line FROM (SELECT conv_id AS file, turn AS ord, turn - row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM conversations WHERE role = 'user' OR turn % 3 = 0) GROUP BY file, island HAVING count(*) > 1")
+def _(t):
+    from pyspark.sql import Window
+
+    runs = t("conversations").where("role = 'user' or turn % 3 = 0").select(F.col("conv_id").alias("file"), F.col("turn").alias("ord"))
+    runs = runs.withColumn("island", F.col("ord") - F.row_number().over(Window.partitionBy("file").orderBy("ord")))
+    return runs.groupBy("file", "island").agg(F.min("ord").alias("first_line"), F.max("ord").alias("last_line"), F.count("*").alias("n")).where("n > 1").select("file", "first_line", "last_line")
+
+
+# ---- scalar functions
+
+@query("e12_project_scope", "SELECT sid, concat(':', split_part(path, '/', 1)) AS module, split_part(path, '/', 3) AS source_set FROM symbols")
+def _(t):
+    return t("symbols").select("sid", sc.module_of(F.col("path")).alias("module"), sc.source_set_of(F.col("path")).alias("source_set"))
+
+
+@query("e13_related_scopes", "SELECT sid, split_part(path, '/', 3) AS source_set FROM symbols UNION SELECT sid, 'commonMain' FROM symbols WHERE split_part(path, '/', 3) LIKE '%Main'")
+def _(t):
+    s = sc.source_set_of(F.col("path"))
+    return t("symbols").select("sid", F.explode(F.array_distinct(F.when(s.endswith("Main"), F.array(s, F.lit("commonMain"))).otherwise(F.array(s)))).alias("source_set"))
+
+
+@query("e14_detail", "SELECT sid, concat_ws('.', package, container) AS detail FROM symbols")
+def _(t):
+    return t("symbols").select("sid", facts.detail().alias("detail"))
+
+
+@query("l1_position", "SELECT conv_id, turn, length(substr(text, 1, 40)) - length(replace(substr(text, 1, 40), chr(10), '')) AS line FROM conversations WHERE octet_length(encode(text)) = length(text)")
+def _(t):
+    c = t("conversations").where(F.octet_length("text") == F.length("text"))
+    return c.select("conv_id", "turn", sc.line_of(F.col("text"), F.lit(40)).cast("bigint").alias("line"))
+
+
+@query("l5_import_names", "SELECT path, ord, concat(package, '.', name) AS fqn, package AS pkg, name AS simple FROM imports")
+def _(t):
+    fqn = F.concat_ws(".", "package", "name")
+    return t("imports").select("path", "ord", fqn.alias("fqn"), sc.package_of(fqn).alias("pkg"), sc.simple_name(fqn).alias("simple"))
+
+
+@query("l9_hashes", "SELECT event_id, sha256(concat(event_type, ':', props)) AS fingerprint FROM events")
+def _(t):
+    return t("events").select("event_id", F.sha2(F.concat("event_type", F.lit(":"), "props"), 256).alias("fingerprint"))
+
+
+@query("l11_s21_json", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def _(t):
+    return t("events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+
+
+# ---- continuous state, as of its end
+
+_LATEST = "SELECT path, version, text, closed FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY version DESC) AS r FROM documents_state) WHERE r = 1"
+
+
+@query("k1_k2_k3_latest", f"SELECT path, version, text FROM ({_LATEST}) WHERE NOT closed")
+def _(t):
+    return state.latest(t("documents_state"))
+
+
+@query("k4_debounce", """SELECT path, max(version) AS version, count(*) AS changes FROM (SELECT *, sum(fresh) OVER (PARTITION BY path ORDER BY ts, version ROWS UNBOUNDED PRECEDING) AS burst FROM
+  (SELECT *, CASE WHEN lag(ts) OVER (PARTITION BY path ORDER BY ts, version) + INTERVAL 600 SECOND > ts THEN 0 ELSE 1 END AS fresh FROM documents_state)) GROUP BY path, burst""")
+def _(t):
+    return state.debounced(t("documents_state"), "600 seconds")
+
+
+@query("k5_open_buffers", f"SELECT path, text, 0 AS prio FROM ({_LATEST}) WHERE NOT closed UNION ALL SELECT c_custkey, c_name, 1 FROM customer WHERE c_custkey NOT IN (SELECT path FROM ({_LATEST}) WHERE NOT closed)")
+def _(t):
+    disk = t("customer").select(F.col("c_custkey").alias("path"), F.col("c_name").alias("text"))
+    return state.overlay(disk, state.latest(t("documents_state")))
