@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .functions import scalars as sc
 from .operators import facts, graph, resolve
+from .sources import builds, files, kotlin, logs
 from .sources.relations import DEFAULT_PACKAGES, load, with_relations
 from .streaming import state
 
@@ -235,18 +236,18 @@ def _(t):
     return t("type_edges").distinct().groupBy("sup").agg(F.count("*").alias("n"), F.min("sub").alias("least"))
 
 
-@query("j9_supertype_closure", """WITH RECURSIVE walk(src, node, depth) AS (SELECT p_partkey, p_partkey, 0 FROM part WHERE p_partkey % 10 = 7
+@query("j9_supertype_closure", """WITH RECURSIVE walk(src, node, depth) AS (SELECT p_partkey, p_partkey, 0 FROM part
   UNION SELECT w.src, e.sup, w.depth + 1 FROM walk w JOIN type_edges e ON e.sub = w.node WHERE w.depth < 32)
   SELECT src, node, min(depth) AS depth FROM walk GROUP BY src, node""")
 def _(t):
-    return graph.closure(t("part").where("p_partkey % 10 = 7").select(F.col("p_partkey").alias("src")), t("type_edges"))
+    return graph.closure(t("part").select(F.col("p_partkey").alias("src")), t("type_edges"))
 
 
-@query("j10_subtype_test", """WITH RECURSIVE walk(src, node, depth) AS (SELECT p_partkey, p_partkey, 0 FROM part WHERE p_partkey % 10 = 7
+@query("j10_subtype_test", """WITH RECURSIVE walk(src, node, depth) AS (SELECT p_partkey, p_partkey, 0 FROM part
   UNION SELECT w.src, e.sup, w.depth + 1 FROM walk w JOIN type_edges e ON e.sub = w.node WHERE w.depth < 32)
-  SELECT p.p_partkey AS src, EXISTS (SELECT 1 FROM walk w WHERE w.src = p.p_partkey AND w.node = 3) AS is_subtype FROM part p WHERE p_partkey % 10 = 7""")
+  SELECT p.p_partkey AS src, EXISTS (SELECT 1 FROM walk w WHERE w.src = p.p_partkey AND w.node = 3) AS is_subtype FROM part p""")
 def _(t):
-    seeds = t("part").where("p_partkey % 10 = 7").select(F.col("p_partkey").alias("src"))
+    seeds = t("part").select(F.col("p_partkey").alias("src"))
     return graph.closure(seeds, t("type_edges")).groupBy("src").agg(F.max(F.col("node") == 3).alias("is_subtype"))
 
 
@@ -344,10 +345,10 @@ def _(t):
     return facts.overlapping_edits(t("edits"))
 
 
-@query("x3_rename", f"WITH {_CROSS} SELECT f.path, f.start_byte, f.start_byte + length(s.name) AS end_byte, 'renamed' AS new_text FROM (SELECT DISTINCT path, start_byte, sid FROM found) f JOIN symbols s USING (sid) WHERE s.sid % 50 = 7 AND s.tier = 'Volatile'")
+@query("x3_rename", f"WITH {_CROSS} SELECT f.path, f.start_byte, f.start_byte + length(s.name) AS end_byte, concat('renamed_', s.sid) AS new_text FROM (SELECT DISTINCT path, start_byte, sid FROM found) f JOIN symbols s USING (sid) WHERE s.tier = 'Volatile'")
 def _(t):
-    s = t("symbols").where("sid % 50 = 7 and tier = 'Volatile'").select("sid", "name")
-    return resolve.references(_found(t)).join(s, "sid").select("path", "start_byte", (F.col("start_byte") + F.length("name")).alias("end_byte"), F.lit("renamed").alias("new_text"))
+    s = t("symbols").where("tier = 'Volatile'").select("sid", "name")
+    return resolve.references(_found(t)).join(s, "sid").select("path", "start_byte", (F.col("start_byte") + F.length("name")).alias("end_byte"), F.concat(F.lit("renamed_"), "sid").alias("new_text"))
 
 
 @query("x4_organize_imports", "SELECT path, string_agg(line, chr(10) ORDER BY line) AS block FROM (SELECT DISTINCT path, concat('import ', package, CASE WHEN wildcard THEN '.*' ELSE concat('.', name) END, CASE WHEN alias IS NOT NULL THEN concat(' as ', alias) ELSE '' END) AS line FROM imports) GROUP BY path")
@@ -417,11 +418,11 @@ def _(t):
     return t("nodes").select("path", "pre", F.row_number().over(Window.partitionBy("path").orderBy("pre", "post", rank)).alias("nth"))
 
 
-@query("e16_line_runs", "SELECT file, min(ord) AS first_line, max(ord) AS last_line FROM (SELECT conv_id AS file, turn AS ord, turn - row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM conversations WHERE role = 'user' OR turn % 3 = 0) GROUP BY file, island HAVING count(*) > 1")
+@query("e16_line_runs", "SELECT file, min(ord) AS first_line, max(ord) AS last_line FROM (SELECT conv_id AS file, turn AS ord, turn - row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM conversations WHERE length(text) < 300) GROUP BY file, island HAVING count(*) > 1")
 def _(t):
     from pyspark.sql import Window
 
-    runs = t("conversations").where("role = 'user' or turn % 3 = 0").select(F.col("conv_id").alias("file"), F.col("turn").alias("ord"))
+    runs = t("conversations").where("length(text) < 300").select(F.col("conv_id").alias("file"), F.col("turn").alias("ord"))
     runs = runs.withColumn("island", F.col("ord") - F.row_number().over(Window.partitionBy("file").orderBy("ord")))
     return runs.groupBy("file", "island").agg(F.min("ord").alias("first_line"), F.max("ord").alias("last_line"), F.count("*").alias("n")).where("n > 1").select("file", "first_line", "last_line")
 
@@ -444,10 +445,9 @@ def _(t):
     return t("symbols").select("sid", facts.detail().alias("detail"))
 
 
-@query("l1_position", "SELECT conv_id, turn, length(substr(text, 1, 40)) - length(replace(substr(text, 1, 40), chr(10), '')) AS line FROM conversations WHERE octet_length(encode(text)) = length(text)")
+@query("l1_position", "SELECT conv_id, turn, len(regexp_extract_all(regexp_replace(substr(hex(encode(text)), 1, 800), '(..)', '\\1 ', 'g'), '0A ')) AS line FROM conversations")
 def _(t):
-    c = t("conversations").where(F.octet_length("text") == F.length("text"))
-    return c.select("conv_id", "turn", sc.line_of(F.col("text"), F.lit(40)).cast("bigint").alias("line"))
+    return t("conversations").select("conv_id", "turn", sc.line_of(F.col("text"), F.lit(400)).cast("bigint").alias("line"))
 
 
 @query("l5_import_names", "SELECT path, ord, concat(package, '.', name) AS fqn, package AS pkg, name AS simple FROM imports")
@@ -486,3 +486,105 @@ def _(t):
 def _(t):
     disk = t("customer").select(F.col("c_custkey").alias("path"), F.col("c_name").alias("text"))
     return state.overlay(disk, state.latest(t("documents_state")))
+
+
+# ---- sources, over small inline texts; the SQL states the rows that must come out
+
+
+def _inline(t, rows: list[tuple], schema: str) -> DataFrame:
+    return t("region").sparkSession.createDataFrame(rows, schema)
+
+
+_KOTLIN = """package demo.app
+import a.b.C
+import a.b.*
+import x.y.Z as W
+data class Point(val x: Int, var y: List<Int>? = null) : Base<Int>(1), Shape {
+    companion object { const val ORIGIN = 0 }
+    fun <T : Any> String.len(a: T, b: Int = 2, vararg c: Int): Int { fun hidden() {}; return 1 }
+}
+enum class Color { RED, GREEN; fun f() = 1 }
+typealias Handler<T> = (T) -> Unit
+val total = 5
+"""
+
+
+@query("e3_e9_kotlin_symbols", """SELECT * FROM (VALUES ('Point', CAST(NULL AS VARCHAR), 'Class', 2, 1, CAST(NULL AS VARCHAR), 'Base,Shape'), ('x', 'Point', 'Property', NULL, NULL, NULL, ''), ('y', 'Point', 'Property', NULL, NULL, NULL, ''),
+  ('ORIGIN', 'Point', 'Property', NULL, NULL, NULL, ''), ('len', 'Point', 'Function', 3, 1, 'String', ''), ('copy', 'Point', 'Function', 2, 0, NULL, ''), ('component1', 'Point', 'Function', 0, 0, NULL, ''), ('component2', 'Point', 'Function', 0, 0, NULL, ''),
+  ('Color', NULL, 'EnumClass', NULL, NULL, NULL, ''), ('RED', 'Color', 'EnumEntry', NULL, NULL, NULL, ''), ('GREEN', 'Color', 'EnumEntry', NULL, NULL, NULL, ''), ('f', 'Color', 'Function', 0, 0, NULL, ''),
+  ('entries', 'Color', 'Property', NULL, NULL, NULL, ''), ('values', 'Color', 'Function', 0, 0, NULL, ''), ('valueOf', 'Color', 'Function', 1, 1, NULL, ''), ('Handler', NULL, 'TypeAlias', NULL, NULL, NULL, ''), ('total', NULL, 'Property', NULL, NULL, NULL, '')) v(name, container, kind, arity, min_arity, receiver, supertypes)""")
+def _(t):
+    s = kotlin.extract(_inline(t, [("A.kt", _KOTLIN)], "path string, text string"), "symbols")
+    return s.select("name", "container", "kind", "arity", "min_arity", "receiver", F.array_join("supertypes", ",").alias("supertypes"))
+
+
+@query("e2_kotlin_imports", "SELECT * FROM (VALUES (0, 'a.b.C', CAST(NULL AS VARCHAR), false), (1, 'a.b', NULL, true), (2, 'x.y.Z', 'W', false)) v(ord, name, alias, wildcard)")
+def _(t):
+    return kotlin.extract(_inline(t, [("A.kt", _KOTLIN)], "path string, text string"), "imports").drop("path")
+
+
+@query("e1_d1_kotlin_files", "SELECT * FROM (VALUES ('A.kt', 'demo.app', true), ('B.kt', '', false)) v(path, package, clean)")
+def _(t):
+    return kotlin.extract(_inline(t, [("A.kt", _KOTLIN), ("B.kt", "class A {")], "path string, text string"), "files")
+
+
+@query("s12_version_catalog", "SELECT * FROM (VALUES ('a', 'g.a', 'x', '1.0'), ('b', 'g.b', 'y', '2.0'), ('bom', 'g.d', 'd-bom', '3.1'), ('m', 'g.d', 'core', '3.1'), ('loose', 'g.e', 'core', NULL)) v(alias, grp, artifact, version)")
+def _(t):
+    toml = '[versions]\nk = "2.0"\n[libraries]\na = "g.a:x:1.0"\nb = { module = "g.b:y", version.ref = "k" }\nbom = { module = "g.d:d-bom", version = "3.1" }\nm = { module = "g.d:core" }\nloose = { group = "g.e", name = "core" }\n'
+    return builds.catalog_libraries(_inline(t, [("libs.versions.toml", toml)], "path string, text string")).drop("path")
+
+
+@query("s14_build_literals", "SELECT * FROM (VALUES ('g.d', 'core', '3.1'), ('g.d', 'd-bom', '3.1'), ('g.x', 'y', '1')) v(grp, artifact, version)")
+def _(t):
+    text = "implementation(platform(\"g.d:d-bom:3.1\"))\nimplementation('g.d:core')\napi(\"g.x:y:1\")"
+    return builds.build_literals(_inline(t, [("build.gradle", text)], "path string, text string")).drop("path")
+
+
+@query("s15_module_metadata", "SELECT 'a' AS grp, 'b' AS artifact, '2' AS version")
+def _(t):
+    return builds.module_dependencies(_inline(t, [("m", '{"variants":[{"dependencies":[{"group":"a","module":"b","version":{"prefers":"3","strictly":"2"}},{"module":"x"}]}]}')], "path string, text string")).drop("path")
+
+
+@query("s18_classpath_dump", "SELECT * FROM (VALUES (':a', '/p', 'CP', 1, '/1.jar'), (':a', '/p', 'CP', 2, '/2.jar'), (':b', '/q', 'CP', 1, '/3.jar')) v(module, dir, kind, ord, entry)")
+def _(t):
+    lines = ["noise", "PROJECT\t:a\t/p", "CP\t/1.jar", "CP\t/2.jar", "END\t:a", "CP\t/lost.jar", "PROJECT\t:b\t/q", "CP\t/3.jar"]
+    return builds.classpath_dump(_inline(t, list(enumerate(lines)), "n long, line string"))
+
+
+@query("s19_cache_paths", "SELECT 'g.x' AS grp, 'art' AS artifact, '1.2' AS version")
+def _(t):
+    return builds.cache_coordinates(_inline(t, [("/c/files-2.1/g.x/art/1.2/abc/art-1.2-sources.jar",), ("/c/files-2.1/g/a/1/h/b.jar",)], "path string")).drop("path")
+
+
+@query("s20_compiler_output", "SELECT * FROM (VALUES ('/a b/F.kt', 3, 7, 'Error', 'bad thing'), ('/G.kt', 10, 2, 'Warning', 'careful')) v(path, line, col, severity, message)")
+def _(t):
+    lines = ["e: /a b/F.kt: (3, 7): bad thing", "\u001b[33mw: file:///G.kt:10:2 careful\u001b[0m", "note"]
+    return logs.compiler_messages(_inline(t, list(enumerate(lines)), "n long, line string")).drop("n")
+
+
+@query("s9_class_stubs", "SELECT 'a.b.C' AS fqn, 'class C' AS stub")
+def _(t):
+    return files.class_stubs(_inline(t, [("a/b/C.class",), ("a/b/C$D.class",), ("module-info.class",)], "name string"))
+
+
+@query("s23_chrome_trace", """SELECT '{"traceEvents":[' || string_agg('{"ts":' || event_id || ',"name":"' || event_type || '"}', ',' ORDER BY event_id) || ']}' AS document, user_id FROM events GROUP BY user_id""")
+def _(t):
+    return logs.chrome_trace(t("events").select("user_id", F.col("event_id").alias("ts"), F.col("event_type").alias("name")), ["user_id"])
+
+
+@query("s26_diagnostic_lines", "SELECT path || ':' || (line + 1) || ':' || (col + 1) || ': ' || lower(severity) || ': ' || message AS value FROM diags_b")
+def _(t):
+    return logs.diagnostic_lines(t("diags_b").withColumn("code", F.lit(None).cast("string")))
+
+
+@query("a8_s28_self_time", "SELECT * FROM (VALUES ('a<T>', CAST(3 AS BIGINT)), ('b', 4), ('c', 3)) v(name, samples)")
+def _(t):
+    g = lambda n, y, x, w: f'<g><title>{n} ({w} samples, 1.0%)</title><rect x="1" y="{y}" width="2" fg:x="{x}" fg:w="{w}"/></g>'
+    svg = g("all", 64, 0, 10) + g("a&lt;T&gt;", 48, 0, 10) + g("b", 32, 0, 4) + g("c", 32, 4, 3)
+    return logs.self_time(logs.flame_frames(_inline(t, [(svg,)], "text string")))
+
+
+@query("s25_snapshot_retention", "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS r FROM events) WHERE r <= 2")
+def _(t):
+    s = t("events").select(F.col("user_id").alias("root"), F.col("event_id").alias("key"), F.col("ts").alias("made"))
+    return logs.retained(s).select(F.col("root").alias("user_id"), F.col("key").alias("event_id"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 def line_of(text: Column, byte: Column) -> Column:
     """Line, from 0, of a byte place in a UTF-8 text; places beyond the end are the end."""
     head = F.substring(F.encode(text, "UTF-8"), F.lit(1), F.least(byte, F.octet_length(text)))
-    return F.length(F.regexp_replace(F.decode(head, "UTF-8"), "[^\n]", ""))
+    return F.size(F.filter(F.regexp_extract_all(F.hex(head), F.lit("(..)"), 1), lambda x: x == "0A"))
 
 
 def utf16_length(text: Column) -> Column:

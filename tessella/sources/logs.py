@@ -43,11 +43,11 @@ def append_jsonl(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
-def chrome_trace(events: DataFrame) -> DataFrame:
-    """One JSON document of trace events in the order of time, for a viewer; of bounded size, as viewers read it whole."""
-    e = F.struct(*[c for c in events.columns])
+def chrome_trace(events: DataFrame, by: tuple[str, ...] | list[str] = ()) -> DataFrame:
+    """A JSON document of trace events in the order of time for each trace (``by``); of bounded size, as viewers read it whole."""
+    e = F.struct(*[c for c in events.columns if c not in by])
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("ts", F.to_json(e).alias("j")))), lambda x: x["j"])
-    return events.agg(F.concat(F.lit('{"traceEvents":['), F.array_join(ordered, ","), F.lit("]}")).alias("document"))
+    return events.groupBy(*by).agg(F.concat(F.lit('{"traceEvents":['), F.array_join(ordered, ","), F.lit("]}")).alias("document"))
 
 
 def diagnostic_lines(diags: DataFrame) -> DataFrame:

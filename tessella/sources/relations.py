@@ -53,7 +53,7 @@ RELATIONS = {
     "diags_a": "SELECT concat('File', user_id % 40, '.kt') AS path, event_id % 17 AS line, event_id % 5 AS col, CASE WHEN event_type = 'error' THEN 'Error' ELSE 'Warning' END AS severity, concat('message  of ', event_type) AS message FROM events WHERE event_id % 3 <> 0",
     "diags_b": "SELECT concat('File', user_id % 40, '.kt') AS path, event_id % 17 + CASE WHEN event_id % 29 = 0 THEN 1 ELSE 0 END AS line, event_id % 5 AS col, CASE WHEN event_type = 'error' THEN 'Error' ELSE 'Warning' END AS severity, concat('message of ', event_type) AS message FROM events WHERE event_id % 4 <> 0",
     "edits": "SELECT conv_id AS file, turn AS ord, 7 * turn AS start_byte, 7 * turn + length(text) % 11 AS end_byte, role AS new_text FROM conversations",
-    "candidates": "SELECT DISTINCT c_mktsegment AS qid, name, package, kind, tier, container FROM symbols JOIN customer ON sid % 5 = c_custkey % 5 WHERE c_custkey < 5",
+    "candidates": "SELECT DISTINCT concat('query', sid % 5) AS qid, name, package, kind, tier, container FROM symbols",
     "documents_state": "SELECT user_id % 50 AS path, event_id AS version, ts, props AS text, event_type = 'error' AS closed FROM events",
 }
 
