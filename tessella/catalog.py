@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import scalars as sc
-from .operators import facts, graph, resolve
+from .operators import facts, graph, infer, resolve
+from .plans import batch_check
 from .sources import builds, files, kotlin, logs
 from .sources.relations import DEFAULT_PACKAGES, load, with_relations
 from .streaming import state
@@ -588,3 +589,145 @@ def _(t):
 def _(t):
     s = t("events").select(F.col("user_id").alias("root"), F.col("event_id").alias("key"), F.col("ts").alias("made"))
     return logs.retained(s).select(F.col("root").alias("user_id"), F.col("key").alias("event_id"))
+
+
+# ---- types, arguments and positions
+
+
+@query("t10_type_packages", f"""WITH c AS (SELECT u.path, u.name, s.package, f.package AS own,
+    EXISTS (SELECT 1 FROM imports i WHERE i.path = u.path AND NOT i.wildcard AND i.alias IS NULL AND i.name = u.name AND i.package = s.package) AS e,
+    EXISTS (SELECT 1 FROM imports i WHERE i.path = u.path AND i.wildcard AND i.package = s.package) AS st,
+    s.package IN ('Brand#55', 'Brand#54') AS d
+  FROM (SELECT DISTINCT path, name FROM usages WHERE use_kind = 'Type') u JOIN symbols s ON s.name = u.name AND s.kind IN ('Class','Interface','Object','EnumClass','TypeAlias','TypeParameter') JOIN file_ctx f ON f.path = u.path)
+  SELECT path, name, CASE WHEN count(*) = 1 THEN min(package) ELSE coalesce(min(package) FILTER (e), min(package) FILTER (package = own), CASE WHEN count(*) FILTER (st) = 1 THEN min(package) FILTER (st) END, CASE WHEN count(*) FILTER (d) = 1 THEN min(package) FILTER (d) END) END AS package FROM c GROUP BY path, name""")
+def _(t):
+    return infer.type_packages(t("usages").where("use_kind = 'Type'").select("path", "name"), t("file_ctx"), t("imports"), t("symbols"), DEFAULTS)
+
+
+@query("d6_t5_argument_mismatch", """WITH calls AS (SELECT path, start_byte, name, count(*) AS n FROM call_args GROUP BY path, start_byte, name HAVING bool_and(type IS NOT NULL)),
+  size AS (SELECT sid, count(*) AS n FROM params GROUP BY sid),
+  per AS (SELECT c.path, c.start_byte, c.name, s.sid, bool_and(a.type = p.type) AS ok FROM calls c JOIN symbols s ON s.name = c.name AND s.kind = 'Function' JOIN size z ON z.sid = s.sid AND z.n = c.n
+    JOIN call_args a ON a.path = c.path AND a.start_byte = c.start_byte JOIN params p ON p.sid = s.sid AND p.pos = a.pos GROUP BY ALL)
+  SELECT path, start_byte, name, count(*) AS candidates FROM per GROUP BY path, start_byte, name HAVING NOT bool_or(ok)""")
+def _(t):
+    return infer.argument_mismatches(t("call_args"), t("params"), t("symbols"))
+
+
+@query("t11_java_acceptance", "SELECT * FROM (VALUES ('int', 'long', true), ('long', 'int', false), ('int', 'Integer', true), ('String', 'Object', true), ('String', 'T', true), ('String', 'String', true), ('Integer', 'Long', false), ('char', 'int', true)) v(arg, param, ok)")
+def _(t):
+    return infer.accepts(_inline(t, [("int", "long"), ("long", "int"), ("int", "Integer"), ("String", "Object"), ("String", "T"), ("String", "String"), ("Integer", "Long"), ("char", "int")], "arg string, param string"))
+
+
+@query("r5_qualified", f"SELECT u.path, u.start_byte, s.sid FROM qualified_uses u JOIN symbols s ON s.name = u.name AND s.package = u.qualifier AND s.container IS NULL WHERE {_KIND_OK}")
+def _(t):
+    return infer.qualified(t("qualified_uses"), t("symbols"))
+
+
+@query("r6_nested_type", "SELECT u.path, u.start_byte, s.sid FROM qualified_uses u JOIN file_ctx f ON f.path = u.path JOIN symbols s ON s.name = u.name AND s.container = u.outer_type AND s.package = f.package WHERE u.use_kind = 'Type' AND s.kind IN ('Class','Interface','Object','EnumClass','TypeAlias','TypeParameter')")
+def _(t):
+    return infer.nested(t("qualified_uses"), t("file_ctx"), t("symbols"))
+
+
+@query("r10_reasons", """WITH whole AS (SELECT package, bool_and(clean) AS w FROM file_ctx GROUP BY package), sees AS (SELECT path, package FROM file_ctx UNION SELECT path, package FROM imports)
+  SELECT path, string_agg(CASE WHEN w IS NULL THEN concat('library:', package) ELSE concat('project:', package) END, ',' ORDER BY CASE WHEN w IS NULL THEN concat('library:', package) ELSE concat('project:', package) END) AS reasons FROM sees LEFT JOIN whole USING (package) WHERE w IS NULL OR NOT w GROUP BY path""")
+def _(t):
+    c = resolve.completeness(t("file_ctx"))
+    sees = t("file_ctx").select("path", "package").unionByName(t("imports").select("path", "package")).distinct()
+    label = F.concat(F.when(F.col("whole").isNull(), F.lit("library:")).otherwise(F.lit("project:")), "package")
+    return sees.join(c, "package", "left").where("whole is null or not whole").groupBy("path").agg(F.array_join(F.array_sort(F.collect_set(label)), ",").alias("reasons"))
+
+
+@query("r16_hover", f"WITH {_CROSS} SELECT path, start_byte, detail FROM (SELECT f.path, f.start_byte, concat_ws('.', s.package, s.container) AS detail, row_number() OVER (PARTITION BY f.path, f.start_byte ORDER BY s.path, s.start_byte, s.sid) AS r FROM found f JOIN symbols s USING (sid)) WHERE r = 1")
+def _(t):
+    s = t("symbols").select("sid", F.col("path").alias("sp"), F.col("start_byte").alias("sb"), facts.detail().alias("detail"))
+    return _found(t).join(s, "sid").groupBy("path", "start_byte").agg(F.min_by("detail", F.struct("sp", "sb", "sid")).alias("detail"))
+
+
+@query("r17_explain", f"WITH {_CROSS} SELECT u.path, u.start_byte, u.use_kind, count(f.sid) AS targets, min(f.stage) AS stage FROM usages u LEFT JOIN found f ON f.path = u.path AND f.start_byte = u.start_byte GROUP BY u.path, u.start_byte, u.use_kind")
+def _(t):
+    return t("usages").join(_found(t), ["path", "start_byte"], "left").groupBy("path", "start_byte", "use_kind").agg(F.count("sid").alias("targets"), F.min("stage").alias("stage"))
+
+
+@query("f11_identifier_at", "SELECT path, qid, ref FROM (SELECT p.path, p.qid, n.ref, row_number() OVER (PARTITION BY p.path, p.qid ORDER BY p.place = n.post, n.depth DESC, n.pre) AS r FROM positions p JOIN nodes n ON n.path = p.path AND n.kind = 'identifier' AND n.pre <= p.place AND p.place <= n.post) WHERE r = 1")
+def _(t):
+    return infer.identifier_at(t("positions"), t("nodes"))
+
+
+@query("f17_use_kinds", "SELECT d.path, d.pre, CASE a.kind WHEN 'class' THEN 'Type' WHEN 'function' THEN 'Call' ELSE 'Value' END AS use_kind FROM nodes d JOIN nodes a ON a.path = d.path AND a.pre < d.pre AND a.post > d.post AND a.depth = d.depth - 1 WHERE d.kind = 'identifier'")
+def _(t):
+    e = graph.enclosing(t("nodes"), "identifier").where("depth = 1")
+    return e.select("path", F.col("d_pre").alias("pre"), F.when(F.col("kind") == "class", "Type").when(F.col("kind") == "function", "Call").otherwise("Value").alias("use_kind"))
+
+
+@query("j2_members_of", "SELECT a.sid AS owner, b.sid AS member FROM symbols a JOIN symbols b ON b.container = a.container AND (a.value_type IS NULL OR b.package = a.package) WHERE a.kind = 'Interface'")
+def _(t):
+    a = t("symbols").where("kind = 'Interface'").select(F.col("sid").alias("owner"), "container", F.when(F.col("value_type").isNotNull(), F.col("package")).alias("wanted"))
+    return a.join(t("symbols").select(F.col("sid").alias("member"), "container", "package"), "container").where("wanted is null or wanted = package").select("owner", "member")
+
+
+@query("j11_dependency_closure", """WITH RECURSIVE walk(src, node, depth) AS (SELECT 0, p_partkey, 0 FROM part WHERE p_type = 'ECONOMY' UNION SELECT w.src, e.sup, w.depth + 1 FROM walk w JOIN type_edges e ON e.sub = w.node WHERE w.depth < 32)
+  SELECT node, min(depth) AS depth FROM walk GROUP BY node ORDER BY depth, node LIMIT 1024""")
+def _(t):
+    seeds = t("part").where("p_type = 'ECONOMY'").select(F.col("p_partkey").alias("src"))
+    return graph.closure(seeds, t("type_edges")).groupBy("node").agg(F.min("depth").alias("depth")).orderBy("depth", "node").limit(1024)
+
+
+@query("c3_member_candidates", """WITH RECURSIVE walk(src, node, depth) AS (SELECT p_partkey, p_partkey, 0 FROM part UNION SELECT w.src, e.sup, w.depth + 1 FROM walk w JOIN type_edges e ON e.sub = w.node WHERE w.depth < 32),
+  near AS (SELECT src, node, min(depth) AS depth FROM walk GROUP BY src, node)
+  SELECT src, name, kind, sid FROM (SELECT n.src, m.name, m.kind, m.sid, row_number() OVER (PARTITION BY n.src, m.name, m.kind ORDER BY n.depth, m.sid) AS r FROM near n JOIN members m ON m.owner = n.node) WHERE r = 1""")
+def _(t):
+    return infer.member_candidates(graph.closure(t("part").select(F.col("p_partkey").alias("src")), t("type_edges")), t("members"))
+
+
+@query("c6_import_line", "SELECT w.path, w.fqn, coalesce(min(i.ord) FILTER (CASE WHEN i.wildcard THEN i.package ELSE concat(i.package, '.', i.name) END >= w.fqn), max(i.ord) + 1, 0) AS row FROM (SELECT DISTINCT path, concat('Brand#33.', name) AS fqn FROM usages) w LEFT JOIN imports i ON i.path = w.path GROUP BY w.path, w.fqn")
+def _(t):
+    wanted = t("usages").select("path", F.concat(F.lit("Brand#33."), "name").alias("fqn")).distinct()
+    return infer.import_line(wanted, t("imports"))
+
+
+@query("a5_dependency_statistics", "WITH s AS (SELECT *, row_number() OVER (PARTITION BY grp, artifact ORDER BY CAST(split_part(version, '.', 1) AS BIGINT) DESC, CAST(split_part(version, '.', 2) AS BIGINT) DESC, ord) AS r FROM coordinates) SELECT grp, count(*) FILTER (r = 1) AS selected, count(*) FILTER (r > 1) AS retracted FROM s GROUP BY grp")
+def _(t):
+    v = facts.selected_versions(t("coordinates"))
+    return v.groupBy("grp").agg(F.count_if(F.col("decision") == "Selected").alias("selected"), F.count_if(F.col("decision") != "Selected").alias("retracted"))
+
+
+@query("a10_subtree_sums", """WITH RECURSIVE walk(src, node) AS (SELECT p_partkey, p_partkey FROM part UNION SELECT w.src, e.sub FROM walk w JOIN type_edges e ON e.sup = w.node)
+  SELECT w.src, CAST(sum(p.p_size) AS BIGINT) AS total FROM walk w JOIN part p ON p.p_partkey = w.node GROUP BY w.src""")
+def _(t):
+    down = t("type_edges").select(F.col("sup").alias("sub"), F.col("sub").alias("sup"))
+    c = graph.closure(t("part").select(F.col("p_partkey").alias("src")), down, 64)
+    return c.join(t("part").select(F.col("p_partkey").alias("node"), "p_size"), "node").groupBy("src").agg(F.sum("p_size").alias("total"))
+
+
+@query("d11_batch_check", f"""WITH {_CROSS}, whole AS (SELECT package FROM file_ctx GROUP BY package HAVING bool_and(clean)), sees AS (SELECT path, package FROM file_ctx UNION SELECT path, package FROM imports), bad AS (SELECT DISTINCT path FROM sees WHERE package NOT IN (SELECT package FROM whole)),
+  d AS (SELECT path, 'unresolved' AS code FROM usages u WHERE NOT EXISTS (SELECT 1 FROM found f WHERE f.path = u.path AND f.start_byte = u.start_byte) AND path NOT IN (SELECT path FROM bad)
+    UNION ALL SELECT u.path, 'call' FROM usages u JOIN symbols s USING (name) WHERE u.use_kind = 'Call' GROUP BY u.path, u.start_byte, u.name, u.n_args HAVING bool_and(s.kind = 'Function') AND NOT bool_or(u.n_args BETWEEN least(s.min_arity, s.max_arity) AND s.max_arity)
+    UNION ALL SELECT path, 'unused' FROM imports i WHERE NOT wildcard AND NOT EXISTS (SELECT 1 FROM usages u WHERE u.path = i.path AND u.name = coalesce(i.alias, i.name)))
+  SELECT code, count(*) AS n, count(DISTINCT path) AS files FROM d WHERE path IN (SELECT path FROM file_ctx WHERE clean) GROUP BY code""")
+def _(t):
+    return batch_check.summary(batch_check.diagnostics(t("usages"), t("file_ctx"), t("imports"), t("symbols"), DEFAULTS))
+
+
+@query("l3_coordinate_labels", "SELECT ord, concat(grp, ':', artifact, ':', version) AS label, concat(replace(grp, '.', '/'), '/', artifact, '/', version, '/', artifact, '-', version, '-sources.jar') AS path FROM coordinates")
+def _(t):
+    path = F.concat(F.replace(F.col("grp"), F.lit("."), F.lit("/")), F.lit("/"), "artifact", F.lit("/"), "version", F.lit("/"), "artifact", F.lit("-"), "version", F.lit("-sources.jar"))
+    return t("coordinates").select("ord", F.concat_ws(":", "grp", "artifact", "version").alias("label"), path.alias("path"))
+
+
+@query("l8_identifier_under_cursor", "SELECT conv_id, turn, concat(regexp_extract(substr(text, 1, 20), '[A-Za-z0-9_]*$'), regexp_extract(substr(text, 21), '^[A-Za-z0-9_]*')) AS word FROM conversations")
+def _(t):
+    return t("conversations").select("conv_id", "turn", F.concat(F.regexp_extract(F.substring("text", 1, 20), r"[A-Za-z0-9_]*\z", 0), F.regexp_extract(F.substring("text", 21, 1 << 30), "^[A-Za-z0-9_]*", 0)).alias("word"))
+
+
+@query("o5_candidate_packages", "SELECT f.path, string_agg(p, ',' ORDER BY r, p) AS packages FROM file_ctx f JOIN (SELECT path, p, min(r) AS r FROM (SELECT path, package AS p, 0 AS r FROM file_ctx UNION ALL SELECT path, package, ord FROM imports WHERE wildcard) GROUP BY path, p) x ON x.path = f.path GROUP BY f.path")
+def _(t):
+    star = t("imports").where("wildcard").groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "package"))), lambda x: x["package"]).alias("star"))
+    j = t("file_ctx").join(star, "path", "left")
+    return j.select("path", F.array_join(F.array_distinct(F.concat(F.array("package"), F.coalesce("star", F.array().cast("array<string>")))), ",").alias("packages"))
+
+
+@query("k6_revisions", "SELECT path, version, row_number() OVER (PARTITION BY path ORDER BY version) AS revision FROM documents_state")
+def _(t):
+    from pyspark.sql import Window
+
+    return t("documents_state").select("path", "version", F.row_number().over(Window.partitionBy("path").orderBy("version")).alias("revision"))

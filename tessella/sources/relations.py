@@ -54,6 +54,11 @@ RELATIONS = {
     "diags_b": "SELECT concat('File', user_id % 40, '.kt') AS path, event_id % 17 + CASE WHEN event_id % 29 = 0 THEN 1 ELSE 0 END AS line, event_id % 5 AS col, CASE WHEN event_type = 'error' THEN 'Error' ELSE 'Warning' END AS severity, concat('message of ', event_type) AS message FROM events WHERE event_id % 4 <> 0",
     "edits": "SELECT conv_id AS file, turn AS ord, 7 * turn AS start_byte, 7 * turn + length(text) % 11 AS end_byte, role AS new_text FROM conversations",
     "candidates": "SELECT DISTINCT concat('query', sid % 5) AS qid, name, package, kind, tier, container FROM symbols",
+    "qualified_uses": f"SELECT l_orderkey AS path, 10 * {_NTH} AS start_byte, p_brand AS qualifier, p_type AS outer_type, {_NAME} AS name, CASE WHEN l_returnflag = 'A' THEN 'Type' WHEN l_returnflag = 'N' THEN 'Call' ELSE 'Value' END AS use_kind FROM lineitem JOIN part ON l_partkey = p_partkey",
+    "members": f"SELECT p_partkey AS sid, CAST(floor(p_partkey / 4.0) AS BIGINT) + 1 AS owner, {_NAME} AS name, CASE WHEN p_partkey % 3 = 0 THEN 'Property' ELSE 'Function' END AS kind FROM part",
+    "params": "SELECT p_partkey AS sid, 0 AS pos, concat('T', p_size % 4) AS type FROM part UNION ALL SELECT p_partkey, 1, concat('T', (p_size + 1) % 4) FROM part WHERE p_size % 2 = 0",
+    "call_args": f"SELECT path, start_byte, name, pos, CASE WHEN code % 5 <> 0 THEN concat('T', code % 4) END AS type FROM (SELECT l_orderkey AS path, 10 * {_NTH} AS start_byte, {_NAME} AS name, 0 AS pos, l_suppkey AS code FROM lineitem JOIN part ON l_partkey = p_partkey UNION ALL SELECT l_orderkey, 10 * {_NTH}, {_NAME}, 1, l_suppkey + l_linenumber FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber % 2 = 0) a",
+    "positions": "SELECT o_custkey AS path, o_orderkey AS qid, 1000 + o_orderkey % 9000 AS place FROM orders",
     "documents_state": "SELECT user_id % 50 AS path, event_id AS version, ts, props AS text, event_type = 'error' AS closed FROM events",
 }
 
