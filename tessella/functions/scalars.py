@@ -66,3 +66,28 @@ def greatest_version(versions: Iterable[str]) -> str | None:
         if best is None or compare_versions(v, best) > 0:
             best = v
     return best
+
+
+def byte_of(text: Column, line: Column, col: Column) -> Column:
+    """Byte of a line and a character in it, both from 0; lines end at \\n, and their \\r does not count as content."""
+    lines = F.split(text, "\n")
+    before = F.slice(lines, F.lit(1), line)
+    start = F.aggregate(before, F.lit(0), lambda acc, x: acc + F.octet_length(x) + 1)
+    content = F.regexp_replace(F.get(lines, line), "\r$", "")
+    return start + F.octet_length(F.substring(content, F.lit(1), col))
+
+
+def map_found(status: Column, value: Column, fn) -> Column:
+    """Value of what was found through a function; null for what is absent or unknown."""
+    return F.when(status == "Found", fn(value))
+
+
+def decode_entities(text: Column) -> Column:
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(entity), F.lit(char))
+    return text
+
+
+def module_slug(name: Column) -> Column:
+    """Name of a module as part of a file name."""
+    return F.regexp_replace(F.regexp_replace(name, "[^A-Za-z0-9]+", "_"), "^_+|_+$", "")

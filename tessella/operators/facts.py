@@ -184,3 +184,15 @@ def selected_versions(coordinates: DataFrame) -> DataFrame:
     """Greatest version of each artifact, the first of equals (numeric parts)."""
     w = Window.partitionBy("grp", "artifact").orderBy(numeric_version().desc(), "ord")
     return coordinates.withColumn("r", F.row_number().over(w)).select("grp", "artifact", "version", "ord", F.when(F.col("r") == 1, "Selected").otherwise("ShadowedBy").alias("decision"))
+
+
+def applied_edits(texts: DataFrame, edits: DataFrame) -> DataFrame:
+    """Texts (``file``, ``text``) with their edits, by places in bytes; files with an edit out of bounds or overlapping ones have a null text."""
+    bad = overlapping_edits(edits).select("file").unionByName(edits.join(texts, "file").where(F.col("end_byte") > F.octet_length("text")).select("file")).distinct()
+    e = edits.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("start_byte", "end_byte", "ord", "new_text")), asc=False).alias("edits"))
+    start = lambda x: x["start_byte"].cast("int")
+    splice = lambda acc, x: F.concat(F.substring(acc, F.lit(1), start(x)), F.encode(x["new_text"], "UTF-8"), F.substring(acc, x["end_byte"].cast("int") + 1, F.octet_length(acc)))
+    done = F.aggregate("edits", F.encode("text", "UTF-8"), splice)
+    out = texts.join(e, "file", "left").join(bad.withColumn("bad", F.lit(True)), "file", "left")
+    text = F.when(F.col("edits").isNull(), F.col("text")).when(F.col("bad").isNull(), F.try_validate_utf8(done.cast("string")))
+    return out.select("file", text.alias("text"))
