@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker turns into token arrays at a time.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 # --------------------------------------------------------------------------
 # tables in the folder that driver and executors share
@@ -38,15 +38,24 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/tables/{tag}-{uuid.uuid4().hex}"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def save(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
     This cuts the lineage: what follows survives lost executors without
-    recomputing what came before.
+    recomputing what came before.  The shuffle files of the job go when its rows
+    are written, as nothing reads them again.
     """
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._tessella_path = path
     return out
@@ -219,20 +228,21 @@ def table_of(schema: pa.Schema, **cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) if not isinstance(cols[f.name], pa.Array) else cols[f.name].cast(f.type) for f in schema], schema=schema)
 
 
-def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
+def runs(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 1 << 17) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
     """Whole runs of equal keys from rows sorted by them: columns and the runs' bounds.
 
-    A run that the end of a batch cuts is kept and joined with what follows.
+    Runs come together, about ``rows`` rows at a time.  A run that the end of a batch cuts is kept and joined with what follows.
     """
     kept: list[pa.RecordBatch] = []
+    held = 0
     for batch in batches:
         if not batch.num_rows:
             continue
         kept.append(batch)
-        last = batch.num_rows - 1
-        ends = all(batch.column(k)[0].as_py() == batch.column(k)[last].as_py() for k in keys)
-        if ends and len(kept) > 1 and all(batch.column(k)[0].as_py() == kept[0].column(k)[kept[0].num_rows - 1].as_py() for k in keys):
+        held += batch.num_rows
+        if held < rows or all(kept[0].column(k)[0] == batch.column(k)[batch.num_rows - 1] for k in keys):
             continue
+        held = 0
         whole = pa.Table.from_batches(kept).combine_chunks().to_batches()[0]
         cols = {f.name: whole.column(i).to_numpy(zero_copy_only=False) for i, f in enumerate(whole.schema)}
         bounds = _bounds(cols, keys)
@@ -378,17 +388,12 @@ def filter_of(df: DataFrame, col: str) -> Filter:
     return Filter(words)
 
 
-def split_by(df: DataFrame, col: str, kept: Filter) -> DataFrame:
-    """Rows whose long column may be in the filter."""
-    sent = df.sparkSession.sparkContext.broadcast(kept)
-
-    def work(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            ids = batch.column(batch.schema.get_field_index(col))
-            ok = sent.value.has(ids.fill_null(0).to_numpy()) & ids.is_valid().to_numpy(zero_copy_only=False)
-            yield batch.filter(pa.array(ok))
-
-    return df.mapInArrow(work, df.schema)
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
 
 
 def mark_by(df: DataFrame, col: str, found: Filter, name: str) -> DataFrame:
@@ -412,10 +417,11 @@ def without(df: DataFrame, col: str, gone: DataFrame, gone_col: str) -> DataFram
     A filter of bounded size tells most rows that stay; only the others, whose
     texts may be long, are shuffled for the join that decides.
     """
-    gone = save(gone.select(F.col(gone_col).cast("long").alias("_gone")).distinct(), "gone")
+    key, hit = fresh(df, "_gone"), fresh(df, "_hit")
+    gone = save(gone.select(F.col(gone_col).cast("long").alias(key)).distinct(), "gone")
     if gone.isEmpty():
         return df
-    marked = mark_by(df, col, filter_of(gone, "_gone"), "_hit")
-    rest = marked.where("_hit").drop("_hit")
-    rest = rest.join(gone, rest[col].cast("long") == gone["_gone"], "left_anti")
-    return marked.where("not _hit").drop("_hit").unionByName(rest)
+    marked = mark_by(df, col, filter_of(gone, key), hit)
+    rest = marked.where(F.col(hit)).drop(hit)
+    rest = rest.join(gone, rest[col].cast("long") == gone[key], "left_anti")
+    return marked.where(~F.col(hit)).drop(hit).unionByName(rest)

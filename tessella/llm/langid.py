@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._core import SLICE_BYTES, Tokens, mix, strings, table_of, tokens_of
+from ._core import Tokens, mix, strings, table_of, tokens_of
 
 #: Rows of each language that the model is fitted on, about; and of all.
 SAMPLE_PER_LANGUAGE = 150
@@ -21,6 +21,8 @@ MOST_LANGUAGES = 64
 _TABLE = 1 << 16
 _GRAMS = (2, 3, 4)
 _CHUNK = 64
+#: Bytes of text at a time.
+SLICE = 1 << 20
 _SEQUENCE = 24
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
@@ -250,7 +252,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 def _labelled(batches: Iterator[pa.RecordBatch], text: str, model: Crf | None) -> Iterator[tuple[pa.RecordBatch, list[str], np.ndarray]]:
     """Rows with the label and the score of each."""
-    for batch, t in tokens_of(batches, text, SLICE_BYTES // 2):
+    for batch, t in tokens_of(batches, text, SLICE):
         total = np.zeros(len(t._data) + 1, np.int64)
         np.cumsum(_LETTER[t._data], out=total[1:])
         lettered = total[t._offs[1:]] > total[t._offs[:-1]]

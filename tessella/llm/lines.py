@@ -9,12 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._core import Tokens, filter_of, mark_by, mix, runs, save, table_of, tokens_of
+from ._core import Tokens, filter_of, fresh, mark_by, mix, runs, save, table_of, tokens_of
 
 #: Counters of the rarity table; its size does not depend on the data.
 COUNTERS = 1 << 18
 #: Earlier lines that each line is held against first, in each list of lines that share a token.
 LEADERS = 8
+#: Lists of up to so many lines are compared side by side.
+SHORT = 16
 
 
 def token_rarity(docs: DataFrame, text_col: str = "text") -> np.ndarray:
@@ -50,14 +52,17 @@ def line_sets(t: Tokens, rarity: np.ndarray | None) -> tuple[np.ndarray, np.ndar
     new = np.ones(len(h), bool)
     new[1:] = (t.doc[1:] != t.doc[:-1]) | (line[1:] != line[:-1])
     nth = np.cumsum(new) - 1
-    order = np.lexsort((h, nth))
+    rare = np.zeros(len(h), np.int64) if rarity is None else rarity[(h >> np.uint64(46)).astype(np.int64)]
+    # one number holds the order, unless numbers are too large or two tokens get the same one
+    number = nth.astype(np.uint64) << np.uint64(44)
+    number |= h >> np.uint64(20) if rarity is None else np.minimum(rare, (1 << 22) - 1).astype(np.uint64) << np.uint64(22) | h >> np.uint64(42)
+    order = np.argsort(number)
+    if len(h) and (nth[-1] >= 1 << 20 or rare.max() >= 1 << 22 or ((h[order][1:] != h[order][:-1]) & (number[order][1:] == number[order][:-1])).any()):
+        order = np.lexsort((h, rare, nth))
     h, nth = h[order], nth[order]
     once = np.ones(len(h), bool)
     once[1:] = (h[1:] != h[:-1]) | (nth[1:] != nth[:-1])
     h, nth = h[once], nth[once]
-    if rarity is not None:
-        order = np.lexsort((h, rarity[(h >> np.uint64(46)).astype(np.int64)], nth))
-        h = h[order]
     heads = np.flatnonzero(new)
     bounds = np.searchsorted(nth, np.arange(len(heads) + 1))
     total = np.append(np.uint64(0), np.cumsum(mix(h)))
@@ -71,8 +76,12 @@ def least_shared(n: np.ndarray, similar: float) -> np.ndarray:
 
 
 def _lines(docs: DataFrame, rarity, similar: float, words: int) -> DataFrame:
-    """``doc_id``, ``line``, ``again`` (an earlier line of the text has the set), ``sig``, ``n``, ``prefix`` of lines of enough tokens."""
-    schema = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("again", pa.bool_()), ("sig", pa.int64()), ("n", pa.int32()), ("prefix", pa.list_(pa.int32()))])
+    """``doc_id``, ``line``, ``again`` (an earlier line of the text has the set), ``sig``, ``n``, ``odd1``, ``odd2``, ``prefix`` of lines of enough tokens.
+
+    ``odd1`` and ``odd2`` are 128 bits; each token of the set flips one.  Two sets
+    differ in at least as many tokens as their bits do.
+    """
+    schema = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("again", pa.bool_()), ("sig", pa.int64()), ("n", pa.int32()), ("odd1", pa.int64()), ("odd2", pa.int64()), ("prefix", pa.list_(pa.int32()))])
     sent = docs.sparkSession.sparkContext.broadcast(rarity)
 
     def work(batches: Iterator[pa.RecordBatch]):
@@ -91,17 +100,29 @@ def _lines(docs: DataFrame, rarity, similar: float, words: int) -> DataFrame:
             pick = np.repeat(lo - ends[:-1], size) + np.arange(ends[-1])
             prefix = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array((h[pick] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)))
             ids = batch.column("doc_id").to_numpy()
-            yield table_of(schema, doc_id=ids[doc], line=line, again=again, sig=sig, n=n, prefix=prefix)
+            odd = [np.bitwise_xor.reduceat(np.where((h >> np.uint64(6)) & np.uint64(1) == k, np.uint64(1) << (h & np.uint64(63)), np.uint64(0)), bounds[:-1])[ok].view(np.int64) for k in (0, 1)]
+            yield table_of(schema, doc_id=ids[doc], line=line, again=again, sig=sig, n=n, odd1=odd[0], odd2=odd[1], prefix=prefix)
+
+    return docs.mapInArrow(work, "doc_id long, line int, again boolean, sig long, n int, odd1 long, odd2 long, prefix array<int>")
+
 
-    return docs.mapInArrow(work, "doc_id long, line int, again boolean, sig long, n int, prefix array<int>")
+_LIST = "late boolean, x long, y long, token int, doc_id long, line int, pos int, n int, odd1 long, odd2 long"
+_LIST_ARROW = pa.schema([("late", pa.bool_()), ("x", pa.int64()), ("y", pa.int64()), ("token", pa.int32()), ("doc_id", pa.int64()), ("line", pa.int32()), ("pos", pa.int32()), ("n", pa.int32()), ("odd1", pa.int64()), ("odd2", pa.int64())])
 
 
-_LIST = "late boolean, x long, y long, token int, doc_id long, line int, pos int, n int"
-_LIST_ARROW = pa.schema([("late", pa.bool_()), ("x", pa.int64()), ("y", pa.int64()), ("token", pa.int32()), ("doc_id", pa.int64()), ("line", pa.int32()), ("pos", pa.int32()), ("n", pa.int32())])
+def _may_match(c: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, similar: float) -> np.ndarray:
+    """Whether the length, positional and parity filters leave the pairs of rows."""
+    na, nb = c["n"][x].astype(np.int64), c["n"][y].astype(np.int64)
+    pa_, pb = c["pos"][x], c["pos"][y]
+    need = np.ceil(similar / (1 + similar) * (na + nb) - 1e-9)
+    ok = np.minimum(na, nb) >= np.ceil(similar * np.maximum(na, nb) - 1e-9)
+    ok &= np.minimum(pa_, pb) + np.minimum(na - pa_, nb - pb) >= need
+    apart = sum(np.bitwise_count((c[f][x] ^ c[f][y]).view(np.uint64)).astype(np.int64) for f in ("odd1", "odd2"))
+    return ok & (apart <= na + nb - 2 * need) & (c["sig"][x] != c["sig"][y])
 
 
 def _candidates(similar: float, leaders: int | None):
-    """Pairs (later, earlier) of lines in each token's list that the length and positional filters leave.
+    """Pairs (later, earlier) of lines in each token's list that the filters leave.
 
     With ``leaders``: the first so many of each line, and, of lists where there
     are more, all rows for another turn.  Without: the others, for lines marked
@@ -111,48 +132,60 @@ def _candidates(similar: float, leaders: int | None):
     def work(batches: Iterator[pa.RecordBatch]):
         for c, bounds in runs(batches, ["token"]):
             size = np.diff(bounds)
-            xs, ys = [], []
-            for k in np.flatnonzero(size > 1):
-                lo, hi = bounds[k], bounds[k + 1]
-                n, pos, sig = c["n"][lo:hi].astype(np.int64), c["pos"][lo:hi].astype(np.int64), c["sig"][lo:hi]
+            xs, ys, late = [], [], []
+            if leaders:
+                for n in range(2, SHORT + 1):
+                    lo = bounds[:-1][size == n]
+                    if not len(lo):
+                        continue
+                    more = np.zeros(len(lo), bool)
+                    for i in range(1, n):
+                        seen = np.zeros(len(lo), np.int64)
+                        for j in range(i):
+                            ok = _may_match(c, lo + i, lo + j, similar)
+                            seen += ok
+                            more |= seen > leaders
+                            ok &= seen <= leaders
+                            xs.append(c["sig"][lo[ok] + i])
+                            ys.append(c["sig"][lo[ok] + j])
+                    late += [np.arange(x, x + n) for x in lo[more].tolist()]
+            for k in np.flatnonzero(size > (SHORT if leaders else 1)):
+                lo, hi = int(bounds[k]), int(bounds[k + 1])
                 more = False
-                probes = np.arange(1, hi - lo) if leaders else np.flatnonzero(c["open"][lo:hi])
+                probes = np.arange(lo + 1, hi) if leaders else lo + np.flatnonzero(c["open"][lo:hi])
                 for s in range(0, len(probes), 256):
                     x = probes[s : s + 256]
                     seen = np.zeros(len(x), np.int64)
-                    for y0 in range(0, int(x[-1]), 2048):
+                    for y0 in range(lo, int(x[-1]), 2048):
                         y = np.arange(y0, min(y0 + 2048, int(x[-1])))
-                        na, nb = n[x, None], n[None, y]
-                        need = np.ceil(similar / (1 + similar) * (na + nb) - 1e-9)
-                        most = np.minimum(pos[x, None], pos[None, y]) + np.minimum(na - pos[x, None], nb - pos[None, y])
-                        ok = (np.minimum(na, nb) >= np.ceil(similar * np.maximum(na, nb) - 1e-9)) & (most >= need)
-                        ok &= (x[:, None] > y[None]) & (sig[x, None] != sig[None, y])
+                        ok = _may_match(c, x[:, None], y[None], similar) & (x[:, None] > y[None])
                         rank = seen[:, None] + np.cumsum(ok, axis=1)
                         seen = rank[:, -1]
                         ok &= rank <= leaders if leaders else rank > LEADERS
                         i, j = np.nonzero(ok)
-                        xs.append(sig[x[i]])
-                        ys.append(sig[y[j]])
+                        xs.append(c["sig"][x[i]])
+                        ys.append(c["sig"][y[j]])
                         if leaders and seen.min() > leaders:
                             break
                     more |= bool(leaders and (seen > leaders).any())
                 if more:
-                    m = hi - lo
-                    yield table_of(_LIST_ARROW, late=np.ones(m, bool), x=sig, y=sig, token=c["token"][lo:hi], doc_id=c["doc_id"][lo:hi], line=c["line"][lo:hi], pos=c["pos"][lo:hi], n=c["n"][lo:hi])
+                    late.append(np.arange(lo, hi))
+            if late:
+                at = np.concatenate(late)
+                yield table_of(_LIST_ARROW, late=np.ones(len(at), bool), x=c["sig"][at], y=c["sig"][at], **{f: c[f][at] for f in _LIST_ARROW.names[3:]})
             if xs and (m := sum(map(len, xs))):
                 zero = np.zeros(m, np.int32)
-                yield table_of(_LIST_ARROW, late=np.zeros(m, bool), x=np.concatenate(xs), y=np.concatenate(ys), token=zero, doc_id=zero, line=zero, pos=zero, n=zero)
+                yield table_of(_LIST_ARROW, late=np.zeros(m, bool), x=np.concatenate(xs), y=np.concatenate(ys), **{f: zero for f in _LIST_ARROW.names[3:]})
 
     return work
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, similar: float) -> DataFrame:
-    """``x`` of the pairs whose sets have a Jaccard similarity of ``similar`` or more."""
-    wanted = filter_of(pairs.select(F.explode(F.array("x", "y")).alias("s")), "s")
-    sent = docs.sparkSession.sparkContext.broadcast(wanted)
+def _sets(docs: DataFrame, sigs: DataFrame) -> DataFrame:
+    """``sig`` and ``set`` (array of long) of the lines whose hashes are among ``sigs``, and perhaps of a few others."""
+    sent = docs.sparkSession.sparkContext.broadcast(filter_of(sigs, "sig"))
     schema = pa.schema([("sig", pa.int64()), ("set", pa.list_(pa.int64()))])
 
-    def sets(batches: Iterator[pa.RecordBatch]):
+    def work(batches: Iterator[pa.RecordBatch]):
         done: set[int] = set()
         for _, t in tokens_of(batches, "text"):
             _, _, bounds, h, sig = line_sets(t, None)
@@ -167,10 +200,13 @@ def _verified(docs: DataFrame, pairs: DataFrame, similar: float) -> DataFrame:
                 pick = np.repeat(bounds[:-1][ok] - ends[:-1], size) + np.arange(ends[-1])
                 yield table_of(schema, sig=sig[ok], set=pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(h[pick].view(np.int64))))
 
-    known = docs.mapInArrow(sets, "sig long, set array<long>").groupBy("sig").agg(F.first("set").alias("set"))
-    known = save(known, "sets")
-    a = known.select(F.col("sig").alias("x"), F.col("set").alias("sx"))
-    b = known.select(F.col("sig").alias("y"), F.col("set").alias("sy"))
+    return save(docs.mapInArrow(work, "sig long, set array<long>").groupBy("sig").agg(F.first("set").alias("set")), "sets")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """``x`` of the pairs whose sets have a Jaccard similarity of ``similar`` or more."""
+    a = sets.select(F.col("sig").alias("x"), F.col("set").alias("sx"))
+    b = sets.select(F.col("sig").alias("y"), F.col("set").alias("sy"))
     both = pairs.join(a, "x").join(b, "y").select("x", "sx", "sy")
     out = pa.schema([("x", pa.int64())])
 
@@ -197,6 +233,18 @@ def _verified(docs: DataFrame, pairs: DataFrame, similar: float) -> DataFrame:
     return save(both.mapInArrow(check, "x long").distinct(), "matched")
 
 
+def _matched(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """Lines of the pairs (``x``, ``y``, ``n`` lists that both are in) that match any of theirs.
+
+    Each line is first held against the one that it shares most lists with;
+    only lines that do not match it are held against the others.
+    """
+    best = pairs.groupBy("x").agg(F.max_by("y", F.struct("n", "y")).alias("y"))
+    first = _verified(best, sets, similar)
+    rest = save(pairs.join(first, "x", "left_anti").join(best, ["x", "y"], "left_anti").select("x", "y"), "pairs")
+    return first if rest.isEmpty() else first.unionByName(_verified(rest, sets, similar))
+
+
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = 0.8, words: int = 5) -> DataFrame:
     """``doc_id`` and ``lines`` (array of int, from 0): the lines of each text that match an earlier line.
 
@@ -209,35 +257,39 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
     lines = save(_lines(docs, token_rarity(docs), similar, words), "lines")
-    firsts = lines.where("not again").groupBy("sig").agg(F.min(F.struct("doc_id", "line")).alias("p"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    firsts = save(firsts.select("sig", "p.doc_id", "p.line", "n", "prefix"), "firsts")
-    lists = firsts.select("sig", "doc_id", "line", "n", F.posexplode("prefix").alias("pos", "token"))
+    firsts = lines.where("not again").groupBy("sig").agg(F.min(F.struct("doc_id", "line")).alias("p"), *(F.first(c).alias(c) for c in ("n", "odd1", "odd2", "prefix")))
+    firsts = save(firsts.select("sig", "p.doc_id", "p.line", "n", "odd1", "odd2", "prefix"), "firsts")
+    lists = firsts.select("sig", "doc_id", "line", "n", "odd1", "odd2", F.posexplode("prefix").alias("pos", "token"))
     order = ["token", "doc_id", "line"]
     found = save(lists.repartition("token").sortWithinPartitions(*order).mapInArrow(_candidates(similar, LEADERS), _LIST), "candidates")
-    matched = _verified(docs, save(found.where("not late").select("x", "y").distinct(), "pairs"), similar)
-    late = found.where("late").select(F.col("x").alias("sig"), "token", "doc_id", "line", "pos", "n")
+    pairs = save(found.where("not late").groupBy("x", "y").agg(F.count("*").alias("n")), "pairs")
+    sets = _sets(docs, found.select(F.explode(F.array("x", "y")).alias("sig")).distinct())
+    matched = _matched(pairs, sets, similar)
+    late = found.where("late").select(F.col("x").alias("sig"), "token", "doc_id", "line", "pos", "n", "odd1", "odd2")
     if not late.isEmpty():
         # lines of long lists that matched none of their leaders
         done = matched.select(F.col("x").alias("done"))
         rest = late.join(done, late.sig == done.done, "left").withColumn("open", F.col("done").isNull()).drop("done")
         more = rest.repartition("token").sortWithinPartitions(*order).mapInArrow(_candidates(similar, None), _LIST)
-        pairs = save(more.select("x", "y").distinct(), "pairs")
+        pairs = save(more.groupBy("x", "y").agg(F.count("*").alias("n")), "pairs")
         if not pairs.isEmpty():
-            matched = matched.unionByName(_verified(docs, pairs, similar))
+            matched = matched.unionByName(_matched(pairs, sets, similar))
     kept = firsts.join(matched.select(F.col("x").alias("sig")), "sig", "left_anti").select("doc_id", "line")
     gone = lines.where("not again").select("doc_id", "line").join(kept, ["doc_id", "line"], "left_anti").unionByName(lines.where("again").select("doc_id", "line"))
     return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
 
 def drop_lines(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the lines of ``gone``, with ``removed_lines`` and ``n_lines`` (long) added.
+    """``docs`` without the lines of ``gone``, with ``removed_lines`` and ``n_lines`` (long) added, or replaced.
 
     Texts keep everything else, their line ends included.  Only texts that lose
     lines take part in the join.
     """
+    docs = docs.drop("removed_lines", "n_lines")
     schema = docs.schema
     names = schema.names
-    gone = save(gone.select(F.col("doc_id").alias("_id"), F.col("lines").alias("_lines")), "gone")
+    key, cuts, hit = fresh(docs, "_id"), fresh(docs, "_lines"), fresh(docs, "_hit")
+    gone = save(gone.select(F.col("doc_id").alias(key), F.col("lines").alias(cuts)), "gone")
     at = names.index(text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]):
@@ -255,10 +307,10 @@ def drop_lines(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_co
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(removed, pa.int64()), pa.array(count, pa.int64())], names=[*names, "removed_lines", "n_lines"])
 
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    marked = mark_by(docs, id_col, filter_of(gone, "_id"), "_hit")
-    plain = marked.where("not _hit").drop("_hit").withColumn("_lines", F.lit(None).cast("array<int>"))
-    joined = marked.where("_hit").drop("_hit")
-    joined = joined.join(gone, joined[id_col].cast("long") == gone["_id"], "left").drop("_id")
+    marked = mark_by(docs, id_col, filter_of(gone, key), hit)
+    plain = marked.where(~F.col(hit)).drop(hit).withColumn(cuts, F.lit(None).cast("array<int>"))
+    joined = marked.where(F.col(hit)).drop(hit)
+    joined = joined.join(gone, joined[id_col].cast("long") == gone[key], "left").drop(key)
     return plain.unionByName(joined).mapInArrow(cut, f"{out}, removed_lines long, n_lines long")
 
 

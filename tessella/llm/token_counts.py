@@ -28,6 +28,8 @@ N_STATES = 12
 HERE, BEFORE = 1, 2
 #: Characters of a chunk.
 CHUNK = 128
+#: Bytes of text at a time; lanes side by side need many.
+SLICE = 2 << 20
 
 
 def _pretokenizer() -> tuple[np.ndarray, np.ndarray]:
@@ -358,7 +360,7 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     def work(batches: Iterator[pa.RecordBatch]):
         c = counter(path)
-        for batch, data, offsets in slices(batches, "text"):
+        for batch, data, offsets in slices(batches, "text", SLICE):
             yield table_of(schema, doc_id=batch.column("doc_id"), n_bytes=np.diff(offsets), n_tokens=c.counts(data, offsets))
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
