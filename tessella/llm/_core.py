@@ -367,13 +367,13 @@ class Filter:
 def filter_of(df: DataFrame, col: str) -> Filter:
     """Filter of a long column; its size is bounded by FILTER_BITS, so it may be sent to every worker."""
     rows = df.select(F.col(col).cast("long").alias("x")).where("x is not null")
+    n = rows.count()
     bits = 1 << 16
-    while bits < FILTER_BITS and bits < 12 * rows.count():
-        bits *= 16
-    bits = min(bits, FILTER_BITS)
+    while bits < min(FILTER_BITS, 12 * n):
+        bits *= 2
     schema = pa.schema([("at", pa.int32()), ("word", pa.int64())])
 
-    def work(batches: Iterator[pa.RecordBatch]):
+    def fill(batches: Iterator[pa.RecordBatch]):
         words = np.zeros(bits // 64, np.uint64)
         for batch in batches:
             for at in Filter._places(batch.column("x").to_numpy(), bits):
@@ -382,7 +382,7 @@ def filter_of(df: DataFrame, col: str) -> Filter:
         if len(some):
             yield table_of(schema, at=some, word=words[some].view(np.int64))
 
-    got = rows.mapInArrow(work, "at int, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toPandas()
+    got = rows.mapInArrow(fill, "at int, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toPandas()
     words = np.zeros(bits // 64, np.uint64)
     words[got["at"].to_numpy(np.int64)] = got["word"].to_numpy(np.int64).view(np.uint64)
     return Filter(words)
@@ -396,6 +396,18 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def among(df: DataFrame, col: str, found: Filter) -> DataFrame:
+    """Rows whose long column may be in the filter; nothing is shuffled."""
+    sent = df.sparkSession.sparkContext.broadcast(found)
+    at = df.columns.index(col)
+
+    def work(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            yield batch.filter(pa.array(sent.value.has(batch.column(at).to_numpy())))
+
+    return df.mapInArrow(work, df.schema)
+
+
 def mark_by(df: DataFrame, col: str, found: Filter, name: str) -> DataFrame:
     """``df`` with a boolean that says whether the long column may be in the filter."""
     sent = df.sparkSession.sparkContext.broadcast(found)

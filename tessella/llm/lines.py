@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._core import Tokens, filter_of, fresh, mark_by, mix, runs, save, table_of, tokens_of
+from ._core import Tokens, among, filter_of, fresh, mark_by, mix, runs, save, table_of, tokens_of
 
 #: Counters of the rarity table; its size does not depend on the data.
 COUNTERS = 1 << 18
@@ -117,10 +117,16 @@ def _may_match(c: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, similar:
     need = np.ceil(similar / (1 + similar) * (na + nb) - 1e-9)
     ok = np.minimum(na, nb) >= np.ceil(similar * np.maximum(na, nb) - 1e-9)
     ok &= np.minimum(pa_, pb) + np.minimum(na - pa_, nb - pb) >= need
-    apart = sum(np.bitwise_count((c[f][x] ^ c[f][y]).view(np.uint64)).astype(np.int64) for f in ("odd1", "odd2"))
+    apart = sum(np.bitwise_count(c[f][x] ^ c[f][y]).astype(np.int64) for f in ("odd1", "odd2"))
     return ok & (apart <= na + nb - 2 * need) & (c["sig"][x] != c["sig"][y])
 
 
+def _loose(c: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, similar: float) -> np.ndarray:
+    """What the parity filter leaves, computed cheaply; nothing that may match is left out."""
+    apart = np.bitwise_count(c["odd1"][x] ^ c["odd1"][y]) + np.bitwise_count(c["odd2"][x] ^ c["odd2"][y])
+    return apart <= (c["size"][x] + c["size"][y]) * np.float32((1 - similar) / (1 + similar)) + np.float32(0.01)
+
+
 def _candidates(similar: float, leaders: int | None):
     """Pairs (later, earlier) of lines in each token's list that the filters leave.
 
@@ -132,6 +138,7 @@ def _candidates(similar: float, leaders: int | None):
     def work(batches: Iterator[pa.RecordBatch]):
         for c, bounds in runs(batches, ["token"]):
             size = np.diff(bounds)
+            c = c | {"odd1": c["odd1"].view(np.uint64), "odd2": c["odd2"].view(np.uint64), "size": c["n"].astype(np.float32)}
             xs, ys, late = [], [], []
             if leaders:
                 for n in range(2, SHORT + 1):
@@ -142,7 +149,9 @@ def _candidates(similar: float, leaders: int | None):
                     for i in range(1, n):
                         seen = np.zeros(len(lo), np.int64)
                         for j in range(i):
-                            ok = _may_match(c, lo + i, lo + j, similar)
+                            ok = _loose(c, lo + i, lo + j, similar)
+                            at = np.flatnonzero(ok)
+                            ok[at] = _may_match(c, lo[at] + i, lo[at] + j, similar)
                             seen += ok
                             more |= seen > leaders
                             ok &= seen <= leaders
@@ -158,13 +167,15 @@ def _candidates(similar: float, leaders: int | None):
                     seen = np.zeros(len(x), np.int64)
                     for y0 in range(lo, int(x[-1]), 2048):
                         y = np.arange(y0, min(y0 + 2048, int(x[-1])))
-                        ok = _may_match(c, x[:, None], y[None], similar) & (x[:, None] > y[None])
-                        rank = seen[:, None] + np.cumsum(ok, axis=1)
-                        seen = rank[:, -1]
-                        ok &= rank <= leaders if leaders else rank > LEADERS
-                        i, j = np.nonzero(ok)
-                        xs.append(c["sig"][x[i]])
-                        ys.append(c["sig"][y[j]])
+                        i, j = np.nonzero(_loose(c, x[:, None], y[None], similar) & (x[:, None] > y[None]))
+                        ok = _may_match(c, x[i], y[j], similar)
+                        i, j = i[ok], j[ok]
+                        count = np.bincount(i, minlength=len(x))
+                        rank = np.arange(1, len(i) + 1) - (np.cumsum(count) - count)[i] + seen[i]
+                        seen = seen + count
+                        ok = rank <= leaders if leaders else rank > LEADERS
+                        xs.append(c["sig"][x[i[ok]]])
+                        ys.append(c["sig"][y[j[ok]]])
                         if leaders and seen.min() > leaders:
                             break
                     more |= bool(leaders and (seen > leaders).any())
@@ -172,7 +183,7 @@ def _candidates(similar: float, leaders: int | None):
                     late.append(np.arange(lo, hi))
             if late:
                 at = np.concatenate(late)
-                yield table_of(_LIST_ARROW, late=np.ones(len(at), bool), x=c["sig"][at], y=c["sig"][at], **{f: c[f][at] for f in _LIST_ARROW.names[3:]})
+                yield table_of(_LIST_ARROW, late=np.ones(len(at), bool), x=c["sig"][at], y=c["sig"][at], **{f: c[f][at].view(np.int64) if f.startswith("odd") else c[f][at] for f in _LIST_ARROW.names[3:]})
             if xs and (m := sum(map(len, xs))):
                 zero = np.zeros(m, np.int32)
                 yield table_of(_LIST_ARROW, late=np.zeros(m, bool), x=np.concatenate(xs), y=np.concatenate(ys), **{f: zero for f in _LIST_ARROW.names[3:]})
@@ -205,8 +216,9 @@ def _sets(docs: DataFrame, sigs: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     """``x`` of the pairs whose sets have a Jaccard similarity of ``similar`` or more."""
-    a = sets.select(F.col("sig").alias("x"), F.col("set").alias("sx"))
-    b = sets.select(F.col("sig").alias("y"), F.col("set").alias("sy"))
+    # only the sets of these pairs are shuffled, on either side
+    a = among(sets, "sig", filter_of(pairs, "x")).select(F.col("sig").alias("x"), F.col("set").alias("sx"))
+    b = among(sets, "sig", filter_of(pairs, "y")).select(F.col("sig").alias("y"), F.col("set").alias("sy"))
     both = pairs.join(a, "x").join(b, "y").select("x", "sx", "sy")
     out = pa.schema([("x", pa.int64())])
 
@@ -239,7 +251,7 @@ def _matched(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     Each line is first held against the one that it shares most lists with;
     only lines that do not match it are held against the others.
     """
-    best = pairs.groupBy("x").agg(F.max_by("y", F.struct("n", "y")).alias("y"))
+    best = save(pairs.groupBy("x").agg(F.max_by("y", F.struct("n", "y")).alias("y")), "pairs")
     first = _verified(best, sets, similar)
     rest = save(pairs.join(first, "x", "left_anti").join(best, ["x", "y"], "left_anti").select("x", "y"), "pairs")
     return first if rest.isEmpty() else first.unionByName(_verified(rest, sets, similar))
