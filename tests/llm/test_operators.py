@@ -345,6 +345,42 @@ def test_passages(docs, texts, empty):
     assert passages.repeated_passages(empty).count() == 0
 
 
+@pytest.mark.parametrize("batch", [10_000, 2])
+def test_passages_of_frequent_phrases(spark, batch, monkeypatch):
+    rnd = random.Random(16)
+    noise = lambda n: [f"n{rnd.randrange(10**6)}" for _ in range(n)]
+    a, b, c = noise(17), noise(17), noise(17)
+    rows = [(i, noise(9) + (a, b, c)[i % 3] + noise(9)) for i in [0, 1] + list(range(10, 19)) + list(range(40, 49))]
+    rows += [(20, noise(7) + a + b + c + noise(30)), (50, noise(20) + a + b + c), (60, a + b + c), (61, a + b + c[:-2])]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = {tuple(r) for r in passages.repeated_passages(df).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {(50, 20, 20, 71, 7, 58, 51, 51), (60, 20, 0, 51, 7, 58, 51, 51)} <= got
+    assert {r[0] for r in got} <= {50, 60, 61}
+
+
+def test_exact_runs_are_whole(spark):
+    """Against brute force: every word of 20 equal words in a row that an earlier document has."""
+    rnd = random.Random(17)
+    phrases = [[f"w{rnd.randrange(60)}" for _ in range(rnd.randint(4, 9))] for _ in range(12)]
+    texts = [sum((rnd.choice(phrases) for _ in range(rnd.randint(1, 14))), []) for _ in range(150)]
+    first = {}
+    want = set()
+    for i, t in enumerate(texts):
+        for k in range(len(t) - 19):
+            j, _ = first.setdefault(tuple(t[k : k + 20]), (i, k))
+            want |= {(i, k + x) for x in range(20)} if j != i else set()
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    got = set()
+    for r in passages.exact_runs(df, 20).collect():
+        assert r.src < r.doc_id and texts[r.doc_id][r.pos : r.pos + r.n] == texts[r.src][r.src_pos : r.src_pos + r.n]
+        got |= {(r.doc_id, r.pos + x) for x in range(r.n)}
+    assert got == want and want
+
+
 def test_chain_is_best():
     rnd = random.Random(13)
     for _ in range(60):
