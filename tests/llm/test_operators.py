@@ -381,6 +381,26 @@ def test_exact_runs_are_whole(spark):
     assert got == want and want
 
 
+@pytest.mark.parametrize("n, every", [(60, 10), (60, 20), (55, 12), (100, 10)])
+def test_passages_with_changed_words(spark, n, every):
+    rnd = random.Random(n + every)
+    noise = lambda m: [f"n{rnd.randrange(10**6)}" for _ in range(m)]
+    base = [noise(n) for _ in range(20)]
+    change = lambda t, i: [w if (x + i) % every else "new" for x, w in enumerate(t)]
+    rows = [(i, noise(30) + t + noise(30)) for i, t in enumerate(base)] + [(100 + i, noise(10) + change(t, i) + noise(40)) for i, t in enumerate(base)]
+    rows += [(200, noise(10) + base[0][:30] + ["more"] * 3 + base[0][30:] + noise(10)), (300, noise(40) + base[1][:20] + noise(40))]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")
+    got = passages.repeated_passages(df).collect()
+    w = dict(rows)
+    assert {(100 + i, i) for i in range(20)} | {(200, 0)} <= {(r.doc_id, r.src) for r in got}
+    assert 300 not in {r.doc_id for r in got}
+    for r in got:
+        assert r.stop - r.start >= 50 and r.src_stop - r.src_start >= 50 and r.equal >= 0.8 * r.length
+        a, b = w[r.doc_id][r.start : r.stop], w[r.src][r.src_start : r.src_stop]
+        if len(a) == len(b) == r.length:
+            assert sum(x == y for x, y in zip(a, b)) == r.equal
+
+
 def test_chain_is_best():
     rnd = random.Random(13)
     for _ in range(60):
