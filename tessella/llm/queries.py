@@ -27,7 +27,7 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup(_read(spark, sf_dir, "documents"))
+    out = line_dedup(_read(spark, sf_dir, "documents"), words=1)
     return out.select("doc_id", "n_lines", "removed_lines", F.sha2("text", 256).alias("text_sha256"))
 
 

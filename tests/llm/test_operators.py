@@ -158,6 +158,21 @@ def test_lines(spark, texts, leaders, monkeypatch):
         assert out[i].text == w and out[i].removed_lines == len(want[i])
 
 
+def test_short_lines(spark, texts, tmp_path):
+    from tessella.llm.queries import op2_line_dedup
+
+    rnd = random.Random(18)
+    short = ["\n".join(" ".join(rnd.choice("abcdefg") for _ in range(rnd.randint(0, 6))) for _ in range(rnd.randint(1, 6))) for _ in range(80)]
+    all_ = texts + short + ["Read more", "menu\nRead  MORE"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(all_)], "doc_id long, text string").repartition(4)
+    want = brute_lines(all_, least=1)
+    assert 1 in want[len(all_) - 1]
+    assert {r.doc_id: set(r.lines) for r in lines.repeated_lines(df, words=1).collect()} == dict(want)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.removed_lines for r in op2_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {i: len(want[i]) for i in range(len(all_))}
+
+
 def test_lines_odd(docs, empty):
     assert lines.line_dedup(docs).count() == docs.count()
     assert lines.line_dedup(empty).count() == 0
