@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._core import Tokens, mix, strings, table_of, tokens_of
@@ -230,7 +230,8 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Fit on a sample of labelled rows that are not held out; None without any.
 
     The sample takes about ``per_language`` rows of each language by a hash of
-    their ids, at most SAMPLE rows and SAMPLE_BYTES of text; rows are whole.
+    their ids, at most SAMPLE rows and SAMPLE_BYTES of text, which the languages
+    share evenly; rows are whole.  Only the MOST_LANGUAGES most frequent are learned.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("id"))
     sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
@@ -240,7 +241,10 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     share = F.lit(0)
     for r in sizes:
         share = F.when(F.col("lang") == r["lang"], F.lit(min(1 << 30, int((1 << 30) * per_language / r["count"]) + 1))).otherwise(share)
-    kept = rows.where(h < share).select("lang", "text", h.alias("h")).orderBy("h", "text").limit(SAMPLE).toLocalIterator()
+    few = rows.where(h < share).select("lang", "text", h.alias("h"))
+    # languages take turns, so that the bounds leave each as many rows as the others
+    turn = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
+    kept = few.withColumn("turn", turn).orderBy("turn", "h", "text").limit(SAMPLE).toLocalIterator()
     texts, langs, size = [], [], 0
     for r in kept:
         if size + len(r["text"]) <= SAMPLE_BYTES:

@@ -259,6 +259,15 @@ def test_language_id(spark, docs, texts, empty):
     assert langid.keep_identified(docs, crf).columns == docs.columns
 
 
+def test_language_sample_has_every_language(spark, monkeypatch):
+    got = []
+    monkeypatch.setattr(langid, "fit", lambda texts, langs: got.extend(langs))
+    monkeypatch.setattr(langid, "SAMPLE", 40)
+    names = ["aa"] * 4000 + [f"l{i}" for i in range(9)] * 10
+    langid.learn(spark.createDataFrame([(i, f"text {i}", x) for i, x in enumerate(names)], "doc_id long, text string, lang string"))
+    assert len(got) == 40 and set(got) == set(names) and min(map(got.count, set(got))) >= 3
+
+
 def test_warc(spark):
     rnd = random.Random(8)
     html = ["<p>" + "x" * rnd.randint(0, 50) + "ü\r\n\r\nWARC/1.1\r\n</p>" for _ in range(30)] + ["", None, "a", "a"]
