@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,99 +76,96 @@ def drop(df: DataFrame) -> None:
 # ragged arrays of tokens over Arrow buffers
 # --------------------------------------------------------------------------
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+_U = np.uint64
+#: Masks of the first 0 to 8 bytes of a word.
+_HEAD = np.array([(1 << (8 * i)) - 1 for i in range(9)], np.uint64)
+_R = 0x5851F42D4C957F2D
 
 
 def mix(h: np.ndarray) -> np.ndarray:
     """Finalizer that spreads every input bit over 64 bits."""
-    h = h ^ (h >> np.uint64(33))
-    h = h * np.uint64(0xFF51AFD7ED558CCD)
-    h ^= h >> np.uint64(33)
-    h *= np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(33))
-
-
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_R = 0x5851F42D4C957F2D
-_RINV = pow(_R, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        out = np.full(max(n, 1), base, np.uint64)
-        out[0] = 1
-        have = np.cumprod(out, dtype=np.uint64)
-        if n <= 4 * SLICE_BYTES:
-            _powers[base] = have
-    return have[:n]
+    h = h ^ (h >> _U(33))
+    h = h * _U(0xFF51AFD7ED558CCD)
+    h ^= h >> _U(33)
+    h *= _U(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> _U(33))
 
 
 class Tokens:
-    """White-space tokens of a run of texts.
+    """White-space tokens of a run of texts, A-Z in lower case.
 
-    ``buf``: the texts' bytes, A-Z in lower case, every token followed by one
-    space.  ``start``/``end``: places of the tokens in ``buf``.  ``doc``: index
-    of each token's text.  ``first``: index of each text's first token, with the
-    number of tokens at the end.  ``src``/``src_end``: places of the tokens in
-    the text itself (bytes).
+    ``doc``: index of each token's text.  ``first``: index of each text's first
+    token, with the number of tokens at the end.  ``line_first``: the same for
+    all lines, which end at \\n; ``text_line``: index of each text's first line.
+    ``buf`` holds the tokens, every one followed by a space, and ``start``,
+    ``end`` their places there; these are made when they are first asked for.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, breaks: bytes = b""):
-        """breaks: bytes that always end a token's line; see ``line``."""
-        n_docs = len(offsets) - 1
-        base = int(offsets[0])
-        data = data[base : int(offsets[-1])]
-        offs = (offsets - base).astype(np.int64)
-        n = len(data)
-        low = _LOWER[data]
-        word = ~_SPACE[low]
-        edge = np.zeros(n + 1, bool)
-        edge[offs] = True
-        before = np.empty(n, bool)
-        before[:1] = False
-        before[1:] = word[:-1]
-        before[edge[:n]] = False
-        after = np.empty(n, bool)
-        after[-1:] = False
-        after[:-1] = word[1:]
-        after[edge[1:]] = False
-        src = np.flatnonzero(word & ~before)
-        src_end = np.flatnonzero(word & ~after) + 1
-        length = src_end - src
-        self.end = np.cumsum(length + 1) - 1
-        self.start = self.end - length
-        buf = np.full(int(self.end[-1]) + 1 if len(src) else 0, 32, np.uint8)
-        keep = np.ones(len(buf), bool)
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        self.n_docs = len(offsets) - 1
+        self._data, self._offs = data[int(offsets[0]) : int(offsets[-1])], (offsets - offsets[0]).astype(np.int64)
+        text = pa.Array.from_buffers(pa.large_string(), self.n_docs, [None, pa.py_buffer(self._offs), pa.py_buffer(self._data)])
+        lines = pc.split_pattern(pc.ascii_lower(text), "\n")
+        found = pc.ascii_split_whitespace(lines.flatten())
+        offs = _offsets(found.flatten())
+        self._bytes = np.frombuffer(found.flatten().buffers()[2] or b"", np.uint8)
+        size = np.diff(offs)
+        at = offs[:-1]
+        self.text_line = lines.offsets.to_numpy().astype(np.int64) - lines.offsets[0].as_py()
+        self.line_first = found.offsets.to_numpy().astype(np.int64) - found.offsets[0].as_py()
+        some = size > 0
+        if not some.all():  # white space at a line's ends makes empty strings
+            seen = np.zeros(len(size) + 1, np.int64)
+            np.cumsum(some, out=seen[1:])
+            self.line_first = seen[self.line_first]
+            at, size = at[some], size[some]
+        self._at, self._size = at, size
+        self.first = self.line_first[self.text_line]
+        self.doc = np.repeat(np.arange(self.n_docs), np.diff(self.first))
+        self._buf: np.ndarray | None = None
+
+    def _spread(self) -> None:
+        self.end = np.cumsum(self._size + 1) - 1
+        self.start = self.end - self._size
+        n = int(self.end[-1]) + 1 if len(self.end) else 0
+        out = np.full(n, 32, np.uint8)
+        keep = np.ones(n, bool)
         keep[self.end] = False
-        buf[keep] = low[word]
-        self.buf = buf
-        self.first = np.searchsorted(src, offs)
-        self.doc = np.repeat(np.arange(n_docs), np.diff(self.first))
-        self.src = src - offs[self.doc]
-        self.src_end = src_end - offs[self.doc]
-        self._at = src
-        self._data = data
-        self._offs = offs
-        self.n_docs = n_docs
+        if len(self._at):
+            out[keep] = self._bytes[int(self._at[0]) : int(self._at[-1] + self._size[-1])]
+        self._buf = out
+
+    @property
+    def buf(self) -> np.ndarray:
+        if self._buf is None:
+            self._spread()
+        return self._buf
+
+    def __getattr__(self, name: str):
+        if name in ("start", "end"):
+            self._spread()
+            return self.__dict__[name]
+        raise AttributeError(name)
 
     def hashes(self) -> np.ndarray:
         """64-bit hash of every token; equal tokens have equal hashes in every process."""
-        n = len(self.buf)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[self.buf] * _power(_R, n), out=total[1:])
-        h = (total[self.end] - total[self.start]) * _power(_RINV, n + 1)[self.start]
-        return mix(h + (self.end - self.start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        n = len(self._bytes)
+        held = np.zeros(n + 16, np.uint8)
+        held[:n] = self._bytes
+        words = np.ndarray((n + 8,), "<u8", held, 0, (1,))  # the eight bytes from each place on
+        size = self._size
+        h = words[self._at] & _HEAD[np.minimum(size, 8)]
+        h = mix(h + size.astype(np.uint64) * _U(0x9E3779B97F4A7C15))
+        more, done = np.flatnonzero(size > 8), 8
+        while len(more):
+            left = size[more] - done
+            h[more] = mix(h[more] * _U(0x9E3779B97F4A7C15) + (words[self._at[more] + done] & _HEAD[np.minimum(left, 8)]))
+            more, done = more[left > 8], done + 8
+        return h
+
 
-    def lines(self) -> np.ndarray:
-        """Number of the line of each token in its text; lines end at \\n."""
-        nl = np.zeros(len(self._data) + 1, np.int64)
-        np.cumsum(self._data == 10, out=nl[1:])
-        return nl[self._at] - nl[self._offs[self.doc]]
+def _offsets(arr: pa.Array) -> np.ndarray:
+    return np.frombuffer(arr.buffers()[1], np.int64)[arr.offset : arr.offset + len(arr) + 1] if len(arr) else np.zeros(1, np.int64)
 
 
 def shingles(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -176,7 +175,7 @@ def shingles(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.n
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(first), np.int64)
     out = np.zeros(n - k + 1, np.uint64)
     for j in range(k):
-        out = out * np.uint64(_R) + h[j : n - k + 1 + j]
+        out = out * _U(_R) + h[j : n - k + 1 + j]
     ok = np.ones(n - k + 1, bool)
     for j in range(1, k):
         cut = first[1:-1] - j
@@ -201,7 +200,7 @@ def strings(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if arr.null_count:
         arr = arr.fill_null("")
     bufs = arr.buffers()
-    offsets = np.frombuffer(bufs[1], np.int64)[arr.offset : arr.offset + len(arr) + 1] if len(arr) else np.zeros(1, np.int64)
+    offsets = _offsets(arr)
     data = np.frombuffer(bufs[2], np.uint8) if bufs[2] is not None else np.zeros(0, np.uint8)
     return data, offsets
 
@@ -224,6 +223,60 @@ def tokens_of(batches: Iterator[pa.RecordBatch], text: str, size: int = SLICE_BY
         yield batch, Tokens(data, offsets)
 
 
+def tidy(work):
+    """``work`` for ``mapInArrow`` that gives its memory back when a task's rows end.
+
+    Workers live on between tasks; what they keep adds up beside the other
+    workers of their executor.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        try:
+            yield from work(batches)
+        finally:
+            release()
+
+    return run
+
+
+def release() -> None:
+    """Return unused memory of this process to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def pieces(batches: Iterator[pa.RecordBatch], text: str, size: int = SLICE_BYTES, breaks: bytes = b"\n"):
+    """Like :func:`slices`, but texts over ``size`` come in pieces of about that size, which end after one of ``breaks``.
+
+    Yields (record batch, bytes, offsets, nth piece of its text, whether it is
+    the text's last).  Texts of up to ``size`` bytes come together, whole.
+    """
+    stop = np.zeros(256, bool)
+    stop[list(breaks)] = True
+    for batch, data, offsets in slices(batches, text, size):
+        lo, hi = int(offsets[0]), int(offsets[-1])
+        if hi - lo <= size:
+            yield batch, data, offsets, 0, True
+            continue
+        nth = 0
+        while True:
+            end, near = lo + size, size
+            while end < hi:
+                at = np.flatnonzero(stop[data[end : min(end + near, hi)]])
+                if len(at):
+                    end += int(at[0]) + 1
+                    break
+                end, near = end + near, 2 * near
+            end = min(end, hi)
+            yield batch, data, np.array([lo, end], np.int64), nth, end == hi
+            if end == hi:
+                break
+            lo, nth = end, nth + 1
+
+
 def table_of(schema: pa.Schema, **cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) if not isinstance(cols[f.name], pa.Array) else cols[f.name].cast(f.type) for f in schema], schema=schema)
 
@@ -339,8 +392,12 @@ def spanning(links, n: int) -> np.ndarray:
 # tables of bounded size that every worker gets
 # --------------------------------------------------------------------------
 
-#: Most bits of a filter: 2 MB, whatever the number of values.
-FILTER_BITS = 1 << 24
+#: Most bits of a filter: 8 MB, whatever the number of values.
+FILTER_BITS = 1 << 26
+
+
+#: Bits of the parts that a filter is gathered in.
+FILTER_PART = 1 << 16
 
 
 class Filter:
@@ -368,24 +425,33 @@ def filter_of(df: DataFrame, col: str) -> Filter:
     """Filter of a long column; its size is bounded by FILTER_BITS, so it may be sent to every worker."""
     rows = df.select(F.col(col).cast("long").alias("x")).where("x is not null")
     n = rows.count()
-    bits = 1 << 16
+    bits = FILTER_PART
     while bits < min(FILTER_BITS, 12 * n):
         bits *= 2
-    schema = pa.schema([("at", pa.int32()), ("word", pa.int64())])
+    parts = bits // FILTER_PART
 
     def fill(batches: Iterator[pa.RecordBatch]):
         words = np.zeros(bits // 64, np.uint64)
         for batch in batches:
             for at in Filter._places(batch.column("x").to_numpy(), bits):
                 np.bitwise_or.at(words, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
-        some = np.flatnonzero(words)
-        if len(some):
-            yield table_of(schema, at=some, word=words[some].view(np.int64))
+        for k, part in enumerate(words.reshape(parts, -1)):
+            some = np.flatnonzero(part)
+            if len(some):
+                yield pa.RecordBatch.from_pydict({"part": pa.array([k], pa.int32()), "at": [some.astype(np.uint32).tobytes()], "word": [part[some].tobytes()]})
+
+    def merge(batches: Iterator[pa.RecordBatch]):
+        for rows in runs_of_keys(batches, ["part"]):
+            words = np.zeros(FILTER_PART // 64, np.uint64)
+            for at, word in zip(rows.column("at").to_pylist(), rows.column("word").to_pylist()):
+                words[np.frombuffer(at, np.uint32)] |= np.frombuffer(word, np.uint64)
+            yield pa.RecordBatch.from_pydict({"part": rows.column("part")[:1].combine_chunks(), "word": [words.tobytes()]})
 
-    got = rows.mapInArrow(fill, "at int, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toPandas()
-    words = np.zeros(bits // 64, np.uint64)
-    words[got["at"].to_numpy(np.int64)] = got["word"].to_numpy(np.int64).view(np.uint64)
-    return Filter(words)
+    filled = rows.mapInArrow(tidy(fill), "part int, at binary, word binary").repartition("part").sortWithinPartitions("part")
+    words = np.zeros((parts, FILTER_PART // 64), np.uint64)
+    for r in filled.mapInArrow(tidy(merge), "part int, word binary").collect():  # bits in all
+        words[r["part"]] = np.frombuffer(r["word"], np.uint64)
+    return Filter(words.ravel())
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -396,31 +462,24 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def among(df: DataFrame, col: str, found: Filter) -> DataFrame:
-    """Rows whose long column may be in the filter; nothing is shuffled."""
-    sent = df.sparkSession.sparkContext.broadcast(found)
-    at = df.columns.index(col)
-
-    def work(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            yield batch.filter(pa.array(sent.value.has(batch.column(at).to_numpy())))
+def mark_by(df: DataFrame, col: str, found: Filter, name: str) -> DataFrame:
+    """``df`` with a boolean that says whether the long column may be in the filter.
 
-    return df.mapInArrow(work, df.schema)
+    Only that column goes to a Python worker.
+    """
+    sent = df.sparkSession.sparkContext.broadcast(found)
 
+    @F.arrow_udf("boolean")
+    def hit(ids: pa.Array) -> pa.Array:
+        return pa.array(sent.value.has(ids.fill_null(0).to_numpy()) & ids.is_valid().to_numpy(zero_copy_only=False))
 
-def mark_by(df: DataFrame, col: str, found: Filter, name: str) -> DataFrame:
-    """``df`` with a boolean that says whether the long column may be in the filter."""
-    sent = df.sparkSession.sparkContext.broadcast(found)
-    names = df.schema.names
-    at = names.index(col)
+    return df.withColumn(name, hit(F.col(col).cast("long")))
 
-    def work(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            ids = batch.column(at).cast(pa.int64())
-            hit = sent.value.has(ids.fill_null(0).to_numpy()) & ids.is_valid().to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hit)], names=[*names, name])
 
-    return df.mapInArrow(work, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{name}` boolean")
+def among(df: DataFrame, col: str, found: Filter) -> DataFrame:
+    """Rows whose long column may be in the filter; nothing is shuffled."""
+    hit = fresh(df, "_among")
+    return mark_by(df, col, found, hit).where(F.col(hit)).drop(hit)
 
 
 def without(df: DataFrame, col: str, gone: DataFrame, gone_col: str) -> DataFrame:

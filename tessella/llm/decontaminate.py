@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._core import Tokens, save, shingles, strings, table_of, tokens_of, without
+from ._core import Tokens, save, shingles, strings, table_of, tidy, tokens_of, without
 
 #: Benchmark items of a block; each block is one pass over the documents.
 ITEMS = 20_000
@@ -176,7 +176,7 @@ def contaminated(
                 if rows:
                     yield table_of(schema, **dict(zip(schema.names, map(list, zip(*rows)))))
 
-        return rows.mapInArrow(work, sql)
+        return rows.mapInArrow(tidy(work), sql)
 
     out = None
     for k in range(blocks):

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._core import components, runs_of_keys, save, spanning, table_of
+from ._core import components, runs_of_keys, save, spanning, table_of, tidy
 
 #: Distinct vectors of a block; a task holds two blocks.
 BLOCK = 8192
@@ -56,7 +56,7 @@ def embedding_groups(
         )
     )
     keys = ["d", "i", "j"]
-    found = save(dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_tile_worker(threshold), "rep long, links long, root long"), "tiles")
+    found = save(dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(tidy(_tile_worker(threshold)), "rep long, links long, root long"), "tiles")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = components(found.where("root < rep").select(F.col("rep").alias("v"), F.col("root").alias("p")))
     known = distinct.join(links, "rep", "left").join(roots, distinct.rep == roots.v, "left")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._core import Tokens, mix, shingles, strings, table_of, tokens_of
+from ._core import Tokens, mix, shingles, strings, table_of, tidy, tokens_of
 
 # Notices as their authors publish them (public texts).
 TEMPLATES = {
@@ -127,4 +127,4 @@ def find_licenses(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TE
                 yield table_of(schema, **dict(zip(schema.names, map(list, zip(*rows)))))
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(work, "doc_id long, license string, containment double, start int, stop int")
+    return rows.mapInArrow(tidy(work), "doc_id long, license string, containment double, start int, stop int")

@@ -9,65 +9,95 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._core import Tokens, among, filter_of, fresh, mark_by, mix, runs, save, table_of, tokens_of
+from ._core import SLICE_BYTES, Tokens, among, drop, filter_of, fresh, mark_by, mix, pieces, runs_of_keys, save, table_of, tidy
 
 #: Counters of the rarity table; its size does not depend on the data.
-COUNTERS = 1 << 18
-#: Earlier lines that each line is held against first, in each list of lines that share a token.
-LEADERS = 8
-#: Lists of up to so many lines are compared side by side.
-SHORT = 16
+COUNTERS = 1 << 20
+_PART = 1 << 14
+#: Rows of token lists in a bucket, about; a task holds one bucket.
+BUCKET_ROWS = 200_000
+#: Longer lists of lines that share a token are dealt out again as pairs of parts.
+MOST = 8_192
+#: Rows of token lists that a worker gathers before it sends them on.
+HELD_ROWS = 400_000
+#: Candidate pairs that are looked at side by side.
+STEP = 1 << 19
 
 
-def token_rarity(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """Occurrences of tokens over all texts, by a hash of the token into COUNTERS counters.
+def _counter(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(44)).astype(np.int64)
 
-    Tokens that share a counter count together.  The table only orders tokens,
-    and any order that all lines share gives the same pairs.
-    """
-    schema = pa.schema([("at", pa.int32()), ("n", pa.int64())])
 
-    def work(batches: Iterator[pa.RecordBatch]):
-        total = np.zeros(COUNTERS, np.int64)
-        for _, t in tokens_of(batches, "text"):
-            total += np.bincount((t.hashes() >> np.uint64(46)).astype(np.int64), minlength=COUNTERS)
-        some = np.flatnonzero(total)
-        if len(some):
-            yield table_of(schema, at=some, n=total[some])
-
-    rows = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(work, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(COUNTERS, np.int64)
-    out[rows["at"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
-    return out
+def token_rarity(docs: DataFrame, text_col: str = "text", similar: float = 0.8) -> tuple[np.ndarray, int]:
+    """Occurrences of tokens over all texts, and how many rows the token lists will have at most.
 
+    Tokens are counted by a hash into COUNTERS counters; those that share a
+    counter count together.  The table only orders tokens, any order that all
+    lines share gives the same pairs, and a token that is alone in its counter
+    and occurs once is in one line only.
+    """
 
-def line_sets(t: Tokens, rarity: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sets of tokens of all lines that have any: text and line of each, its set's bounds in the tokens, the tokens and the sets' hashes.
+    def work(batches: Iterator[pa.RecordBatch]):
+        total = np.zeros(COUNTERS, np.uint32)
+        rows = 0
+        for _, data, offsets, _, _ in pieces(batches, "text"):
+            t = Tokens(data, offsets)
+            total += np.bincount(_counter(t.hashes()), minlength=COUNTERS).astype(np.uint32)
+            n = np.diff(t.line_first)
+            rows += int((n - least_shared(n, similar) + 1)[n > 0].sum())
+        for k, part in enumerate(total.reshape(-1, _PART)):
+            some = np.flatnonzero(part)
+            if len(some):
+                yield pa.RecordBatch.from_pydict({"part": pa.array([k], pa.int32()), "at": [some.astype(np.uint16).tobytes()], "n": [part[some].tobytes()], "rows": pa.array([0], pa.int64())})
+        yield pa.RecordBatch.from_pydict({"part": pa.array([-1], pa.int32()), "at": [b""], "n": [b""], "rows": pa.array([rows], pa.int64())})
+
+    def merge(batches: Iterator[pa.RecordBatch]):
+        for found in runs_of_keys(batches, ["part"]):
+            total = np.zeros(_PART, np.uint64)
+            for at, n in zip(found.column("at").to_pylist(), found.column("n").to_pylist()):
+                total[np.frombuffer(at, np.uint16)] += np.frombuffer(n, np.uint32)
+            yield pa.RecordBatch.from_pydict({"part": found.column("part")[:1].combine_chunks(), "n": [np.minimum(total, (1 << 32) - 1).astype(np.uint32).tobytes()], "rows": pa.array([sum(found.column("rows").to_pylist())], pa.int64())})
+
+    counted = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(work), "part int, at binary, n binary, rows long")
+    out, rows = np.zeros((COUNTERS // _PART, _PART), np.uint32), 0
+    for r in counted.repartition("part").sortWithinPartitions("part").mapInArrow(tidy(merge), "part int, n binary, rows long").collect():  # one row for each part
+        rows += r["rows"]
+        if r["part"] >= 0:
+            out[r["part"]] = np.frombuffer(r["n"], np.uint32)
+    return out.ravel(), rows
+
+
+def line_sets(t: Tokens, rarity: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sets of tokens of all lines that have any: number of each line, its set's bounds in the tokens, the tokens and the sets' hashes.
 
     Tokens are ordered by rarity, the rarest first, and equally rare ones by
     their hash; without ``rarity`` by the hash alone.
     """
-    h = t.hashes()
-    line = t.lines()
-    new = np.ones(len(h), bool)
-    new[1:] = (t.doc[1:] != t.doc[:-1]) | (line[1:] != line[:-1])
-    nth = np.cumsum(new) - 1
-    rare = np.zeros(len(h), np.int64) if rarity is None else rarity[(h >> np.uint64(46)).astype(np.int64)]
+    size = np.diff(t.line_first)
+    line = np.flatnonzero(size)
+    h, nth = t.hashes(), np.repeat(np.arange(len(line), dtype=np.uint64), size[line])
     # one number holds the order, unless numbers are too large or two tokens get the same one
-    number = nth.astype(np.uint64) << np.uint64(44)
-    number |= h >> np.uint64(20) if rarity is None else np.minimum(rare, (1 << 22) - 1).astype(np.uint64) << np.uint64(22) | h >> np.uint64(42)
+    number = nth << np.uint64(44)
+    if rarity is None:
+        number |= h & np.uint64((1 << 44) - 1)
+    else:
+        number |= np.minimum(rarity[_counter(h)], (1 << 22) - 1).astype(np.uint64) << np.uint64(22) | h & np.uint64((1 << 22) - 1)
     order = np.argsort(number)
-    if len(h) and (nth[-1] >= 1 << 20 or rare.max() >= 1 << 22 or ((h[order][1:] != h[order][:-1]) & (number[order][1:] == number[order][:-1])).any()):
+    number, h = number[order], h[order]
+    same = number[1:] == number[:-1]
+    if len(line) >= 1 << 20 or (same & (h[1:] != h[:-1])).any():
+        h = t.hashes()
+        rare = h if rarity is None else rarity[_counter(h)]
         order = np.lexsort((h, rare, nth))
-    h, nth = h[order], nth[order]
-    once = np.ones(len(h), bool)
-    once[1:] = (h[1:] != h[:-1]) | (nth[1:] != nth[:-1])
+        h = h[order]
+        same = (h[1:] == h[:-1]) & (nth[order][1:] == nth[order][:-1])
+    # texts keep their place in the order, so the lines' numbers are those from before it
+    once = np.append(True, ~same) if len(h) else np.zeros(0, bool)
     h, nth = h[once], nth[once]
-    heads = np.flatnonzero(new)
-    bounds = np.searchsorted(nth, np.arange(len(heads) + 1))
+    bounds = np.append(0, np.cumsum(np.bincount(nth.astype(np.int64), minlength=len(line))))
     total = np.append(np.uint64(0), np.cumsum(mix(h)))
     sig = mix(total[bounds[1:]] - total[bounds[:-1]] + np.diff(bounds).astype(np.uint64)).view(np.int64)
-    return t.doc[heads], line[heads], bounds, h, sig
+    return line, bounds, h, sig
 
 
 def least_shared(n: np.ndarray, similar: float) -> np.ndarray:
@@ -75,152 +105,331 @@ def least_shared(n: np.ndarray, similar: float) -> np.ndarray:
     return np.ceil(n * similar - 1e-9).astype(np.int64)
 
 
-def _lines(docs: DataFrame, rarity, similar: float, words: int) -> DataFrame:
-    """``doc_id``, ``line``, ``again`` (an earlier line of the text has the set), ``sig``, ``n``, ``odd1``, ``odd2``, ``prefix`` of lines of enough tokens.
+#: A line in the list of a token: its place (document, line), the set's hash, its size, the token's rank in it and the set's parity.
+#: The parity is 128 bits; each token flips one.  Two sets differ in at least as many tokens as their bits do.
+ROW = np.dtype([("token", "<u4"), ("n", "<u4"), ("pos", "<u4"), ("line", "<u4"), ("doc", "<i8"), ("sig", "<i8"), ("odd1", "<u8"), ("odd2", "<u8")])
+PLACE = np.dtype([("doc", "<i8"), ("line", "<u4")])
+GONE, LISTS = 0, 1
+
+
+def _blobs(bucket: np.ndarray, rows: np.ndarray, kind: int) -> Iterator[pa.RecordBatch]:
+    """Rows packed into one value for each bucket."""
+    order = np.argsort(bucket, kind="stable")
+    bucket, rows = bucket[order], rows[order]
+    at = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(rows) else np.zeros(0, np.int64)
+    for i in range(0, len(at), 256):
+        lo = at[i : i + 256]
+        ends = np.append(lo, at[i + 256] if i + 256 < len(at) else len(rows))
+        data = rows[ends[0] : ends[-1]]
+        packed = pa.Array.from_buffers(pa.binary(), len(lo), [None, pa.py_buffer(((ends - ends[0]) * rows.itemsize).astype(np.int32)), pa.py_buffer(data.tobytes())])
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[lo].astype(np.int32)), pa.array(np.full(len(lo), kind, np.int8)), packed], names=["bucket", "kind", "rows"])
 
-    ``odd1`` and ``odd2`` are 128 bits; each token of the set flips one.  Two sets
-    differ in at least as many tokens as their bits do.
+
+def _list_rows(docs: DataFrame, rarity: np.ndarray, similar: float, words: int, buckets: int) -> DataFrame:
+    """``bucket``, ``kind``, ``rows``: packed rows of the token lists (LISTS), and places of lines that repeat another line's set (GONE).
+
+    A worker sends each set that it gathers once, with its first place.
     """
-    schema = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("again", pa.bool_()), ("sig", pa.int64()), ("n", pa.int32()), ("odd1", pa.int64()), ("odd2", pa.int64()), ("prefix", pa.list_(pa.int32()))])
     sent = docs.sparkSession.sparkContext.broadcast(rarity)
+    many = np.uint64(buckets)
+
+    def send(held: list[tuple[np.ndarray, ...]]):
+        doc, line, sig, n, odd1, odd2 = (np.concatenate([x[i] for x in held]) for i in range(6))
+        size = np.concatenate([x[6] for x in held])
+        tokens = np.concatenate([x[7] for x in held])
+        solo = np.concatenate([x[8] for x in held])
+        order = np.lexsort((line, doc, sig))
+        again = np.zeros(len(sig), bool)
+        again[order[1:]] = sig[order][1:] == sig[order][:-1]
+        gone = np.empty(int(again.sum()), PLACE)
+        gone["doc"], gone["line"] = doc[again], line[again]
+        yield from _blobs((np.arange(len(gone)) // 65536 + int(sig[0]) % 64).astype(np.uint32) % np.uint32(buckets), gone, GONE)
+        owner = np.repeat(np.arange(len(sig)), size)
+        pos = (np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)).astype(np.uint32)
+        keep = np.flatnonzero(~again[owner] & ~solo)
+        owner = owner[keep]
+        rows = np.empty(len(keep), ROW)
+        rows["token"], rows["pos"] = tokens[keep], pos[keep]
+        for f, x in (("n", n), ("line", line), ("doc", doc), ("sig", sig), ("odd1", odd1), ("odd2", odd2)):
+            rows[f] = x[owner]
+        bucket = mix(rows["token"].astype(np.uint64)) % many
+        yield from _blobs(bucket.astype(np.uint16 if buckets <= 1 << 16 else np.uint32), rows, LISTS)
 
     def work(batches: Iterator[pa.RecordBatch]):
-        for batch, t in tokens_of(batches, "text"):
-            doc, line, bounds, h, sig = line_sets(t, sent.value)
+        held, count, lines_before = [], 0, 0
+        for batch, data, offsets, piece, last in pieces(batches, "text", SLICE_BYTES):
+            t = Tokens(data, offsets)
+            if piece == 0:
+                lines_before = 0
+            line, bounds, h, sig = line_sets(t, sent.value)
             n = np.diff(bounds)
             ok = np.flatnonzero(n >= words)
-            if not len(ok):
-                continue
-            doc, line, sig, lo, n = doc[ok], line[ok], sig[ok], bounds[:-1][ok], n[ok]
-            order = np.lexsort((line, sig, doc))
-            again = np.zeros(len(ok), bool)
-            again[order[1:]] = (doc[order][1:] == doc[order][:-1]) & (sig[order][1:] == sig[order][:-1])
-            size = n - least_shared(n, similar) + 1
-            ends = np.append(0, np.cumsum(size))
-            pick = np.repeat(lo - ends[:-1], size) + np.arange(ends[-1])
-            prefix = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array((h[pick] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)))
-            ids = batch.column("doc_id").to_numpy()
-            odd = [np.bitwise_xor.reduceat(np.where((h >> np.uint64(6)) & np.uint64(1) == k, np.uint64(1) << (h & np.uint64(63)), np.uint64(0)), bounds[:-1])[ok].view(np.int64) for k in (0, 1)]
-            yield table_of(schema, doc_id=ids[doc], line=line, again=again, sig=sig, n=n, odd1=odd[0], odd2=odd[1], prefix=prefix)
-
-    return docs.mapInArrow(work, "doc_id long, line int, again boolean, sig long, n int, odd1 long, odd2 long, prefix array<int>")
-
-
-_LIST = "late boolean, x long, y long, token int, doc_id long, line int, pos int, n int, odd1 long, odd2 long"
-_LIST_ARROW = pa.schema([("late", pa.bool_()), ("x", pa.int64()), ("y", pa.int64()), ("token", pa.int32()), ("doc_id", pa.int64()), ("line", pa.int32()), ("pos", pa.int32()), ("n", pa.int32()), ("odd1", pa.int64()), ("odd2", pa.int64())])
-
-
-def _may_match(c: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, similar: float) -> np.ndarray:
-    """Whether the length, positional and parity filters leave the pairs of rows."""
-    na, nb = c["n"][x].astype(np.int64), c["n"][y].astype(np.int64)
-    pa_, pb = c["pos"][x], c["pos"][y]
-    need = np.ceil(similar / (1 + similar) * (na + nb) - 1e-9)
-    ok = np.minimum(na, nb) >= np.ceil(similar * np.maximum(na, nb) - 1e-9)
-    ok &= np.minimum(pa_, pb) + np.minimum(na - pa_, nb - pb) >= need
-    apart = sum(np.bitwise_count(c[f][x] ^ c[f][y]).astype(np.int64) for f in ("odd1", "odd2"))
-    return ok & (apart <= na + nb - 2 * need) & (c["sig"][x] != c["sig"][y])
-
-
-def _loose(c: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, similar: float) -> np.ndarray:
-    """What the parity filter leaves, computed cheaply; nothing that may match is left out."""
-    apart = np.bitwise_count(c["odd1"][x] ^ c["odd1"][y]) + np.bitwise_count(c["odd2"][x] ^ c["odd2"][y])
-    return apart <= (c["size"][x] + c["size"][y]) * np.float32((1 - similar) / (1 + similar)) + np.float32(0.01)
-
-
-def _candidates(similar: float, leaders: int | None):
-    """Pairs (later, earlier) of lines in each token's list that the filters leave.
-
-    With ``leaders``: the first so many of each line, and, of lists where there
-    are more, all rows for another turn.  Without: the others, for lines marked
-    ``open``.
+            if len(ok):
+                lo, n, line, sig = bounds[:-1][ok], n[ok], line[ok], sig[ok]
+                doc = np.searchsorted(t.text_line, line, "right") - 1
+                size = n - least_shared(n, similar) + 1
+                ends = np.append(0, np.cumsum(size))
+                pick = np.repeat(lo - ends[:-1], size) + np.arange(ends[-1])
+                tokens = (h[pick] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+                solo = sent.value[_counter(h[pick])] == 1
+                # sets so small that only equal ones match: their hash is their list
+                alike = n / (n + 1) < similar - 1e-9
+                tokens[ends[:-1][alike]] = (mix(sig[alike].view(np.uint64)) >> np.uint64(32)).astype(np.uint32)
+                odd = [np.bitwise_xor.reduceat(np.where((h >> np.uint64(6)) & np.uint64(1) == k, np.uint64(1) << (h & np.uint64(63)), np.uint64(0)), bounds[:-1])[ok] for k in (0, 1)]
+                ids = batch.column("doc_id").to_numpy()
+                held.append((ids[doc], (line - t.text_line[doc] + lines_before).astype(np.uint32), sig, n.astype(np.uint32), odd[0], odd[1], size, tokens, solo))
+                count += len(tokens)
+            # a piece ends after a line's end: what its last line would be begins the next piece
+            lines_before += len(t.line_first) - 2 if not last else 0
+            if count >= HELD_ROWS:
+                yield from send(held)
+                held, count = [], 0
+        if held:
+            yield from send(held)
+
+    return docs.mapInArrow(tidy(work), "bucket int, kind byte, rows binary")
+
+
+_FOUND = "kind byte, list long, x long, doc_id long, line int, y long, y_doc long, more boolean, rows binary"
+_FOUND_ARROW = pa.schema([("kind", pa.int8()), ("list", pa.int64()), ("x", pa.int64()), ("doc_id", pa.int64()), ("line", pa.int32()), ("y", pa.int64()), ("y_doc", pa.int64()), ("more", pa.bool_()), ("rows", pa.binary())])
+#: Kinds of what the lists give: GONE, candidate pairs, lists with more candidates, lists too long for one task.
+PAIR, LATE, LONG = 1, 2, 3
+
+
+def _found(kind: int, n: int, **cols) -> pa.RecordBatch:
+    given = {"kind": np.full(n, kind, np.int8)} | cols
+    return pa.RecordBatch.from_arrays([pa.nulls(n, f.type) if f.name not in given else pa.array(given[f.name], f.type) for f in _FOUND_ARROW], schema=_FOUND_ARROW)
+
+
+def _one_of_each(rows: np.ndarray, gone: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Rows with one for each token and set, that of the first place, by token and size; and the rows of the rarest tokens' lists left out."""
+    key = rows["token"].astype(np.uint64) << np.uint64(32) | rows["sig"].view(np.uint64) >> np.uint64(32)
+    order = np.argsort(key)
+    key = key[order]
+    near = np.zeros(len(key), bool)
+    near[1:] = key[1:] == key[:-1]
+    out = np.zeros(0, ROW)
+    if near.any():
+        near[:-1] |= near[1:]
+        at = order[near]
+        at = at[np.lexsort((rows["line"][at], rows["doc"][at], rows["sig"][at], rows["token"][at]))]
+        again = np.zeros(len(at), bool)
+        again[1:] = (rows["sig"][at][1:] == rows["sig"][at][:-1]) & (rows["token"][at][1:] == rows["token"][at][:-1])
+        left_out = at[again]
+        if gone:
+            out = rows[left_out[rows["pos"][left_out] == 0]]
+        keep = np.ones(len(rows), bool)
+        keep[left_out] = False
+        order = order[keep[order]]
+        rows = rows[order]
+    else:
+        rows = rows[order]
+    by = np.argsort(rows["token"].astype(np.uint64) << np.uint64(32) | rows["n"])
+    return rows[by], out
+
+
+def _candidates(rows: np.ndarray, similar: float, side: np.ndarray | None = None, only: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs (later, earlier) that the length, parity and positional filters leave, of rows by token and size.
+
+    With ``side`` only pairs across; with ``only`` (a mask) only later rows so marked.
     """
+    token, n = rows["token"].astype(np.uint64) << np.uint64(32), rows["n"].astype(np.int64)
+    key = token | rows["n"]
+    far = np.minimum(np.floor(n / similar + 1e-9), (1 << 32) - 1).astype(np.uint64)
+    stop = np.searchsorted(key, token | far, "right")
+    count = stop - np.arange(len(rows)) - 1
+    ends = np.cumsum(count)
+    pos, doc, line, odd1, odd2 = (np.ascontiguousarray(rows[f]) for f in ("pos", "doc", "line", "odd1", "odd2"))
+    share = (1 - similar) / (1 + similar)
+    lo = 0
+    while lo < len(rows):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + STEP, "right")))
+        c = count[lo:hi]
+        for first in range(0, int(c.max(initial=0)) if hi - lo == 1 else 1, STEP):  # one row may have many
+            if hi - lo == 1:
+                j = np.arange(lo + 1 + first, min(lo + 1 + first + STEP, int(stop[lo])))
+                i = np.full(len(j), lo)
+            else:
+                i = np.repeat(np.arange(lo, hi), c)
+                j = np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c) + i + 1
+            apart = np.bitwise_count(odd1[i] ^ odd1[j]) + np.bitwise_count(odd2[i] ^ odd2[j])
+            ok = np.flatnonzero(apart <= (n[i] + n[j]) * np.float32(share) + np.float32(0.01))
+            i, j = i[ok], j[ok]
+            need = np.ceil(similar / (1 + similar) * (n[i] + n[j]) - 1e-9)
+            good = np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need
+            good &= apart[ok] <= n[i] + n[j] - 2 * need
+            if side is not None:
+                good &= side[i] != side[j]
+            i, j = i[good], j[good]
+            swap = (doc[i] < doc[j]) | (doc[i] == doc[j]) & (line[i] < line[j])
+            i, j = np.where(swap, j, i), np.where(swap, i, j)
+            if only is not None:
+                i, j = i[only[i]], j[only[i]]
+            if len(i):
+                yield i, j
+        lo = hi
+
+
+def _pairs(rows: np.ndarray, similar: float, lists: np.ndarray, side: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Each line with its earliest candidate in each list, and lists where some line has more than one."""
+    if not len(rows):
+        return
+    order = np.lexsort((rows["line"], rows["doc"]))
+    rank = np.empty(len(rows), np.int64)
+    rank[order] = np.arange(len(rows))
+    best, seen = np.full(len(rows), len(rows)), np.zeros(len(rows), np.int64)
+    for i, j in _candidates(rows, similar, side):
+        np.minimum.at(best, i, rank[j])
+        seen += np.bincount(i, minlength=len(rows))
+    x = np.flatnonzero(seen)
+    if len(x):
+        y = order[best[x]]
+        yield _found(PAIR, len(x), list=lists[x], x=rows["sig"][x], doc_id=rows["doc"][x], line=rows["line"][x].astype(np.int32), y=rows["sig"][y], y_doc=rows["doc"][y], more=seen[x] > 1)
+    some = np.unique(lists[seen > 1])
+    if len(some):
+        at = np.flatnonzero(np.isin(lists, some))
+        by = np.argsort(lists[at], kind="stable")
+        yield from _packed_lists(LATE, lists[at][by], rows[at][by])
+
+
+def _packed_lists(kind: int, lists: np.ndarray, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows packed into one value for each list; equal lists stand together."""
+    at = np.flatnonzero(np.append(True, lists[1:] != lists[:-1])).tolist()
+    for i in range(0, len(at), 256):
+        ends = [*at[i : i + 257], len(rows)][:257]
+        yield _found(kind, len(ends) - 1, list=lists[ends[:-1]], rows=[rows[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])])
+
+
+def _lists_worker(similar: float):
+    """Pairs of the token lists of each bucket; lists that are too long go on as they are."""
+
+    def finish(held: list[np.ndarray]):
+        rows, gone = _one_of_each(np.concatenate(held), True)
+        if len(gone):
+            yield _found(GONE, len(gone), doc_id=gone["doc"], line=gone["line"].astype(np.int32))
+        size = np.bincount(np.cumsum(np.append(0, rows["token"][1:] != rows["token"][:-1]))) if len(rows) else np.zeros(0, np.int64)
+        size = np.repeat(size, size)
+        yield from _pairs(rows[(size > 1) & (size <= MOST)], similar, rows["token"][(size > 1) & (size <= MOST)].astype(np.int64))
+        if (size > MOST).any():
+            many = rows[size > MOST]
+            yield from _packed_lists(LONG, many["token"].astype(np.int64), many)
 
     def work(batches: Iterator[pa.RecordBatch]):
-        for c, bounds in runs(batches, ["token"]):
-            size = np.diff(bounds)
-            c = c | {"odd1": c["odd1"].view(np.uint64), "odd2": c["odd2"].view(np.uint64), "size": c["n"].astype(np.float32)}
-            xs, ys, late = [], [], []
-            if leaders:
-                for n in range(2, SHORT + 1):
-                    lo = bounds[:-1][size == n]
-                    if not len(lo):
-                        continue
-                    more = np.zeros(len(lo), bool)
-                    for i in range(1, n):
-                        seen = np.zeros(len(lo), np.int64)
-                        for j in range(i):
-                            ok = _loose(c, lo + i, lo + j, similar)
-                            at = np.flatnonzero(ok)
-                            ok[at] = _may_match(c, lo[at] + i, lo[at] + j, similar)
-                            seen += ok
-                            more |= seen > leaders
-                            ok &= seen <= leaders
-                            xs.append(c["sig"][lo[ok] + i])
-                            ys.append(c["sig"][lo[ok] + j])
-                    late += [np.arange(x, x + n) for x in lo[more].tolist()]
-            for k in np.flatnonzero(size > (SHORT if leaders else 1)):
-                lo, hi = int(bounds[k]), int(bounds[k + 1])
-                more = False
-                probes = np.arange(lo + 1, hi) if leaders else lo + np.flatnonzero(c["open"][lo:hi])
-                for s in range(0, len(probes), 256):
-                    x = probes[s : s + 256]
-                    seen = np.zeros(len(x), np.int64)
-                    for y0 in range(lo, int(x[-1]), 2048):
-                        y = np.arange(y0, min(y0 + 2048, int(x[-1])))
-                        i, j = np.nonzero(_loose(c, x[:, None], y[None], similar) & (x[:, None] > y[None]))
-                        ok = _may_match(c, x[i], y[j], similar)
-                        i, j = i[ok], j[ok]
-                        count = np.bincount(i, minlength=len(x))
-                        rank = np.arange(1, len(i) + 1) - (np.cumsum(count) - count)[i] + seen[i]
-                        seen = seen + count
-                        ok = rank <= leaders if leaders else rank > LEADERS
-                        xs.append(c["sig"][x[i[ok]]])
-                        ys.append(c["sig"][y[j[ok]]])
-                        if leaders and seen.min() > leaders:
-                            break
-                    more |= bool(leaders and (seen > leaders).any())
-                if more:
-                    late.append(np.arange(lo, hi))
-            if late:
-                at = np.concatenate(late)
-                yield table_of(_LIST_ARROW, late=np.ones(len(at), bool), x=c["sig"][at], y=c["sig"][at], **{f: c[f][at].view(np.int64) if f.startswith("odd") else c[f][at] for f in _LIST_ARROW.names[3:]})
-            if xs and (m := sum(map(len, xs))):
-                zero = np.zeros(m, np.int32)
-                yield table_of(_LIST_ARROW, late=np.zeros(m, bool), x=np.concatenate(xs), y=np.concatenate(ys), **{f: zero for f in _LIST_ARROW.names[3:]})
+        held: list[np.ndarray] = []
+        now, count, long = None, 0, np.zeros(0, np.uint32)
+        for batch in batches:
+            for bucket, kind, packed in zip(batch.column("bucket").to_pylist(), batch.column("kind").to_pylist(), batch.column("rows")):
+                if kind == GONE:
+                    gone = np.frombuffer(packed.as_buffer(), PLACE)
+                    yield _found(GONE, len(gone), doc_id=gone["doc"], line=gone["line"].astype(np.int32))
+                    continue
+                if held and bucket != now:
+                    yield from finish(held)
+                    held, count, long = [], 0, np.zeros(0, np.uint32)
+                now = bucket
+                rows = np.frombuffer(packed.as_py(), ROW)
+                if len(long):
+                    mine = np.isin(rows["token"], long)
+                    if mine.any():
+                        some = rows[mine][np.argsort(rows["token"][mine], kind="stable")]
+                        yield from _packed_lists(LONG, some["token"].astype(np.int64), some)
+                        rows = rows[~mine]
+                held.append(rows)
+                count += len(rows)
+                if count >= 10 * BUCKET_ROWS:  # some list of this bucket is long
+                    rows, gone = _one_of_each(np.concatenate(held), True)
+                    if len(gone):
+                        yield _found(GONE, len(gone), doc_id=gone["doc"], line=gone["line"].astype(np.int32))
+                    token, size = np.unique(rows["token"], return_counts=True)
+                    long = np.union1d(long, token[size > MOST])
+                    mine = np.isin(rows["token"], long)
+                    if mine.any():
+                        yield from _packed_lists(LONG, rows["token"][mine].astype(np.int64), rows[mine])
+                    held, count = [rows[~mine]], int((~mine).sum())
+        if held:
+            yield from finish(held)
 
     return work
 
 
-def _sets(docs: DataFrame, sigs: DataFrame) -> DataFrame:
-    """``sig`` and ``set`` (array of long) of the lines whose hashes are among ``sigs``, and perhaps of a few others."""
-    sent = docs.sparkSession.sparkContext.broadcast(filter_of(sigs, "sig"))
+def _long_lists(found: DataFrame, similar: float) -> DataFrame:
+    """What the lists give that are too long for a task: their parts by the sets' hashes, compared two by two."""
+    long = found.where(F.col("kind") == LONG).select("list", "rows")
+    parts = long.groupBy("list").agg(F.ceil(F.sum(F.octet_length("rows")) / F.lit(MOST * ROW.itemsize)).cast("int").alias("parts"))
+
+    def deal(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            for name, parts, packed in zip(*(batch.column(c).to_pylist() for c in ("list", "parts", "rows"))):
+                rows = np.frombuffer(packed, ROW)
+                part = (mix(rows["sig"].astype(np.uint64)) >> np.uint64(32)) % np.uint64(parts)
+                mine = [(p, rows[part == p].tobytes()) for p in np.unique(part).tolist()]
+                for other in range(parts):
+                    yield pa.RecordBatch.from_pydict({"list": [name] * len(mine), "i": pa.array([min(p, other) for p, _ in mine], pa.int32()), "j": pa.array([max(p, other) for p, _ in mine], pa.int32()), "right": [p > other for p, _ in mine], "rows": [r for _, r in mine]})
+
+    def compare(batches: Iterator[pa.RecordBatch]):
+        for got in runs_of_keys(batches, ["list", "i", "j"]):
+            i, j = got.column("i")[0].as_py(), got.column("j")[0].as_py()
+            sides = [np.concatenate([np.zeros(0, ROW), *(np.frombuffer(p, ROW) for p, r in zip(got.column("rows").to_pylist(), got.column("right").to_pylist()) if r == right)]) for right in (False, True)]
+            one = [_one_of_each(s, i == j) for s in sides]
+            gone = np.concatenate([g for _, g in one])
+            if len(gone):
+                yield _found(GONE, len(gone), doc_id=gone["doc"], line=gone["line"].astype(np.int32))
+            rows = np.concatenate([s for s, _ in one])
+            side = np.repeat([0, 1], [len(s) for s, _ in one])
+            by = np.argsort(rows["token"].astype(np.uint64) << np.uint64(32) | rows["n"], kind="stable")
+            name = int(mix(np.array([got.column("list")[0].as_py() << 32 | i << 16 ^ j], np.uint64)).view(np.int64)[0])
+            yield from _pairs(rows[by], similar, np.full(len(rows), name), None if i == j else side[by])
+
+    keys = ["list", "i", "j"]
+    dealt = long.join(parts, "list").mapInArrow(tidy(deal), "list long, i int, j int, right boolean, rows binary")
+    return save(dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(tidy(compare), _FOUND), "long-lists")
+
+
+def _late(lists: DataFrame, similar: float) -> DataFrame:
+    """All candidate pairs of the lines ``open`` in each list (``rows``)."""
+
+    def work(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            for name, packed, wanted in zip(*(batch.column(c).to_pylist() for c in ("list", "rows", "open"))):
+                rows = np.frombuffer(packed, ROW)
+                rows = rows[np.argsort(rows["token"].astype(np.uint64) << np.uint64(32) | rows["n"], kind="stable")]
+                for i, j in _candidates(rows, similar, None, np.isin(rows["sig"], np.array(wanted, np.int64))):
+                    yield _found(PAIR, len(i), list=np.full(len(i), name), x=rows["sig"][i], doc_id=rows["doc"][i], line=rows["line"][i].astype(np.int32), y=rows["sig"][j], y_doc=rows["doc"][j])
+
+    return lists.mapInArrow(tidy(work), _FOUND)
+
+
+def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``sig`` and ``set`` (array of long) of the lines ``wanted`` (``sig``, ``doc_id``), and perhaps of a few others."""
+    # a set's hash is spread over all bits, so that the key is too
+    sent = docs.sparkSession.sparkContext.broadcast(filter_of(wanted.select(F.col("sig").bitwiseXOR(F.col("doc_id")).alias("key")), "key"))
     schema = pa.schema([("sig", pa.int64()), ("set", pa.list_(pa.int64()))])
 
     def work(batches: Iterator[pa.RecordBatch]):
-        done: set[int] = set()
-        for _, t in tokens_of(batches, "text"):
-            _, _, bounds, h, sig = line_sets(t, None)
-            ok = np.flatnonzero(sent.value.has(sig))
+        for batch, data, offsets, _, _ in pieces(batches, "text"):
+            t = Tokens(data, offsets)
+            line, bounds, h, sig = line_sets(t, None)
+            doc = np.searchsorted(t.text_line, line, "right") - 1
+            ok = np.flatnonzero(sent.value.has(sig ^ batch.column("doc_id").to_numpy()[doc]))
             ok = ok[np.sort(np.unique(sig[ok], return_index=True)[1])]
-            ok = ok[[s not in done for s in sig[ok].tolist()]]
-            if len(done) < 500_000:
-                done.update(sig[ok].tolist())
             if len(ok):
                 size = np.diff(bounds)[ok]
                 ends = np.append(0, np.cumsum(size))
                 pick = np.repeat(bounds[:-1][ok] - ends[:-1], size) + np.arange(ends[-1])
                 yield table_of(schema, sig=sig[ok], set=pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(h[pick].view(np.int64))))
 
-    return save(docs.mapInArrow(work, "sig long, set array<long>").groupBy("sig").agg(F.first("set").alias("set")), "sets")
+    near = among(docs, "doc_id", filter_of(wanted, "doc_id"))
+    return save(near.mapInArrow(tidy(work), "sig long, set array<long>"), "sets")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
-    """``x`` of the pairs whose sets have a Jaccard similarity of ``similar`` or more."""
-    # only the sets of these pairs are shuffled, on either side
-    a = among(sets, "sig", filter_of(pairs, "x")).select(F.col("sig").alias("x"), F.col("set").alias("sx"))
-    b = among(sets, "sig", filter_of(pairs, "y")).select(F.col("sig").alias("y"), F.col("set").alias("sy"))
-    both = pairs.join(a, "x").join(b, "y").select("x", "sx", "sy")
-    out = pa.schema([("x", pa.int64())])
+def _verified(docs: DataFrame, pairs: DataFrame, similar: float) -> DataFrame:
+    """``x``, ``doc_id``, ``line`` of the pairs whose sets have a Jaccard similarity of ``similar`` or more."""
+    wanted = pairs.select(F.explode(F.array(F.struct(F.col("x").alias("sig"), "doc_id"), F.struct(F.col("y").alias("sig"), F.col("y_doc").alias("doc_id")))).alias("w")).select("w.*")
+    sets = _sets(docs, wanted)
+    both = pairs.select("x", "y", "doc_id", "line").distinct()
+    both = both.join(sets.select(F.col("sig").alias("x"), F.col("set").alias("sx")), "x")
+    both = both.join(sets.select(F.col("sig").alias("y"), F.col("set").alias("sy")), "y").select("x", "doc_id", "line", "sx", "sy")
+    out = pa.schema([("x", pa.int64()), ("doc_id", pa.int64()), ("line", pa.int32())])
 
     def check(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -238,23 +447,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
                 order = np.argsort(k)
                 k, o = k[order], o[order]
                 shared = np.bincount(o[1:][k[1:] == k[:-1]], minlength=part.num_rows)
-                hit = shared >= similar * (size[0] + size[1] - shared) - 1e-9
-                if hit.any():
-                    yield table_of(out, x=np.unique(part.column("x").to_numpy()[hit]))
-
-    return save(both.mapInArrow(check, "x long").distinct(), "matched")
+                hit = np.flatnonzero(shared >= similar * (size[0] + size[1] - shared) - 1e-9)
+                if len(hit):
+                    yield table_of(out, **{f: part.column(f).to_numpy()[hit] for f in out.names})
 
-
-def _matched(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
-    """Lines of the pairs (``x``, ``y``, ``n`` lists that both are in) that match any of theirs.
-
-    Each line is first held against the one that it shares most lists with;
-    only lines that do not match it are held against the others.
-    """
-    best = save(pairs.groupBy("x").agg(F.max_by("y", F.struct("n", "y")).alias("y")), "pairs")
-    first = _verified(best, sets, similar)
-    rest = save(pairs.join(first, "x", "left_anti").join(best, ["x", "y"], "left_anti").select("x", "y"), "pairs")
-    return first if rest.isEmpty() else first.unionByName(_verified(rest, sets, similar))
+    found = save(both.mapInArrow(tidy(check), "x long, doc_id long, line int").distinct(), "matched")
+    drop(sets)
+    return found
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = 0.8, words: int = 5) -> DataFrame:
@@ -265,65 +464,73 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     (id, number of the line), whether or not that one is itself removed.  Lines
     of fewer than ``words`` different tokens are left alone.  Null texts and rows
     with a null id have no lines; rows that repeat an id count as one document.
-    Only texts with such lines are returned.
+    Very long texts are read in pieces that end with a line; a single line is
+    read whole.  Only texts with such lines are returned, of an empty table none.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
-    lines = save(_lines(docs, token_rarity(docs), similar, words), "lines")
-    firsts = lines.where("not again").groupBy("sig").agg(F.min(F.struct("doc_id", "line")).alias("p"), *(F.first(c).alias(c) for c in ("n", "odd1", "odd2", "prefix")))
-    firsts = save(firsts.select("sig", "p.doc_id", "p.line", "n", "odd1", "odd2", "prefix"), "firsts")
-    lists = firsts.select("sig", "doc_id", "line", "n", "odd1", "odd2", F.posexplode("prefix").alias("pos", "token"))
-    order = ["token", "doc_id", "line"]
-    found = save(lists.repartition("token").sortWithinPartitions(*order).mapInArrow(_candidates(similar, LEADERS), _LIST), "candidates")
-    pairs = save(found.where("not late").groupBy("x", "y").agg(F.count("*").alias("n")), "pairs")
-    sets = _sets(docs, found.select(F.explode(F.array("x", "y")).alias("sig")).distinct())
-    matched = _matched(pairs, sets, similar)
-    late = found.where("late").select(F.col("x").alias("sig"), "token", "doc_id", "line", "pos", "n", "odd1", "odd2")
-    if not late.isEmpty():
-        # lines of long lists that matched none of their leaders
-        done = matched.select(F.col("x").alias("done"))
-        rest = late.join(done, late.sig == done.done, "left").withColumn("open", F.col("done").isNull()).drop("done")
-        more = rest.repartition("token").sortWithinPartitions(*order).mapInArrow(_candidates(similar, None), _LIST)
-        pairs = save(more.groupBy("x", "y").agg(F.count("*").alias("n")), "pairs")
-        if not pairs.isEmpty():
-            matched = matched.unionByName(_matched(pairs, sets, similar))
-    kept = firsts.join(matched.select(F.col("x").alias("sig")), "sig", "left_anti").select("doc_id", "line")
-    gone = lines.where("not again").select("doc_id", "line").join(kept, ["doc_id", "line"], "left_anti").unionByName(lines.where("again").select("doc_id", "line"))
-    return gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("lines"))
+    rarity, rows = token_rarity(docs, "text", similar)
+    dealt = _list_rows(docs, rarity, similar, words, max(64, -(-rows // BUCKET_ROWS))).repartition("bucket").sortWithinPartitions("bucket")
+    found = made = save(dealt.mapInArrow(tidy(_lists_worker(similar)), _FOUND), "lists")
+    long = None
+    if not found.where(F.col("kind") == LONG).isEmpty():
+        long = _long_lists(found, similar)
+        found = found.unionByName(long)
+    pairs = found.where(F.col("kind") == PAIR)
+    gone = found.where(F.col("kind") == GONE).select("doc_id", "line")
+    tables = [made, long]
+    if not pairs.isEmpty():
+        matched = _verified(docs, pairs, similar)
+        gone = gone.unionByName(matched.select("doc_id", "line"))
+        # lines that match none of their first candidates are held against all others
+        open_ = pairs.where("more").select("list", "x").join(matched.select("x"), "x", "left_anti")
+        open_ = save(open_.groupBy("list").agg(F.collect_set("x").alias("open")), "open")
+        lists = among(found.where(F.col("kind") == LATE).select("list", "rows"), "list", filter_of(open_, "list"))
+        late = save(_late(lists.join(open_, "list"), similar), "late")
+        tables += [matched, open_, late]
+        if not late.isEmpty():
+            more = _verified(docs, late, similar)
+            gone = gone.unionByName(more.select("doc_id", "line"))
+            tables.append(more)
+    out = save(gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("lines")), "gone")
+    for t in tables:
+        if t is not None:
+            drop(t)
+    return out
 
 
 def drop_lines(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the lines of ``gone``, with ``removed_lines`` and ``n_lines`` (long) added, or replaced.
 
     Texts keep everything else, their line ends included.  Only texts that lose
-    lines take part in the join.
+    lines are shuffled, and only they are sent to Python workers.
     """
     docs = docs.drop("removed_lines", "n_lines")
     schema = docs.schema
     names = schema.names
     key, cuts, hit = fresh(docs, "_id"), fresh(docs, "_lines"), fresh(docs, "_hit")
-    gone = save(gone.select(F.col("doc_id").alias(key), F.col("lines").alias(cuts)), "gone")
+    gone = gone.select(F.col("doc_id").alias(key), F.col("lines").alias(cuts))
     at = names.index(text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]):
         for whole in batches:
             for i in range(0, whole.num_rows, 512):
                 batch = whole.slice(i, 512)
-                texts, removed, count = [], [], []
+                texts, removed = [], []
                 for text, lines in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
-                    parts = (text or "").split("\n")
-                    count.append(len(parts) if text else 0)
                     gone_here = set(lines or ())
                     removed.append(len(gone_here))
-                    texts.append("\n".join([p for k, p in enumerate(parts) if k not in gone_here]) if gone_here else text)
+                    texts.append("\n".join([p for k, p in enumerate(text.split("\n")) if k not in gone_here]) if gone_here and text is not None else text)
                 cols = [c if k != at else pa.array(texts, c.type) for k, c in enumerate(batch.columns[: len(names)])]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(removed, pa.int64()), pa.array(count, pa.int64())], names=[*names, "removed_lines", "n_lines"])
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(removed, pa.int64()), batch.column(len(names))], names=[*names, "removed_lines", "n_lines"])
 
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    marked = mark_by(docs, id_col, filter_of(gone, key), hit)
-    plain = marked.where(~F.col(hit)).drop(hit).withColumn(cuts, F.lit(None).cast("array<int>"))
+    text = F.col(text_col)
+    counted = F.when(F.coalesce(F.length(text), F.lit(0)) == 0, F.lit(0)).otherwise(1 + F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))).cast("long")
+    marked = mark_by(docs.withColumn("n_lines", counted), id_col, filter_of(gone, key), hit)
+    plain = marked.where(~F.col(hit)).select(*names, F.lit(0).cast("long").alias("removed_lines"), "n_lines")
     joined = marked.where(F.col(hit)).drop(hit)
     joined = joined.join(gone, joined[id_col].cast("long") == gone[key], "left").drop(key)
-    return plain.unionByName(joined).mapInArrow(cut, f"{out}, removed_lines long, n_lines long")
+    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    return plain.unionByName(joined.mapInArrow(tidy(cut), f"{out}, removed_lines long, n_lines long"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = 0.8, words: int = 5) -> DataFrame:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._core import components, runs, save, spanning, table_of, tokens_of, without
+from ._core import components, runs, save, spanning, table_of, tidy, tokens_of, without
 
 SEED = 42
 #: Shingles whose bits are counted at a time.
@@ -27,7 +27,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield table_of(schema, doc_id=batch.column("doc_id"), fp=_fingerprint(t, words))
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(work, "doc_id long, fp long")
+    return rows.mapInArrow(tidy(work), "doc_id long, fp long")
 
 
 def _fingerprint(t, words: int) -> np.ndarray:
@@ -73,7 +73,7 @@ def links(fps: DataFrame, distance: int = 4, most: int = 2048) -> DataFrame:
     masks = [m - (1 << 64) if m >> 63 else m for m in block_masks(distance)]
     blocks = F.explode(F.array(*[F.struct(F.lit(i).cast("byte").alias("c"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("k")) for i, m in enumerate(masks)])).alias("x")
     rows = fps.select("fp", "rep", blocks).select("x.c", "x.k", "fp", "rep")
-    found = save(rows.repartition("c", "k").sortWithinPartitions("c", "k").mapInArrow(_block_worker(["c", "k"], distance, most), _OUT), "links")
+    found = save(rows.repartition("c", "k").sortWithinPartitions("c", "k").mapInArrow(tidy(_block_worker(["c", "k"], distance, most)), _OUT), "links")
     out = found.where("not late").select("v", "p")
     late = found.where("late").select("c", "k", F.col("v").alias("fp"), F.col("p").alias("rep"))
     if late.isEmpty():
@@ -87,7 +87,7 @@ def links(fps: DataFrame, distance: int = 4, most: int = 2048) -> DataFrame:
         .select("c", "k", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "fp", "rep")
     )
     keys = ["c", "k", "i", "j"]
-    more = pairs.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_block_worker(keys, distance, None), _OUT)
+    more = pairs.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(tidy(_block_worker(keys, distance, None)), _OUT)
     return out.unionByName(save(more, "links").select("v", "p"))
 
 

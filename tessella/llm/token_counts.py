@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._core import slices, table_of
+from ._core import slices, table_of, tidy
 
 # --------------------------------------------------------------------------
 # transducer of the pre-tokenizer: where words begin
@@ -364,5 +364,5 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             yield table_of(schema, doc_id=batch.column("doc_id"), n_bytes=np.diff(offsets), n_tokens=c.counts(data, offsets))
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    out = rows.mapInArrow(work, "doc_id long, n_bytes long, n_tokens long")
+    out = rows.mapInArrow(tidy(work), "doc_id long, n_bytes long, n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > F.lit(limit))

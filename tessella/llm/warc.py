@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._core import new_path, save
+from ._core import new_path, save, tidy
 
 #: Records of an archive.
 RECORDS = 2_000
@@ -160,7 +160,7 @@ def sorted_runs(spark: SparkSession, path: str) -> DataFrame:
                     yield _batch(rows)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
-    return files.select("path", "content").mapInArrow(work, _ENTRY_SQL)
+    return files.select("path", "content").mapInArrow(tidy(work), _ENTRY_SQL)
 
 
 class LoserTree:
@@ -229,7 +229,7 @@ def merge_index(runs: DataFrame) -> DataFrame:
             yield _batch(held)
 
     ranged = runs.repartitionByRange("urlkey", "captured", "page_id", "archive", "place")
-    return ranged.mapInArrow(work, _ENTRY_SQL)
+    return ranged.mapInArrow(tidy(work), _ENTRY_SQL)
 
 
 def archive_pages(pages: DataFrame, path: str | None = None, least: int = 0, **cols) -> DataFrame:

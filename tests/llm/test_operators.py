@@ -143,10 +143,10 @@ def brute_lines(texts, similar=0.8, least=5):
     return gone
 
 
-@pytest.mark.parametrize("leaders", [8, 1])
-def test_lines(spark, texts, leaders, monkeypatch):
-    monkeypatch.setattr(lines, "LEADERS", leaders)
-    monkeypatch.setattr(lines, "SHORT", 16 if leaders == 8 else 3)
+@pytest.mark.parametrize("most", [8192, 4])
+def test_lines(spark, texts, most, monkeypatch):
+    monkeypatch.setattr(lines, "MOST", most)
+    monkeypatch.setattr(lines, "BUCKET_ROWS", 200_000 if most > 4 else 20)
     df = spark.createDataFrame([(i, t, "z", 1) for i, t in enumerate(texts)], "doc_id long, text string, sig string, line int").repartition(4)
     want = brute_lines(texts)
     got = {r.doc_id: set(r.lines) for r in lines.repeated_lines(df).collect()}
