@@ -9,20 +9,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._core import Tokens, mix, strings, table_of, tokens_of
+from ._core import Tokens, mix, pieces, strings, table_of, tidy
 
 #: Rows of each language that the model is fitted on, about; and of all.
 SAMPLE_PER_LANGUAGE = 150
 SAMPLE = 2_400
-#: Bytes of text of all sampled rows; whole rows beyond it are left out.
+#: Characters of a sampled text, from its beginning, that are learned from.
+SAMPLE_CHARACTERS = 8_000
+#: Bytes of text of all sampled rows; rows beyond it are left out.
 SAMPLE_BYTES = 4 << 20
-#: Languages that are learned, the most frequent first.
-MOST_LANGUAGES = 64
+#: Languages that are learned, the most frequent first: 256 times the characters of a text fit into the sample, so each of them has a row.
+MOST_LANGUAGES = 256
 _TABLE = 1 << 16
 _GRAMS = (2, 3, 4)
 _CHUNK = 64
 #: Bytes of text at a time.
-SLICE = 1 << 20
+SLICE = 1 << 19
 _SEQUENCE = 24
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = True
@@ -60,68 +62,91 @@ def word_features(t: Tokens) -> tuple[np.ndarray, np.ndarray]:
 
 
 def emissions(weights: np.ndarray, t: Tokens) -> np.ndarray:
-    """Score of each label for each word."""
-    if not len(t.start):
-        return np.zeros((0, weights.shape[1]), np.float32)
+    """Score of each label for each word; features are looked up for a bounded number of words at a time."""
+    n, k = len(t.doc), weights.shape[1]
+    out = np.zeros((n, k), np.float32)
+    if not n:
+        return out
     feats, first = word_features(t)
-    return np.add.reduceat(weights[feats], first[:-1], axis=0)
+    step = max(256, (1 << 17) // k)
+    for lo in range(0, n, step):
+        hi = min(lo + step, n)
+        out[lo:hi] = np.add.reduceat(weights[feats[first[lo] : first[hi]]], first[lo:hi] - first[lo], axis=0)
+    return out
 
 
-def marginals(scores: np.ndarray, first: np.ndarray, trans: np.ndarray) -> np.ndarray:
-    """Probability of each label for each word, by forward-backward over each whole text.
+class _Chunks:
+    """Words of texts in chunks of bounded length, with the transfer matrix of each chunk.
 
-    Texts are cut into chunks.  The product of a chunk's transfer matrices takes
-    the forward and backward vectors from one of its ends to the other, so all
-    chunks run side by side and yet the result is that of the whole text.
+    A word turns the vector v of what came before into (v t) p, where t are the
+    transitions and p the word's own scores; the first word of a text has no
+    transition.  The product over a chunk takes vectors from one of its ends to
+    the other, so all chunks run side by side and yet nothing is cut off.
     """
+
+    def __init__(self, scores: np.ndarray, first: np.ndarray, trans: np.ndarray, goes_on: bool):
+        k = scores.shape[1]
+        self.p = np.exp(scores.astype(np.float64) - scores.max(axis=1, keepdims=True))
+        self.t = np.exp(trans - trans.max())
+        size = np.diff(first)
+        self.chunks = -(-size // _CHUNK)
+        self.begin = np.append(0, np.cumsum(self.chunks))
+        owner = np.repeat(np.arange(len(size)), self.chunks)
+        nth = np.arange(self.begin[-1]) - self.begin[owner]
+        lo = first[owner] + nth * _CHUNK
+        length = np.minimum(first[owner + 1] - lo, _CHUNK)
+        self.order = np.argsort(-length, kind="stable")
+        self.lo = lo[self.order]
+        self.live = [int(np.searchsorted(-length[self.order], -i, "left")) for i in range(int(length.max()))]
+        self.starts = ((nth == 0) & (not goes_on))[self.order]  # chunks whose first word has no transition
+        m = np.tile(np.eye(k), (len(lo), 1, 1))
+        for i, c in enumerate(self.live):
+            new = (m[:c] @ self.t if i else np.where(self.starts[:, None, None], m, m @ self.t)) * self.p[self.lo[:c] + i][:, None, :]
+            m[:c] = new / new.sum(axis=(1, 2), keepdims=True)
+        self.transfer = np.empty_like(m)
+        self.transfer[self.order] = m
+
+    def marginals(self, ahead: np.ndarray, back: np.ndarray) -> np.ndarray:
+        """Probabilities; ``ahead`` and ``back`` are the vectors before and after each text."""
+        k = self.p.shape[1]
+        a, b = np.empty((len(self.order), k)), np.empty((len(self.order), k))
+        some = np.flatnonzero(self.chunks)
+        a[self.begin[some]], b[self.begin[some + 1] - 1] = ahead[some], back[some]
+        # across chunks, all texts side by side
+        texts = np.argsort(-self.chunks, kind="stable")
+        counts = -self.chunks[texts]
+        for i in range(1, int(self.chunks.max())):
+            own = texts[: np.searchsorted(counts, -i, "left")]
+            c = self.begin[own] + i
+            v = np.einsum("ci,cij->cj", a[c - 1], self.transfer[c - 1])
+            a[c] = v / v.sum(axis=1, keepdims=True)
+            c = self.begin[own + 1] - 1 - i
+            v = np.einsum("cij,cj->ci", self.transfer[c + 1], b[c + 1])
+            b[c] = v / v.sum(axis=1, keepdims=True)
+        # within chunks
+        alpha = np.empty_like(self.p)
+        v = a[self.order]
+        for i, c in enumerate(self.live):
+            at = self.lo[:c] + i
+            new = (v[:c] @ self.t if i else np.where(self.starts[:, None], v, v @ self.t)) * self.p[at]
+            v[:c] = alpha[at] = new / new.sum(axis=1, keepdims=True)
+        v = b[self.order]
+        for i in range(len(self.live) - 1, -1, -1):
+            c = self.live[i]
+            at = self.lo[:c] + i
+            alpha[at] *= v[:c]
+            new = (self.p[at] * v[:c]) @ self.t.T
+            v[:c] = new / new.sum(axis=1, keepdims=True)
+        return alpha / alpha.sum(axis=1, keepdims=True)
+
+
+def marginals(scores: np.ndarray, first: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """Probability of each label for each word, by forward-backward over each whole text."""
     n, k = scores.shape
     if not n:
         return np.zeros((0, k))
-    p = np.exp(scores.astype(np.float64) - scores.max(axis=1, keepdims=True))
-    t = np.exp(trans - trans.max())
-    size = np.diff(first)
-    chunks = -(-size // _CHUNK)
-    begin = np.append(0, np.cumsum(chunks))
-    owner = np.repeat(np.arange(len(size)), chunks)
-    nth = np.arange(begin[-1]) - begin[owner]
-    lo = first[owner] + nth * _CHUNK
-    length = np.minimum(first[owner + 1] - lo, _CHUNK)
-    order = np.argsort(-length, kind="stable")
-    lo_s, length_s = lo[order], length[order]
-    live = [int(np.searchsorted(-length_s, -i, "left")) for i in range(int(length_s[0]))]
-    m = np.tile(np.eye(k), (len(lo), 1, 1))
-    for i, c in enumerate(live):
-        new = (m[:c] @ t) * p[lo_s[:c] + i][:, None, :]
-        m[:c] = new / new.sum(axis=(1, 2), keepdims=True)
-    transfer = np.empty_like(m)
-    transfer[order] = m
-    # across chunks, all texts side by side; before a text: what the first transition turns into ones
-    ahead, back = np.empty((len(lo), k)), np.ones((len(lo), k))
-    ahead[begin[:-1][chunks > 0]] = np.linalg.solve(t.T, np.ones(k))
-    texts = np.argsort(-chunks, kind="stable")
-    counts = -chunks[texts]
-    for i in range(1, int(chunks.max())):
-        c = begin[texts[: np.searchsorted(counts, -i, "left")]] + i
-        v = np.einsum("ci,cij->cj", ahead[c - 1], transfer[c - 1])
-        ahead[c] = v / np.abs(v).sum(axis=1, keepdims=True)
-        c = begin[texts[: np.searchsorted(counts, -i, "left")] + 1] - 1 - i
-        v = np.einsum("cij,cj->ci", transfer[c + 1], back[c + 1])
-        back[c] = v / v.sum(axis=1, keepdims=True)
-    # within chunks
-    alpha = np.empty((n, k))
-    v = ahead[order]
-    for i, c in enumerate(live):
-        at = lo_s[:c] + i
-        new = (v[:c] @ t) * p[at]
-        v[:c] = alpha[at] = new / new.sum(axis=1, keepdims=True)
-    v = back[order]
-    for i in range(len(live) - 1, -1, -1):
-        c = live[i]
-        at = lo_s[:c] + i
-        alpha[at] *= v[:c]
-        new = (p[at] * v[:c]) @ t.T
-        v[:c] = new / new.sum(axis=1, keepdims=True)
-    return alpha / alpha.sum(axis=1, keepdims=True)
+    ones = np.ones((len(first) - 1, k))
+    return _Chunks(scores, first, trans, False).marginals(ones, ones)
 
 
 class Crf:
@@ -130,15 +155,52 @@ class Crf:
     def __init__(self, labels: list[str], weights: np.ndarray, trans: np.ndarray):
         self.labels, self.weights, self.trans = labels, weights, trans
 
+    def word_labels(self, text: str) -> list[str]:
+        """The most probable label of each word of a text, which may change languages."""
+        t = Tokens(*strings(pa.array([text], pa.large_string())))
+        return [self.labels[i] for i in marginals(emissions(self.weights, t), t.first, self.trans).argmax(axis=1)]
+
     def predict(self, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
         """Label with the largest share of each text's words, and that share; words count by their probabilities."""
-        k = len(self.labels)
-        total = np.zeros((t.n_docs, k))
         probs = marginals(emissions(self.weights, t), t.first, self.trans)
-        np.add.at(total, t.doc, probs)
-        share = total / np.maximum(np.diff(t.first), 1)[:, None]
+        share = np.stack([np.bincount(t.doc, probs[:, c], t.n_docs) for c in range(len(self.labels))], axis=1)
+        share /= np.maximum(np.diff(t.first), 1)[:, None]
         return share.argmax(axis=1), share.max(axis=1)
 
+    def predict_long(self, parts: list[np.ndarray]) -> tuple[int, float]:
+        """:meth:`predict` for one text in pieces, of which one at a time is held; they are read twice, for the vectors between them and for the words."""
+        k = len(self.labels)
+
+        def chunks(i: int) -> _Chunks | None:
+            t = Tokens(parts[i], np.array([0, len(parts[i])]))
+            return _Chunks(emissions(self.weights, t), t.first, self.trans, goes_on=i > begun) if len(t.doc) else None
+
+        begun = next((i for i, x in enumerate(parts) if len(Tokens(x, np.array([0, len(x)])).doc)), len(parts))
+        whole = []
+        for i in range(len(parts)):
+            m = np.eye(k)
+            if c := chunks(i):
+                for x in c.transfer:
+                    m = m @ x
+                    m /= m.sum()
+            whole.append(m)
+        ahead, back = [np.ones(k)], [np.ones(k)]
+        for m in whole[:-1]:
+            v = ahead[-1] @ m
+            ahead.append(v / v.sum())
+        for m in whole[:0:-1]:
+            v = m @ back[-1]
+            back.append(v / v.sum())
+        back.reverse()
+        total, n = np.zeros(k), 0
+        for i in range(len(parts)):
+            if c := chunks(i):
+                probs = c.marginals(ahead[i][None], back[i][None])
+                total += probs.sum(axis=0)
+                n += len(probs)
+        share = total / max(n, 1)
+        return int(share.argmax()), float(share.max())
+
 
 def fit(texts: list[str], labels: list[str], rounds: int = 4, seed: int = 7) -> Crf | None:
     """Fit by stochastic gradients of the likelihood of short sequences of words.
@@ -230,8 +292,10 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Fit on a sample of labelled rows that are not held out; None without any.
 
     The sample takes about ``per_language`` rows of each language by a hash of
-    their ids, at most SAMPLE rows and SAMPLE_BYTES of text, which the languages
-    share evenly; rows are whole.  Only the MOST_LANGUAGES most frequent are learned.
+    their ids, of each the first SAMPLE_CHARACTERS, at most SAMPLE rows and
+    SAMPLE_BYTES of text, which the languages share evenly.  Only the
+    MOST_LANGUAGES most frequent are learned.  These bounds hold for the sample
+    alone; predictions read whole texts.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("id"))
     sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
@@ -241,27 +305,43 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     share = F.lit(0)
     for r in sizes:
         share = F.when(F.col("lang") == r["lang"], F.lit(min(1 << 30, int((1 << 30) * per_language / r["count"]) + 1))).otherwise(share)
-    few = rows.where(h < share).select("lang", "text", h.alias("h"))
+    few = rows.where(h < share).select("lang", F.substring("text", 1, SAMPLE_CHARACTERS).alias("text"), h.alias("h"))
     # languages take turns, so that the bounds leave each as many rows as the others
     turn = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
     kept = few.withColumn("turn", turn).orderBy("turn", "h", "text").limit(SAMPLE).toLocalIterator()
     texts, langs, size = [], [], 0
     for r in kept:
-        if size + len(r["text"]) <= SAMPLE_BYTES:
-            texts.append(r["text"])
-            langs.append(r["lang"])
-            size += len(r["text"])
+        size += len(r["text"].encode())
+        if size > SAMPLE_BYTES and len(set(langs)) == len(sizes):
+            break
+        texts.append(r["text"])
+        langs.append(r["lang"])
     return fit(texts, langs)
 
 
+def _lettered(data: np.ndarray) -> bool:
+    return bool(_LETTER[data].any()) or any(c.isalpha() for c in data.tobytes().decode("utf-8", "ignore"))
+
+
 def _labelled(batches: Iterator[pa.RecordBatch], text: str, model: Crf | None) -> Iterator[tuple[pa.RecordBatch, list[str], np.ndarray]]:
     """Rows with the label and the score of each."""
-    for batch, t in tokens_of(batches, text, SLICE):
+    parts: list[np.ndarray] = []
+    for batch, data, offsets, nth, last in pieces(batches, text, SLICE, b" \t\n\v\f\r"):
+        if nth or not last:
+            parts.append(data[offsets[0] : offsets[-1]])
+            if not last:
+                continue
+            ok = model is not None and any(_lettered(x) for x in parts)
+            best, share = model.predict_long(parts) if ok else (0, 0.0)
+            parts = []
+            yield batch, [model.labels[best] if ok else "und"], np.clip([share], 0, 1)
+            continue
+        t = Tokens(data, offsets)
         total = np.zeros(len(t._data) + 1, np.int64)
         np.cumsum(_LETTER[t._data], out=total[1:])
         lettered = total[t._offs[1:]] > total[t._offs[:-1]]
         for i in np.flatnonzero(~lettered).tolist():
-            lettered[i] = any(c.isalpha() for c in batch.column(text)[i].as_py() or "")
+            lettered[i] = _lettered(t._data[t._offs[i] : t._offs[i + 1]])
         if model is None:
             best, share = np.zeros(t.n_docs, np.int64), np.zeros(t.n_docs)
             lettered[:] = False
@@ -275,8 +355,11 @@ def identify(docs: DataFrame, crf: Crf | None, id_col: str = "doc_id", text_col:
     """``doc_id``, ``held_out``, ``lang_pred``, ``score`` of every whole text.
 
     A text that is null or has no letter is ``und`` with score 0, as is every
-    text without a model.  Rows with null or repeated ids are labelled like any
-    other; a null id is not held out.
+    text without a model; where two labels tie, the first in their order is
+    given.  Rows with null or repeated ids are labelled like any other; a null id
+    is not held out.  A very long text is read in pieces, forward and backward
+    over all of them.  An empty table gives no rows; further columns, whatever
+    their names, are not looked at.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
     sent = docs.sparkSession.sparkContext.broadcast(crf)
@@ -286,13 +369,14 @@ def identify(docs: DataFrame, crf: Crf | None, id_col: str = "doc_id", text_col:
             yield table_of(schema, doc_id=batch.column("doc_id"), held_out=batch.column("held_out"), lang_pred=labels, score=score)
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(work, "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(tidy(work), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, crf: Crf | None, least: float = 0.4, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text has a language: neither ``und`` nor a score below ``least``.
 
-    Columns are those of ``docs``; nothing is shuffled.
+    Columns are those of ``docs``; nothing is shuffled.  Null, empty, repeated and
+    very long texts are taken as by :func:`identify`.
     """
     sent = docs.sparkSession.sparkContext.broadcast(crf)
 
@@ -300,4 +384,4 @@ def keep_identified(docs: DataFrame, crf: Crf | None, least: float = 0.4, text_c
         for batch, labels, score in _labelled(batches, text_col, sent.value):
             yield batch.filter(pa.array((np.array(labels, object) != "und") & (score >= least)))
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.mapInArrow(tidy(work), docs.schema)
