@@ -12,10 +12,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._core import slices, tidy
+
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Words whose ids a worker remembers, in each of two generations.
-MEMORY = 300_000
+#: Words whose ids a worker remembers, in each of two generations: about 10 MB each.
+MEMORY = 60_000
+#: Pairs of pieces that a worker remembers to fit or not: about 40 MB.
+PAIRS = 300_000
+#: Characters of a text that are split into words at a time.
+LONG = 1 << 18
+#: Ids that are turned into bytes at a time.
+_IDS = 1 << 18
 #: Words over this many characters are not remembered.
 LONGEST_KEPT = 64
 
@@ -119,7 +127,7 @@ class PieceModel:
         key = (left, right)
         found = self._pairs.get(key)
         if found is None:
-            if len(self._pairs) > 2_000_000:
+            if len(self._pairs) >= PAIRS:
                 self._pairs.clear()
             found = self._pairs[key] = self.merged(left + right) == ([left, right] if left else [right])
         return found
@@ -186,17 +194,31 @@ class PieceModel:
         """Ids of a text as 32-bit integers."""
         if not text:
             return b""
-        escaped = (SPACE if self.dummy_prefix else "") + text.replace(" ", SPACE)
         young, make = self._young, self._word
-        out = []
-        for w in self._words(escaped):
-            got = young.get(w)
-            if got is None:
-                got = make(w)
-                young = self._young
-            out.append(got)
+        out, at = [], 0
+        while at < len(text):
+            # words begin with their spaces, so a text can be cut before a run of these
+            end = text.find(" ", at + LONG)
+            while 0 < end < len(text) and text[end - 1] in (" ", SPACE):
+                end = text.find(" ", end + 1)
+            end = len(text) if end < 0 else end
+            escaped = (SPACE if self.dummy_prefix and not at else "") + text[at:end].replace(" ", SPACE)
+            ids = []
+            for w in self._words(escaped):
+                got = young.get(w)
+                if got is None:
+                    got = make(w)
+                    young = self._young
+                ids.append(got)
+            out.append(b"".join(ids))
+            at = end
         return b"".join(out)
 
+    def forget(self) -> None:
+        """Drop what was remembered of texts."""
+        self._pairs.clear()
+        self._young, self._old = {}, {}
+
     def encode(self, text: str | None) -> list[int]:
         return np.frombuffer(self.raw_ids(text or ""), np.int32).tolist()
 
@@ -209,9 +231,13 @@ class PieceModel:
             head = head[[self.kinds[i] == NORMAL for i in ids[head].tolist()]]
             place[head] += 1
             size[head] -= 1
-        stop = np.cumsum(size)
-        data = self._table[np.repeat(place - stop + size, size) + np.arange(int(stop[-1]) if len(stop) else 0)].tobytes()
-        bounds = np.append(0, stop)[ends]
+        bounds = np.append(0, np.cumsum(size))[ends]
+        parts = []
+        for i in range(0, len(ids), _IDS):
+            p, n = place[i : i + _IDS], size[i : i + _IDS]
+            stop = np.cumsum(n)
+            parts.append(self._table[np.repeat(p - stop + n, n) + np.arange(int(stop[-1]))].tobytes())
+        data = b"".join(parts)
         try:
             for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
                 data[a:b].decode()
@@ -279,22 +305,24 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     No begin or end ids, no sampling.  A null or empty text has no ids and
     decodes to the empty string; rows with null or repeated ids are encoded like
-    any other.  ``path`` must name the model file on every executor.
+    any other, each by itself.  Very long texts are split and decoded in pieces
+    that change nothing.  Further columns, whatever their names, are not looked
+    at; an empty table gives no rows.  ``path`` must name the model file on every
+    executor.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32())), ("decoded", pa.string())])
 
     def work(batches: Iterator[pa.RecordBatch]):
         m = model(path)
-        for whole in batches:
-            i = 0
-            while i < whole.num_rows:
-                batch = whole.slice(i, 128)
-                i += 128
+        try:
+            for batch, _, _ in slices(batches, "text"):
                 raw = [m.raw_ids(text) if text else b"" for text in batch.column("text").to_pylist()]
                 ends = np.append(0, np.cumsum([len(x) // 4 for x in raw])).astype(np.int32)
                 flat = np.frombuffer(b"".join(raw), np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, m.decode_batch(flat, ends)], schema=schema)
+        finally:
+            m.forget()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(work, "doc_id long, ids array<int>, decoded string")
+    return rows.mapInArrow(tidy(work), "doc_id long, ids array<int>, decoded string")
