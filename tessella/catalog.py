@@ -5,41 +5,27 @@ Keys begin with the operator's id in the survey's inventory.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import scalars as sc
 from .operators import facts, graph, infer, resolve
 from .plans import batch_check
+from .registry import ORACLE_SQL, QUERIES, query
 from .sources import builds, files, kotlin, logs
-from .sources.relations import DEFAULT_PACKAGES, load, with_relations
+from .sources.relations import DEFAULT_PACKAGES
 from .streaming import state
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
 #: In the sample, two brands stand in for packages that every file imports.
 DEFAULTS = [*DEFAULT_PACKAGES, "Brand#55", "Brand#54"]
 _DEFAULT_ROWS = ", ".join(f"('{p}', {1_000_000 + i})" for i, p in enumerate(DEFAULTS))
 
 
-def query(name: str, sql: str | None = None):
-    """Register a function of a loader of relations, and its SQL."""
-
-    def register(fn):
-        QUERIES[name] = lambda spark, sf_dir: fn(lambda r: load(spark, sf_dir, r))
-        if sql is not None:
-            ORACLE_SQL[name] = with_relations(sql)
-        return fn
-
-    return register
-
-
 _KIND_OK = """(use_kind = 'MemberSelector' OR (use_kind = 'Type' AND kind IN ('Class','Interface','Object','EnumClass','TypeAlias','TypeParameter'))
   OR (use_kind = 'Call' AND kind IN ('Function','Class','Object','EnumClass')) OR (use_kind = 'Value' AND kind IN ('Property','Object','EnumEntry','Parameter','LocalVariable')))"""
 
+_TYPE_LIST = ", ".join(f"'{k}'" for k in resolve.TYPE_LIKE)
+
 _CROSS = f"""
   al AS (SELECT path, alias, arg_min(package, ord) AS apkg, arg_min(name, ord) AS real FROM imports WHERE NOT wildcard AND alias IS NOT NULL GROUP BY path, alias),
   u AS (SELECT us.*, f.package AS own, al.apkg, coalesce(al.real, us.name) AS lookup FROM usages us JOIN file_ctx f USING (path) LEFT JOIN al ON al.path = us.path AND al.alias = us.name),
@@ -73,7 +59,7 @@ def _(t):
 
 @query("r12_references", f"WITH {_CROSS}, d AS (SELECT DISTINCT sid, path, start_byte FROM found), n AS (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY path, start_byte) AS nth FROM d) SELECT sid, path, start_byte, nth FROM n WHERE nth <= 5000")
 def _(t):
-    return resolve.references(_found(t))
+    return resolve.listed_references(_found(t))
 
 
 @query("r13_highlights", f"WITH {_CROSS}, d AS (SELECT DISTINCT sid, path, start_byte FROM found) SELECT path, sid, count(*) AS n FROM d GROUP BY path, sid")
@@ -120,24 +106,24 @@ def _(t):
 
 # ---- lookups
 
-@query("f1_lookup_by_name", "SELECT sid, package, kind FROM symbols WHERE name = 'cold_widget_0'")
+@query("f1_lookup_by_name", "SELECT w.name, s.sid, s.package, s.kind FROM (SELECT DISTINCT name FROM usages WHERE n_args = 0) w JOIN symbols s USING (name)")
 def _(t):
-    return t("symbols").where("name = 'cold_widget_0'").select("sid", "package", "kind")
+    return facts.named(t("symbols"), t("usages").where("n_args = 0").select("name")).select("name", "sid", "package", "kind")
 
 
-@query("f2_type_lookup", "SELECT sid, name FROM symbols WHERE kind IN ('Class','Interface','Object','EnumClass','TypeAlias','TypeParameter')")
+@query("f2_type_lookup", "SELECT w.name, s.sid FROM (SELECT DISTINCT name FROM usages WHERE use_kind = 'Type') w JOIN symbols s USING (name) WHERE s.kind IN ('Class','Interface','Object','EnumClass','TypeAlias','TypeParameter')")
 def _(t):
-    return facts.types_named(t("symbols")).select("sid", "name")
+    return facts.types_named(facts.named(t("symbols"), t("usages").where("use_kind = 'Type'").select("name"))).select("name", "sid")
 
 
 @query("f3_members", "SELECT container, package, count(*) AS n, string_agg(concat('', sid), ',' ORDER BY sid) AS sids FROM symbols WHERE container IS NOT NULL GROUP BY container, package")
 def _(t):
-    return t("symbols").where("container is not null").groupBy("container", "package").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("sid")), ",").alias("sids"))
+    return facts.members_by_container(t("symbols"))
 
 
 @query("f4_extensions", "SELECT ext_receiver, count(*) AS n, min(sid) AS first_sid FROM symbols WHERE ext_receiver IS NOT NULL GROUP BY ext_receiver")
 def _(t):
-    return t("symbols").where("ext_receiver is not null").groupBy("ext_receiver").agg(F.count("*").alias("n"), F.min("sid").alias("first_sid"))
+    return facts.extensions_by_receiver(t("symbols"))
 
 
 @query("f5_first_type", "SELECT package, container, value_type FROM (SELECT *, row_number() OVER (PARTITION BY package, container ORDER BY path, start_byte, sid) AS r FROM symbols WHERE value_type IS NOT NULL) WHERE r = 1")
@@ -147,30 +133,28 @@ def _(t):
 
 @query("f6_direct_supertypes", "SELECT sub, count(DISTINCT sup) AS n, min(sup) AS least FROM type_edges GROUP BY sub")
 def _(t):
-    return t("type_edges").distinct().groupBy("sub").agg(F.count("*").alias("n"), F.min("sup").alias("least"))
+    return facts.direct(t("type_edges"), "sub", "sup")
 
 
-@query("f7_prefix", "SELECT sid, name FROM symbols WHERE starts_with(name, 'co') AND container IS NULL")
+@query("f7_prefix", "SELECT w.prefix, s.sid, s.name FROM (SELECT DISTINCT substr(p_name, 1, CAST(p_partkey % 9 AS INT) + 1) AS prefix FROM part) w JOIN symbols s ON starts_with(s.name, w.prefix) AND s.container IS NULL")
 def _(t):
-    return t("symbols").where(F.col("name").startswith("co") & F.col("container").isNull()).select("sid", "name")
+    asked = t("part").select(F.substring(F.col("p_name"), F.lit(1), (F.col("p_partkey") % 9 + 1).cast("int")).alias("prefix"))
+    return facts.prefixed(t("symbols").where("container is null"), asked).select("prefix", "sid", "name")
 
 
 @query("f8_references_by_name", "SELECT name, count(*) AS n, min(path) AS first_path FROM usages GROUP BY name")
 def _(t):
-    return t("usages").groupBy("name").agg(F.count("*").alias("n"), F.min("path").alias("first_path"))
+    return facts.reference_counts(t("usages"))
 
 
 @query("f9_exact_span", "SELECT a.sid, b.name FROM symbols a JOIN symbols b ON a.path = b.path AND a.start_byte = b.start_byte AND a.end_byte = b.end_byte")
 def _(t):
-    a, b = t("symbols").select("sid", "path", "start_byte", "end_byte"), t("symbols").select("path", "start_byte", "end_byte", "name")
-    return a.join(b, ["path", "start_byte", "end_byte"]).select("sid", "name")
+    return facts.at_span(t("symbols").select("sid", "path", "start_byte", "end_byte"), t("symbols"))
 
 
 @query("f10_entries_in_order", "SELECT path, sid, row_number() OVER (PARTITION BY path ORDER BY start_byte, end_byte, name) AS nth FROM symbols")
 def _(t):
-    from pyspark.sql import Window
-
-    return t("symbols").select("path", "sid", F.row_number().over(Window.partitionBy("path").orderBy("start_byte", "end_byte", "name")).alias("nth"))
+    return facts.in_order(t("symbols")).select("path", "sid", "nth")
 
 
 @query("f12_c9_workspace_symbols", "SELECT sid, name, concat_ws('.', package, container) AS detail FROM symbols WHERE contains(lower(name), 'wid') OR contains(lower(concat_ws('.', package, container)), 'wid') ORDER BY CASE WHEN tier = 'Volatile' THEN 0 ELSE 1 END, length(name), lower(name), package, path, start_byte LIMIT 200")
@@ -184,37 +168,46 @@ def _(t):
   UNION ALL SELECT i.path, s.sid FROM imports i JOIN symbols s ON s.package = i.package WHERE i.wildcard
   UNION ALL SELECT f.path, s.sid FROM file_ctx f JOIN symbols s ON s.package IN ({", ".join(f"'{p}'" for p in DEFAULT_PACKAGES)})) GROUP BY sid""")
 def _(t):
-    return facts.visible(t("symbols"), t("file_ctx"), t("imports"), DEFAULT_PACKAGES).groupBy("sid").agg(F.count("*").alias("n"))
+    return facts.visible_files(t("symbols"), t("file_ctx"), t("imports"), DEFAULT_PACKAGES)
 
 
 @query("f15_extension_visibility", "SELECT DISTINCT i.path, s.sid FROM imports i JOIN symbols s ON s.package = i.package AND s.ext_receiver IS NOT NULL AND (i.wildcard OR (i.alias IS NULL AND i.name = s.name)) UNION SELECT f.path, s.sid FROM file_ctx f JOIN symbols s ON s.package = f.package WHERE s.ext_receiver IS NOT NULL")
 def _(t):
-    s = t("symbols").where("ext_receiver is not null").select("sid", "package", F.col("name").alias("sname"))
-    by_import = t("imports").join(s, "package").where("wildcard or (alias is null and name = sname)").select("path", "sid")
-    return by_import.unionByName(t("file_ctx").join(s, "package").select("path", "sid")).distinct()
+    return facts.visible_extensions(t("symbols"), t("file_ctx"), t("imports"))
+
 
+_KEYWORD_LIST = ", ".join(f"'{k}'" for k in resolve.KEYWORDS)
+_IDENTIFIER = f"regexp_full_match({{0}}, '[\\p{{{{L}}}}_][\\p{{{{L}}}}\\p{{{{N}}}}_]*') AND {{0}} NOT IN ({_KEYWORD_LIST})"
 
-@query("f19_valid_identifier", "SELECT sid, regexp_matches(name, '^[A-Za-z_][A-Za-z0-9_]*$') AND name NOT IN ('class', 'fun', 'val', 'var', 'object') AS ok FROM symbols")
+
+@query("f19_valid_identifier", f"SELECT sid, new_name, {_IDENTIFIER.format('new_name')} AS ok FROM new_names")
 def _(t):
-    return t("symbols").select("sid", (F.col("name").rlike("^[A-Za-z_][A-Za-z0-9_]*$") & ~F.col("name").isin("class", "fun", "val", "var", "object")).alias("ok"))
+    return t("new_names").select("sid", "new_name", resolve.is_identifier("new_name").alias("ok"))
 
 
-@query("f20_range_intersection", "SELECT file, ord FROM edits WHERE start_byte <= 20 AND end_byte >= 10")
+@query("f20_range_intersection", "SELECT e.file, e.ord, r.lo FROM edits e JOIN (SELECT conv_id AS file, min(turn) * 7 + 2 AS lo, max(turn) * 5 + 2 AS hi FROM conversations GROUP BY conv_id) r ON r.file = e.file AND e.start_byte <= r.hi AND e.end_byte >= r.lo")
 def _(t):
-    return t("edits").where("start_byte <= 20 and end_byte >= 10").select("file", "ord")
+    asked = t("conversations").groupBy(F.col("conv_id").alias("file")).agg((F.min("turn") * 7 + 2).alias("lo"), (F.max("turn") * 5 + 2).alias("hi"))
+    return facts.intersecting(t("edits"), asked).select("file", "ord", "lo")
+
+
+_PARENT = "concat(split_part(package, '#', 1), CASE WHEN ord % 3 = 0 THEN '' ELSE concat('.', split_part(package, '#', 2)) END)"
 
 
-@query("f21_package_relevance", "SELECT DISTINCT package, package = 'Brand#13' OR starts_with(package, 'Brand#13.') OR starts_with('Brand#13', concat(package, '.')) AS relevant FROM symbols")
+@query("f21_package_relevance", f"SELECT path, ord, asked = have OR starts_with(asked, concat(have, '.')) OR starts_with(have, concat(asked, '.')) AS relevant FROM (SELECT i.path, i.ord, concat('Brand.', split_part(f.package, '#', 2)) AS asked, {_PARENT.replace('package', 'i.package').replace('ord', 'i.ord')} AS have FROM imports i JOIN file_ctx f ON f.path = i.path)")
 def _(t):
-    p = F.col("package")
-    return t("symbols").select("package", ((p == "Brand#13") | p.startswith("Brand#13.") | F.startswith(F.lit("Brand#13"), F.concat(p, F.lit(".")))).alias("relevant")).distinct()
+    part = lambda c, i: F.element_at(F.split(c, "#"), i)
+    have = F.concat(part(F.col("package"), 1), F.when(F.col("ord") % 3 == 0, "").otherwise(F.concat(F.lit("."), part(F.col("package"), 2))))
+    own = t("file_ctx").select("path", F.concat(F.lit("Brand."), part(F.col("package"), 2)).alias("asked"))
+    return t("imports").select("path", "ord", have.alias("have")).join(own, "path").select("path", "ord", facts.related_packages(F.col("asked"), F.col("have")).alias("relevant"))
 
 
 # ---- joins and closures
 
 @query("j4_enclosing", "SELECT d.path, d.pre AS d_pre, count(*) AS n, max(a.depth) AS deepest FROM nodes d JOIN nodes a ON a.path = d.path AND a.pre < d.pre AND a.post > d.post WHERE d.kind = 'identifier' GROUP BY d.path, d.pre")
 def _(t):
-    return graph.enclosing(t("nodes"), "identifier").groupBy("path", "d_pre").agg(F.count("*").alias("n"), F.max("depth").alias("deepest"))
+    a = graph.ancestors(t("nodes"), "identifier").where(F.size("around") > 0)
+    return a.select("path", F.col("pre").alias("d_pre"), F.size("around").cast("long").alias("n"), F.array_max(F.transform("around", lambda x: x["depth"])).alias("deepest"))
 
 
 @query("j5_innermost", "SELECT path, d_pre, ref, depth FROM (SELECT d.path, d.pre AS d_pre, a.ref, a.depth, row_number() OVER (PARTITION BY d.path, d.pre ORDER BY a.depth DESC) AS r FROM nodes d JOIN nodes a ON a.path = d.path AND a.pre < d.pre AND a.post > d.post WHERE d.kind = 'identifier' AND a.kind IN ('function', 'file')) WHERE r = 1")
@@ -234,22 +227,22 @@ def _(t):
 
 @query("j8_h2_subtypes", "SELECT sup, count(DISTINCT sub) AS n, min(sub) AS least FROM type_edges GROUP BY sup")
 def _(t):
-    return t("type_edges").distinct().groupBy("sup").agg(F.count("*").alias("n"), F.min("sub").alias("least"))
+    return facts.direct(t("type_edges"), "sup", "sub")
 
 
 @query("j9_supertype_closure", """WITH RECURSIVE walk(src, node, depth) AS (SELECT p_partkey, p_partkey, 0 FROM part
   UNION SELECT w.src, e.sup, w.depth + 1 FROM walk w JOIN type_edges e ON e.sub = w.node WHERE w.depth < 32)
   SELECT src, node, min(depth) AS depth FROM walk GROUP BY src, node""")
 def _(t):
-    return graph.closure(t("part").select(F.col("p_partkey").alias("src")), t("type_edges"))
+    return graph.closure(t("part").select(F.col("p_partkey").alias("src")), t("type_edges"), 32)
 
 
 @query("j10_subtype_test", """WITH RECURSIVE walk(src, node, depth) AS (SELECT p_partkey, p_partkey, 0 FROM part
   UNION SELECT w.src, e.sup, w.depth + 1 FROM walk w JOIN type_edges e ON e.sub = w.node WHERE w.depth < 32)
-  SELECT p.p_partkey AS src, EXISTS (SELECT 1 FROM walk w WHERE w.src = p.p_partkey AND w.node = 3) AS is_subtype FROM part p""")
+  SELECT p.p_partkey AS src, p.p_size AS target, EXISTS (SELECT 1 FROM walk w WHERE w.src = p.p_partkey AND w.node = p.p_size) AS is_subtype FROM part p""")
 def _(t):
-    seeds = t("part").select(F.col("p_partkey").alias("src"))
-    return graph.closure(seeds, t("type_edges")).groupBy("src").agg(F.max(F.col("node") == 3).alias("is_subtype"))
+    asked = t("part").select(F.col("p_partkey").alias("src"), F.col("p_size").alias("target"))
+    return graph.is_subtype(asked, graph.closure(asked.select("src"), t("type_edges"), 32))
 
 
 # ---- diagnostics
@@ -259,7 +252,7 @@ def _(t):
     return facts.unused_imports(t("imports"), t("usages"))
 
 
-@query("d3_duplicates", """SELECT sid, name, nth FROM (SELECT *, row_number() OVER (PARTITION BY package, container, k, name, ext_receiver ORDER BY start_byte) AS nth FROM
+@query("d3_duplicates", """SELECT sid, name, nth FROM (SELECT *, row_number() OVER (PARTITION BY path, container, k, name, ext_receiver ORDER BY start_byte, sid) AS nth FROM
   (SELECT *, CASE WHEN kind IN ('Class','Interface','Object','EnumClass','TypeAlias','TypeParameter') THEN 'classifier' WHEN kind IN ('Property','EnumEntry') THEN kind END AS k FROM symbols) WHERE k IS NOT NULL) WHERE nth > 1""")
 def _(t):
     return facts.duplicate_declarations(t("symbols"))
@@ -272,23 +265,20 @@ def _(t):
 
 @query("d7_overloads", "SELECT a.sid, count(DISTINCT b.sid) AS n FROM symbols a JOIN symbols b ON a.name = b.name AND b.kind = 'Function' AND (a.package = b.package AND b.container IS NULL OR a.path = b.path AND a.container IS NOT DISTINCT FROM b.container) WHERE a.kind = 'Function' GROUP BY a.sid")
 def _(t):
-    f = t("symbols").where("kind = 'Function'").select("sid", "name", "package", "container", "path")
-    a, b = f.alias("a"), f.alias("b")
-    j = a.join(b, F.col("a.name") == F.col("b.name")).where("a.package = b.package and b.container is null or a.path = b.path and a.container <=> b.container")
-    return j.groupBy(F.col("a.sid").alias("sid")).agg(F.countDistinct("b.sid").alias("n"))
+    return facts.overloads(t("symbols"))
 
 
 @query("d8_unresolved_imports", "SELECT path, ord FROM imports i WHERE NOT wildcard AND NOT EXISTS (SELECT 1 FROM symbols s WHERE s.package = i.package AND s.name = i.name AND s.kind IN ('Class','Interface','Object','EnumClass','TypeAlias','TypeParameter'))")
 def _(t):
-    return t("imports").where("not wildcard").join(facts.types_named(t("symbols")).select("package", "name"), ["package", "name"], "left_anti").select("path", "ord")
+    return facts.unresolved_imports(t("imports"), t("symbols"))
 
 
 # ---- completion
 
-@query("c4_rank", """SELECT qid, nth, sort_key, n > 20 AS is_incomplete FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sort_key, kind, coalesce(container, '')) AS nth, count(*) OVER (PARTITION BY qid) AS n FROM
-  (SELECT *, concat(CASE WHEN starts_with(name, 'co') THEN '0' ELSE '1' END, CASE WHEN tier = 'Volatile' THEN '0' ELSE '1' END, lpad(CAST(length(name) AS VARCHAR), 4, '0'), lower(name), package) AS sort_key FROM candidates)) WHERE nth <= 20""")
+@query("c4_rank", """SELECT qid, nth, sort_key, n > 1000 AS is_incomplete FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY sort_key, kind, coalesce(container, '')) AS nth, count(*) OVER (PARTITION BY qid) AS n FROM
+  (SELECT *, concat(CASE WHEN starts_with(name, prefix) THEN '0' ELSE '1' END, CASE WHEN tier = 'Volatile' THEN '0' ELSE '1' END, lpad(CAST(length(name) AS VARCHAR), 4, '0'), lower(name), package) AS sort_key FROM candidates)) WHERE nth <= 1000""")
 def _(t):
-    return facts.rank_candidates(t("candidates"), "co", 20)
+    return facts.rank_candidates(t("candidates"), F.col("prefix"))
 
 
 @query("c2_scope_candidates", "SELECT qid, name, package, tier, kind FROM (SELECT *, row_number() OVER (PARTITION BY qid, name ORDER BY tier DESC, package, kind, coalesce(container, '')) AS r FROM candidates) WHERE r = 1")
@@ -310,14 +300,15 @@ def _(t):
   top AS (SELECT name, min(package) AS package FROM symbols WHERE container IS NULL GROUP BY name HAVING count(DISTINCT package) = 1)
   SELECT u.path, concat(top.package, '.', u.name) AS fqn FROM (SELECT DISTINCT path, name FROM usages) u JOIN top USING (name) WHERE NOT EXISTS (SELECT 1 FROM seen WHERE seen.path = u.path AND seen.name = u.name)""")
 def _(t):
-    return facts.single_imports(t("usages"), facts.visible(t("symbols"), t("file_ctx"), t("imports"), DEFAULT_PACKAGES), t("symbols"))
+    return facts.single_imports(t("usages"), t("file_ctx"), t("imports"), t("symbols"), DEFAULT_PACKAGES)
 
 
 # ---- hierarchy and calls
 
-@query("h1_implementations", "SELECT DISTINCT a.sid AS target, b.sid AS impl FROM type_edges e JOIN symbols a ON a.sid = e.sup JOIN symbols b ON b.sid = e.sub WHERE a.kind = b.kind AND a.max_arity = b.max_arity AND a.value_type IS NOT DISTINCT FROM b.value_type")
+@query("h1_implementations", f"""SELECT a.sid AS target, b.sid AS impl FROM type_edges e JOIN symbols a ON a.sid = e.sup JOIN symbols b ON b.sid = e.sub WHERE a.kind IN ({_TYPE_LIST}) AND b.kind IN ({_TYPE_LIST})
+  UNION SELECT a.sid, b.sid FROM type_edges e JOIN member_decls a ON a.owner = e.sup JOIN member_decls b ON b.owner = e.sub WHERE a.name = b.name AND a.kind = b.kind AND (a.kind = 'Property' OR a.params = b.params)""")
 def _(t):
-    return facts.implementations(t("symbols"), t("type_edges"))
+    return facts.implementations(t("symbols"), t("type_edges"), t("member_decls"))
 
 
 _CALLS = "SELECT d.path, d.pre, d.ref AS callee, a.ref AS caller FROM nodes d JOIN nodes a ON a.path = d.path AND a.pre < d.pre AND a.post > d.post WHERE d.kind = 'identifier' AND a.kind = 'function'"
@@ -346,10 +337,10 @@ def _(t):
     return facts.overlapping_edits(t("edits"))
 
 
-@query("x3_rename", f"WITH {_CROSS} SELECT f.path, f.start_byte, f.start_byte + length(s.name) AS end_byte, concat('renamed_', s.sid) AS new_text FROM (SELECT DISTINCT path, start_byte, sid FROM found) f JOIN symbols s USING (sid) WHERE s.tier = 'Volatile'")
+@query("x3_rename", f"""WITH {_CROSS}, d AS (SELECT DISTINCT path, start_byte, sid FROM found), few AS (SELECT sid FROM d GROUP BY sid HAVING count(*) <= 5000)
+  SELECT d.path, d.start_byte, d.start_byte + length(s.name) AS end_byte, n.new_name AS new_text FROM d JOIN few USING (sid) JOIN symbols s USING (sid) JOIN new_names n USING (sid) WHERE s.tier = 'Volatile' AND {_IDENTIFIER.format('n.new_name')}""")
 def _(t):
-    s = t("symbols").where("tier = 'Volatile'").select("sid", "name")
-    return resolve.references(_found(t)).join(s, "sid").select("path", "start_byte", (F.col("start_byte") + F.length("name")).alias("end_byte"), F.concat(F.lit("renamed_"), "sid").alias("new_text"))
+    return resolve.rename(_found(t), t("symbols"), t("new_names"))
 
 
 @query("x4_organize_imports", "SELECT path, string_agg(line, chr(10) ORDER BY line) AS block FROM (SELECT DISTINCT path, concat('import ', package, CASE WHEN wildcard THEN '.*' ELSE concat('.', name) END, CASE WHEN alias IS NOT NULL THEN concat(' as ', alias) ELSE '' END) AS line FROM imports) GROUP BY path")
@@ -379,7 +370,15 @@ def _(t):
     return facts.telemetry_summary(t("telemetry"))
 
 
-@query("a6_version_selection", "SELECT grp, artifact, version, ord, CASE WHEN row_number() OVER (PARTITION BY grp, artifact ORDER BY CAST(split_part(version, '.', 1) AS BIGINT) DESC, CAST(split_part(version, '.', 2) AS BIGINT) DESC, ord) = 1 THEN 'Selected' ELSE 'ShadowedBy' END AS decision FROM coordinates")
+_VERSION_KEY = "list_transform(string_split_regex(version, '[.\\-_]'), lambda x: {'t': CASE WHEN try_cast(x AS UBIGINT) IS NULL THEN 1 ELSE 0 END, 'n': coalesce(try_cast(x AS UBIGINT), 0), 'w': CASE WHEN try_cast(x AS UBIGINT) IS NULL THEN x ELSE '' END})"
+
+
+@query("l4_version_order", "SELECT ord, rank() OVER (PARTITION BY grp, artifact ORDER BY " + _VERSION_KEY + ") AS nth FROM coordinates")
+def _(t):
+    return facts.version_order(t("coordinates"))
+
+
+@query("a6_version_selection", "SELECT grp, artifact, version, ord, CASE WHEN row_number() OVER (PARTITION BY grp, artifact ORDER BY " + _VERSION_KEY + " DESC, ord) = 1 THEN 'Selected' ELSE 'ShadowedBy' END AS decision FROM coordinates")
 def _(t):
     return facts.selected_versions(t("coordinates"))
 
@@ -407,25 +406,17 @@ def _(t):
 
 @query("o4_set_difference", "SELECT DISTINCT package FROM file_ctx WHERE clean EXCEPT SELECT package FROM file_ctx WHERE NOT clean")
 def _(t):
-    f = t("file_ctx")
-    return f.where("clean").select("package").subtract(f.where("not clean").select("package"))
+    return facts.only_in(t("file_ctx").where("clean").select("package"), t("file_ctx").where("not clean").select("package"))
 
 
 @query("w3_token_order", "SELECT path, pre, row_number() OVER (PARTITION BY path ORDER BY pre, post, CASE kind WHEN 'file' THEN 0 WHEN 'class' THEN 1 WHEN 'function' THEN 2 ELSE 3 END) AS nth FROM nodes")
 def _(t):
-    from pyspark.sql import Window
-
-    rank = F.when(F.col("kind") == "file", 0).when(F.col("kind") == "class", 1).when(F.col("kind") == "function", 2).otherwise(3)
-    return t("nodes").select("path", "pre", F.row_number().over(Window.partitionBy("path").orderBy("pre", "post", rank)).alias("nth"))
+    return facts.token_order(t("nodes"))
 
 
 @query("e16_line_runs", "SELECT file, min(ord) AS first_line, max(ord) AS last_line FROM (SELECT conv_id AS file, turn AS ord, turn - row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS island FROM conversations WHERE length(text) < 300) GROUP BY file, island HAVING count(*) > 1")
 def _(t):
-    from pyspark.sql import Window
-
-    runs = t("conversations").where("length(text) < 300").select(F.col("conv_id").alias("file"), F.col("turn").alias("ord"))
-    runs = runs.withColumn("island", F.col("ord") - F.row_number().over(Window.partitionBy("file").orderBy("ord")))
-    return runs.groupBy("file", "island").agg(F.min("ord").alias("first_line"), F.max("ord").alias("last_line"), F.count("*").alias("n")).where("n > 1").select("file", "first_line", "last_line")
+    return facts.line_runs(t("conversations").where("length(text) < 300").select(F.col("conv_id").alias("file"), F.col("turn").alias("ord")))
 
 
 # ---- scalar functions
@@ -437,8 +428,7 @@ def _(t):
 
 @query("e13_related_scopes", "SELECT sid, split_part(path, '/', 3) AS source_set FROM symbols UNION SELECT sid, 'commonMain' FROM symbols WHERE split_part(path, '/', 3) LIKE '%Main'")
 def _(t):
-    s = sc.source_set_of(F.col("path"))
-    return t("symbols").select("sid", F.explode(F.array_distinct(F.when(s.endswith("Main"), F.array(s, F.lit("commonMain"))).otherwise(F.array(s)))).alias("source_set"))
+    return t("symbols").select("sid", F.explode(sc.related_source_sets(F.col("path"))).alias("source_set"))
 
 
 @query("e14_detail", "SELECT sid, concat_ws('.', package, container) AS detail FROM symbols")
@@ -446,9 +436,15 @@ def _(t):
     return t("symbols").select("sid", facts.detail().alias("detail"))
 
 
-@query("l1_position", "SELECT conv_id, turn, len(regexp_extract_all(regexp_replace(substr(hex(encode(text)), 1, 800), '(..)', '\\1 ', 'g'), '0A ')) AS line FROM conversations")
+_PLACES = "SELECT conv_id, turn, text, o, substr(text, 1, CAST(o AS INT)) AS head FROM conversations, LATERAL (SELECT unnest(generate_series(0, length(text), 41)) AS o)"
+
+
+@query("l1_position", f"""SELECT conv_id, turn, strlen(head) AS byte, CAST(length(head) - length(replace(head, chr(10), '')) AS INT) AS line, CAST(length(regexp_extract(head, '[^\n]*$')) + length(regexp_replace(regexp_extract(head, '[^\n]*$'), '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')) AS INT) AS col FROM ({_PLACES})""")
 def _(t):
-    return t("conversations").select("conv_id", "turn", sc.line_of(F.col("text"), F.lit(400)).cast("bigint").alias("line"))
+    c = t("conversations").select("conv_id", "turn", "text", F.explode(F.sequence(F.lit(0), F.length("text"), F.lit(41))).alias("o"))
+    c = c.withColumn("byte", F.octet_length(F.substring(F.col("text"), F.lit(1), F.col("o"))))
+    p = sc.position_of(F.col("text"), F.col("byte"))
+    return c.select("conv_id", "turn", "byte", p["line"].alias("line"), p["col"].alias("col"))
 
 
 @query("l5_import_names", "SELECT path, ord, concat(package, '.', name) AS fqn, package AS pkg, name AS simple FROM imports")
@@ -489,83 +485,80 @@ def _(t):
     return state.overlay(disk, state.latest(t("documents_state")))
 
 
-# ---- sources, over small inline texts; the SQL states the rows that must come out
-
-
-def _inline(t, rows: list[tuple], schema: str) -> DataFrame:
-    return t("region").sparkSession.createDataFrame(rows, schema)
-
-
-_KOTLIN = """package demo.app
-import a.b.C
-import a.b.*
-import x.y.Z as W
-data class Point(val x: Int, var y: List<Int>? = null) : Base<Int>(1), Shape {
-    companion object { const val ORIGIN = 0 }
-    fun <T : Any> String.len(a: T, b: Int = 2, vararg c: Int): Int { fun hidden() {}; return 1 }
-}
-enum class Color { RED, GREEN; fun f() = 1 }
-typealias Handler<T> = (T) -> Unit
-val total = 5
-"""
-
+# ---- sources, over texts that are made from the tables' columns
 
-@query("e3_e9_kotlin_symbols", """SELECT * FROM (VALUES ('Point', CAST(NULL AS VARCHAR), 'Class', 2, 1, CAST(NULL AS VARCHAR), 'Base,Shape'), ('x', 'Point', 'Property', NULL, NULL, NULL, ''), ('y', 'Point', 'Property', NULL, NULL, NULL, ''),
+@query("e3_e9_kotlin_symbols", """SELECT k.path, CASE WHEN v.name IN ('Point', 'total') THEN concat(v.name, k.n) ELSE v.name END AS name, CASE WHEN v.container = 'Point' THEN concat('Point', k.n) ELSE v.container END AS container, kind, arity, min_arity, receiver, supertypes
+  FROM kotlin_files k, (VALUES ('Point', CAST(NULL AS VARCHAR), 'Class', 2, 1, CAST(NULL AS VARCHAR), 'Base,Shape'), ('x', 'Point', 'Property', NULL, NULL, NULL, ''), ('y', 'Point', 'Property', NULL, NULL, NULL, ''),
   ('ORIGIN', 'Point', 'Property', NULL, NULL, NULL, ''), ('len', 'Point', 'Function', 3, 1, 'String', ''), ('copy', 'Point', 'Function', 2, 0, NULL, ''), ('component1', 'Point', 'Function', 0, 0, NULL, ''), ('component2', 'Point', 'Function', 0, 0, NULL, ''),
   ('Color', NULL, 'EnumClass', NULL, NULL, NULL, ''), ('RED', 'Color', 'EnumEntry', NULL, NULL, NULL, ''), ('GREEN', 'Color', 'EnumEntry', NULL, NULL, NULL, ''), ('f', 'Color', 'Function', 0, 0, NULL, ''),
   ('entries', 'Color', 'Property', NULL, NULL, NULL, ''), ('values', 'Color', 'Function', 0, 0, NULL, ''), ('valueOf', 'Color', 'Function', 1, 1, NULL, ''), ('Handler', NULL, 'TypeAlias', NULL, NULL, NULL, ''), ('total', NULL, 'Property', NULL, NULL, NULL, '')) v(name, container, kind, arity, min_arity, receiver, supertypes)""")
 def _(t):
-    s = kotlin.extract(_inline(t, [("A.kt", _KOTLIN)], "path string, text string"), "symbols")
-    return s.select("name", "container", "kind", "arity", "min_arity", "receiver", F.array_join("supertypes", ",").alias("supertypes"))
+    s = kotlin.extract(t("kotlin_files"), "symbols")
+    return s.select("path", "name", "container", "kind", "arity", "min_arity", "receiver", F.array_join("supertypes", ",").alias("supertypes"))
 
 
-@query("e2_kotlin_imports", "SELECT * FROM (VALUES (0, 'a.b.C', CAST(NULL AS VARCHAR), false), (1, 'a.b', NULL, true), (2, 'x.y.Z', 'W', false)) v(ord, name, alias, wildcard)")
+@query("e2_kotlin_imports", """SELECT path, 0 AS ord, concat('a.b.C', n % 5) AS name, CAST(NULL AS VARCHAR) AS alias, false AS wildcard FROM kotlin_files UNION ALL SELECT path, 1, concat('x.y', n % 3), NULL, true FROM kotlin_files WHERE n % 2 = 0
+  UNION ALL SELECT path, CASE WHEN n % 2 = 0 THEN 2 ELSE 1 END, 'q.Z', concat('W', n), false FROM kotlin_files WHERE n % 3 = 0""")
 def _(t):
-    return kotlin.extract(_inline(t, [("A.kt", _KOTLIN)], "path string, text string"), "imports").drop("path")
+    return kotlin.extract(t("kotlin_files"), "imports")
 
 
-@query("e1_d1_kotlin_files", "SELECT * FROM (VALUES ('A.kt', 'demo.app', true), ('B.kt', '', false)) v(path, package, clean)")
+@query("e1_d1_kotlin_files", "SELECT path, concat('demo.p', n % 50) AS package, n % 9 <> 0 AS clean FROM kotlin_files")
 def _(t):
-    return kotlin.extract(_inline(t, [("A.kt", _KOTLIN), ("B.kt", "class A {")], "path string, text string"), "files")
+    broken = F.when(F.col("n") % 9 == 0, F.concat("text", F.lit("class A {"))).otherwise(F.col("text"))
+    return kotlin.extract(t("kotlin_files").withColumn("text", broken), "files")
 
 
-@query("s12_version_catalog", "SELECT * FROM (VALUES ('a', 'g.a', 'x', '1.0'), ('b', 'g.b', 'y', '2.0'), ('bom', 'g.d', 'd-bom', '3.1'), ('m', 'g.d', 'core', '3.1'), ('loose', 'g.e', 'core', NULL)) v(alias, grp, artifact, version)")
+def _per_part(t, *parts) -> DataFrame:
+    """A text for each part: strings as they are, columns where ``F.col`` stands."""
+    return t("part").select(F.col("p_partkey").cast("string").alias("path"), F.concat(*(F.lit(x) if isinstance(x, str) else x for x in parts)).alias("text"))
+
+
+@query("s12_version_catalog", "SELECT concat('', p_partkey) AS path, alias, concat(g, p_partkey) AS grp, artifact, CASE v WHEN 's' THEN concat(p_size, '.1') ELSE v END AS version FROM part, (VALUES ('a', 'a', 'x', '1.0'), ('b', 'b', 'y', '2.0'), ('bom', 'd', 'd-bom', 's'), ('m', 'd', 'core', 's'), ('loose', 'e', 'core', NULL)) w(alias, g, artifact, v)")
 def _(t):
-    toml = '[versions]\nk = "2.0"\n[libraries]\na = "g.a:x:1.0"\nb = { module = "g.b:y", version.ref = "k" }\nbom = { module = "g.d:d-bom", version = "3.1" }\nm = { module = "g.d:core" }\nloose = { group = "g.e", name = "core" }\n'
-    return builds.catalog_libraries(_inline(t, [("libs.versions.toml", toml)], "path string, text string")).drop("path")
+    n, size = F.col("p_partkey"), F.col("p_size")
+    return builds.catalog_libraries(_per_part(t, '[versions]\nk = "2.0"\n[libraries]\na = "a', n, ':x:1.0"\nb = { module = "b', n, ':y", version.ref = "k" }\nbom = { module = "d', n, ':d-bom", version = "', size, '.1" }\nm = { module = "d', n, ':core" }\nloose = { group = "e', n, '", name = "core" }\n'))
 
 
-@query("s14_build_literals", "SELECT * FROM (VALUES ('g.d', 'core', '3.1'), ('g.d', 'd-bom', '3.1'), ('g.x', 'y', '1')) v(grp, artifact, version)")
+@query("s14_build_literals", "SELECT concat('', p_partkey) AS path, concat(g, p_partkey) AS grp, artifact, CASE v WHEN 's' THEN concat('', p_size) ELSE v END AS version FROM part, (VALUES ('g', 'd-bom', 's'), ('g', 'core', 's'), ('h', 'y', '1')) w(g, artifact, v)")
 def _(t):
-    text = "implementation(platform(\"g.d:d-bom:3.1\"))\nimplementation('g.d:core')\napi(\"g.x:y:1\")"
-    return builds.build_literals(_inline(t, [("build.gradle", text)], "path string, text string")).drop("path")
+    n, size = F.col("p_partkey"), F.col("p_size")
+    return builds.build_literals(_per_part(t, 'implementation(platform("g', n, ":d-bom:", size, "\"))\nimplementation('g", n, ":core')\napi(\"h", n, ':y:1")'))
 
 
-@query("s15_module_metadata", "SELECT 'a' AS grp, 'b' AS artifact, '2' AS version")
+@query("s15_module_metadata", "SELECT concat('', p_partkey) AS path, concat('g', p_partkey) AS grp, 'b' AS artifact, concat('', p_size) AS version FROM part")
 def _(t):
-    return builds.module_dependencies(_inline(t, [("m", '{"variants":[{"dependencies":[{"group":"a","module":"b","version":{"prefers":"3","strictly":"2"}},{"module":"x"}]}]}')], "path string, text string")).drop("path")
+    return builds.module_dependencies(_per_part(t, '{"variants":[{"dependencies":[{"group":"g', F.col("p_partkey"), '","module":"b","version":{"prefers":"3","strictly":"', F.col("p_size"), '"}},{"module":"x"}]}]}'))
 
 
-@query("s18_classpath_dump", "SELECT * FROM (VALUES (':a', '/p', 'CP', 1, '/1.jar'), (':a', '/p', 'CP', 2, '/2.jar'), (':b', '/q', 'CP', 1, '/3.jar')) v(module, dir, kind, ord, entry)")
+@query("s18_classpath_dump", "SELECT s_nationkey AS file, concat(':m', s_suppkey) AS module, '/p' AS dir, 'CP' AS kind, 1 AS ord, concat('/', s_suppkey, '.jar') AS entry FROM supplier")
 def _(t):
-    lines = ["noise", "PROJECT\t:a\t/p", "CP\t/1.jar", "CP\t/2.jar", "END\t:a", "CP\t/lost.jar", "PROJECT\t:b\t/q", "CP\t/3.jar"]
-    return builds.classpath_dump(_inline(t, list(enumerate(lines)), "n long, line string"))
+    n = F.col("s_suppkey")
+    lines = [F.concat(F.lit("PROJECT\t:m"), n, F.lit("\t/p")), F.concat(F.lit("CP\t/"), n, F.lit(".jar")), F.concat(F.lit("END\t:m"), n), F.lit("CP\t/lost.jar")]
+    dump = t("supplier").select(F.col("s_nationkey").alias("file"), F.posexplode(F.array(*lines)).alias("i", "line"), n.alias("s"))
+    return builds.classpath_dump(dump.select("file", (10 * F.col("s") + F.col("i")).alias("n"), "line"), ("file",))
 
 
-@query("s19_cache_paths", "SELECT 'g.x' AS grp, 'art' AS artifact, '1.2' AS version")
+@query("s19_cache_paths", "SELECT concat('/c/files-2.1/g.', p_size, '/art', p_partkey, '/1.', p_size, '/abc/art', p_partkey, '-1.', p_size, '-sources.jar') AS path, concat('g.', p_size) AS grp, concat('art', p_partkey) AS artifact, concat('1.', p_size) AS version FROM part WHERE p_partkey % 2 = 0")
 def _(t):
-    return builds.cache_coordinates(_inline(t, [("/c/files-2.1/g.x/art/1.2/abc/art-1.2-sources.jar",), ("/c/files-2.1/g/a/1/h/b.jar",)], "path string")).drop("path")
+    n, size = F.col("p_partkey"), F.col("p_size")
+    good = F.concat(F.lit("/c/files-2.1/g."), size, F.lit("/art"), n, F.lit("/1."), size, F.lit("/abc/art"), n, F.lit("-1."), size, F.lit("-sources.jar"))
+    return builds.cache_coordinates(t("part").select(F.when(n % 2 == 0, good).otherwise(F.concat(F.lit("/c/files-2.1/g/a"), n, F.lit("/1/h/b.jar"))).alias("path")))
 
 
-@query("s20_compiler_output", "SELECT * FROM (VALUES ('/a b/F.kt', 3, 7, 'Error', 'bad thing'), ('/G.kt', 10, 2, 'Warning', 'careful')) v(path, line, col, severity, message)")
+@query("s20_compiler_output", "SELECT event_id AS n, CASE event_id % 3 WHEN 0 THEN concat('/a b/F', user_id, '.kt') ELSE concat('/G', user_id, '.kt') END AS path, CASE event_id % 3 WHEN 0 THEN 3 ELSE 10 END AS line, CASE event_id % 3 WHEN 0 THEN CAST(event_id % 90 + 1 AS INT) ELSE 2 END AS col, CASE event_id % 3 WHEN 0 THEN 'Error' ELSE 'Warning' END AS severity, CASE event_id % 3 WHEN 0 THEN concat('bad ', event_type) ELSE 'careful' END AS message FROM events WHERE event_id % 3 < 2")
 def _(t):
-    lines = ["e: /a b/F.kt: (3, 7): bad thing", "\u001b[33mw: file:///G.kt:10:2 careful\u001b[0m", "note"]
-    return logs.compiler_messages(_inline(t, list(enumerate(lines)), "n long, line string")).drop("n")
+    old = F.concat(F.lit("e: /a b/F"), "user_id", F.lit(".kt: (3, "), F.col("event_id") % 90 + 1, F.lit("): bad "), "event_type")
+    new = F.concat(F.lit("\u001b[33mw: file:///G"), "user_id", F.lit(".kt:10:2 careful\u001b[0m"))
+    line = F.when(F.col("event_id") % 3 == 0, old).when(F.col("event_id") % 3 == 1, new).otherwise("note")
+    return logs.compiler_messages(t("events").select(F.col("event_id").alias("n"), line.alias("line")))
 
 
-@query("s9_class_stubs", "SELECT 'a.b.C' AS fqn, 'class C' AS stub")
+@query("s9_class_stubs", "SELECT DISTINCT concat('a.b.C', p_partkey - p_partkey % 2) AS fqn, concat('class C', p_partkey - p_partkey % 2) AS stub FROM part WHERE p_partkey % 5 < 4")
 def _(t):
-    return files.class_stubs(_inline(t, [("a/b/C.class",), ("a/b/C$D.class",), ("module-info.class",)], "name string"))
+    n = F.col("p_partkey")
+    name = F.when(n % 5 == 4, F.lit("x/package-info.class")).otherwise(F.concat(F.lit("a/b/C"), n - n % 2, F.when(n % 2 == 1, F.lit("$D")).otherwise(F.lit("")), F.lit(".class")))
+    return files.class_stubs(t("part").select(name.alias("name")))
 
 
 @query("s23_chrome_trace", """SELECT '{"traceEvents":[' || string_agg('{"ts":' || event_id || ',"name":"' || event_type || '"}', ',' ORDER BY event_id) || ']}' AS document, user_id FROM events GROUP BY user_id""")
@@ -578,11 +571,13 @@ def _(t):
     return logs.diagnostic_lines(t("diags_b").withColumn("code", F.lit(None).cast("string")))
 
 
-@query("a8_s28_self_time", "SELECT * FROM (VALUES ('a<T>', CAST(3 AS BIGINT)), ('b', 4), ('c', 3)) v(name, samples)")
+@query("a8_s28_self_time", "SELECT c_custkey AS file, 'a<T>' AS name, 10 - c_custkey % 5 - 1 - c_custkey % 3 - 1 AS samples FROM customer WHERE 10 - c_custkey % 5 - 1 - c_custkey % 3 - 1 > 0 UNION ALL SELECT c_custkey, 'b', c_custkey % 5 + 1 FROM customer UNION ALL SELECT c_custkey, 'c', c_custkey % 3 + 1 FROM customer")
 def _(t):
-    g = lambda n, y, x, w: f'<g><title>{n} ({w} samples, 1.0%)</title><rect x="1" y="{y}" width="2" fg:x="{x}" fg:w="{w}"/></g>'
-    svg = g("all", 64, 0, 10) + g("a&lt;T&gt;", 48, 0, 10) + g("b", 32, 0, 4) + g("c", 32, 4, 3)
-    return logs.self_time(logs.flame_frames(_inline(t, [(svg,)], "text string")))
+    n = F.col("c_custkey")
+    g = lambda name, y, x, w: F.concat(F.lit(f"<g><title>{name} ("), w, F.lit(f' samples, 1.0%)</title><rect x="1" y="{y}" width="2" fg:x="'), x, F.lit('" fg:w="'), w, F.lit('"/></g>'))
+    b, c = n % 5 + 1, n % 3 + 1
+    svg = F.concat(g("all", 64, F.lit(0), F.lit(10)), g("a&lt;T&gt;", 48, F.lit(0), F.lit(10)), g("b", 32, F.lit(0), b), g("c", 32, b, c))
+    return logs.self_time(logs.flame_frames(t("customer").select(n.alias("file"), svg.alias("text")), ("file",)), by=("file",))
 
 
 @query("s25_snapshot_retention", "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id) AS r FROM events) WHERE r <= 2")
@@ -595,11 +590,11 @@ def _(t):
 
 
 @query("t10_type_packages", f"""WITH c AS (SELECT u.path, u.name, s.package, f.package AS own,
-    EXISTS (SELECT 1 FROM imports i WHERE i.path = u.path AND NOT i.wildcard AND i.alias IS NULL AND i.name = u.name AND i.package = s.package) AS e,
+    (SELECT min(i.ord) FROM imports i WHERE i.path = u.path AND NOT i.wildcard AND coalesce(i.alias, i.name) = u.name AND i.package = s.package) AS e,
     EXISTS (SELECT 1 FROM imports i WHERE i.path = u.path AND i.wildcard AND i.package = s.package) AS st,
     s.package IN ('Brand#55', 'Brand#54') AS d
   FROM (SELECT DISTINCT path, name FROM usages WHERE use_kind = 'Type') u JOIN symbols s ON s.name = u.name AND s.kind IN ('Class','Interface','Object','EnumClass','TypeAlias','TypeParameter') JOIN file_ctx f ON f.path = u.path)
-  SELECT path, name, CASE WHEN count(*) = 1 THEN min(package) ELSE coalesce(min(package) FILTER (e), min(package) FILTER (package = own), CASE WHEN count(*) FILTER (st) = 1 THEN min(package) FILTER (st) END, CASE WHEN count(*) FILTER (d) = 1 THEN min(package) FILTER (d) END) END AS package FROM c GROUP BY path, name""")
+  SELECT path, name, CASE WHEN count(*) = 1 THEN min(package) ELSE coalesce(arg_min(package, e), min(package) FILTER (package = own), CASE WHEN count(*) FILTER (st) = 1 THEN min(package) FILTER (st) END, CASE WHEN count(*) FILTER (d) = 1 THEN min(package) FILTER (d) END) END AS package FROM c GROUP BY path, name""")
 def _(t):
     return infer.type_packages(t("usages").where("use_kind = 'Type'").select("path", "name"), t("file_ctx"), t("imports"), t("symbols"), DEFAULTS)
 
@@ -613,9 +608,13 @@ def _(t):
     return infer.argument_mismatches(t("call_args"), t("params"), t("symbols"))
 
 
-@query("t11_java_acceptance", "SELECT * FROM (VALUES ('int', 'long', true), ('long', 'int', false), ('int', 'Integer', true), ('String', 'Object', true), ('String', 'T', true), ('String', 'String', true), ('Integer', 'Long', false), ('char', 'int', true)) v(arg, param, ok)")
+_T11 = "['int', 'long', 'Integer', 'String', 'Long', 'char', 'double', 'Object', 'T']"
+
+
+@query("t11_java_acceptance", f"""SELECT arg, param, arg = param OR param IN ('Object', 'T') OR (arg, param) IN (VALUES {", ".join(str(x) for x in infer.ACCEPTED)}) AS ok FROM (SELECT DISTINCT {_T11}[p_partkey % 7 + 1] AS arg, {_T11}[p_size % 9 + 1] AS param FROM part)""")
 def _(t):
-    return infer.accepts(_inline(t, [("int", "long"), ("long", "int"), ("int", "Integer"), ("String", "Object"), ("String", "T"), ("String", "String"), ("Integer", "Long"), ("char", "int")], "arg string, param string"))
+    pick = lambda i: F.element_at(F.array(*map(F.lit, ("int", "long", "Integer", "String", "Long", "char", "double", "Object", "T"))), i.cast("int") + 1)
+    return infer.accepts(t("part").select(pick(F.col("p_partkey") % 7).alias("arg"), pick(F.col("p_size") % 9).alias("param")).distinct())
 
 
 @query("r5_qualified", f"SELECT u.path, u.start_byte, s.sid FROM qualified_uses u JOIN symbols s ON s.name = u.name AND s.package = u.qualifier AND s.container IS NULL WHERE {_KIND_OK}")
@@ -653,10 +652,12 @@ def _(t):
     return infer.identifier_at(t("positions"), t("nodes"))
 
 
-@query("f17_use_kinds", "SELECT d.path, d.pre, CASE a.kind WHEN 'class' THEN 'Type' WHEN 'function' THEN 'Call' ELSE 'Value' END AS use_kind FROM nodes d JOIN nodes a ON a.path = d.path AND a.pre < d.pre AND a.post > d.post AND a.depth = d.depth - 1 WHERE d.kind = 'identifier'")
+@query("f17_use_kinds", """SELECT n.path, n.node_id, CASE p.kind WHEN 'infix_expression' THEN 'Call' WHEN 'user_type' THEN 'Type'
+    WHEN 'navigation_expression' THEN CASE WHEN n.named_ord = 0 THEN 'Value' ELSE 'MemberSelector' END
+    WHEN 'call_expression' THEN CASE WHEN n.named_ord = 0 THEN 'Call' ELSE 'Value' END ELSE 'Value' END AS use_kind
+  FROM expr_nodes n LEFT JOIN expr_nodes p ON p.path = n.path AND p.node_id = n.parent_id WHERE n.kind = 'identifier'""")
 def _(t):
-    e = graph.enclosing(t("nodes"), "identifier").where("depth = 1")
-    return e.select("path", F.col("d_pre").alias("pre"), F.when(F.col("kind") == "class", "Type").when(F.col("kind") == "function", "Call").otherwise("Value").alias("use_kind"))
+    return infer.use_kinds(t("expr_nodes"))
 
 
 @query("j2_members_of", "SELECT a.sid AS owner, b.sid AS member FROM symbols a JOIN symbols b ON b.container = a.container AND (a.value_type IS NULL OR b.package = a.package) WHERE a.kind = 'Interface'")
@@ -665,18 +666,18 @@ def _(t):
     return a.join(t("symbols").select(F.col("sid").alias("member"), "container", "package"), "container").where("wanted is null or wanted = package").select("owner", "member")
 
 
-@query("j11_dependency_closure", """WITH RECURSIVE walk(src, node, depth) AS (SELECT 0, p_partkey, 0 FROM part WHERE p_type = 'ECONOMY' UNION SELECT w.src, e.sup, w.depth + 1 FROM walk w JOIN type_edges e ON e.sub = w.node WHERE w.depth < 32)
-  SELECT node, min(depth) AS depth FROM walk GROUP BY node ORDER BY depth, node LIMIT 1024""")
+@query("j11_dependency_closure", """WITH RECURSIVE walk(src, node, depth) AS (SELECT p_type, p_partkey, 0 FROM part WHERE p_size % 10 = 0 UNION SELECT w.src, e.sup, w.depth + 1 FROM walk w JOIN type_edges e ON e.sub = w.node WHERE w.depth < 32),
+  near AS (SELECT src, node, min(depth) AS depth FROM walk GROUP BY src, node) SELECT src, node, depth FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY depth, node) AS r FROM near) WHERE r <= 1024""")
 def _(t):
-    seeds = t("part").where("p_type = 'ECONOMY'").select(F.col("p_partkey").alias("src"))
-    return graph.closure(seeds, t("type_edges")).groupBy("node").agg(F.min("depth").alias("depth")).orderBy("depth", "node").limit(1024)
+    seeds = t("part").where("p_size % 10 = 0").select(F.col("p_type").alias("src"), F.col("p_partkey").alias("node"))
+    return graph.nearest(graph.closure(seeds, t("type_edges"), 32), 1024)
 
 
 @query("c3_member_candidates", """WITH RECURSIVE walk(src, node, depth) AS (SELECT p_partkey, p_partkey, 0 FROM part UNION SELECT w.src, e.sup, w.depth + 1 FROM walk w JOIN type_edges e ON e.sub = w.node WHERE w.depth < 32),
   near AS (SELECT src, node, min(depth) AS depth FROM walk GROUP BY src, node)
   SELECT src, name, kind, sid FROM (SELECT n.src, m.name, m.kind, m.sid, row_number() OVER (PARTITION BY n.src, m.name, m.kind ORDER BY n.depth, m.sid) AS r FROM near n JOIN members m ON m.owner = n.node) WHERE r = 1""")
 def _(t):
-    return infer.member_candidates(graph.closure(t("part").select(F.col("p_partkey").alias("src")), t("type_edges")), t("members"))
+    return infer.member_candidates(graph.closure(t("part").select(F.col("p_partkey").alias("src")), t("type_edges"), 32), t("members"))
 
 
 @query("c6_import_line", "SELECT w.path, w.fqn, coalesce(min(i.ord) FILTER (CASE WHEN i.wildcard THEN i.package ELSE concat(i.package, '.', i.name) END >= w.fqn), max(i.ord) + 1, 0) AS row FROM (SELECT DISTINCT path, concat('Brand#33.', name) AS fqn FROM usages) w LEFT JOIN imports i ON i.path = w.path GROUP BY w.path, w.fqn")
@@ -685,7 +686,7 @@ def _(t):
     return infer.import_line(wanted, t("imports"))
 
 
-@query("a5_dependency_statistics", "WITH s AS (SELECT *, row_number() OVER (PARTITION BY grp, artifact ORDER BY CAST(split_part(version, '.', 1) AS BIGINT) DESC, CAST(split_part(version, '.', 2) AS BIGINT) DESC, ord) AS r FROM coordinates) SELECT grp, count(*) FILTER (r = 1) AS selected, count(*) FILTER (r > 1) AS retracted FROM s GROUP BY grp")
+@query("a5_dependency_statistics", "WITH s AS (SELECT *, row_number() OVER (PARTITION BY grp, artifact ORDER BY " + _VERSION_KEY + " DESC, ord) AS r FROM coordinates) SELECT grp, count(*) FILTER (r = 1) AS selected, count(*) FILTER (r > 1) AS retracted FROM s GROUP BY grp")
 def _(t):
     v = facts.selected_versions(t("coordinates"))
     return v.groupBy("grp").agg(F.count_if(F.col("decision") == "Selected").alias("selected"), F.count_if(F.col("decision") != "Selected").alias("retracted"))
@@ -695,7 +696,7 @@ def _(t):
   SELECT w.src, CAST(sum(p.p_size) AS BIGINT) AS total FROM walk w JOIN part p ON p.p_partkey = w.node GROUP BY w.src""")
 def _(t):
     down = t("type_edges").select(F.col("sup").alias("sub"), F.col("sub").alias("sup"))
-    c = graph.closure(t("part").select(F.col("p_partkey").alias("src")), down, 64)
+    c = graph.closure(t("part").select(F.col("p_partkey").alias("src")), down)
     return c.join(t("part").select(F.col("p_partkey").alias("node"), "p_size"), "node").groupBy("src").agg(F.sum("p_size").alias("total"))
 
 
@@ -708,26 +709,36 @@ def _(t):
     return batch_check.summary(batch_check.diagnostics(t("usages"), t("file_ctx"), t("imports"), t("symbols"), DEFAULTS))
 
 
+@query("w4_diagnostic_order", f"""WITH {_CROSS}, whole AS (SELECT package FROM file_ctx GROUP BY package HAVING bool_and(clean)), sees AS (SELECT path, package FROM file_ctx UNION SELECT path, package FROM imports), bad AS (SELECT DISTINCT path FROM sees WHERE package NOT IN (SELECT package FROM whole)),
+  d AS (SELECT path, start_byte AS place, 0 AS class_ord, 'unresolved' AS code FROM usages u WHERE NOT EXISTS (SELECT 1 FROM found f WHERE f.path = u.path AND f.start_byte = u.start_byte) AND path NOT IN (SELECT path FROM bad)
+    UNION ALL SELECT u.path, u.start_byte, 1, 'call' FROM usages u JOIN symbols s USING (name) WHERE u.use_kind = 'Call' GROUP BY u.path, u.start_byte, u.name, u.n_args HAVING bool_and(s.kind = 'Function') AND NOT bool_or(u.n_args BETWEEN least(s.min_arity, s.max_arity) AND s.max_arity)
+    UNION ALL SELECT path, ord, 2, 'unused' FROM imports i WHERE NOT wildcard AND NOT EXISTS (SELECT 1 FROM usages u WHERE u.path = i.path AND u.name = coalesce(i.alias, i.name)))
+  SELECT path, code, place, row_number() OVER (PARTITION BY path ORDER BY class_ord, place) AS nth FROM d WHERE path IN (SELECT path FROM file_ctx WHERE clean)""")
+def _(t):
+    return batch_check.ordered(batch_check.diagnostics(t("usages"), t("file_ctx"), t("imports"), t("symbols"), DEFAULTS))
+
+
 @query("l3_coordinate_labels", "SELECT ord, concat(grp, ':', artifact, ':', version) AS label, concat(replace(grp, '.', '/'), '/', artifact, '/', version, '/', artifact, '-', version, '-sources.jar') AS path FROM coordinates")
 def _(t):
-    path = F.concat(F.replace(F.col("grp"), F.lit("."), F.lit("/")), F.lit("/"), "artifact", F.lit("/"), "version", F.lit("/"), "artifact", F.lit("-"), "version", F.lit("-sources.jar"))
-    return t("coordinates").select("ord", F.concat_ws(":", "grp", "artifact", "version").alias("label"), path.alias("path"))
+    return t("coordinates").select("ord", sc.coordinate_label().alias("label"), sc.sources_path().alias("path"))
 
 
-@query("l8_identifier_under_cursor", "SELECT conv_id, turn, concat(regexp_extract(substr(text, 1, 20), '[A-Za-z0-9_]*$'), regexp_extract(substr(text, 21), '^[A-Za-z0-9_]*')) AS word FROM conversations")
+@query("l8_identifier_under_cursor", f"SELECT conv_id, turn, o, concat(regexp_extract(head, '[A-Za-z0-9_]*$'), regexp_extract(substr(text, CAST(o AS INT) + 1), '^[A-Za-z0-9_]*')) AS word FROM ({_PLACES})")
 def _(t):
-    return t("conversations").select("conv_id", "turn", F.concat(F.regexp_extract(F.substring("text", 1, 20), r"[A-Za-z0-9_]*\z", 0), F.regexp_extract(F.substring("text", 21, 1 << 30), "^[A-Za-z0-9_]*", 0)).alias("word"))
+    c = t("conversations").select("conv_id", "turn", "text", F.explode(F.sequence(F.lit(0), F.length("text"), F.lit(41))).alias("o"))
+    return c.select("conv_id", "turn", "o", sc.word_at(F.col("text"), F.col("o")).alias("word"))
 
 
 @query("o5_candidate_packages", "SELECT f.path, string_agg(p, ',' ORDER BY r, p) AS packages FROM file_ctx f JOIN (SELECT path, p, min(r) AS r FROM (SELECT path, package AS p, 0 AS r FROM file_ctx UNION ALL SELECT path, package, ord FROM imports WHERE wildcard) GROUP BY path, p) x ON x.path = f.path GROUP BY f.path")
 def _(t):
-    star = t("imports").where("wildcard").groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "package"))), lambda x: x["package"]).alias("star"))
-    j = t("file_ctx").join(star, "path", "left")
-    return j.select("path", F.array_join(F.array_distinct(F.concat(F.array("package"), F.coalesce("star", F.array().cast("array<string>")))), ",").alias("packages"))
+    return facts.candidate_packages(t("file_ctx"), t("imports"))
 
 
 @query("k6_revisions", "SELECT path, version, row_number() OVER (PARTITION BY path ORDER BY version) AS revision FROM documents_state")
 def _(t):
-    from pyspark.sql import Window
+    return state.revisions(t("documents_state"))
+
+
+from . import catalog_code  # noqa: E402, F401  registers its queries here
 
-    return t("documents_state").select("path", "version", F.row_number().over(Window.partitionBy("path").orderBy("version")).alias("revision"))
+__all__ = ["ORACLE_SQL", "QUERIES"]

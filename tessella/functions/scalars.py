@@ -15,6 +15,38 @@ def line_of(text: Column, byte: Column) -> Column:
     return F.size(F.filter(F.regexp_extract_all(F.hex(head), F.lit("(..)"), 1), lambda x: x == "0A"))
 
 
+def position_of(text: Column, byte: Column) -> Column:
+    """Struct of ``line`` and ``col`` (UTF-16 units), from 0, of a byte place; within a character its beginning, beyond the end the end."""
+    raw = F.encode(text, "UTF-8")
+    inside = lambda i: F.coalesce(F.conv(F.hex(F.substring(raw, i + 1, F.lit(1))), 16, 10).cast("int").bitwiseAND(F.lit(192)) == 128, F.lit(False))
+    at = F.least(byte, F.octet_length(text))
+    start = F.when(~inside(at), at).when(~inside(at - 1), at - 1).when(~inside(at - 2), at - 2).otherwise(at - 3)
+    head = F.substring(raw, F.lit(1), start).cast("string")
+    line = F.octet_length(head) - F.octet_length(F.replace(head, F.lit("\n"), F.lit("")))
+    return F.struct(line.alias("line"), utf16_length(F.substring_index(head, "\n", -1)).alias("col"))
+
+
+def word_at(text: Column, place: Column) -> Column:
+    """The word (letters A-Z, digits, _) that a character place is in or beside."""
+    before = F.regexp_extract(F.substring(text, F.lit(1), place), r"[A-Za-z0-9_]*\z", 0)
+    return F.concat(before, F.regexp_extract(F.substring(text, place + 1, F.length(text)), "^[A-Za-z0-9_]*", 0))
+
+
+def related_source_sets(path: Column) -> Column:
+    """The source set of a path, and the common one if it is a platform's."""
+    s = source_set_of(path)
+    return F.array_distinct(F.when(s.endswith("Main"), F.array(s, F.lit("commonMain"))).otherwise(F.array(s)))
+
+
+def coordinate_label() -> Column:
+    return F.concat_ws(":", "grp", "artifact", "version")
+
+
+def sources_path() -> Column:
+    """Path of a coordinate's sources in a repository."""
+    return F.concat(F.replace(F.col("grp"), F.lit("."), F.lit("/")), F.lit("/"), "artifact", F.lit("/"), "version", F.lit("/"), "artifact", F.lit("-"), "version", F.lit("-sources.jar"))
+
+
 def utf16_length(text: Column) -> Column:
     """Number of UTF-16 units of a text."""
     return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int")

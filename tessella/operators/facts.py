@@ -14,6 +14,116 @@ def types_named(symbols: DataFrame) -> DataFrame:
     return symbols.where(F.col("kind").isin(TYPE_LIKE))
 
 
+def named(symbols: DataFrame, names: DataFrame) -> DataFrame:
+    """Symbols of each asked ``name``."""
+    return symbols.join(names.select("name").distinct(), "name")
+
+
+#: Characters of a prefix that symbols are joined by; what a longer one has more is compared.
+PREFIX = 8
+
+
+def prefixed(symbols: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """Symbols whose name begins with each asked ``prefix``: an equal join on the first characters."""
+    asked = prefixes.select("prefix").distinct().withColumn("_head", F.substring("prefix", 1, PREFIX))
+    heads = F.transform(F.sequence(F.lit(0), F.least(F.length("name"), F.lit(PREFIX))), lambda n: F.substring(F.col("name"), F.lit(1), n))
+    return symbols.withColumn("_head", F.explode(heads)).join(asked, "_head").where(F.startswith("name", "prefix")).drop("_head")
+
+
+def members_by_container(symbols: DataFrame) -> DataFrame:
+    inside = symbols.where("container is not null").groupBy("container", "package")
+    return inside.agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_list("sid")), ",").alias("sids"))
+
+
+def extensions_by_receiver(symbols: DataFrame) -> DataFrame:
+    return symbols.where("ext_receiver is not null").groupBy("ext_receiver").agg(F.count("*").alias("n"), F.min("sid").alias("first_sid"))
+
+
+def direct(edges: DataFrame, of: str, to: str) -> DataFrame:
+    """How many different types each type is directly related to, and the least of them."""
+    return edges.distinct().groupBy(of).agg(F.count("*").alias("n"), F.min(to).alias("least"))
+
+
+def reference_counts(usages: DataFrame) -> DataFrame:
+    return usages.groupBy("name").agg(F.count("*").alias("n"), F.min("path").alias("first_path"))
+
+
+def at_span(spans: DataFrame, symbols: DataFrame) -> DataFrame:
+    """``sid`` of each span with the ``name`` of what stands exactly there."""
+    keys = ["path", "start_byte", "end_byte"]
+    return spans.join(symbols.select(*keys, "name"), keys).select("sid", "name")
+
+
+def in_order(symbols: DataFrame) -> DataFrame:
+    """Symbols with their number in their file."""
+    return symbols.withColumn("nth", F.row_number().over(Window.partitionBy("path").orderBy("start_byte", "end_byte", "name")))
+
+
+def intersecting(spans: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Spans (``file``, ``start_byte``, ``end_byte``) with each range (``lo``, ``hi``) of their file that they touch."""
+    return spans.join(ranges, "file").where("start_byte <= hi and end_byte >= lo")
+
+
+def related_packages(a: Column, b: Column) -> Column:
+    """Whether one package is the other or lies in it."""
+    dot = F.lit(".")
+    return (a == b) | F.startswith(a, F.concat(b, dot)) | F.startswith(b, F.concat(a, dot))
+
+
+def visible_extensions(symbols: DataFrame, file_ctx: DataFrame, imports: DataFrame) -> DataFrame:
+    """``path``, ``sid``: extensions that files see by an import or in their own package."""
+    s = symbols.where("ext_receiver is not null").select("sid", "package", F.col("name").alias("sname"))
+    by_import = imports.join(s, "package").where("wildcard or (alias is null and name = sname)").select("path", "sid")
+    return by_import.unionByName(file_ctx.join(s, "package").select("path", "sid")).distinct()
+
+
+def overloads(symbols: DataFrame) -> DataFrame:
+    """How many functions each function may be taken for: of its name at the package's top level, or in its file and container.
+
+    The two groups are counted by their keys; functions are not paired.
+    """
+    f = symbols.where("kind = 'Function'").select("sid", "name", "package", "container", "path")
+    top = f.where("container is null").groupBy("name", "package").agg(F.count("*").alias("by_package"))
+    near = f.groupBy("name", "path", "container").agg(F.count("*").alias("by_file"))
+    both = f.where("container is null").groupBy("name", "package", "path").agg(F.count("*").alias("by_both"))
+    j = f.join(top, ["name", "package"], "left")
+    j = j.join(near.withColumnRenamed("container", "c"), ["name", "path"]).where("container <=> c").drop("c")
+    j = j.join(both, ["name", "package", "path"], "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    # functions at the top level of both the package and the file count once
+    twice = F.when(F.col("container").isNull(), zero("by_both")).otherwise(0)
+    return j.select("sid", (zero("by_package") + F.col("by_file") - twice).alias("n"))
+
+
+def unresolved_imports(imports: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Explicit imports that name no known type."""
+    return imports.where("not wildcard").join(types_named(symbols).select("package", "name"), ["package", "name"], "left_anti").select("path", "ord")
+
+
+def only_in(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Different rows of the first that the second does not have."""
+    return left.subtract(right)
+
+
+def token_order(nodes: DataFrame) -> DataFrame:
+    """``path``, ``pre``, ``nth``: nodes by place, end and the rank of their kind."""
+    rank = F.when(F.col("kind") == "file", 0).when(F.col("kind") == "class", 1).when(F.col("kind") == "function", 2).otherwise(3)
+    return nodes.select("path", "pre", F.row_number().over(Window.partitionBy("path").orderBy("pre", "post", rank)).alias("nth"))
+
+
+def line_runs(lines: DataFrame) -> DataFrame:
+    """``file``, ``first_line``, ``last_line`` of runs of more than one line (``file``, ``ord``)."""
+    runs = lines.withColumn("island", F.col("ord") - F.row_number().over(Window.partitionBy("file").orderBy("ord")))
+    return runs.groupBy("file", "island").agg(F.min("ord").alias("first_line"), F.max("ord").alias("last_line"), F.count("*").alias("n")).where("n > 1").select("file", "first_line", "last_line")
+
+
+def candidate_packages(file_ctx: DataFrame, imports: DataFrame) -> DataFrame:
+    """``path``, ``packages``: a file's own package and those of its wildcard imports in their order, each once."""
+    star = imports.where("wildcard").groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "package"))), lambda x: x["package"]).alias("star"))
+    every = F.concat(F.array("package"), F.coalesce("star", F.array().cast("array<string>")))
+    return file_ctx.join(star, "path", "left").select("path", F.array_join(F.array_distinct(every), ",").alias("packages"))
+
+
 def detail() -> Column:
     """Package and container of a symbol, joined by a dot."""
     return F.concat_ws(".", F.when(F.col("package") != "", F.col("package")), "container")
@@ -32,6 +142,30 @@ def first_typed(symbols: DataFrame, keys: list[str]) -> DataFrame:
     return symbols.where("value_type is not null").groupBy(*keys).agg(F.min_by("value_type", F.struct("path", "start_byte", "sid")).alias("value_type"))
 
 
+def seen_packages(file_ctx: DataFrame, imports: DataFrame) -> DataFrame:
+    """``path``, ``package``: the packages whose names a file sees without importing each, its own and those of wildcards."""
+    return file_ctx.select("path", "package").unionByName(imports.where("wildcard").select("path", "package")).distinct()
+
+
+def visible_files(symbols: DataFrame, file_ctx: DataFrame, imports: DataFrame, defaults: list[str]) -> DataFrame:
+    """``sid``, ``n``: how many files see each symbol that any sees.
+
+    Files are counted for packages and for imported names; only files that see a
+    name both ways are looked at one by one, so no pair of file and symbol is made.
+    """
+    sees = seen_packages(file_ctx, imports)
+    named = imports.where("not wildcard").select("path", F.coalesce("alias", "name").alias("name")).distinct()
+    of_package = sees.groupBy("package").agg(F.count("*").alias("by_package"))
+    of_name = named.groupBy("name").agg(F.count("*").alias("by_name"))
+    pairs = symbols.select("name", "package").distinct()
+    both = named.join(sees, "path").join(pairs, ["name", "package"]).groupBy("name", "package").agg(F.count("*").alias("by_both"))
+    files = file_ctx.select("path").unionByName(imports.select("path")).distinct().agg(F.count("*").alias("files"))
+    s = symbols.select("sid", "name", "package").join(of_package, "package", "left").join(of_name, "name", "left").join(both, ["name", "package"], "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    out = s.join(F.broadcast(files)).withColumn("n", F.when(F.col("package").isin(defaults), F.col("files")).otherwise(zero("by_package") + zero("by_name") - zero("by_both")))
+    return out.where("n > 0").select("sid", "n")
+
+
 def visible(symbols: DataFrame, file_ctx: DataFrame, imports: DataFrame, defaults: list[str]) -> DataFrame:
     """``path``, ``sid`` pairs that a file sees: its package, explicit names of any package, wildcard and default packages."""
     s = symbols.select("sid", "name", "package")
@@ -52,9 +186,12 @@ def unused_imports(imports: DataFrame, usages: DataFrame) -> DataFrame:
 
 
 def duplicate_declarations(symbols: DataFrame) -> DataFrame:
-    """Every classifier, property or enum entry after the first of its name and receiver in a scope; functions may overload."""
+    """Every classifier, property or enum entry of a file after the first of its name and receiver in a scope; functions may overload.
+
+    Files are looked at one by one: equal names in two files of a package are no duplicates.
+    """
     kind = F.when(F.col("kind").isin(TYPE_LIKE), "classifier").when(F.col("kind").isin("Property", "EnumEntry"), F.col("kind"))
-    w = Window.partitionBy("package", "container", "_k", "name", "ext_receiver").orderBy("start_byte")
+    w = Window.partitionBy("path", "container", "_k", "name", "ext_receiver").orderBy("start_byte", "sid")
     return symbols.withColumn("_k", kind).where("_k is not null").withColumn("nth", F.row_number().over(w)).where("nth > 1").select("sid", "name", "nth")
 
 
@@ -69,9 +206,9 @@ def call_shape(usages: DataFrame, symbols: DataFrame) -> DataFrame:
 # ---- completion ------------------------------------------------------------
 
 
-def rank_candidates(found: DataFrame, prefix: str, cap: int = 1000) -> DataFrame:
+def rank_candidates(found: DataFrame, prefix: Column, cap: int = 1000) -> DataFrame:
     """Sort keys of completion candidates, at most ``cap`` of each query, and whether there were more."""
-    m = F.when(F.col("name").startswith(prefix), "0").otherwise("1")
+    m = F.when(F.startswith(F.col("name"), prefix), "0").otherwise("1")
     tier = F.when(F.col("tier") == "Volatile", "0").otherwise("1")
     key = F.concat(m, tier, F.lpad(F.length("name").cast("string"), 4, "0"), F.lower("name"), "package")
     w = Window.partitionBy("qid")
@@ -85,12 +222,17 @@ def first_of_label(found: DataFrame) -> DataFrame:
     return found.withColumn("r", F.row_number().over(w)).where("r = 1").select("qid", "name", "package", "tier", "kind")
 
 
-def single_imports(usages: DataFrame, seen: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Import to add for names that a file does not see, if one top-level symbol alone has the name."""
-    top = symbols.where("container is null").groupBy("name").agg(F.countDistinct("package").alias("n"), F.min("package").alias("package")).where("n = 1")
-    names = usages.select("path", "name").distinct()
-    known = seen.join(symbols.select("sid", "name"), "sid").select("path", "name").distinct()
-    return names.join(known, ["path", "name"], "left_anti").join(top, "name").select("path", F.concat_ws(".", "package", "name").alias("fqn"))
+def single_imports(usages: DataFrame, file_ctx: DataFrame, imports: DataFrame, symbols: DataFrame, defaults: list[str]) -> DataFrame:
+    """Import to add for names that a file does not see, if one package alone has the name at its top level."""
+    top = symbols.where("container is null").groupBy("name").agg(F.countDistinct("package").alias("n"), F.min("package").alias("package")).where("n = 1").drop("n")
+    names = usages.select("path", "name").distinct().join(top, "name")
+    named = imports.where("not wildcard").select("path", F.coalesce("alias", "name").alias("name")).distinct()
+    of_name = symbols.select("name", F.col("package").alias("seen_in")).distinct()
+    by_default = of_name.where(F.col("seen_in").isin(defaults)).select("name").distinct()
+    left = names.join(named, ["path", "name"], "left_anti").join(by_default, "name", "left_anti")
+    sees = seen_packages(file_ctx, imports).withColumnRenamed("package", "seen_in")
+    known = left.select("path", "name").join(of_name, "name").join(sees, ["path", "seen_in"], "left_semi").select("path", "name").distinct()
+    return left.join(known, ["path", "name"], "left_anti").select("path", F.concat_ws(".", "package", "name").alias("fqn"))
 
 
 def insert_text() -> Column:
@@ -101,12 +243,19 @@ def insert_text() -> Column:
 # ---- hierarchy -------------------------------------------------------------
 
 
-def implementations(symbols: DataFrame, edges: DataFrame) -> DataFrame:
-    """Members of direct subtypes with the name's kind and arity: target and implementation."""
-    m = symbols.select("sid", "kind", "max_arity", "value_type")
-    a, b = m.alias("t"), m.alias("i")
-    j = edges.join(a, F.col("sup") == F.col("t.sid")).join(b, F.col("sub") == F.col("i.sid"))
-    return j.where("t.kind = i.kind and t.max_arity = i.max_arity and t.value_type <=> i.value_type").select(F.col("t.sid").alias("target"), F.col("i.sid").alias("impl")).distinct()
+def implementations(symbols: DataFrame, edges: DataFrame, members: DataFrame) -> DataFrame:
+    """``target``, ``impl``: types with their direct subtypes, whatever the kind of either, and members with those of the subtypes.
+
+    A member implements one of equal name and kind; functions also need as many
+    parameters of equal types.
+    """
+    types = types_named(symbols).select(F.col("sid").alias("target"))
+    by_type = types.join(edges, types.target == edges["sup"]).join(types_named(symbols).select(F.col("sid").alias("sub")), "sub").select("target", F.col("sub").alias("impl"))
+    m = members.where(F.col("kind").isin("Function", "Property"))
+    a = m.select(F.col("sid").alias("target"), F.col("owner").alias("sup"), "name", "kind", F.when(F.col("kind") == "Function", F.col("params")).alias("takes"))
+    b = m.select(F.col("sid").alias("impl"), F.col("owner").alias("sub"), "name", "kind", F.when(F.col("kind") == "Function", F.col("params")).alias("has"))
+    by_member = a.join(edges, "sup").join(b, ["sub", "name", "kind"]).where("takes <=> has").select("target", "impl")
+    return by_type.unionByName(by_member).distinct()
 
 
 def calls(nodes: DataFrame, callers: DataFrame) -> DataFrame:
@@ -175,14 +324,29 @@ def mislocated(left: DataFrame, right: DataFrame) -> DataFrame:
     return a.join(b, [*key, "nth"]).select(*key, "path", "line", "col", "path_b", "line_b", "col_b")
 
 
-def numeric_version() -> Column:
-    """Sort key of versions whose parts all are numbers."""
-    return F.transform(F.split("version", r"[.\-_]"), lambda x: x.cast("long"))
+def version_key(version: str = "version") -> Column:
+    """Sort key of any version: parts at ``. - _``, numbers by value and before texts, texts by their bytes, the longer of equal beginnings last.
+
+    Comparing a number with a text as texts, part by part, is no total order
+    (2 < 10 < 1a < 2); where a text part begins with a letter this one agrees.
+    """
+
+    def part(x: Column) -> Column:
+        number = F.when(x.rlike(r"\A\+?[0-9]{1,30}\z"), x.try_cast("decimal(38,0)"))
+        number = F.when(number < F.lit("18446744073709551616").cast("decimal(38,0)"), number)
+        return F.struct(number.isNull().cast("int").alias("text"), F.coalesce(number, F.lit(0).cast("decimal(38,0)")).alias("number"), F.when(number.isNull(), x).otherwise("").alias("word"))
+
+    return F.transform(F.split(version, r"[.\-_]"), part)
+
+
+def version_order(coordinates: DataFrame) -> DataFrame:
+    """``ord``, ``nth``: place of each version among those of its artifact."""
+    return coordinates.select("ord", F.rank().over(Window.partitionBy("grp", "artifact").orderBy(version_key())).alias("nth"))
 
 
 def selected_versions(coordinates: DataFrame) -> DataFrame:
-    """Greatest version of each artifact, the first of equals (numeric parts)."""
-    w = Window.partitionBy("grp", "artifact").orderBy(numeric_version().desc(), "ord")
+    """Greatest version of each artifact by :func:`version_key`, the first of equals."""
+    w = Window.partitionBy("grp", "artifact").orderBy(version_key().desc(), "ord")
     return coordinates.withColumn("r", F.row_number().over(w)).select("grp", "artifact", "version", "ord", F.when(F.col("r") == 1, "Selected").otherwise("ShadowedBy").alias("decision"))
 
 

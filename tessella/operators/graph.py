@@ -20,46 +20,92 @@ def _saved(df: DataFrame) -> DataFrame:
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/rounds/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
 
 
-def closure(seeds: DataFrame, edges: DataFrame, most: int = 32) -> DataFrame:
-    """``src``, ``node``, ``depth``: what each seed reaches over ``sub`` -> ``sup`` in at most ``most`` steps, by the shortest way.
+def _drop(df: DataFrame) -> None:
+    """Remove a table of :func:`_saved` that nothing reads any more."""
+    spark = df.sparkSession
+    p = spark._jvm.org.apache.hadoop.fs.Path(df._saved_at)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
-    Cycles end where a node was visited.  ``seeds`` has ``src``.
+
+def closure(seeds: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
+    """``src``, ``node``, ``depth``: what each seed reaches over ``sub`` -> ``sup``, by the shortest way.
+
+    Cycles end where a node was visited.  ``seeds`` has ``src``, and ``node`` if a
+    seed starts elsewhere than in a node of its own name.  With ``most``
+    only what is at most so many steps away.  All that was seen stays in one
+    table, which each round reads once; the round before's is removed.
     """
-    seen = _saved(seeds.select("src", F.col("src").alias("node"), F.lit(0).alias("depth")).distinct())
-    front = seen
-    for depth in range(1, most + 1):
-        step = front.join(edges, front.node == edges["sub"]).select("src", F.col("sup").alias("node")).distinct()
-        front = _saved(step.join(seen.select("src", "node"), ["src", "node"], "left_anti").withColumn("depth", F.lit(depth)))
-        if front.isEmpty():
+    start = F.col("node" if "node" in seeds.columns else "src").alias("node")
+    seen = _saved(seeds.select("src", start, F.lit(0).alias("depth")).distinct())
+    depth = 0
+    while most is None or depth < most:
+        front = seen.where(F.col("depth") == depth)
+        step = front.join(edges, front.node == edges["sub"]).select("src", F.col("sup").alias("node"), F.lit(depth + 1).alias("depth"))
+        # one shuffle by pair: of what was seen and what is reached now, the nearer
+        grown = _saved(seen.unionByName(step).groupBy("src", "node").agg(F.min("depth").alias("depth")))
+        _drop(seen)
+        seen, depth = grown, depth + 1
+        if seen.where(F.col("depth") == depth).isEmpty():
             break
-        seen = seen.unionByName(front)
     return seen
 
 
-def enclosing(nodes: DataFrame, inner: str) -> DataFrame:
-    """Pairs of nodes of a kind and the nodes around them: equal path, interval in interval."""
-    d = nodes.where(F.col("kind") == inner).select("path", F.col("pre").alias("d_pre"), F.col("post").alias("d_post"), F.col("ref").alias("d_ref"))
-    return d.join(nodes, "path").where("pre < d_pre and post > d_post")
+def is_subtype(asked: DataFrame, closed: DataFrame) -> DataFrame:
+    """``src``, ``target``, ``is_subtype`` of asked pairs, by a closure of the sources."""
+    hit = closed.select("src", F.col("node").alias("target"), F.lit(True).alias("hit"))
+    return asked.join(hit, ["src", "target"], "left").select("src", "target", F.coalesce("hit", F.lit(False)).alias("is_subtype"))
+
+
+def nearest(closed: DataFrame, most: int) -> DataFrame:
+    """Of what each source reaches the first ``most`` nodes, the nearest first."""
+    w = Window.partitionBy("src").orderBy("depth", "node")
+    return closed.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).drop("_r")
+
+
+def ancestors(nodes: DataFrame, inner: str, extra: list[str] | None = None) -> DataFrame:
+    """Nodes of a kind with ``around``: the nodes they lie in, from the outermost (``depth``, ``pre``, ``post``, ``kind``, ``ref``).
+
+    One pass over each path in the order of ``pre``: for each depth the last node
+    there is the only one that may still be open.  Nothing is joined, so the work
+    is that of sorting, however many nodes a path has.
+    """
+    levels = nodes.agg(F.max("depth")).first()[0] or 0
+    node = F.struct("depth", "pre", "post", "kind", "ref")
+    w = Window.partitionBy("path").orderBy("pre", F.desc("post"), "depth").rowsBetween(Window.unboundedPreceding, -1)
+    last = [F.last(F.when(F.col("depth") == k, node), ignorenulls=True).over(w) for k in range(levels)]
+    open_ = F.array(*last) if last else F.array().cast("array<struct<depth:int,pre:bigint,post:bigint,kind:string,ref:bigint>>")
+    out = nodes.withColumn("around", open_).where(F.col("kind") == inner)
+    return out.withColumn("around", F.filter("around", lambda x: x.isNotNull() & (x["pre"] < F.col("pre")) & (x["post"] > F.col("post"))))
 
 
 def innermost(nodes: DataFrame, inner: str, outer: list[str]) -> DataFrame:
     """Innermost node of the outer kinds around each node of the inner kind."""
-    e = enclosing(nodes, inner).where(F.col("kind").isin(outer))
-    return e.groupBy("path", "d_pre").agg(F.max_by("ref", "depth").alias("ref"), F.max("depth").alias("depth"))
+    of_kind = F.filter("around", lambda x: x["kind"].isin(outer))
+    found = ancestors(nodes, inner).select("path", F.col("pre").alias("d_pre"), F.try_element_at(of_kind, F.lit(-1)).alias("a"))
+    return found.where("a is not null").select("path", "d_pre", "a.ref", "a.depth")
 
 
 def selection_chain(nodes: DataFrame, inner: str) -> DataFrame:
     """Spans around each node from the innermost out, strictly growing."""
-    e = enclosing(nodes, inner).withColumn("size", F.col("post") - F.col("pre"))
-    w = Window.partitionBy("path", "d_pre").orderBy("size", F.desc("depth"))
-    grown = e.withColumn("last", F.lag("size").over(w)).where("last is null or size > last")
-    return grown.groupBy("path", "d_pre").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("size", "pre", "post"))), lambda x: F.concat_ws("-", x["pre"], x["post"])), ",").alias("chain"))
+    spans = F.transform(F.reverse("around"), lambda x: F.struct((x["post"] - x["pre"]).alias("size"), x["pre"].alias("pre"), x["post"].alias("post")))
+    grown = F.filter(F.col("spans"), lambda x, i: (i == 0) | (x["size"] > F.get(F.col("spans"), i - 1)["size"]))
+    found = ancestors(nodes, inner).where(F.size("around") > 0).withColumn("spans", spans)
+    return found.select("path", F.col("pre").alias("d_pre"), F.array_join(F.transform(grown, lambda x: F.concat_ws("-", x["pre"], x["post"])), ",").alias("chain"))
 
 
 def nearest_before(uses: DataFrame, decls: DataFrame, keys: list[str]) -> DataFrame:
-    """Declaration with the greatest start before each use, of the same keys."""
-    d = decls.select(*keys, F.col("start_byte").alias("decl_start"))
-    return uses.join(d, keys).where("decl_start < start_byte").groupBy(*keys, "start_byte").agg(F.max("decl_start").alias("decl_start"))
+    """Declaration with the greatest start before each use, of the same keys.
+
+    Uses and declarations stand in one order of their places, in which the last
+    declaration before each use is looked up; they are not paired.
+    """
+    d = decls.select(*keys, "start_byte", F.col("start_byte").alias("decl_start"))
+    both = uses.select(*keys, "start_byte", F.lit(None).cast("long").alias("decl_start"), F.lit(True).alias("is_use")).unionByName(d.withColumn("is_use", F.lit(False)))
+    before = Window.partitionBy(*keys).orderBy("start_byte").rangeBetween(Window.unboundedPreceding, -1)
+    found = both.withColumn("decl_start", F.max("decl_start").over(before)).where("is_use and decl_start is not null")
+    return found.select(*keys, "start_byte", "decl_start").distinct()

@@ -37,31 +37,31 @@ def cross_file(usages: DataFrame, file_ctx: DataFrame, imports: DataFrame, symbo
     Otherwise: an explicit import, the file's package, the packages of wildcard
     imports in their order, the default packages in theirs.
     """
-    uses = usages.join(file_ctx.select("path", F.col("package").alias("own")), "path")
+    own = file_ctx.select("path", F.col("package").alias("own"))
     alias = imports.where("not wildcard and alias is not null").groupBy("path", F.col("alias").alias("name")).agg(F.min(F.struct("ord", F.col("package").alias("apkg"), F.col("name").alias("real"))).alias("a"))
-    uses = uses.join(alias, ["path", "name"], "left").withColumn("lookup", F.coalesce("a.real", "name"))
+    # a file's uses of a name in one way mean the same
+    asked = usages.select("path", "name", "use_kind").distinct().join(own, "path").join(alias, ["path", "name"], "left")
+    asked = asked.select("path", "name", "use_kind", "own", F.coalesce("a.real", "name").alias("lookup"), F.col("a.apkg").alias("apkg"))
+    plain = asked.where("apkg is null")
+    key = ["path", "name", "use_kind", "lookup"]
+    explicit = imports.where("not wildcard and alias is null").select("path", F.col("name").alias("lookup"), "package").distinct()
+    star = imports.where("wildcard").groupBy("path", "package").agg((F.min("ord") + STAR).alias("stage"))
+    # the packages that each file looks into: none of these joins makes a row for each package that has the name
+    where = (
+        asked.where("apkg is not null").select(*key, F.col("apkg").alias("package"), F.lit(0).alias("stage"))
+        .unionByName(plain.join(explicit, ["path", "lookup"]).select(*key, "package", F.lit(EXPLICIT).alias("stage")))
+        .unionByName(plain.select(*key, F.col("own").alias("package"), F.lit(SAME).alias("stage")))
+        .unionByName(plain.join(star, "path").select(*key, "package", "stage"))
+    )
     syms = symbols.select("sid", F.col("name").alias("lookup"), "package", "kind")
-    # kinds, packages and names repeat: decide on distinct ones, then fetch the symbols
     kinds = syms.select("lookup", "package", "kind").distinct()
-    explicit = imports.where("not wildcard and alias is null").select("path", F.col("name").alias("lookup"), "package", F.lit(EXPLICIT).alias("e")).distinct()
-    star = imports.where("wildcard").groupBy("path", "package").agg((F.min("ord") + STAR).alias("s"))
-    rank = F.create_map(*[x for i, p in enumerate(defaults) for x in (F.lit(p), F.lit(DEFAULT + i))])
-    ranked = (
-        uses.join(kinds, "lookup")
-        .where(kind_ok())
-        .join(explicit, ["path", "lookup", "package"], "left")
-        .join(star, ["path", "package"], "left")
-        .withColumn(
-            "stage",
-            F.when(F.col("a").isNotNull(), F.when(F.col("package") == F.col("a.apkg"), F.lit(0)))
-            .when(F.col("e").isNotNull(), F.lit(EXPLICIT))
-            .when(F.col("package") == F.col("own"), F.lit(SAME))
-            .otherwise(F.coalesce(F.col("s"), rank[F.col("package")])),
-        )
-        .where("stage is not null")
-    )
-    best = ranked.withColumn("r", F.rank().over(Window.partitionBy("path", "start_byte").orderBy("stage"))).where("r = 1")
-    return best.select("path", "start_byte", "lookup", "package", "kind", F.col("stage").cast("long")).join(syms, ["lookup", "package", "kind"]).select("path", "start_byte", "sid", "stage")
+    ranks = F.create_map(*[x for i, p in enumerate(defaults) for x in (F.lit(p), F.lit(DEFAULT + i))])
+    by_default = kinds.withColumn("stage", ranks[F.col("package")]).where("stage is not null")
+    ranked = where.join(kinds, ["lookup", "package"]).unionByName(plain.select(*key).join(by_default, "lookup"), allowMissingColumns=False).where(kind_ok())
+    best = ranked.withColumn("r", F.rank().over(Window.partitionBy("path", "name", "use_kind").orderBy("stage"))).where("r = 1")
+    best = best.select("path", "name", "use_kind", "lookup", "package", "kind", F.col("stage").cast("long").alias("stage")).distinct()
+    targets = best.join(syms, ["lookup", "package", "kind"]).select("path", "name", "use_kind", "sid", "stage")
+    return usages.select("path", "start_byte", "name", "use_kind").join(targets, ["path", "name", "use_kind"]).select("path", "start_byte", "sid", "stage").distinct()
 
 
 def source_set_kind(path: str = "path") -> Column:
@@ -103,10 +103,44 @@ def completeness(file_ctx: DataFrame) -> DataFrame:
     return file_ctx.groupBy("package").agg(F.every("clean").alias("whole"), F.array_join(F.array_sort(F.collect_set("module")), ",").alias("modules"))
 
 
-def references(found: DataFrame, cap: int = 5000) -> DataFrame:
-    """Uses of each definition, at most ``cap`` of each in the order of path and place."""
-    w = Window.partitionBy("sid").orderBy("path", "start_byte")
-    return found.select("sid", "path", "start_byte").distinct().withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= cap)
+def references(found: DataFrame) -> DataFrame:
+    """All uses of each definition: ``sid``, ``path``, ``start_byte``."""
+    return found.select("sid", "path", "start_byte").distinct()
+
+
+def listed_references(found: DataFrame, cap: int = 5000) -> DataFrame:
+    """The first ``cap`` uses of each definition in the order of path and place, as an answer lists them.
+
+    Rows of each path are numbered first and the paths' sizes added up, so a
+    popular definition is not sorted as a whole: a file's uses are one group.
+    """
+    uses = references(found)
+    sizes = uses.groupBy("sid", "path").agg(F.count("*").alias("own"))
+    before = Window.partitionBy("sid").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+    # files beyond the cap have no listed use
+    sizes = sizes.withColumn("before", F.coalesce(F.sum("own").over(before), F.lit(0))).where(F.col("before") < cap)
+    nth = F.row_number().over(Window.partitionBy("sid", "path").orderBy("start_byte")) + F.col("before")
+    return uses.join(sizes, ["sid", "path"]).withColumn("nth", nth.cast("int")).where(F.col("nth") <= cap).select("sid", "path", "start_byte", "nth")
+
+
+def rename(found: DataFrame, symbols: DataFrame, new_names: DataFrame, most: int = 5000) -> DataFrame:
+    """``path``, ``start_byte``, ``end_byte``, ``new_text`` of every use of the project's symbols in ``new_names`` (``sid``, ``new_name``).
+
+    A name with over ``most`` uses is refused whole, as are new names that are no identifiers.
+    """
+    uses = references(found).join(symbols.where("tier = 'Volatile'").select("sid", "name"), "sid").join(new_names.where(is_identifier("new_name")), "sid")
+    few = uses.groupBy("sid").agg(F.count("*").alias("n")).where(F.col("n") <= most).select("sid")
+    return uses.join(few, "sid", "left_semi").select("path", "start_byte", (F.col("start_byte") + F.length("name")).alias("end_byte"), F.col("new_name").alias("new_text"))
+
+
+# Words that are no names in Kotlin (fixed values).
+KEYWORDS = ["as", "break", "class", "continue", "do", "else", "false", "for", "fun", "if", "in", "interface", "is", "null", "object", "package", "return", "super", "this", "throw", "true", "try", "typealias", "typeof", "val", "var", "when", "while", "import", "by", "catch", "constructor", "delegate", "dynamic", "field", "file", "finally", "get", "init", "param", "property", "receiver", "set", "setparam", "where"]
+
+
+def is_identifier(col: str) -> Column:
+    """Whether a text can be a new name: a letter or _, then letters, digits or _, and no word of the language."""
+    c = F.col(col)
+    return F.coalesce(c.rlike(r"\A[\p{IsAlphabetic}_][\p{IsAlphabetic}\p{N}_]*\z") & ~c.isin(KEYWORDS), F.lit(False))
 
 
 def import_targets(imports: DataFrame, symbols: DataFrame) -> DataFrame:

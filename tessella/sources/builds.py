@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .files import archive_entries
+
 _SAFE = r"^[^\s/\\:$]+$"
 
 
@@ -66,6 +68,31 @@ def catalog_libraries(files: DataFrame) -> DataFrame:
     return libs.join(managed_versions(known), "grp", "left").select("path", "alias", "grp", "artifact", F.coalesce("version", "managed").alias("version"))
 
 
+def module_identities(files: DataFrame) -> DataFrame:
+    """All ``grp``, ``artifact`` that version catalogs name, with a version or without."""
+    return catalog_libraries(files).select("grp", "artifact").distinct()
+
+
+def embedded_poms(archives: DataFrame) -> DataFrame:
+    """``path`` (of the archive), ``text`` of the POM files inside archives (``path``, ``content``)."""
+    found = archive_entries(archives, ("pom.xml",))
+    return found.where(F.col("entry").rlike(r"^META-INF/maven/.+/pom\.xml$")).select(F.col("archive").alias("path"), "text")
+
+
+def archive_dependencies(archives: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """``fingerprint`` and what :func:`pom_dependencies` gives of each archive (``path``, ``content``, ``fingerprint``).
+
+    Archives whose fingerprint has rows in ``known`` (this function's rows of
+    before) are not opened again.
+    """
+    new = archives if known is None else archives.join(known.select("fingerprint").distinct(), "fingerprint", "left_anti")
+    out = pom_dependencies(embedded_poms(new)).join(new.select("path", "fingerprint"), "path")
+    if known is None:
+        return out
+    old = known.join(archives.select("fingerprint").distinct(), "fingerprint", "left_semi")
+    return old.unionByName(out)
+
+
 def build_literals(files: DataFrame, cached: DataFrame | None = None) -> DataFrame:
     """``path``, ``grp``, ``artifact``, ``version`` of quoted coordinates; versions from platforms, then from the cache."""
     lines = files.select("path", F.explode(F.split("text", "\r?\n")).alias("line"))

@@ -32,6 +32,13 @@ def task_executed(lines: DataFrame) -> DataFrame:
     return lines.agg(F.coalesce(F.max(hit), F.lit(False)).alias("executed"))
 
 
+def classified(runs: DataFrame) -> DataFrame:
+    """``event_id``, ``cold``, ``superseded`` of compile runs (``root``, ``ts``, ``wall_us``): the first of its root, and those that a later one overtook before they ended."""
+    w = Window.partitionBy("root").orderBy("ts", "event_id")
+    overtaken = F.lead("ts").over(w) < F.col("ts") + F.make_dt_interval(secs=(F.col("wall_us") / 1_000_000).cast("decimal(18,6)"))
+    return runs.select("event_id", (F.row_number().over(w) == 1).alias("cold"), F.coalesce(overtaken, F.lit(False)).alias("superseded"))
+
+
 def read_jsonl(lines: DataFrame, schema: str) -> tuple[DataFrame, DataFrame]:
     """Records of JSON lines (``value``), and how many lines that are not blank could not be read."""
     names = ", ".join([schema, "_bad string"])
@@ -56,23 +63,23 @@ def diagnostic_lines(diags: DataFrame) -> DataFrame:
     return diags.select(F.concat("path", F.lit(":"), (F.col("line") + 1).cast("string"), F.lit(":"), (F.col("col") + 1).cast("string"), F.lit(": "), F.lower("severity"), code, F.lit(": "), "message").alias("value"))
 
 
-def flame_frames(texts: DataFrame) -> DataFrame:
-    """Frames (``name``, ``y``, ``x``, ``width``) of flame graphs (``text``)."""
+def flame_frames(texts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Frames (``name``, ``y``, ``x``, ``width``) of flame graphs (``text``); ``by`` tells graphs apart."""
     pattern = r'<g><title>(.*?) \([\d,]+ samples?, [\d.]+%\)</title><rect[^>]*\by="(\d+)"[^>]*\bfg:x="(\d+)" fg:w="(\d+)"'
-    found = texts.select(F.explode(F.arrays_zip(*[F.regexp_extract_all("text", F.lit(pattern), F.lit(i)).alias(n) for i, n in ((1, "name"), (2, "y"), (3, "x"), (4, "width"))])).alias("f"))
+    found = texts.select(*by, F.explode(F.arrays_zip(*[F.regexp_extract_all("text", F.lit(pattern), F.lit(i)).alias(n) for i, n in ((1, "name"), (2, "y"), (3, "x"), (4, "width"))])).alias("f"))
     name = F.col("f.name")
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         name = F.replace(name, F.lit(entity), F.lit(char))
-    return found.select(name.alias("name"), *(F.col(f"f.{c}").cast("long").alias(c) for c in ("y", "x", "width")))
+    return found.select(*by, name.alias("name"), *(F.col(f"f.{c}").cast("long").alias(c) for c in ("y", "x", "width")))
 
 
-def self_time(frames: DataFrame, level: int = 16) -> DataFrame:
+def self_time(frames: DataFrame, level: int = 16, by: tuple[str, ...] = ()) -> DataFrame:
     """Samples of each name outside the frames above its own."""
-    f = frames.withColumn("id", F.struct("y", "x"))
-    c = frames.select((F.col("y") + level).alias("py"), F.col("x").alias("cx"), F.col("width").alias("cw"))
-    kids = f.join(c, (f.y == c.py) & (c.cx >= f.x) & (c.cx + c.cw <= f.x + f.width)).groupBy("id").agg(F.sum("cw").alias("used"))
-    own = f.join(kids, "id", "left").withColumn("own", F.col("width") - F.coalesce("used", F.lit(0)))
-    return own.where("own > 0 and name <> 'all'").groupBy("name").agg(F.sum("own").alias("samples"))
+    c = frames.select(*by, (F.col("y") + level).alias("y"), F.col("x").alias("cx"), F.col("width").alias("cw"))
+    keys = [*by, "y", "x"]
+    kids = frames.join(c, [*by, "y"]).where("cx >= x and cx + cw <= x + width").groupBy(*keys).agg(F.sum("cw").alias("used"))
+    own = frames.join(kids, keys, "left").withColumn("own", F.col("width") - F.coalesce("used", F.lit(0)))
+    return own.where("own > 0 and name <> 'all'").groupBy(*by, "name").agg(F.sum("own").alias("samples"))
 
 
 def fingerprint(*parts: Column) -> Column:

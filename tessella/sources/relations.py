@@ -28,7 +28,7 @@ RELATIONS = {
           CASE WHEN p_partkey % 13 = 0 THEN p_type END AS ext_receiver,
           CASE WHEN p_partkey % 3 = 0 THEN concat('T', p_size % 9) END AS value_type
         FROM part""",
-    "file_ctx": "SELECT o_orderkey AS path, concat('Brand#', o_custkey % 5 + 1, CAST(floor((o_custkey % 25) / 5.0) AS INT) + 1) AS package, o_custkey % 8 <> 0 AS clean, concat('mod', o_custkey % 7) AS module FROM orders",
+    "file_ctx": "SELECT o_orderkey AS path, concat('Brand#', o_custkey % 5 + 1, CAST(floor((o_custkey % 25) / 5.0) AS INT) + 1) AS package, o_custkey % 8 <> 0 OR o_custkey % 25 < 16 AS clean, concat('mod', o_custkey % 7) AS module FROM orders",
     "usages": f"""
         SELECT l_orderkey AS path, 10 * {_NTH} AS start_byte, {_NAME} AS name,
           CASE WHEN l_linestatus = 'F' AND l_linenumber % 3 = 0 THEN 'MemberSelector' WHEN l_returnflag = 'A' THEN 'Type' WHEN l_returnflag = 'N' THEN 'Call' ELSE 'Value' END AS use_kind,
@@ -39,7 +39,7 @@ RELATIONS = {
           CASE WHEN l_suppkey % 4 <> 0 AND l_partkey % 9 = 0 THEN concat('as_', {_NAME}) END AS alias
         FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber % 2 = 0""",
     "type_edges": "SELECT p_partkey AS sub, CAST(floor(p_partkey / 2.0) AS BIGINT) AS sup FROM part WHERE p_partkey > 1 UNION ALL SELECT p_partkey AS sub, p_partkey + 3 AS sup FROM part WHERE p_partkey % 97 = 5",
-    "coordinates": "SELECT p_partkey AS ord, p_brand AS grp, p_type AS artifact, concat(p_size, '.', p_partkey % 10) AS version FROM part",
+    "coordinates": "SELECT p_partkey AS ord, p_brand AS grp, p_type AS artifact, concat(p_size, '.', p_partkey % 10, CASE WHEN p_partkey % 7 = 0 THEN concat('-RC', p_size % 3) WHEN p_partkey % 11 = 0 THEN '-jre' WHEN p_partkey % 13 = 0 THEN concat('_', p_size % 12) ELSE '' END) AS version FROM part",
     "nodes": """
         SELECT c_custkey AS path, 0 AS depth, CAST(0 AS BIGINT) AS pre, CAST(1000000000 AS BIGINT) AS post, 'file' AS kind, c_custkey AS ref FROM customer
         UNION ALL SELECT o_custkey, 1, 1000 * row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey), 1000 * row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) + 999, CASE o_orderkey % 3 WHEN 0 THEN 'class' WHEN 1 THEN 'function' ELSE 'block' END, o_orderkey FROM orders
@@ -53,9 +53,59 @@ RELATIONS = {
     "diags_a": "SELECT concat('File', user_id % 40, '.kt') AS path, event_id % 17 AS line, event_id % 5 AS col, CASE WHEN event_type = 'error' THEN 'Error' ELSE 'Warning' END AS severity, concat('message  of ', event_type) AS message FROM events WHERE event_id % 3 <> 0",
     "diags_b": "SELECT concat('File', user_id % 40, '.kt') AS path, event_id % 17 + CASE WHEN event_id % 29 = 0 THEN 1 ELSE 0 END AS line, event_id % 5 AS col, CASE WHEN event_type = 'error' THEN 'Error' ELSE 'Warning' END AS severity, concat('message of ', event_type) AS message FROM events WHERE event_id % 4 <> 0",
     "edits": "SELECT conv_id AS file, turn AS ord, 7 * turn AS start_byte, 7 * turn + length(text) % 11 AS end_byte, role AS new_text FROM conversations",
-    "candidates": "SELECT DISTINCT concat('query', sid % 5) AS qid, name, package, kind, tier, container FROM symbols",
+    "candidates": "SELECT DISTINCT concat('query', sid % 40) AS qid, CASE sid % 4 WHEN 0 THEN 'co' WHEN 1 THEN 'new' WHEN 2 THEN 'hot_' ELSE '' END AS prefix, name, package, kind, tier, container FROM symbols",
     "qualified_uses": f"SELECT l_orderkey AS path, 10 * {_NTH} AS start_byte, p_brand AS qualifier, p_type AS outer_type, {_NAME} AS name, CASE WHEN l_returnflag = 'A' THEN 'Type' WHEN l_returnflag = 'N' THEN 'Call' ELSE 'Value' END AS use_kind FROM lineitem JOIN part ON l_partkey = p_partkey",
     "members": f"SELECT p_partkey AS sid, CAST(floor(p_partkey / 4.0) AS BIGINT) + 1 AS owner, {_NAME} AS name, CASE WHEN p_partkey % 3 = 0 THEN 'Property' ELSE 'Function' END AS kind FROM part",
+    "member_decls": "SELECT p_partkey AS sid, CAST(floor(p_partkey / 4.0) AS BIGINT) + 1 AS owner, concat('m', p_partkey % 4) AS name, CASE WHEN p_partkey % 3 = 0 THEN 'Property' ELSE 'Function' END AS kind, CASE WHEN p_size % 3 > 0 THEN concat('T', p_size % 2) ELSE '' END AS params FROM part",
+    "new_names": f"SELECT p_partkey AS sid, CASE p_partkey % 6 WHEN 0 THEN p_name WHEN 1 THEN concat('renamed_', p_partkey) WHEN 2 THEN 'class' WHEN 3 THEN concat('é', p_size) WHEN 4 THEN concat(p_size, 'x') ELSE concat('_', p_size) END AS new_name FROM part",
+    "expr_nodes": """
+        SELECT o_orderkey AS path, 0 AS node_id, CAST(NULL AS INT) AS parent_id, CAST(NULL AS INT) AS named_ord,
+          CASE o_orderkey % 6 WHEN 0 THEN 'infix_expression' WHEN 1 THEN 'navigation_expression' WHEN 2 THEN 'user_type' WHEN 3 THEN 'call_expression' WHEN 4 THEN 'block' ELSE 'property_declaration' END AS kind FROM orders
+        UNION ALL SELECT l_orderkey, l_linenumber, 0, l_linenumber - 1, 'identifier' FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem) l""",
+    "named_nodes": "SELECT *, concat('v', ref % 7) AS name, CASE ref % 3 WHEN 0 THEN 'Value' WHEN 1 THEN 'Call' ELSE 'Type' END AS use_kind FROM nodes",
+    "scope_decls": """
+        SELECT path, pre - pre % 1000 AS scope, concat('v', ref % 7) AS name, pre AS decl_start, CAST(ref % 2 AS INT) AS prio, CASE ref % 3 WHEN 0 THEN 'Property' WHEN 1 THEN 'Function' ELSE 'Class' END AS kind FROM nodes WHERE depth = 2 AND ref % 5 = 0
+        UNION ALL SELECT path, CAST(0 AS BIGINT), concat('v', ref % 7), pre, 0, CASE ref % 4 WHEN 0 THEN 'Property' WHEN 1 THEN 'Function' ELSE 'Class' END FROM nodes WHERE depth = 1 AND ref % 3 <> 1""",
+    "guards": "SELECT path, concat('v', ref % 7) AS name, concat('T', ref % 3) AS type, pre AS lo, post AS hi FROM nodes WHERE depth = 1",
+    "assigned": "SELECT path, concat('v', ref % 7) AS name, pre AS place FROM nodes WHERE depth = 2 AND ref % 13 = 0",
+    "syntax": f"""
+        SELECT o_orderkey AS path, CAST(0 AS BIGINT) AS node_id, CAST(NULL AS BIGINT) AS parent_id, CAST(NULL AS BIGINT) AS named_ord, CAST(NULL AS STRING) AS field, CAST(NULL AS STRING) AS text,
+          CASE o_orderkey % 10 WHEN 0 THEN 'variable_declaration' WHEN 1 THEN 'parameter' WHEN 2 THEN 'enum_entry' WHEN 3 THEN 'class_declaration' WHEN 4 THEN 'function_declaration' WHEN 5 THEN 'type_alias' WHEN 6 THEN 'value_argument' WHEN 7 THEN 'call_expression' WHEN 8 THEN 'object_declaration' ELSE 'block' END AS kind FROM orders
+        UNION ALL SELECT l_orderkey, CAST({_NTH} AS BIGINT), CAST(0 AS BIGINT), CAST({_NTH} AS BIGINT) - 1, CASE {_NTH} WHEN 1 THEN 'name' WHEN 2 THEN 'type' END,
+          CASE l_partkey % 9 WHEN 0 THEN 'true' WHEN 1 THEN 'null' WHEN 2 THEN 'break' ELSE concat('n', l_partkey) END, 'identifier' FROM lineitem""",
+    "import_paths": f"""
+        SELECT l_orderkey AS path, {_NTH} AS ord, concat(p_brand, CASE WHEN l_suppkey % 4 <> 0 AND p_partkey % 5 = 1 THEN concat('.', p_type) ELSE '' END, CASE WHEN l_suppkey % 4 <> 0 AND p_partkey % 5 = 1 AND l_linenumber % 3 = 0 THEN '.Companion' ELSE '' END) AS prefix,
+          {_NAME} AS simple, l_suppkey % 4 = 0 AS wildcard FROM lineitem JOIN part ON l_partkey = p_partkey""",
+    "java_types": "SELECT p_partkey AS sid, concat('C', p_partkey % 50) AS name, p_brand AS package, CAST(NULL AS STRING) AS container, CASE WHEN p_partkey % 3 = 0 THEN 'Interface' ELSE 'Class' END AS kind FROM part WHERE p_partkey % 2 = 0",
+    "java_members": "SELECT p_partkey AS sid, concat('m', p_partkey % 9) AS name, CASE WHEN p_partkey % 41 = 0 THEN 'java.lang' ELSE p_brand END AS package, concat('C', p_partkey % 50) AS container, CASE WHEN p_partkey % 4 = 1 THEN 'Property' ELSE 'Function' END AS kind, CASE WHEN p_partkey % 31 = 0 THEN 'Durable' ELSE 'Volatile' END AS tier, least(p_size % 3, 1) AS min_arity, CASE WHEN p_partkey % 37 <> 0 THEN p_size % 3 END AS max_arity, p_partkey % 29 = 0 AS has_vararg, CASE p_size % 4 WHEN 0 THEN 'int' WHEN 1 THEN 'long' WHEN 2 THEN 'Object' ELSE 'String' END AS param FROM part WHERE p_partkey % 2 = 1",
+    "java_imports": "SELECT l_orderkey AS path, concat(p_brand, CASE WHEN l_suppkey % 4 <> 0 AND l_partkey % 2 = 1 THEN concat('.C', l_partkey % 50) ELSE '' END) AS prefix, CASE WHEN l_partkey % 2 = 1 THEN concat('m', l_partkey % 9) ELSE concat('C', l_partkey % 50) END AS simple, l_suppkey % 4 = 0 AS wildcard FROM lineitem JOIN part ON l_partkey = p_partkey",
+    "java_uses": f"SELECT l_orderkey AS path, CAST({_NTH} AS BIGINT) AS use_id, CASE WHEN l_returnflag = 'A' THEN concat('C', l_suppkey % 50) ELSE concat('m', l_partkey % 9) END AS name, l_returnflag = 'A' AS in_type, l_returnflag = 'N' AS is_call, CASE WHEN l_returnflag <> 'A' AND l_linenumber % 4 = 0 THEN concat('C', l_suppkey % 60) END AS receiver, CASE WHEN l_returnflag <> 'A' AND l_linenumber % 4 = 1 THEN concat('C', l_suppkey % 50) END AS owner, CAST(l_quantity AS INT) % 4 AS n_args, CASE CAST(l_quantity AS INT) % 5 WHEN 0 THEN 'int' WHEN 1 THEN 'long' WHEN 2 THEN 'char' WHEN 3 THEN 'String' END AS arg_type FROM lineitem",
+    "java_locals": f"SELECT l_orderkey AS path, concat('m', l_partkey % 9) AS name, CAST({_NTH} AS BIGINT) AS decl_start, l_linenumber FROM lineitem",
+    "java_files": "SELECT o_orderkey AS path, o_custkey % 3 = 0 AS static_imports, o_custkey % 5 = 0 AS supertypes, o_custkey % 2 = 0 AS is_enum FROM orders",
+    "expr_types": "SELECT l_orderkey AS path, 10 * l_linenumber AS start_byte, CASE WHEN l_suppkey % 6 > 0 THEN concat('C', l_partkey % 50) END AS type, CASE WHEN l_linenumber % 2 = 0 THEN p_brand END AS package FROM lineitem JOIN part ON l_partkey = p_partkey",
+    "typed_members": "SELECT p_partkey AS sid, CAST(floor(p_partkey / 4.0) AS BIGINT) + 1 AS owner, concat('m', p_partkey % 4) AS name, p_size % 3 AS arity, p_partkey % 11 = 0 AS extension, concat('T', p_size % 2) AS type FROM part",
+    "member_calls": "SELECT l_orderkey * 1000 + l_linenumber * 100 + l_suppkey % 100 AS call_id, l_partkey AS recv, concat('m', l_suppkey % 4) AS name, l_linenumber % 3 AS n_args FROM lineitem",
+    "exprs": f"""
+        SELECT l_orderkey AS path, 10 * {_NTH} AS node_id, CAST(NULL AS INT) AS child_id, 0 AS height, CASE l_partkey % 8 WHEN 0 THEN 'string_literal' WHEN 1 THEN 'character_literal' WHEN 2 THEN 'number_literal' WHEN 3 THEN 'float_literal' WHEN 4 THEN 'this_expression' ELSE 'identifier' END AS kind,
+          CASE l_partkey % 8 WHEN 2 THEN CASE WHEN l_suppkey % 2 = 0 THEN '5L' ELSE '5' END WHEN 3 THEN CASE WHEN l_suppkey % 2 = 0 THEN '1.5f' ELSE '1.5' END WHEN 4 THEN 'this' WHEN 5 THEN 'true' ELSE concat('v', l_partkey % 7) END AS text FROM lineitem
+        UNION ALL SELECT l_orderkey, 10 * {_NTH} + 1, 10 * {_NTH}, 1, CASE l_suppkey % 6 WHEN 0 THEN 'parenthesized_expression' WHEN 1 THEN 'elvis_expression' WHEN 2 THEN 'unary_expression' WHEN 3 THEN 'as_expression' WHEN 4 THEN 'navigation_expression' ELSE 'lambda_literal' END, concat('m', l_linenumber % 3) FROM lineitem
+        UNION ALL SELECT l_orderkey, 10 * {_NTH} + 2, 10 * {_NTH} + 1, 2, CASE l_linenumber % 4 WHEN 0 THEN 'parenthesized_expression' WHEN 1 THEN 'navigation_expression' WHEN 2 THEN 'elvis_expression' ELSE 'as_expression' END, concat('m', l_partkey % 3) FROM lineitem""",
+    "bound_names": "SELECT o_orderkey AS path, concat('v', n_nationkey % 7) AS name, concat('K', (o_orderkey + n_nationkey) % 5) AS type, (o_orderkey + n_nationkey) % 2 = 0 AS nullable FROM orders JOIN nation ON n_nationkey < 6 UNION ALL SELECT o_orderkey, 'this', concat('K', o_orderkey % 5), false FROM orders",
+    "properties_of": "SELECT concat('K', n_nationkey % 5) AS owner, concat('m', n_nationkey % 3) AS name, concat('K', (n_nationkey + 2) % 5) AS type, n_nationkey % 4 = 0 AS nullable FROM nation WHERE n_nationkey < 15",
+    "lambdas": "SELECT p_partkey AS lambda_id, CASE p_partkey % 6 WHEN 0 THEN 'map' WHEN 1 THEN 'let' WHEN 2 THEN 'also' WHEN 3 THEN 'filter' WHEN 4 THEN 'run' ELSE 'forEach' END AS operation, concat('List', p_size % 3) AS receiver, CASE p_size % 3 WHEN 0 THEN concat('A', p_size) WHEN 1 THEN concat('A', p_size, ',B') ELSE '' END AS listed FROM part",
+    "formals": "SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN 'T' WHEN 1 THEN 'List<T>' WHEN 2 THEN 'Map<T, T>' WHEN 3 THEN 'Map<T, List<U>>' WHEN 4 THEN 'Set<T>' ELSE 'List<X>' END AS formal, CASE p_size % 5 WHEN 0 THEN concat('K', p_size) WHEN 1 THEN concat('List<K', p_size, '>') WHEN 2 THEN concat('Map<K', p_size, ', J>') WHEN 3 THEN concat('Map<K', p_size, ', List<J>>') ELSE 'T' END AS actual FROM part",
+    "cached_types": "SELECT l_orderkey AS path, 10 * l_linenumber AS start_byte, 10 * l_linenumber + 5 AS end_byte, 'call' AS kind, o_custkey % 3 AS revision, concat('T', min(l_partkey) % 4) AS type FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_orderkey, l_linenumber, o_custkey",
+    "typed_decls": "SELECT p_partkey % 100 AS path, 16 * p_partkey AS position, CASE WHEN p_size % 7 > 0 THEN concat('K', p_size) END AS type, p_partkey % 3 = 0 AS nullable, p_partkey % 5 = 0 AS annotated, CASE WHEN p_size % 2 = 0 THEN concat('A', p_size) ELSE '' END AS first_arg, p_size % 4 = 0 AS arg_null, p_size % 6 AS n_args FROM part",
+    "open_calls": f"SELECT p_partkey AS call_id, {_NAME} AS name, concat('(', repeat('a, ', p_size % 4), CASE p_partkey % 4 WHEN 0 THEN '[b, c], ' WHEN 1 THEN 'f(x, y), ' WHEN 2 THEN '{{ d, e }}' ELSE 'g' END, CASE WHEN p_partkey % 5 = 0 THEN ')' ELSE '' END, CASE WHEN p_partkey % 10 = 0 THEN ', z' ELSE '' END) AS arguments FROM part",
+    "kotlin_files": """
+        SELECT concat('F', p_partkey, '.kt') AS path, p_partkey AS n, concat('package demo.p', p_partkey % 50, chr(10), 'import a.b.C', p_partkey % 5, chr(10), CASE WHEN p_partkey % 2 = 0 THEN concat('import x.y', p_partkey % 3, '.*', chr(10)) ELSE '' END, CASE WHEN p_partkey % 3 = 0 THEN concat('import q.Z as W', p_partkey, chr(10)) ELSE '' END,
+          'data class Point', p_partkey, '(val x: Int, var y: List<Int>? = null) : Base<Int>(1), Shape {', chr(10), '    companion object { const val ORIGIN = 0 }', chr(10), '    fun <T : Any> String.len(a: T, b: Int = 2, vararg c: Int): Int { fun hidden() {}; return 1 }', chr(10), '}', chr(10),
+          'enum class Color { RED, GREEN; fun f() = 1 }', chr(10), 'typealias Handler<T> = (T) -> Unit', chr(10), 'val total', p_partkey, ' = ', p_size, chr(10)) AS text FROM part""",
+    "import_texts": "SELECT p_partkey AS file, concat('package p', p_size, chr(10), 'import a.', p_type, chr(10), 'import b.', p_brand, CASE WHEN p_partkey % 2 = 0 THEN chr(10) ELSE '' END) AS text, p_partkey % 4 <> 0 AS clean, length(p_type) AS n, length(p_brand) AS m, length(concat('package p', p_size)) AS head FROM part",
+    "functions": "SELECT p_partkey AS file, CASE p_partkey % 4 WHEN 0 THEN concat('fun f(a: Int = 1): Int = ', p_size) WHEN 1 THEN concat('fun f(): Int { return g(', p_size, ') }') WHEN 2 THEN concat('fun f() { val x = ', p_size, chr(10), ' return x }') ELSE concat('fun f() { h(', p_size, ') }') END AS text, p_partkey % 4 AS form, p_size AS size FROM part",
+    "archive_names": f"SELECT p_type AS coordinate, concat(p_brand, '.', {_NAME}) AS fqn, concat(p_brand, '/', {_NAME}, '.kt') AS entry FROM part",
+    "compile_runs": "SELECT event_id, user_id AS root, ts, value AS wall_ms FROM events",
+    "ingested": "SELECT user_id AS coordinate, event_id % 10 AS batch, event_type AS name, event_id FROM events",
     "params": "SELECT p_partkey AS sid, 0 AS pos, concat('T', p_size % 4) AS type FROM part UNION ALL SELECT p_partkey, 1, concat('T', (p_size + 1) % 4) FROM part WHERE p_size % 2 = 0",
     "call_args": f"SELECT path, start_byte, name, pos, CASE WHEN code % 5 <> 0 THEN concat('T', code % 4) END AS type FROM (SELECT l_orderkey AS path, 10 * {_NTH} AS start_byte, {_NAME} AS name, 0 AS pos, l_suppkey AS code FROM lineitem JOIN part ON l_partkey = p_partkey UNION ALL SELECT l_orderkey, 10 * {_NTH}, {_NAME}, 1, l_suppkey + l_linenumber FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber % 2 = 0) a",
     "positions": "SELECT o_custkey AS path, o_orderkey AS qid, 1000 + o_orderkey % 9000 AS place FROM orders",

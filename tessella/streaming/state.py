@@ -33,3 +33,34 @@ def upsert_stream(changes: DataFrame, target: str, checkpoint: str):
         last.select("path", "x.*").write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def revisions(changes: DataFrame) -> DataFrame:
+    """``path``, ``version``, ``revision``: the number of each change of a document."""
+    return changes.select("path", "version", F.row_number().over(Window.partitionBy("path").orderBy("version")).alias("revision"))
+
+
+def ingested(rows: DataFrame, coordinate: list[str]) -> DataFrame:
+    """Rows of the last batch of each coordinate; what earlier batches had of it is taken back."""
+    last = rows.groupBy(*coordinate).agg(F.max("batch").alias("batch"))
+    return rows.join(last, [*coordinate, "batch"])
+
+
+def ingest_stream(changes: DataFrame, target: str, checkpoint: str, coordinate: list[str]):
+    """Keep the symbols of dependencies (Parquet, one folder per batch) as a stream brings them; read them with :func:`ingested`.
+
+    Folders whose rows all have been replaced are removed, so the table grows
+    with the coordinates and not with the number of batches.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        batch.withColumn("tier", F.lit("Durable")).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        every = spark.read.parquet(target)
+        live = {r["batch"] for r in ingested(every, coordinate).select("batch").distinct().collect()}  # one number for each folder
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        fs = path(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for old in {r["batch"] for r in every.select("batch").distinct().collect()} - live - {number}:
+            fs.delete(path(f"{target}/batch={old}"), True)
+
+    return changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
