@@ -427,8 +427,9 @@ def _verified(docs: DataFrame, pairs: DataFrame, similar: float) -> DataFrame:
     wanted = pairs.select(F.explode(F.array(F.struct(F.col("x").alias("sig"), "doc_id"), F.struct(F.col("y").alias("sig"), F.col("y_doc").alias("doc_id")))).alias("w")).select("w.*")
     sets = _sets(docs, wanted)
     both = pairs.select("x", "y", "doc_id", "line").distinct()
-    both = both.join(sets.select(F.col("sig").alias("x"), F.col("set").alias("sx")), "x")
-    both = both.join(sets.select(F.col("sig").alias("y"), F.col("set").alias("sy")), "y").select("x", "doc_id", "line", "sx", "sy")
+    # merged at every size, as sets and texts grow with the input
+    both = both.join(sets.select(F.col("sig").alias("x"), F.col("set").alias("sx")).hint("merge"), "x")
+    both = both.join(sets.select(F.col("sig").alias("y"), F.col("set").alias("sy")).hint("merge"), "y").select("x", "doc_id", "line", "sx", "sy")
     out = pa.schema([("x", pa.int64()), ("doc_id", pa.int64()), ("line", pa.int32())])
 
     def check(batches: Iterator[pa.RecordBatch]):
@@ -485,7 +486,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         open_ = pairs.where("more").select("list", "x").join(matched.select("x"), "x", "left_anti")
         open_ = save(open_.groupBy("list").agg(F.collect_set("x").alias("open")), "open")
         lists = among(found.where(F.col("kind") == LATE).select("list", "rows"), "list", filter_of(open_, "list"))
-        late = save(_late(lists.join(open_, "list"), similar), "late")
+        late = save(_late(lists.join(open_.hint("merge"), "list"), similar), "late")
         tables += [matched, open_, late]
         if not late.isEmpty():
             more = _verified(docs, late, similar)
@@ -528,7 +529,7 @@ def drop_lines(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id", text_co
     marked = mark_by(docs.withColumn("n_lines", counted), id_col, filter_of(gone, key), hit)
     plain = marked.where(~F.col(hit)).select(*names, F.lit(0).cast("long").alias("removed_lines"), "n_lines")
     joined = marked.where(F.col(hit)).drop(hit)
-    joined = joined.join(gone, joined[id_col].cast("long") == gone[key], "left").drop(key)
+    joined = joined.join(gone.hint("merge"), joined[id_col].cast("long") == gone[key], "left").drop(key)
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
     return plain.unionByName(joined.mapInArrow(tidy(cut), f"{out}, removed_lines long, n_lines long"))
 
