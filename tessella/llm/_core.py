@@ -231,6 +231,8 @@ def tidy(work):
     """
 
     def run(batches: Iterator[pa.RecordBatch]):
+        # the system's allocator gives large buffers back at once
+        pa.set_memory_pool(pa.system_memory_pool())
         try:
             yield from work(batches)
         finally:

@@ -402,15 +402,17 @@ def _late(lists: DataFrame, similar: float) -> DataFrame:
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """``sig`` and ``set`` (array of long) of the lines ``wanted`` (``sig``, ``doc_id``), and perhaps of a few others."""
     # a set's hash is spread over all bits, so that the key is too
-    sent = docs.sparkSession.sparkContext.broadcast(filter_of(wanted.select(F.col("sig").bitwiseXOR(F.col("doc_id")).alias("key")), "key"))
+    sent = docs.sparkSession.sparkContext.broadcast((filter_of(wanted, "doc_id"), filter_of(wanted.select(F.col("sig").bitwiseXOR(F.col("doc_id")).alias("key")), "key")))
     schema = pa.schema([("sig", pa.int64()), ("set", pa.list_(pa.int64()))])
 
     def work(batches: Iterator[pa.RecordBatch]):
-        for batch, data, offsets, _, _ in pieces(batches, "text"):
+        docs, lines = sent.value
+        near = (b.filter(pa.array(docs.has(b.column("doc_id").to_numpy()))) for b in batches)
+        for batch, data, offsets, _, _ in pieces(near, "text"):
             t = Tokens(data, offsets)
             line, bounds, h, sig = line_sets(t, None)
             doc = np.searchsorted(t.text_line, line, "right") - 1
-            ok = np.flatnonzero(sent.value.has(sig ^ batch.column("doc_id").to_numpy()[doc]))
+            ok = np.flatnonzero(lines.has(sig ^ batch.column("doc_id").to_numpy()[doc]))
             ok = ok[np.sort(np.unique(sig[ok], return_index=True)[1])]
             if len(ok):
                 size = np.diff(bounds)[ok]
@@ -418,8 +420,8 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 pick = np.repeat(bounds[:-1][ok] - ends[:-1], size) + np.arange(ends[-1])
                 yield table_of(schema, sig=sig[ok], set=pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(h[pick].view(np.int64))))
 
-    near = among(docs, "doc_id", filter_of(wanted, "doc_id"))
-    return save(near.mapInArrow(tidy(work), "sig long, set array<long>"), "sets")
+    # one worker a task: texts without such lines are left out there, too
+    return save(docs.mapInArrow(tidy(work), "sig long, set array<long>"), "sets")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, similar: float) -> DataFrame:
