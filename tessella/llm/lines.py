@@ -141,8 +141,12 @@ def _list_rows(docs: DataFrame, rarity: np.ndarray, similar: float, words: int,
         order = np.lexsort((line, doc, sig))
         again = np.zeros(len(sig), bool)
         again[order[1:]] = sig[order][1:] == sig[order][:-1]
-        gone = np.empty(int(again.sum()), PLACE)
-        gone["doc"], gone["line"] = doc[again], line[again]
+        head = order[np.maximum.accumulate(np.where(again[order], 0, np.arange(len(sig))))]
+        later = np.empty(len(sig), bool)  # rows that repeat an id may hold a set at its first place again
+        later[order] = (doc[order] != doc[head]) | (line[order] != line[head])
+        later &= again
+        gone = np.empty(int(later.sum()), PLACE)
+        gone["doc"], gone["line"] = doc[later], line[later]
         yield from _blobs((np.arange(len(gone)) // 65536 + int(sig[0]) % 64).astype(np.uint32) % np.uint32(buckets), gone, GONE)
         owner = np.repeat(np.arange(len(sig)), size)
         pos = (np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)).astype(np.uint32)
@@ -217,7 +221,9 @@ def _one_of_each(rows: np.ndarray, gone: bool) -> tuple[np.ndarray, np.ndarray]:
         again[1:] = (rows["sig"][at][1:] == rows["sig"][at][:-1]) & (rows["token"][at][1:] == rows["token"][at][:-1])
         left_out = at[again]
         if gone:
-            out = rows[left_out[rows["pos"][left_out] == 0]]
+            head = at[np.maximum.accumulate(np.where(again, 0, np.arange(len(at))))][again]
+            later = (rows["doc"][left_out] != rows["doc"][head]) | (rows["line"][left_out] != rows["line"][head])
+            out = rows[left_out[later & (rows["pos"][left_out] == 0)]]
         keep = np.ones(len(rows), bool)
         keep[left_out] = False
         order = order[keep[order]]
@@ -258,6 +264,7 @@ def _candidates(rows: np.ndarray, similar: float, side: np.ndarray | None = None
             need = np.ceil(similar / (1 + similar) * (n[i] + n[j]) - 1e-9)
             good = np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need
             good &= apart[ok] <= n[i] + n[j] - 2 * need
+            good &= (doc[i] != doc[j]) | (line[i] != line[j])
             if side is not None:
                 good &= side[i] != side[j]
             i, j = i[good], j[good]
@@ -466,7 +473,9 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     one with a Jaccard similarity of ``similar`` or more that comes before it by
     (id, number of the line), whether or not that one is itself removed.  Lines
     of fewer than ``words`` different tokens are left alone.  Null texts and rows
-    with a null id have no lines; rows that repeat an id count as one document.
+    with a null id have no lines.  Rows that repeat an id count as one document:
+    lines of one number stand at one place, none of them is earlier than another,
+    and what goes there goes from each of the rows.
     Very long texts are read in pieces that end with a line; a single line is
     read whole.  Only texts with such lines are returned, of an empty table none.
     """
