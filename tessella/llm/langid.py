@@ -163,7 +163,7 @@ class Crf:
     def predict(self, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
         """Label with the largest share of each text's words, and that share; words count by their probabilities."""
         probs = marginals(emissions(self.weights, t), t.first, self.trans)
-        share = np.stack([np.bincount(t.doc, probs[:, c], t.n_docs) for c in range(len(self.labels))], axis=1)
+        share = np.stack([np.bincount(t.doc, probs[:, c], t.n_docs) for c in range(len(self.labels))], axis=1).astype(np.float64)
         share /= np.maximum(np.diff(t.first), 1)[:, None]
         return share.argmax(axis=1), share.max(axis=1)
 
