@@ -368,6 +368,16 @@ def components(edges: DataFrame) -> DataFrame:
             return e.select("v", F.col("p").alias("root"))
 
 
+def shared_ids(rows: DataFrame) -> DataFrame:
+    """Edges (``v``, ``p``) between the ``rep`` of rows that share an ``id``, for ids with several; both are long.
+
+    The edges of an id are a star, so an id that a great many rows share makes
+    one edge for each of them; ids with one ``rep`` make none.
+    """
+    least = rows.groupBy("id").agg(F.min("rep").alias("p"), F.max("rep").alias("most")).where("p < most").select("id", "p")
+    return rows.join(least, "id").where("rep > p").select(F.col("rep").alias("v"), "p").distinct()
+
+
 def spanning(links, n: int) -> np.ndarray:
     """Root (smallest index) of each of n vertices under the links (pairs of index arrays)."""
     lab = np.arange(n)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._core import components, runs, save, spanning, table_of, tidy, tokens_of, without
+from ._core import components, runs, save, shared_ids, spanning, table_of, tidy, tokens_of, without
 
 SEED = 42
 #: Shingles whose bits are counted at a time.
@@ -138,12 +138,16 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     null or empty text has fingerprint zero and links like any other.  A row with
     a null id is returned with its fingerprint and a null component, and links
     with nothing; rows that repeat an id each get their own fingerprint, and the
-    id stands for all of them.  An empty table gives no rows.
+    id connects them: it has one component.  Ties (equal fingerprints) are one
+    group.  A very long text's shingles are counted a bounded number at a time.
+    Further columns, whatever their names, are not looked at.  An empty table
+    gives no rows.
     """
     f = save(fingerprints(docs, id_col, text_col, words), "fingerprints")
     reps = save(f.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "reps")
-    roots = components(links(reps, distance, most))
-    # one id may carry several fingerprints (repeated rows); reps then share a vertex
+    # one id may carry several fingerprints (repeated rows), which it then connects
+    ids = f.where("doc_id is not null").join(reps, "fp").select(F.col("doc_id").alias("id"), "rep")
+    roots = components(links(reps, distance, most).unionByName(shared_ids(ids)))
     known = save(reps.join(roots, reps.rep == roots.v, "left").select(F.col("fp").alias("kfp"), F.coalesce("root", "rep").alias("component_id")), "components")
     return f.join(known, f.fp == known.kfp, "left").select(
         "doc_id",
