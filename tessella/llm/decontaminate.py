@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,8 +12,9 @@ from pyspark.sql import functions as F
 
 from ._core import Tokens, save, shingles, strings, table_of, tidy, tokens_of, without
 
-#: Benchmark items of a block; each block is one pass over the documents.
+#: Different benchmark texts of a block and their bytes, at most (a longer text is a block of its own); each block is one pass over the documents.
 ITEMS = 20_000
+BLOCK_BYTES = 16 << 20
 _MASK = (1 << 61) - 1
 _BASE = 1_000_003
 
@@ -20,9 +22,11 @@ _BASE = 1_000_003
 def tiles(doc: list[int], item: list[int], least: int) -> list[tuple[int, int, int]]:
     """(place in doc, place in item, length) of the tiles of greedy string tiling.
 
-    Repeats: find all longest matches of unmarked tokens, by Karp-Rabin hashes
-    of a search length that shrinks from the item's length to ``least``, mark
-    those that still are free, longest first.
+    Repeats with a search length that halves from the item's length to ``least``:
+    find all matches of at least that many unmarked tokens by running Karp-Rabin
+    hashes, extend each to its full length and mark them, the longest first and
+    of equals the first; what is left of a match that a longer one cut counts
+    as a match of its own.
     """
     free_d, free_i = [True] * len(doc), [True] * len(item)
     out = []
@@ -35,24 +39,33 @@ def tiles(doc: list[int], item: list[int], least: int) -> list[tuple[int, int, i
         if table:
             for at, h in _rolling(doc, free_d, length):
                 for j in table.get(h, ()):
-                    if doc[at : at + length] == item[j : j + length]:
-                        n = length
-                        while at + n < len(doc) and j + n < len(item) and doc[at + n] == item[j + n] and free_d[at + n] and free_i[j + n]:
-                            n += 1
+                    if at and j and free_d[at - 1] and free_i[j - 1] and doc[at - 1] == item[j - 1]:
+                        continue  # within a match that begins before
+                    n = 0
+                    while at + n < len(doc) and j + n < len(item) and doc[at + n] == item[j + n] and free_d[at + n] and free_i[j + n]:
+                        n += 1
+                    if n >= length:
                         found.append((-n, at, j))
-        found.sort()
-        for minus, at, j in found:
+        heapq.heapify(found)
+        while found:
+            minus, at, j = heapq.heappop(found)
             n = -minus
-            # what an earlier tile of this turn took; its rest comes up again at a shorter length
             if all(free_d[at : at + n]) and all(free_i[j : j + n]):
                 free_d[at : at + n] = [False] * n
                 free_i[j : j + n] = [False] * n
                 out.append((at, j, n))
-        left = _longest_run(free_i)
-        # no match of this length is left now; the next length is at most that of the longest free run
-        length = min(length - 1, left) if length > 2 * least else length - 1
-        if length > least and not found:
-            length = max(least, min(length, left))
+                continue
+            run = 0
+            for k in range(n + 1):
+                if k < n and free_d[at + k] and free_i[j + k]:
+                    run += 1
+                    continue
+                if run >= length:
+                    heapq.heappush(found, (-run, at + k - run, j + k - run))
+                run = 0
+        if length == least:
+            break
+        length = max(least, min(length // 2, _longest_run(free_i)))
     return out
 
 
@@ -123,19 +136,24 @@ def contaminated(
 
     ``coverage`` is the share of the item's tokens that tiles of at least
     ``least`` tokens cover, in whatever order and place the document has them.
-    Tokens are lower-cased (A-Z) and end at white space.  Null texts hold
-    nothing; items that are null or of fewer than ``least`` tokens are never
-    found; rows with null ids are matched like others.  An item that repeats is
-    matched under each of its ids.
-
-    Items are taken in blocks of about ``items``, each one pass over the documents;
-    a worker tiles only documents whose seeds could cover enough of an item.
+    Tokens are lower-cased (A-Z) and end at white space.  Null and empty texts
+    hold nothing; items that are null or of fewer than ``least`` tokens are never
+    found; rows with null or repeated ids are matched like others.  Items of
+    equal texts are matched once and returned under each of their ids.  Of equally
+    long matches the first is marked.  An empty table of either kind gives no
+    rows; further columns, whatever their names, are not looked at.
+
+    Different texts are taken in blocks of bounded number and bytes, each one pass
+    over the documents; a worker tiles only documents whose seeds could cover
+    enough of an item, and of a very long document only the words in such seeds.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     bench = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("text is not null")
-    blocks = -(-bench.count() // items)
-    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("coverage", pa.float64()), ("n_tiles", pa.int32()), ("longest_tile", pa.int32())])
-    sql = "doc_id long, item_id long, coverage double, n_tiles int, longest_tile int"
+    texts = save(bench.select("text").distinct().withColumn("tid", F.monotonically_increasing_id()), "items")
+    size = texts.agg(F.count("*").alias("n"), F.sum(F.octet_length("text").cast("long")).alias("bytes")).first()
+    blocks = max(-(-size["n"] // items), -(-(size["bytes"] or 0) // BLOCK_BYTES))
+    schema = pa.schema([("doc_id", pa.int64()), ("tid", pa.int64()), ("coverage", pa.float64()), ("n_tiles", pa.int32()), ("longest_tile", pa.int32())])
+    sql = "doc_id long, tid long, coverage double, n_tiles int, longest_tile int"
 
     def against(block: Benchmark) -> DataFrame:
         sent = docs.sparkSession.sparkContext.broadcast(block)
@@ -172,7 +190,7 @@ def contaminated(
                     got = tiles(text, b.tokens[k], least)
                     share = sum(n for _, _, n in got) / int(b.size[k])
                     if share >= coverage - 1e-9:
-                        rows.append((batch.column("doc_id")[d].as_py(), int(b.ids[k]) if b.ids[k] != _NONE else None, share, len(got), max(n for _, _, n in got)))
+                        rows.append((batch.column("doc_id")[d].as_py(), int(b.ids[k]), share, len(got), max(n for _, _, n in got)))
                 if rows:
                     yield table_of(schema, **dict(zip(schema.names, map(list, zip(*rows)))))
 
@@ -180,18 +198,18 @@ def contaminated(
 
     out = None
     for k in range(blocks):
-        block = bench.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).orderBy("item_id", "text").toPandas()
-        ids = [_NONE if x != x or x is None else int(x) for x in block["item_id"].tolist()]
-        found = save(against(Benchmark(ids, block["text"].tolist(), least)), "contaminated")
+        block = texts.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).orderBy("tid").toPandas()
+        found = save(against(Benchmark(block["tid"].tolist(), block["text"].tolist(), least)), "contaminated")
         out = found if out is None else out.unionByName(found)
     if out is None:
-        return docs.sparkSession.createDataFrame([], sql)
-    return out
-
-
-_NONE = -(1 << 63)
+        return docs.sparkSession.createDataFrame([], sql.replace("tid", "item_id"))
+    ids = bench.join(texts, "text").select("tid", "item_id")
+    return out.join(ids, "tid").select("doc_id", "item_id", "coverage", "n_tiles", "longest_tile")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item; rows with a null id stay."""
+    """The rows of ``docs`` that hold no benchmark item; rows with a null id stay.
+
+    Rows that repeat an id go together.  See :func:`contaminated` for the rest.
+    """
     return without(docs, id_col, contaminated(docs, benchmark, id_col, text_col, **kw).where("doc_id is not null"), "doc_id")
