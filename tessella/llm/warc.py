@@ -8,13 +8,17 @@ from collections.abc import Iterable, Iterator
 from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._core import new_path, save, tidy
+from ._core import filter_of, mark_by, new_path, save, tidy
 
-#: Records of an archive.
+#: Records of an archive, and the bytes of them before compression.
 RECORDS = 2_000
+ARCHIVE_BYTES = 256 << 20
+#: Entries of a range of the index, about; a task merges one range.
+RANGE = 50_000
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _EPOCH = 1_704_067_200
 
@@ -38,14 +42,20 @@ def warc_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     and the others revisit it; smaller payloads are all responses.  Rows that
     repeat the smallest id are all responses; a row with a null id revisits where
     its payload has a row with an id, and is a response otherwise.  The capture
-    time is a fixed day and as many seconds as the id says.
+    time is a fixed day and as many seconds as the id says.  Null texts are
+    empty, an empty table gives no records, and further columns, whatever their
+    names, are not looked at.
     """
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), html.alias("html"))
     rows = rows.withColumn("n", F.octet_length("html").cast("long")).withColumn("same", F.sha2("html", 256))
     groups = rows.where(F.col("n") >= least).groupBy("same").agg(F.min("id").alias("first"), F.count("*").alias("rows"))
     groups = save(groups.where("rows > 1 and first is not null").select(F.col("same").alias("key"), "first"), "payloads")
-    rows = rows.join(groups, rows.same == groups.key, "left")
+    # only pages whose payload may occur twice are shuffled
+    code, hit = "_code", "_twice"
+    marked = mark_by(rows.withColumn(code, F.xxhash64("same")), code, filter_of(groups.select(F.xxhash64("key").alias("x")), "x"), hit)
+    twice = marked.where(F.col(hit)).join(groups.hint("merge"), marked.same == groups.key, "left").drop("key", code, hit)
+    rows = marked.where(~F.col(hit)).drop(code, hit).withColumn("first", F.lit(None).cast("long")).unionByName(twice)
     revisit = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
     second = F.pmod(F.coalesce("id", F.lit(0)), F.lit(100_000_000)) + _EPOCH
     # dates by arithmetic, as the session's time zone must not matter
@@ -75,8 +85,21 @@ def warc_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
 
 def write_archives(records: DataFrame, path: str) -> None:
-    """Write records as gzipped archives; the lines that Spark ends are whole records."""
-    records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", RECORDS).text(path)
+    """Write records as gzipped archives; the lines that Spark ends are whole records.
+
+    Long records go to archives of their own, of as many as fit into
+    ARCHIVE_BYTES (one at least), so that each archive can be read whole.
+    """
+    size = F.octet_length("value")
+    short = ARCHIVE_BYTES // RECORDS
+    most = records.agg(F.max(size)).first()[0] or 0
+
+    def write(rows: DataFrame, count: int) -> None:
+        rows.write.mode("append").option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", count).text(path)
+
+    write(records.where(size <= short) if most > short else records, RECORDS)
+    if most > short:
+        write(records.where(size > short), max(1, ARCHIVE_BYTES // most))
 
 
 def parse_records(data: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
@@ -206,11 +229,15 @@ class LoserTree:
 
 
 def merge_index(runs: DataFrame) -> DataFrame:
-    """All entries in one order by URL key, time and id: ranges of keys, within each a merge of the runs.
+    """All entries in one order by URL key, time and id, with their number in it (``rank``).
 
-    The ranges end between any two entries, so a URL that holds many of them
-    spreads over ranges too.  A task holds one range.
+    The runs lie sorted in the shared folder.  Their keys are cut into ranges of
+    about RANGE entries, as many as the runs need, so a task's memory does not
+    grow with the index; in each range the pieces of the runs are merged by a
+    loser tree.  Ranges end between any two entries, so a URL that holds many of
+    them spreads over ranges too.
     """
+    count = max(1, -(-runs.count() // RANGE))
 
     def work(batches: Iterator[pa.RecordBatch]):
         parts: dict[str, list[tuple]] = {}
@@ -219,17 +246,26 @@ def merge_index(runs: DataFrame) -> DataFrame:
                 parts.setdefault(row[8], []).append(row)
         for p in parts.values():  # an exchange may hand over a run's rows in pieces
             p.sort(key=lambda r: r[10])
-        held = []
+        held, before, part = [], 0, TaskContext.get().partitionId()
+
+        def packed() -> pa.RecordBatch:
+            out = _batch(held)
+            place = pa.array(range(before, before + len(held)), pa.int64())
+            return pa.RecordBatch.from_arrays([*out.columns, pa.array([part] * len(held), pa.int32()), place], names=[*out.schema.names, "range", "nth_in_range"])
+
         for row in LoserTree([parts[k] for k in sorted(parts)], _key):
             held.append(row)
             if len(held) == 4096:
-                yield _batch(held)
-                held = []
+                yield packed()
+                before, held = before + len(held), []
         if held:
-            yield _batch(held)
+            yield packed()
 
-    ranged = runs.repartitionByRange("urlkey", "captured", "page_id", "archive", "place")
-    return ranged.mapInArrow(tidy(work), _ENTRY_SQL)
+    ranged = runs.repartitionByRange(count, "urlkey", "captured", "page_id", "archive", "place")
+    merged = save(ranged.mapInArrow(tidy(work), _ENTRY_SQL + ", `range` int, nth_in_range long"), "merged")
+    sizes = merged.groupBy("range").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    # one row for each range
+    return merged.join(F.broadcast(sizes.select("range", "before")), "range").withColumn("rank", F.col("before") + F.col("nth_in_range")).drop("range", "nth_in_range", "before")
 
 
 def archive_pages(pages: DataFrame, path: str | None = None, least: int = 0, **cols) -> DataFrame:
@@ -238,9 +274,11 @@ def archive_pages(pages: DataFrame, path: str | None = None, least: int = 0, **c
     One row per page: ``urlkey``, ``captured``, ``page_id``, ``url``,
     ``record_type``, ``refers_to``, ``payload_bytes``, ``payload_digest``,
     ``archive``, ``place`` (byte in the unpacked archive), ``nth`` (place in the
-    archive's sorted run).  See :func:`warc_records` for nulls and repeated rows.
+    archive's sorted run), ``rank`` (place in the whole order; ties of key, time
+    and id in that of archive and place).  See :func:`warc_records` for nulls and
+    repeated rows; a very long page has an archive to itself.
     """
     spark = pages.sparkSession
     path = path or new_path(spark, "archives")
     write_archives(warc_records(pages, least=least, **cols), path)
-    return save(merge_index(save(sorted_runs(spark, path), "runs")), "index")
+    return merge_index(save(sorted_runs(spark, path), "runs"))
