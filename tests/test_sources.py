@@ -118,3 +118,20 @@ def test_versions(a, b, want):
     assert compare_versions(a, b) == want
     assert compare_versions(b, a) == -want
     assert greatest_version([a, b]) in (a, b)
+
+
+def test_embedded_poms(spark):
+    def jar(files):
+        b = io.BytesIO()
+        with zipfile.ZipFile(b, "w") as z:
+            for n, text in files.items():
+                z.writestr(n, text)
+        return bytearray(b.getvalue())
+
+    pom = "<project><dependencies><dependency><groupId>g</groupId><artifactId>a</artifactId><version>1</version></dependency></dependencies></project>"
+    rows_ = [("x.jar", jar({"META-INF/maven/g/x/pom.xml": pom, "other/pom.xml": pom}), "f1"), ("y.jar", jar({"a.txt": ""}), "f2")]
+    df = spark.createDataFrame(rows_, "path string, content binary, fingerprint string")
+    first = builds.archive_dependencies(df)
+    assert rows(first, "path", "fingerprint", "grp", "artifact", "version") == [("x.jar", "f1", "g", "a", "1")]
+    changed = spark.createDataFrame([("x.jar", bytearray(b"not opened"), "f1"), ("z.jar", rows_[0][1], "f3")], "path string, content binary, fingerprint string")
+    assert rows(builds.archive_dependencies(changed, first), "path", "fingerprint") == [("x.jar", "f1"), ("z.jar", "f3")]
