@@ -9,6 +9,15 @@ The stages, in order, and what each decides:
 * SimHash near-dedup: one document of each group stays;
 * benchmark decontamination: documents that hold a benchmark item go;
 * SentencePiece: the ids of what is left, and the texts decoded from them.
+
+Null and empty texts have no letters and go in the first stage, as does a text
+without words.  Rows with a null id keep their lines, stay in the two stages
+that follow, and are encoded.  Rows that repeat an id count as one document
+where rows are compared: they go together.  Of equal documents and lines that
+with the smallest id stays, and within a text the first line.  Very long texts
+go through whole: the field and the encoder read them in pieces, lines are
+compared piece by piece.  Columns other than those of documents are dropped,
+whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
