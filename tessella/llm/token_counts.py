@@ -158,6 +158,10 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+#: Pairs of tokens that a worker remembers to fit or not: about 40 MB.
+PAIRS = 300_000
+
+
 class MergeTransducer:
     """Deterministic transducer over the bytes of a word, made as far as texts need it.
 
@@ -207,6 +211,18 @@ class MergeTransducer:
         self.to = np.full((1 << 14, 64), -1, np.int32)
         self.weight = np.zeros((1 << 14, 64), np.int8)
 
+    def _renewed(self, state: np.ndarray, data: np.ndarray) -> np.ndarray:
+        """Forget all states but those given, which get new numbers; also within a word, however long."""
+        kept, place = np.unique(state, return_inverse=True)
+        kept = [self.states[i] for i in kept.tolist()]
+        self._clear()
+        self._columns(data)
+        for s in kept:
+            if s not in self.number:
+                self.number[s] = len(self.states)
+                self.states.append(s)
+        return np.array([self.number[s] for s in kept], np.int64)[place]
+
     def _columns(self, data: np.ndarray) -> None:
         """Give every byte that occurs a column."""
         seen = np.flatnonzero(np.bincount(data, minlength=256))
@@ -234,7 +250,7 @@ class MergeTransducer:
     def fits(self, left: bytes, right: bytes) -> bool:
         found = self._pairs.get((left, right))
         if found is None:
-            if len(self._pairs) > 2_000_000:
+            if len(self._pairs) >= PAIRS:
                 self._pairs.clear()
             found = self._pairs[left, right] = self.merged(left + right) == ([left, right] if left else [right])
         return found
@@ -274,8 +290,6 @@ class MergeTransducer:
         out = np.zeros(n, np.int8)
         if not n:
             return out
-        if self.to.nbytes + self.weight.nbytes > self.most:
-            self._clear()
         self._columns(data)
         places = np.flatnonzero(begin)
         heads = np.unique(places[np.searchsorted(places, np.arange(0, n, lane), "right") - 1])
@@ -288,6 +302,9 @@ class MergeTransducer:
         for i in range(int(size[0])):
             while size[live - 1] <= i:
                 live -= 1
+            if self.to.nbytes + self.weight.nbytes > self.most:
+                state[:live] = self._renewed(state[:live], data)
+                col = self.column[data]
             at = heads[:live] + i
             s = np.where(begin[at], 0, state[:live])
             c = col[at]
@@ -353,8 +370,12 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """``doc_id``, ``n_bytes``, ``n_tokens``, ``over_limit`` of every whole text.
 
     A null text counts as empty: no bytes, no tokens.  Strings of special tokens
-    in a text count as that one token.  Rows with null or repeated ids are
-    counted like any other.  ``path`` must name the tokenizer on every executor.
+    in a text count as that one token; where two begin at one place the longer
+    counts.  Rows with null or repeated ids are counted like any other, an empty
+    table gives no rows, and further columns, whatever their names, are not looked
+    at.  A very long text is one worker's; the transducer's states are bounded in
+    number, also within one long word.  ``path`` must name the tokenizer on every
+    executor.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
 
