@@ -696,3 +696,18 @@ def test_queries_over_a_folder(spark, tmp_path):
     assert (out["op8_warc"][3].record_type, out["op8_warc"][3].refers_to, out["op8_warc"][2].payload_bytes) == ("revisit", 1, 0)
     assert {i: r.item_id for i, r in out["op9_decontamination"].items()} == {1: 7, 4: 7}
     assert {i: (r.n_links, r.component_id, r.kept) for i, r in out["op10_embeddings"].items()} == {1: (1, 1, True), 2: (0, 2, True), 3: (1, 1, False)}
+
+
+def test_states_are_forgotten_within_a_word():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    lib = Tokenizer.from_file(path)
+    c = token_counts.TokenCounter(path)
+    c.merges.most = 6 << 20
+    rnd = random.Random(28)
+    texts = ["".join(rnd.choice("abcdefghijklmnop") for _ in range(60_000)), " ".join("".join(rnd.choice("stuvwxyz") for _ in range(rnd.randint(1, 30))) for _ in range(3000))]
+    for _ in range(2):
+        data, offsets = langid.strings(langid.pa.array(texts))
+        assert c.counts(data, offsets).tolist() == [len(lib.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert len(c.merges.states) < 40_000
