@@ -711,3 +711,25 @@ def test_states_are_forgotten_within_a_word():
         data, offsets = langid.strings(langid.pa.array(texts))
         assert c.counts(data, offsets).tolist() == [len(lib.encode(t, add_special_tokens=False).ids) for t in texts]
     assert len(c.merges.states) < 40_000
+
+
+def test_straight_alignment_is_the_alignment():
+    rnd = random.Random(29)
+    hits = 0
+    for _ in range(400):
+        n = rnd.randint(10, 120)
+        x = np.array([rnd.randrange(50) for _ in range(n)])
+        y = np.concatenate([np.array([rnd.randrange(50) for _ in range(rnd.randint(0, 9))], np.int64), x.copy(), np.arange(rnd.randint(0, 9))])
+        shift = len(y) - n if rnd.random() < 0.1 else int(np.flatnonzero([(y[i : i + n] == x).all() for i in range(len(y) - n + 1)])[0])
+        for _ in range(rnd.randint(0, n // 3)):
+            y[rnd.randrange(len(y))] = 99
+        p = np.array([i for i in range(0, n - 4) if i + shift + 5 <= len(y) and (x[i : i + 5] == y[i + shift : i + shift + 5]).all() and rnd.random() < 0.5])
+        if len(p) < 2:
+            continue
+        got = passages.straight(x, y, p, p + shift, 5)
+        if got is not None:
+            hits += 1
+            for g, w in zip(got, passages.align(x, y, p.tolist(), (p + shift).tolist(), 5)):
+                assert np.array_equal(g, w)
+            assert list(passages.segments(*got, 10, 0.8)) or not got[0].all()
+    assert hits > 150
