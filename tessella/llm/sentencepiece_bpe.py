@@ -16,10 +16,10 @@ from ._core import slices, tidy
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Words whose ids a worker remembers, in each of two generations: about 10 MB each.
-MEMORY = 60_000
-#: Pairs of pieces that a worker remembers to fit or not: about 40 MB.
-PAIRS = 300_000
+#: Words whose ids a worker remembers, in each of two generations: about 20 MB each.
+MEMORY = 120_000
+#: Pairs of pieces that a worker remembers to fit or not, by their ids: about 40 MB; and of other pairs.
+PAIRS = 400_000
 #: Characters of a text that are split into words at a time.
 LONG = 1 << 18
 #: Ids that are turned into bytes at a time.
@@ -83,10 +83,13 @@ class PieceModel:
             raise ValueError(f"{path}: a piece holds a space after another character")
         #: longest piece that is a proper prefix of a piece, or None
         self.shorter = {p: next((p[:n] for n in range(len(p) - 1, 0, -1) if p[:n] in self.ids), None) for p in self.ids}
-        self.matcher = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-        for p in self.ids:
-            self.matcher.add_word(p)
+        #: the same by ids; -1 for None
+        self.shorter_id = [self.ids[self.shorter[p]] if self.shorter.get(p) else -1 for p in self.pieces]
+        self.matcher = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for p, i in self.ids.items():
+            self.matcher.add_word(p, i)
         self.matcher.make_automaton()
+        self.length = [len(p) for p in self.pieces]
         # characters in no piece never merge; before those of ``stops`` a word ends, as they only begin pieces
         known = set().union(*self.ids)
         apart = "".join(c for c in "\n\t\r" if c not in known)
@@ -100,6 +103,7 @@ class PieceModel:
         parts += [f"[{apart}]"] if apart else []
         self._words = re.compile("|".join(parts)).findall
         self._pairs: dict[tuple[str, str], bool] = {}
+        self._id_pairs: dict[int, bool] = {}
         self._young: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
         table = [bytes([self.byte_of[i]]) if k == BYTE else p.replace(SPACE, " ").encode() if k == NORMAL else b" \xe2\x81\x87 " if k == UNKNOWN else b"" for i, (p, k) in enumerate(zip(self.pieces, self.kinds))]
@@ -140,7 +144,9 @@ class PieceModel:
         """
         n = len(word)
         longest = [1] * n
-        for end, size in self.matcher.iter(word):
+        length = self.length
+        for end, i in self.matcher.iter(word):
+            size = length[i]
             at = end - size + 1
             if size > longest[at]:
                 longest[at] = size
@@ -172,17 +178,60 @@ class PieceModel:
             pos, last = end, token
             token = word[pos : pos + longest[pos]]
 
+    def word_ids(self, word: str) -> list[int] | None:
+        """:meth:`word_pieces` by ids, for words whose characters all are in some piece where they are needed."""
+        n = len(word)
+        length, shorter, known = self.length, self.shorter_id, self._id_pairs
+        longest = [-1] * n
+        for end, i in self.matcher.iter(word):  # of matches that begin at one place the longest comes last
+            longest[end + 1 - length[i]] = i
+        open_ = bytearray(b"\1") * (n + 1)
+        out: list[int] = []
+        pos, last, token = 0, -1, longest[0]
+        if token < 0:
+            return None
+        while True:
+            while token >= 0:
+                end = pos + length[token]
+                if open_[end]:
+                    key = last << 20 | token
+                    fit = known.get(key)
+                    if fit is None:
+                        if len(known) >= PAIRS:
+                            known.clear()
+                        both = self.pieces[last] + self.pieces[token] if out else self.pieces[token]
+                        fit = known[key] = self.merged(both) == ([self.pieces[last], self.pieces[token]] if out else [both])
+                    if fit:
+                        break
+                token = shorter[token]
+            if token < 0:
+                open_[pos] = 0
+                if not out:
+                    return None
+                pos -= length[last]
+                token = shorter[out.pop()]
+                last = out[-1] if out else -1
+                continue
+            out.append(token)
+            if end == n:
+                return out
+            pos, last, token = end, token, longest[end]
+            if token < 0:
+                return None
+
     def _word(self, word: str) -> bytes:
         """Ids of a word as 32-bit integers."""
         got = self._old.get(word)
         if got is None:
-            ids: list[int] = []
-            for p in self.word_pieces(word):
-                i = self.ids.get(p)
-                if i is not None:
-                    ids.append(i)
-                else:
-                    ids += [self.byte_ids[b] for b in p.encode()]
+            ids = self.word_ids(word)
+            if ids is None:
+                ids = []
+                for p in self.word_pieces(word):
+                    i = self.ids.get(p)
+                    if i is not None:
+                        ids.append(i)
+                    else:
+                        ids += [self.byte_ids[b] for b in p.encode()]
             got = struct.pack(f"={len(ids)}i", *ids)
         if len(word) <= LONGEST_KEPT:
             if len(self._young) >= MEMORY:
@@ -217,6 +266,7 @@ class PieceModel:
     def forget(self) -> None:
         """Drop what was remembered of texts."""
         self._pairs.clear()
+        self._id_pairs.clear()
         self._young, self._old = {}, {}
 
     def encode(self, text: str | None) -> list[int]:
