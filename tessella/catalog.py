@@ -100,8 +100,7 @@ def _(t):
 
 @query("j1_candidates", f"SELECT u.path, count(*) AS n, sum(s.sid) AS sids FROM usages u JOIN symbols s USING (name) WHERE {_KIND_OK} GROUP BY u.path")
 def _(t):
-    c = resolve.candidates(t("usages"), t("symbols").drop("path", "start_byte", "end_byte"))
-    return c.groupBy("path").agg(F.count("*").alias("n"), F.sum("sid").cast("decimal(38,0)").alias("sids"))
+    return resolve.candidate_totals(t("usages"), t("symbols"))
 
 
 # ---- lookups
@@ -258,9 +257,9 @@ def _(t):
     return facts.duplicate_declarations(t("symbols"))
 
 
-@query("d5_call_shape", "SELECT u.path, u.start_byte, u.name, u.n_args FROM usages u JOIN symbols s USING (name) WHERE u.use_kind = 'Call' GROUP BY u.path, u.start_byte, u.name, u.n_args HAVING bool_and(s.kind = 'Function') AND NOT bool_or(u.n_args BETWEEN least(s.min_arity, s.max_arity) AND s.max_arity)")
+@query("d5_call_shape", "SELECT u.path, u.start_byte, u.name, u.n_args FROM usages u JOIN symbols s USING (name) WHERE u.use_kind = 'Call' GROUP BY u.path, u.start_byte, u.name, u.n_args HAVING bool_and(s.kind = 'Function' AND NOT s.has_vararg) AND NOT bool_or(u.n_args BETWEEN least(s.min_arity, s.max_arity) AND s.max_arity)")
 def _(t):
-    return facts.call_shape(t("usages"), t("symbols").select("name", "kind", "min_arity", "max_arity"))
+    return facts.call_shape(t("usages"), t("symbols").select("name", "kind", "min_arity", "max_arity", "has_vararg"))
 
 
 @query("d7_overloads", "SELECT a.sid, count(DISTINCT b.sid) AS n FROM symbols a JOIN symbols b ON a.name = b.name AND b.kind = 'Function' AND (a.package = b.package AND b.container IS NULL OR a.path = b.path AND a.container IS NOT DISTINCT FROM b.container) WHERE a.kind = 'Function' GROUP BY a.sid")
@@ -343,9 +342,10 @@ def _(t):
     return resolve.rename(_found(t), t("symbols"), t("new_names"))
 
 
-@query("x4_organize_imports", "SELECT path, string_agg(line, chr(10) ORDER BY line) AS block FROM (SELECT DISTINCT path, concat('import ', package, CASE WHEN wildcard THEN '.*' ELSE concat('.', name) END, CASE WHEN alias IS NOT NULL THEN concat(' as ', alias) ELSE '' END) AS line FROM imports) GROUP BY path")
+@query("x4_organize_imports", """WITH l AS (SELECT path, ord, concat('import ', package, CASE WHEN wildcard THEN '.*' ELSE concat('.', name) END, CASE WHEN alias IS NOT NULL THEN concat(' as ', alias) ELSE '' END) AS line FROM imports WHERE path % 10 <> 0),
+  g AS (SELECT path, string_agg(line, chr(10) ORDER BY line) AS block FROM (SELECT DISTINCT path, line FROM l) GROUP BY path), n AS (SELECT path, string_agg(line, chr(10) ORDER BY ord) AS now FROM l GROUP BY path) SELECT path, block FROM g JOIN n USING (path) WHERE block <> now""")
 def _(t):
-    return facts.organized_imports(t("imports"))
+    return facts.organized_imports(t("imports"), t("file_ctx").where("path % 10 = 0"))
 
 
 # ---- statistics, sets, windows
@@ -599,13 +599,14 @@ def _(t):
     return infer.type_packages(t("usages").where("use_kind = 'Type'").select("path", "name"), t("file_ctx"), t("imports"), t("symbols"), DEFAULTS)
 
 
-@query("d6_t5_argument_mismatch", """WITH calls AS (SELECT path, start_byte, name, count(*) AS n FROM call_args GROUP BY path, start_byte, name HAVING bool_and(type IS NOT NULL)),
+@query("d6_t5_argument_mismatch", """WITH RECURSIVE up(src, node) AS (SELECT sub, sup FROM type_subs UNION SELECT u.src, e.sup FROM up u JOIN type_subs e ON e.sub = u.node), calls AS (SELECT path, start_byte, name, count(*) AS n FROM call_args GROUP BY path, start_byte, name HAVING bool_and(type IS NOT NULL)),
   size AS (SELECT sid, count(*) AS n FROM params GROUP BY sid),
-  per AS (SELECT c.path, c.start_byte, c.name, s.sid, bool_and(a.type = p.type) AS ok FROM calls c JOIN symbols s ON s.name = c.name AND s.kind = 'Function' JOIN size z ON z.sid = s.sid AND z.n = c.n
+  per AS (SELECT c.path, c.start_byte, c.name, s.sid, bool_and(p.variable OR a.type = p.type OR EXISTS (SELECT 1 FROM up WHERE up.src = a.type AND up.node = p.type)) AS ok FROM calls c JOIN symbols s ON s.name = c.name AND s.kind = 'Function' JOIN size z ON z.sid = s.sid AND z.n = c.n
     JOIN call_args a ON a.path = c.path AND a.start_byte = c.start_byte JOIN params p ON p.sid = s.sid AND p.pos = a.pos GROUP BY ALL)
   SELECT path, start_byte, name, count(*) AS candidates FROM per GROUP BY path, start_byte, name HAVING NOT bool_or(ok)""")
 def _(t):
-    return infer.argument_mismatches(t("call_args"), t("params"), t("symbols"))
+    subtypes = graph.closure(t("type_subs").select(F.col("sub").alias("src")), t("type_subs")).select(F.col("src").alias("sub"), F.col("node").alias("sup"))
+    return infer.argument_mismatches(t("call_args"), t("params"), t("symbols"), subtypes)
 
 
 _T11 = "['int', 'long', 'Integer', 'String', 'Long', 'char', 'double', 'Object', 'T']"
@@ -622,9 +623,23 @@ def _(t):
     return infer.qualified(t("qualified_uses"), t("symbols"))
 
 
-@query("r6_nested_type", "SELECT u.path, u.start_byte, s.sid FROM qualified_uses u JOIN file_ctx f ON f.path = u.path JOIN symbols s ON s.name = u.name AND s.container = u.outer_type AND s.package = f.package WHERE u.use_kind = 'Type' AND s.kind IN ('Class','Interface','Object','EnumClass','TypeAlias','TypeParameter')")
+@query("r6_nested_type", f"""WITH u AS (SELECT * FROM outer_uses WHERE use_kind = 'Type'),
+  ways AS (SELECT u.path, u.outer_type, i.name AS outer_name, i.package FROM u JOIN outer_imports i ON i.path = u.path AND NOT i.wildcard AND coalesce(i.alias, i.name) = u.outer_type
+    UNION SELECT u.path, u.outer_type, u.outer_type, f.package FROM u JOIN file_ctx f ON f.path = u.path UNION SELECT u.path, u.outer_type, u.outer_type, i.package FROM u JOIN outer_imports i ON i.path = u.path AND i.wildcard
+    UNION SELECT u.path, u.outer_type, u.outer_type, d.package FROM u, (VALUES {_DEFAULT_ROWS}) d(package, rank)),
+  seen AS (SELECT DISTINCT w.* FROM ways w JOIN outer_types o ON o.name = w.outer_name AND o.package = w.package)
+  SELECT DISTINCT u.path, u.start_byte, s.sid FROM u JOIN seen ON seen.path = u.path AND seen.outer_type = u.outer_type JOIN symbols s ON s.name = u.name AND s.container = seen.outer_name AND s.package = seen.package WHERE s.kind IN ({_TYPE_LIST})""")
 def _(t):
-    return infer.nested(t("qualified_uses"), t("file_ctx"), t("symbols"))
+    return infer.nested(t("outer_uses"), t("file_ctx"), t("outer_imports"), t("outer_types"), t("symbols"), DEFAULTS)
+
+
+@query("r7_member_resolution", """WITH RECURSIVE walk(src, node, depth) AS (SELECT p_partkey, p_partkey, 0 FROM part UNION SELECT w.src, e.sup, w.depth + 1 FROM walk w JOIN type_edges e ON e.sub = w.node WHERE w.depth < 32), near AS (SELECT DISTINCT src, node FROM walk),
+  c AS (SELECT DISTINCT u.call_id, m.sid, m.extension FROM selector_uses u JOIN near n ON n.src = u.recv JOIN owned_members m ON m.owner = n.node AND m.name = u.name), o AS (SELECT *, bool_or(NOT extension) OVER (PARTITION BY call_id) AS own FROM c),
+  found AS (SELECT call_id, sid FROM o WHERE NOT own OR NOT extension), once AS (SELECT name, min(sid) AS sid FROM owned_members GROUP BY name HAVING count(*) = 1)
+  SELECT * FROM found UNION ALL SELECT u.call_id, x.sid FROM selector_uses u JOIN once x USING (name) WHERE NOT EXISTS (SELECT 1 FROM found f WHERE f.call_id = u.call_id)""")
+def _(t):
+    supers = graph.closure(t("part").select(F.col("p_partkey").alias("src")), t("type_edges"), 32)
+    return infer.resolved_members(t("selector_uses"), supers, t("owned_members"))
 
 
 @query("r10_reasons", """WITH whole AS (SELECT package, bool_and(clean) AS w FROM file_ctx GROUP BY package), sees AS (SELECT path, package FROM file_ctx UNION SELECT path, package FROM imports)
@@ -675,15 +690,15 @@ def _(t):
 
 @query("c3_member_candidates", """WITH RECURSIVE walk(src, node, depth) AS (SELECT p_partkey, p_partkey, 0 FROM part UNION SELECT w.src, e.sup, w.depth + 1 FROM walk w JOIN type_edges e ON e.sub = w.node WHERE w.depth < 32),
   near AS (SELECT src, node, min(depth) AS depth FROM walk GROUP BY src, node)
-  SELECT src, name, kind, sid FROM (SELECT n.src, m.name, m.kind, m.sid, row_number() OVER (PARTITION BY n.src, m.name, m.kind ORDER BY n.depth, m.sid) AS r FROM near n JOIN members m ON m.owner = n.node) WHERE r = 1""")
+  SELECT src, name, kind, sid FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY name, kind) AS k FROM (SELECT n.src, m.name, m.kind, m.sid, row_number() OVER (PARTITION BY n.src, m.name, m.kind ORDER BY n.depth, m.sid) AS r FROM near n JOIN members m ON m.owner = n.node) WHERE r = 1) WHERE k <= 1000""")
 def _(t):
     return infer.member_candidates(graph.closure(t("part").select(F.col("p_partkey").alias("src")), t("type_edges"), 32), t("members"))
 
 
-@query("c6_import_line", "SELECT w.path, w.fqn, coalesce(min(i.ord) FILTER (CASE WHEN i.wildcard THEN i.package ELSE concat(i.package, '.', i.name) END >= w.fqn), max(i.ord) + 1, 0) AS row FROM (SELECT DISTINCT path, concat('Brand#33.', name) AS fqn FROM usages) w LEFT JOIN imports i ON i.path = w.path GROUP BY w.path, w.fqn")
+@query("c6_import_line", "SELECT w.path, w.fqn, coalesce(min(i.ord) FILTER (CASE WHEN i.wildcard THEN i.package ELSE concat(i.package, '.', i.name) END >= w.fqn), max(i.ord) + 1, w.path % 3) AS row FROM (SELECT DISTINCT path, concat('Brand#33.', name) AS fqn FROM usages) w LEFT JOIN imports i ON i.path = w.path GROUP BY w.path, w.fqn")
 def _(t):
     wanted = t("usages").select("path", F.concat(F.lit("Brand#33."), "name").alias("fqn")).distinct()
-    return infer.import_line(wanted, t("imports"))
+    return infer.import_line(wanted, t("imports"), t("file_ctx").select("path", (F.col("path") % 3).alias("anchor")))
 
 
 @query("a5_dependency_statistics", "WITH s AS (SELECT *, row_number() OVER (PARTITION BY grp, artifact ORDER BY " + _VERSION_KEY + " DESC, ord) AS r FROM coordinates) SELECT grp, count(*) FILTER (r = 1) AS selected, count(*) FILTER (r > 1) AS retracted FROM s GROUP BY grp")
@@ -702,7 +717,7 @@ def _(t):
 
 @query("d11_batch_check", f"""WITH {_CROSS}, whole AS (SELECT package FROM file_ctx GROUP BY package HAVING bool_and(clean)), sees AS (SELECT path, package FROM file_ctx UNION SELECT path, package FROM imports), bad AS (SELECT DISTINCT path FROM sees WHERE package NOT IN (SELECT package FROM whole)),
   d AS (SELECT path, 'unresolved' AS code FROM usages u WHERE NOT EXISTS (SELECT 1 FROM found f WHERE f.path = u.path AND f.start_byte = u.start_byte) AND path NOT IN (SELECT path FROM bad)
-    UNION ALL SELECT u.path, 'call' FROM usages u JOIN symbols s USING (name) WHERE u.use_kind = 'Call' GROUP BY u.path, u.start_byte, u.name, u.n_args HAVING bool_and(s.kind = 'Function') AND NOT bool_or(u.n_args BETWEEN least(s.min_arity, s.max_arity) AND s.max_arity)
+    UNION ALL SELECT u.path, 'call' FROM usages u JOIN symbols s USING (name) WHERE u.use_kind = 'Call' GROUP BY u.path, u.start_byte, u.name, u.n_args HAVING bool_and(s.kind = 'Function' AND NOT s.has_vararg) AND NOT bool_or(u.n_args BETWEEN least(s.min_arity, s.max_arity) AND s.max_arity)
     UNION ALL SELECT path, 'unused' FROM imports i WHERE NOT wildcard AND NOT EXISTS (SELECT 1 FROM usages u WHERE u.path = i.path AND u.name = coalesce(i.alias, i.name)))
   SELECT code, count(*) AS n, count(DISTINCT path) AS files FROM d WHERE path IN (SELECT path FROM file_ctx WHERE clean) GROUP BY code""")
 def _(t):
@@ -711,7 +726,7 @@ def _(t):
 
 @query("w4_diagnostic_order", f"""WITH {_CROSS}, whole AS (SELECT package FROM file_ctx GROUP BY package HAVING bool_and(clean)), sees AS (SELECT path, package FROM file_ctx UNION SELECT path, package FROM imports), bad AS (SELECT DISTINCT path FROM sees WHERE package NOT IN (SELECT package FROM whole)),
   d AS (SELECT path, start_byte AS place, 0 AS class_ord, 'unresolved' AS code FROM usages u WHERE NOT EXISTS (SELECT 1 FROM found f WHERE f.path = u.path AND f.start_byte = u.start_byte) AND path NOT IN (SELECT path FROM bad)
-    UNION ALL SELECT u.path, u.start_byte, 1, 'call' FROM usages u JOIN symbols s USING (name) WHERE u.use_kind = 'Call' GROUP BY u.path, u.start_byte, u.name, u.n_args HAVING bool_and(s.kind = 'Function') AND NOT bool_or(u.n_args BETWEEN least(s.min_arity, s.max_arity) AND s.max_arity)
+    UNION ALL SELECT u.path, u.start_byte, 1, 'call' FROM usages u JOIN symbols s USING (name) WHERE u.use_kind = 'Call' GROUP BY u.path, u.start_byte, u.name, u.n_args HAVING bool_and(s.kind = 'Function' AND NOT s.has_vararg) AND NOT bool_or(u.n_args BETWEEN least(s.min_arity, s.max_arity) AND s.max_arity)
     UNION ALL SELECT path, ord, 2, 'unused' FROM imports i WHERE NOT wildcard AND NOT EXISTS (SELECT 1 FROM usages u WHERE u.path = i.path AND u.name = coalesce(i.alias, i.name)))
   SELECT path, code, place, row_number() OVER (PARTITION BY path ORDER BY class_ord, place) AS nth FROM d WHERE path IN (SELECT path FROM file_ctx WHERE clean)""")
 def _(t):

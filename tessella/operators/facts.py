@@ -196,10 +196,10 @@ def duplicate_declarations(symbols: DataFrame) -> DataFrame:
 
 
 def call_shape(usages: DataFrame, symbols: DataFrame) -> DataFrame:
-    """Calls that no candidate of the name takes; not decided if any candidate is no function."""
+    """Calls that no candidate of the name takes; not decided if any candidate is no function, is variadic or has no known arity."""
     c = usages.where("use_kind = 'Call'").join(symbols, "name")
     fits = (F.col("n_args") >= F.least("min_arity", "max_arity")) & (F.col("n_args") <= F.col("max_arity"))
-    g = c.groupBy("path", "start_byte", "name", "n_args").agg(F.max(fits).alias("any_fits"), F.min(F.col("kind") == "Function").alias("all_functions"))
+    g = c.groupBy("path", "start_byte", "name", "n_args").agg(F.max(fits).alias("any_fits"), F.min((F.col("kind") == "Function") & ~F.col("has_vararg") & F.col("min_arity").isNotNull() & F.col("max_arity").isNotNull()).alias("all_functions"))
     return g.where("all_functions and not any_fits").select("path", "start_byte", "name", "n_args")
 
 
@@ -274,10 +274,12 @@ def overlapping_edits(edits: DataFrame) -> DataFrame:
     return edits.withColumn("last", F.lag("end_byte").over(w)).where("end_byte < start_byte or last > start_byte").select("file", "ord", "start_byte", "end_byte")
 
 
-def organized_imports(imports: DataFrame) -> DataFrame:
-    """Import lines of each file, sorted and without repeats."""
+def organized_imports(imports: DataFrame, blocked: DataFrame) -> DataFrame:
+    """Import lines of each file, sorted and without repeats; nothing where that changes nothing, or for files with other text between them (``blocked``)."""
     line = F.concat(F.lit("import "), "package", F.when(F.col("wildcard"), F.lit(".*")).otherwise(F.concat(F.lit("."), "name")), F.when(F.col("alias").isNotNull(), F.concat(F.lit(" as "), "alias")).otherwise(F.lit("")))
-    return imports.groupBy("path").agg(F.array_join(F.array_sort(F.collect_set(line)), "\n").alias("block"))
+    lines = imports.join(blocked.select("path"), "path", "left_anti").groupBy("path").agg(F.array_sort(F.collect_set(line)).alias("sorted"), F.array_sort(F.collect_list(F.struct("ord", line.alias("line")))).alias("now"))
+    changed = F.col("sorted") != F.transform("now", lambda x: x["line"])
+    return lines.where(changed).select("path", F.array_join("sorted", "\n").alias("block"))
 
 
 # ---- statistics and sets ---------------------------------------------------

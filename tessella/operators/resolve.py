@@ -29,6 +29,14 @@ def candidates(usages: DataFrame, symbols: DataFrame) -> DataFrame:
     return usages.join(symbols, "name").where(kind_ok())
 
 
+def candidate_totals(usages: DataFrame, symbols: DataFrame) -> DataFrame:
+    """``path``, ``n``, ``sids``: how many candidates the uses of each file have, and the sum of their numbers; none is listed."""
+    of_name = symbols.groupBy("name", "kind").agg(F.count("*").alias("n"), F.sum("sid").alias("sids"))
+    uses = usages.groupBy("path", "name", "use_kind").agg(F.count("*").alias("times"))
+    c = uses.join(of_name, "name").where(kind_ok())
+    return c.groupBy("path").agg(F.sum(F.col("n") * F.col("times")).alias("n"), F.sum(F.col("sids") * F.col("times")).cast("decimal(38,0)").alias("sids"))
+
+
 def cross_file(usages: DataFrame, file_ctx: DataFrame, imports: DataFrame, symbols: DataFrame, defaults: list[str]) -> DataFrame:
     """Definitions (``path``, ``start_byte``, ``sid``, ``stage``) of each use, all that share the first stage with any.
 

@@ -24,7 +24,7 @@ RELATIONS = {
           CASE WHEN p_partkey % 5 = 1 THEN p_type END AS container,
           CASE p_partkey % 10 WHEN 0 THEN 'Class' WHEN 1 THEN 'Interface' WHEN 2 THEN 'Object' WHEN 3 THEN 'EnumClass' WHEN 4 THEN 'TypeAlias' WHEN 5 THEN 'EnumEntry' WHEN 6 THEN 'Function' WHEN 7 THEN 'Function' ELSE 'Property' END AS kind,
           CASE WHEN p_partkey % 4 = 0 THEN 'Durable' ELSE 'Volatile' END AS tier,
-          p_size % 6 AS max_arity, p_size % 3 AS min_arity,
+          p_size % 6 AS max_arity, p_size % 3 AS min_arity, p_partkey % 19 = 0 AS has_vararg,
           CASE WHEN p_partkey % 13 = 0 THEN p_type END AS ext_receiver,
           CASE WHEN p_partkey % 3 = 0 THEN concat('T', p_size % 9) END AS value_type
         FROM part""",
@@ -106,7 +106,13 @@ RELATIONS = {
     "archive_names": f"SELECT p_type AS coordinate, concat(p_brand, '.', {_NAME}) AS fqn, concat(p_brand, '/', {_NAME}, '.kt') AS entry FROM part",
     "compile_runs": "SELECT event_id, user_id AS root, ts, value AS wall_ms FROM events",
     "ingested": "SELECT user_id AS coordinate, event_id % 10 AS batch, event_type AS name, event_id FROM events",
-    "params": "SELECT p_partkey AS sid, 0 AS pos, concat('T', p_size % 4) AS type FROM part UNION ALL SELECT p_partkey, 1, concat('T', (p_size + 1) % 4) FROM part WHERE p_size % 2 = 0",
+    "params": "SELECT p_partkey AS sid, 0 AS pos, concat('T', p_size % 4) AS type, p_partkey % 17 = 0 AS variable FROM part UNION ALL SELECT p_partkey, 1, concat('T', (p_size + 1) % 4), false FROM part WHERE p_size % 2 = 0",
+    "type_subs": "SELECT concat('T', n_nationkey) AS sub, concat('T', n_nationkey - 1) AS sup FROM nation WHERE n_nationkey IN (1, 2)",
+    "outer_types": "SELECT p_partkey AS sid, p_type AS name, p_brand AS package FROM part WHERE p_partkey % 3 > 0",
+    "outer_imports": f"SELECT l_orderkey AS path, {_NTH} AS ord, p_brand AS package, p_type AS name, l_suppkey % 4 = 0 AS wildcard, CASE WHEN l_suppkey % 8 = 1 THEN concat(p_type, 'X') END AS alias FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber % 2 = 0",
+    "outer_uses": f"SELECT l_orderkey AS path, 10 * {_NTH} AS start_byte, CASE WHEN l_suppkey % 3 = 0 THEN concat(p_type, 'X') ELSE p_type END AS outer_type, {_NAME} AS name, CASE WHEN l_returnflag = 'A' THEN 'Value' ELSE 'Type' END AS use_kind FROM lineitem JOIN part ON l_partkey = p_partkey",
+    "owned_members": "SELECT p_partkey AS sid, CAST(floor(p_partkey / 4.0) AS BIGINT) + 1 AS owner, CASE WHEN p_partkey % 10 = 0 THEN concat('u', p_partkey) ELSE concat('m', p_partkey % 4) END AS name, p_partkey % 11 = 0 AS extension FROM part",
+    "selector_uses": "SELECT l_orderkey * 1000 + l_linenumber * 100 + l_suppkey % 100 AS call_id, CASE WHEN l_linenumber % 3 > 0 THEN l_partkey END AS recv, CASE WHEN l_suppkey % 5 = 0 THEN concat('u', l_partkey - l_partkey % 10) ELSE concat('m', l_suppkey % 4) END AS name FROM lineitem",
     "call_args": f"SELECT path, start_byte, name, pos, CASE WHEN code % 5 <> 0 THEN concat('T', code % 4) END AS type FROM (SELECT l_orderkey AS path, 10 * {_NTH} AS start_byte, {_NAME} AS name, 0 AS pos, l_suppkey AS code FROM lineitem JOIN part ON l_partkey = p_partkey UNION ALL SELECT l_orderkey, 10 * {_NTH}, {_NAME}, 1, l_suppkey + l_linenumber FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber % 2 = 0) a",
     "positions": "SELECT o_custkey AS path, o_orderkey AS qid, 1000 + o_orderkey % 9000 AS place FROM orders",
     "documents_state": "SELECT user_id % 50 AS path, event_id AS version, ts, props AS text, event_type = 'error' AS closed FROM events",
