@@ -79,7 +79,7 @@ RELATIONS = {
     "java_types": "SELECT p_partkey AS sid, concat('C', p_partkey % 50) AS name, p_brand AS package, CAST(NULL AS STRING) AS container, CASE WHEN p_partkey % 3 = 0 THEN 'Interface' ELSE 'Class' END AS kind FROM part WHERE p_partkey % 2 = 0",
     "java_members": "SELECT p_partkey AS sid, concat('m', p_partkey % 9) AS name, CASE WHEN p_partkey % 41 = 0 THEN 'java.lang' ELSE p_brand END AS package, concat('C', p_partkey % 50) AS container, CASE WHEN p_partkey % 4 = 1 THEN 'Property' ELSE 'Function' END AS kind, CASE WHEN p_partkey % 31 = 0 THEN 'Durable' ELSE 'Volatile' END AS tier, least(p_size % 3, 1) AS min_arity, CASE WHEN p_partkey % 37 <> 0 THEN p_size % 3 END AS max_arity, p_partkey % 29 = 0 AS has_vararg, CASE p_size % 4 WHEN 0 THEN 'int' WHEN 1 THEN 'long' WHEN 2 THEN 'Object' ELSE 'String' END AS param FROM part WHERE p_partkey % 2 = 1",
     "java_imports": "SELECT l_orderkey AS path, concat(p_brand, CASE WHEN l_suppkey % 4 <> 0 AND l_partkey % 2 = 1 THEN concat('.C', l_partkey % 50) ELSE '' END) AS prefix, CASE WHEN l_partkey % 2 = 1 THEN concat('m', l_partkey % 9) ELSE concat('C', l_partkey % 50) END AS simple, l_suppkey % 4 = 0 AS wildcard FROM lineitem JOIN part ON l_partkey = p_partkey",
-    "java_uses": f"SELECT l_orderkey AS path, CAST({_NTH} AS BIGINT) AS use_id, CASE WHEN l_returnflag = 'A' THEN concat('C', l_suppkey % 50) ELSE concat('m', l_partkey % 9) END AS name, l_returnflag = 'A' AS in_type, l_returnflag = 'N' AS is_call, CASE WHEN l_returnflag <> 'A' AND l_linenumber % 4 = 0 THEN concat('C', l_suppkey % 60) END AS receiver, CASE WHEN l_returnflag <> 'A' AND l_linenumber % 4 = 1 THEN concat('C', l_suppkey % 50) END AS owner, CAST(l_quantity AS INT) % 4 AS n_args, CASE CAST(l_quantity AS INT) % 5 WHEN 0 THEN 'int' WHEN 1 THEN 'long' WHEN 2 THEN 'char' WHEN 3 THEN 'String' END AS arg_type FROM lineitem",
+    "java_uses": f"SELECT l_orderkey AS path, CAST({_NTH} AS BIGINT) AS use_id, CASE WHEN l_returnflag = 'A' THEN concat('C', l_suppkey % 50) WHEN l_suppkey % 13 = 0 THEN 'getClass' WHEN l_suppkey % 11 = 0 THEN concat('z', l_partkey % 9) ELSE concat('m', l_partkey % 9) END AS name, l_returnflag = 'A' AS in_type, l_returnflag = 'N' AS is_call, CASE WHEN l_returnflag <> 'A' AND l_linenumber % 4 = 0 THEN concat('C', l_suppkey % 60) END AS receiver, CASE WHEN l_returnflag <> 'A' AND l_linenumber % 4 = 1 THEN concat('C', l_suppkey % 50) END AS owner, CAST(l_quantity AS INT) % 4 AS n_args, CASE CAST(l_quantity AS INT) % 5 WHEN 0 THEN 'int' WHEN 1 THEN 'long' WHEN 2 THEN 'char' WHEN 3 THEN 'String' END AS arg_type FROM lineitem",
     "java_locals": f"SELECT l_orderkey AS path, concat('m', l_partkey % 9) AS name, CAST({_NTH} AS BIGINT) AS decl_start, l_linenumber FROM lineitem",
     "java_files": "SELECT o_orderkey AS path, o_custkey % 3 = 0 AS static_imports, o_custkey % 5 = 0 AS supertypes, o_custkey % 2 = 0 AS is_enum FROM orders",
     "expr_types": "SELECT l_orderkey AS path, 10 * l_linenumber AS start_byte, CASE WHEN l_suppkey % 6 > 0 THEN concat('C', l_partkey % 50) END AS type, CASE WHEN l_linenumber % 2 = 0 THEN p_brand END AS package FROM lineitem JOIN part ON l_partkey = p_partkey",
