@@ -47,11 +47,11 @@ def cross_file(usages: DataFrame, file_ctx: DataFrame, imports: DataFrame, symbo
     """
     own = file_ctx.select("path", F.col("package").alias("own"))
     alias = imports.where("not wildcard and alias is not null").groupBy("path", F.col("alias").alias("name")).agg(F.min(F.struct("ord", F.col("package").alias("apkg"), F.col("name").alias("real"))).alias("a"))
-    # a file's uses of a name in one way mean the same
-    asked = usages.select("path", "name", "use_kind").distinct().join(own, "path").join(alias, ["path", "name"], "left")
-    asked = asked.select("path", "name", "use_kind", "own", F.coalesce("a.real", "name").alias("lookup"), F.col("a.apkg").alias("apkg"))
+    # a file's uses of a name in one way mean the same; their places go along as a list
+    asked = usages.groupBy("path", "name", "use_kind").agg(F.collect_set("start_byte").alias("places")).join(own, "path").join(alias, ["path", "name"], "left")
+    asked = asked.select("path", "name", "use_kind", "places", "own", F.coalesce("a.real", "name").alias("lookup"), F.col("a.apkg").alias("apkg"))
     plain = asked.where("apkg is null")
-    key = ["path", "name", "use_kind", "lookup"]
+    key = ["path", "name", "use_kind", "places", "lookup"]
     explicit = imports.where("not wildcard and alias is null").select("path", F.col("name").alias("lookup"), "package").distinct()
     star = imports.where("wildcard").groupBy("path", "package").agg((F.min("ord") + STAR).alias("stage"))
     # the packages that each file looks into: none of these joins makes a row for each package that has the name
@@ -67,9 +67,9 @@ def cross_file(usages: DataFrame, file_ctx: DataFrame, imports: DataFrame, symbo
     by_default = kinds.withColumn("stage", ranks[F.col("package")]).where("stage is not null")
     ranked = where.join(kinds, ["lookup", "package"]).unionByName(plain.select(*key).join(by_default, "lookup"), allowMissingColumns=False).where(kind_ok())
     best = ranked.withColumn("r", F.rank().over(Window.partitionBy("path", "name", "use_kind").orderBy("stage"))).where("r = 1")
-    best = best.select("path", "name", "use_kind", "lookup", "package", "kind", F.col("stage").cast("long").alias("stage")).distinct()
-    targets = best.join(syms, ["lookup", "package", "kind"]).select("path", "name", "use_kind", "sid", "stage")
-    return usages.select("path", "start_byte", "name", "use_kind").join(targets, ["path", "name", "use_kind"]).select("path", "start_byte", "sid", "stage").distinct()
+    best = best.select("path", "places", "lookup", "package", "kind", F.col("stage").cast("long").alias("stage"))
+    targets = best.join(syms, ["lookup", "package", "kind"]).select("path", "places", "sid", "stage").distinct()
+    return targets.select("path", F.explode("places").alias("start_byte"), "sid", "stage")
 
 
 def source_set_kind(path: str = "path") -> Column:
