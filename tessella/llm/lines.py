@@ -70,27 +70,26 @@ def token_rarity(docs: DataFrame, text_col: str = "text", similar: float = 0.8)
 def line_sets(t: Tokens, rarity: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Sets of tokens of all lines that have any: number of each line, its set's bounds in the tokens, the tokens and the sets' hashes.
 
-    Tokens are ordered by rarity, the rarest first, and equally rare ones by
-    their hash; without ``rarity`` by the hash alone.
+    Tokens are ordered by rarity, the rarest first, then by the low bits of their
+    hash and last by all of it; without ``rarity`` by the hash alone.  The order
+    is the same for all lines, whatever they stand beside.
     """
     size = np.diff(t.line_first)
     line = np.flatnonzero(size)
     h, nth = t.hashes(), np.repeat(np.arange(len(line), dtype=np.uint64), size[line])
-    # one number holds the order, unless numbers are too large or two tokens get the same one
-    number = nth << np.uint64(44)
     if rarity is None:
-        number |= h & np.uint64((1 << 44) - 1)
+        key = h & np.uint64((1 << 44) - 1)
     else:
-        number |= np.minimum(rarity[_counter(h)], (1 << 22) - 1).astype(np.uint64) << np.uint64(22) | h & np.uint64((1 << 22) - 1)
+        key = np.minimum(rarity[_counter(h)], (1 << 22) - 1).astype(np.uint64) << np.uint64(22) | h & np.uint64((1 << 22) - 1)
+    # one number holds the order but for the last of it, where different tokens of a line have equal keys
+    whole = len(line) < 1 << 20
+    number = nth << np.uint64(44) | key
     order = np.argsort(number)
-    number, h = number[order], h[order]
-    same = number[1:] == number[:-1]
-    if len(line) >= 1 << 20 or (same & (h[1:] != h[:-1])).any():
-        h = t.hashes()
-        rare = h if rarity is None else rarity[_counter(h)]
-        order = np.lexsort((h, rare, nth))
-        h = h[order]
-        same = (h[1:] == h[:-1]) & (nth[order][1:] == nth[order][:-1])
+    same = number[order][1:] == number[order][:-1]
+    if not whole or (same & (h[order][1:] != h[order][:-1])).any():
+        order = np.lexsort((h, key, nth))
+        same = (h[order][1:] == h[order][:-1]) & (nth[order][1:] == nth[order][:-1])
+    h = h[order]
     # texts keep their place in the order, so the lines' numbers are those from before it
     once = np.append(True, ~same) if len(h) else np.zeros(0, bool)
     h, nth = h[once], nth[once]

@@ -733,3 +733,45 @@ def test_straight_alignment_is_the_alignment():
                 assert np.array_equal(g, w)
             assert list(passages.segments(*got, 10, 0.8)) or not got[0].all()
     assert hits > 150
+
+
+def test_lines_that_stand_beside_colliding_words(spark):
+    """Two different words of one line with equal low bits change no other line's order."""
+    rnd = random.Random(31)
+    vocab = ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(900)]
+    same = [" ".join(rnd.sample(vocab, 20)) for _ in range(200)]
+    rows = [(0, "\n".join(same)), (1, "\n".join([*same, "w10316q w4879q"]))]
+    got = {r.doc_id: set(r.lines) for r in lines.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"), words=1).collect()}
+    assert got == {1: set(range(200))}
+
+
+@pytest.mark.parametrize("common", [False, True])
+def test_one_order_of_tokens(common):
+    """Sets of equal lines are the same lists in every slice, whichever way the slice is ordered; also with rarities that are clipped."""
+    from tessella.llm._core import Tokens
+
+    class Colliding(Tokens):
+        def hashes(self):
+            h = super().hashes()
+            return h & np.uint64(~0x3FFFFF & (1 << 64) - 1) | h >> np.uint64(60)  # many equal low bits
+
+    rnd = random.Random(7)
+    counts = np.random.default_rng(3).integers(1, 50, lines.COUNTERS).astype(np.uint32)
+    if common:
+        counts[: lines.COUNTERS // 2] += 1 << 23
+
+    def sets(kind, texts):
+        data = "\n".join(texts).encode()
+        t = kind(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+        at, bounds, h, _ = lines.line_sets(t, counts)
+        return {texts[k]: h[a:b].tolist() for k, a, b in zip(at, bounds[:-1], bounds[1:])}
+
+    every = [" ".join(rnd.choice("abcdefghijklmnop") * rnd.randint(1, 5) for _ in range(rnd.randint(1, 30))) for _ in range(120)]
+    one_by_one = {}
+    for line in every:
+        one_by_one |= sets(Colliding, [line])
+    assert sets(Colliding, every) == one_by_one
+    two = sets(Tokens, every)
+    assert {k: sorted(v) for k, v in two.items()} == {k: sorted(v) for k, v in ((k, sets(Tokens, [k])[k]) for k in two)}
+    for k in two:
+        assert two[k] == sets(Tokens, [k])[k]
