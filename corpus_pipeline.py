@@ -42,7 +42,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def remove_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = line_dedup(docs.select(*COLUMNS))
+    out = line_dedup(docs.select(*COLUMNS), words=1)
     left = out.where("removed_lines = 0 or text rlike '[^ \\\\t-\\\\r]'")
     return left.withColumn("n_chars", F.when(F.col("removed_lines") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
