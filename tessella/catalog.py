@@ -754,6 +754,6 @@ def _(t):
     return state.revisions(t("documents_state"))
 
 
-from . import catalog_code  # noqa: E402, F401  registers its queries here
+from . import catalog_code, catalog_tree  # noqa: E402, F401  register their queries here
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

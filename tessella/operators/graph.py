@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 
 def _saved(df: DataFrame) -> DataFrame:
@@ -67,20 +71,48 @@ def nearest(closed: DataFrame, most: int) -> DataFrame:
     return closed.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).drop("_r")
 
 
-def ancestors(nodes: DataFrame, inner: str, extra: list[str] | None = None) -> DataFrame:
-    """Nodes of a kind with ``around``: the nodes they lie in, from the outermost (``depth``, ``pre``, ``post``, ``kind``, ``ref``).
+def ancestors(nodes: DataFrame, inner: str | list[str], keep: tuple[str, ...] = ("depth", "pre", "post", "kind", "ref")) -> DataFrame:
+    """Nodes of some kinds with ``around``: the nodes they lie in, from the outermost, as structs of the columns to ``keep``.
 
-    One pass over each path in the order of ``pre``: for each depth the last node
-    there is the only one that may still be open.  Nothing is joined, so the work
-    is that of sorting, however many nodes a path has.
+    Each path's nodes pass in the order of ``pre`` while those that are still
+    open are held, also from one batch to the next; so the plan and what a task
+    holds depend on how deep a tree is and not on how many nodes a path has.
     """
-    levels = nodes.agg(F.max("depth")).first()[0] or 0
-    node = F.struct("depth", "pre", "post", "kind", "ref")
-    w = Window.partitionBy("path").orderBy("pre", F.desc("post"), "depth").rowsBetween(Window.unboundedPreceding, -1)
-    last = [F.last(F.when(F.col("depth") == k, node), ignorenulls=True).over(w) for k in range(levels)]
-    open_ = F.array(*last) if last else F.array().cast("array<struct<depth:int,pre:bigint,post:bigint,kind:string,ref:bigint>>")
-    out = nodes.withColumn("around", open_).where(F.col("kind") == inner)
-    return out.withColumn("around", F.filter("around", lambda x: x.isNotNull() & (x["pre"] < F.col("pre")) & (x["post"] > F.col("post"))))
+    inner = [inner] if isinstance(inner, str) else inner
+    schema = to_arrow_schema(nodes.schema)
+    held = pa.struct([schema.field(c) for c in keep])
+    schema = schema.append(pa.field("around", pa.list_(held)))
+    ddl = StructType([*nodes.schema, StructField("around", ArrayType(StructType([nodes.schema[c] for c in keep])))])
+
+    def work(batches: Iterator[pa.RecordBatch]):
+        path, open_ = None, []  # (row among those at hand, post)
+        kept: pa.StructArray | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.StructArray.from_arrays([batch.column(c) for c in keep], fields=list(held))
+            base = len(kept) if kept is not None else 0
+            at_hand = pa.concat_arrays([kept, rows]) if base else rows
+            wanted, offsets, flat = [], [0], []
+            for i, (p, post, kind) in enumerate(zip(batch.column("path").to_pylist(), batch.column("post").to_pylist(), batch.column("kind").to_pylist()), base):
+                if p != path:
+                    path, open_ = p, []
+                while open_ and open_[-1][1] <= post:
+                    open_.pop()
+                if kind in inner:
+                    wanted.append(i - base)
+                    flat += [k for k, _ in open_]
+                    offsets.append(len(flat))
+                open_.append((i, post))
+            around = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), at_hand.take(pa.array(flat, pa.int64())))
+            some = batch.take(pa.array(wanted, pa.int64()))
+            if some.num_rows:
+                yield pa.RecordBatch.from_arrays([*some.columns, around], schema=schema)
+            kept = at_hand.take(pa.array([k for k, _ in open_], pa.int64()))
+            open_ = [(k, post) for k, (_, post) in enumerate(open_)]
+
+    ordered = nodes.repartition("path").sortWithinPartitions("path", "pre", F.desc("post"), "depth")
+    return ordered.mapInArrow(work, ddl)
 
 
 def innermost(nodes: DataFrame, inner: str, outer: list[str]) -> DataFrame:

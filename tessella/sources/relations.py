@@ -116,6 +116,43 @@ RELATIONS = {
     "call_args": f"SELECT path, start_byte, name, pos, CASE WHEN code % 5 <> 0 THEN concat('T', code % 4) END AS type FROM (SELECT l_orderkey AS path, 10 * {_NTH} AS start_byte, {_NAME} AS name, 0 AS pos, l_suppkey AS code FROM lineitem JOIN part ON l_partkey = p_partkey UNION ALL SELECT l_orderkey, 10 * {_NTH}, {_NAME}, 1, l_suppkey + l_linenumber FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_linenumber % 2 = 0) a",
     "positions": "SELECT o_custkey AS path, o_orderkey AS qid, 1000 + o_orderkey % 9000 AS place FROM orders",
     "documents_state": "SELECT user_id % 50 AS path, event_id AS version, ts, props AS text, event_type = 'error' AS closed FROM events",
+    # one function of a Kotlin source for each line of an order, in ten forms; ``byte_at`` is where it begins, ``head`` what stands before the first
+    "kt_lines": f"""
+        SELECT path, nth, form, v, ty, code, head, CAST(length(head) + coalesce(sum(length(code)) OVER (PARTITION BY path ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_at,
+          CAST(4 + coalesce(sum(1 + breaks) OVER (PARTITION BY path ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS line, CAST(sum(1 + breaks) OVER (PARTITION BY path) AS BIGINT) AS lines
+        FROM (SELECT *, concat('package p', path % 5, chr(10), 'import a.B', chr(10), 'import a.C', chr(10), 'class C', path, ' {{', chr(10)) AS head, CASE form WHEN 1 THEN 2 WHEN 2 THEN 1 WHEN 3 THEN 3 WHEN 4 THEN 1 WHEN 8 THEN 1 WHEN 9 THEN 2 ELSE 0 END AS breaks,
+          concat('fun f', nth, '(', CASE form WHEN 3 THEN ') {{ var ' WHEN 6 THEN ') {{ if (field is ' WHEN 7 THEN concat(v, ': Any {{ use(') ELSE concat(v, ': Any) {{ ') END,
+            CASE form WHEN 0 THEN concat('if (', v, ' is ', ty, ' && ok(', v, ')) {{ use(', v, ') }} else {{ other(', v, ') }}')
+              WHEN 1 THEN concat('when (', v, ') {{ is ', ty, ' -> use(', v, ')', chr(10), 'is T9, is T8 -> two(', v, ')', chr(10), 'else -> other(', v, ') }}')
+              WHEN 2 THEN concat('if (', v, ' !is ', ty, ') return', chr(10), 'use(', v, ')')
+              WHEN 3 THEN concat(v, ': Any = make()', chr(10), 'if (', v, ' is ', ty, ') {{ use(', v, ')', chr(10), v, ' = make()', chr(10), 'other(', v, ') }}')
+              WHEN 4 THEN concat('when {{ ', v, ' is ', ty, ' -> use(', v, ')', chr(10), '(', v, ' is T9) && ok(', v, ') -> two(', v, ') }}')
+              WHEN 5 THEN concat('if (', v, ' is ', ty, ') {{ if (', v, ' is T9) {{ use(', v, ') }} else {{ other(', v, ') }} }}')
+              WHEN 6 THEN concat(ty, ') {{ use(field) }}')
+              WHEN 7 THEN concat(v, ')')
+              WHEN 8 THEN concat('val a = 1 2', chr(10), 'use(', v, ')')
+              ELSE concat('if (', v, ' !is ', ty, ' || bad()) {{ log(', v, ')', chr(10), 'throw Err() }}', chr(10), 'run {{ use(', v, ') }}') END, ' }}', chr(10)) AS code
+          FROM (SELECT l_orderkey AS path, {_NTH} AS nth, CAST((l_partkey + l_linenumber) % 10 AS INT) AS form, concat('v', l_partkey % 7) AS v, concat('T', l_suppkey % 9) AS ty FROM lineitem) k0) k1""",
+    # a library source for each part: generic types that inherit with other arguments, overloads, generic functions, an extension
+    "kt_library": """
+        SELECT concat('lib', p_partkey) AS path, concat('package lib', chr(10),
+          CASE WHEN p_partkey = 1 THEN concat('class List<E> {', chr(10), 'fun first(): E = TODO()', chr(10), '}', chr(10)) ELSE '' END,
+          CASE WHEN p_partkey <= 5 THEN concat('class D', p_partkey % 5, '<Z> {', chr(10), 'fun item(): Z = TODO()', chr(10), '}', chr(10)) ELSE '' END,
+          'open class B', p_partkey, '<Y> {', chr(10), 'fun get(): Y = TODO()', chr(10), 'fun name(n: Int): String = make()', chr(10), 'fun name(n: String): Int = 1', chr(10), 'val owner: D', p_partkey % 5, '<Y> = TODO()', chr(10), '}', chr(10),
+          'class A', p_partkey, '<X> : B', p_partkey, '<List<X>>() {', chr(10), 'fun self(): A', p_partkey, '<X> = this', chr(10), 'fun size(): Int = 0', chr(10), '}', chr(10),
+          'fun <T> pack', p_partkey, '(x: T): B', p_partkey, '<T> = TODO()', chr(10), 'fun same', p_partkey, '(x: Int): Long = 1L', chr(10), 'fun same', p_partkey, '(x: String): Char = TODO()', chr(10),
+          'fun <T> B', p_partkey, '<T>.head(): T = TODO()', chr(10)) AS text
+        FROM part""",
+    # uses of it: a function for each line of an order, in twelve forms
+    "kt_calls": f"""
+        SELECT path, nth, form, p, k, concat(lead_, body, ' }}', chr(10)) AS code, CAST(length(lead_) AS BIGINT) AS skip, body,
+          CAST(12 + coalesce(sum(length(lead_) + length(body) + 3) OVER (PARTITION BY path ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_at
+        FROM (SELECT *, concat('fun u', nth, '(a: A', p, '<', k, '>, i: Int, s: String) {{ val q = ') AS lead_,
+          CASE form WHEN 0 THEN 'a.get()' WHEN 1 THEN 'a.get().first()' WHEN 2 THEN 'a.name(i)' WHEN 3 THEN 'a.name(s)' WHEN 4 THEN 'a.self().owner.item()'
+            WHEN 5 THEN concat('pack', p, '(a.get()).get()') WHEN 6 THEN concat('same', p, '((i))') WHEN 7 THEN concat('(a as A', p, ').self()') WHEN 8 THEN '(a.self() ?: a).size()'
+            WHEN 9 THEN 'a.missing()' WHEN 10 THEN 'a.head()' ELSE concat('a.get()', chr(10), 'val r = q.first()') END AS body
+          FROM (SELECT l_orderkey AS path, {_NTH} AS nth, CAST((l_partkey + l_linenumber) % 12 AS INT) AS form, l_partkey AS p, concat('T', l_suppkey % 9) AS k FROM lineitem) c0) c1""",
+    "token_spans": f"SELECT l_orderkey AS path, CAST(2 * {_NTH} + l_partkey % 5 AS BIGINT) AS start_byte, CAST(2 * {_NTH} + l_partkey % 5 + 1 + l_suppkey % 6 AS BIGINT) AS end_byte, CASE l_linenumber % 3 WHEN 0 THEN 'Class' WHEN 1 THEN 'Variable' ELSE 'Keyword' END AS kind, l_returnflag = 'A' AS declaration FROM lineitem",
 }
 
 #: Packages that every file imports, in the order of their precedence (fixed values).
