@@ -157,7 +157,7 @@ RELATIONS = {
     "kt_uses": f"""
         SELECT path, nth, form, c, code, CAST(87 + coalesce(sum(length(code)) OVER (PARTITION BY path ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS byte_at
         FROM (SELECT *, concat(CASE form WHEN 0 THEN concat('fun f', nth, '() {{ h', c % 5, '.top', c, '() }}') WHEN 1 THEN concat('fun f', nth, '(k: K', c, ') {{ k.m', c, '() }}') WHEN 2 THEN concat('fun f', nth, '(v: Int) {{ v }}')
-            WHEN 3 THEN concat('class S', nth, ' : K', c, '() {{ fun g() {{ m', c, '() }} }}') WHEN 4 THEN concat('fun f', nth, '(x: K', c, '.In', c, ') {{}}') WHEN 5 THEN concat('fun f', nth, '() {{ top', c, '() }}')
+            WHEN 3 THEN concat('class S', path, '_', nth, ' : K', c, '() {{ fun g() {{ m', c, '() }} }}') WHEN 4 THEN concat('fun f', nth, '(x: K', c, '.In', c, ') {{}}') WHEN 5 THEN concat('fun f', nth, '() {{ top', c, '() }}')
             ELSE concat('fun f', nth, '() {{ k.missing(); h9.top', c, '() }}') END, chr(10)) AS code
           FROM (SELECT l_orderkey AS path, {_NTH} AS nth, CAST((l_partkey + l_linenumber) % 7 AS INT) AS form, l_suppkey % 25 AS c FROM lineitem) u0) u1""",
     "token_spans": f"SELECT l_orderkey AS path, CAST(2 * {_NTH} + l_partkey % 5 AS BIGINT) AS start_byte, CAST(2 * {_NTH} + l_partkey % 5 + 1 + l_suppkey % 6 AS BIGINT) AS end_byte, CASE l_linenumber % 3 WHEN 0 THEN 'Class' WHEN 1 THEN 'Variable' ELSE 'Keyword' END AS kind, l_returnflag = 'A' AS declaration FROM lineitem",
