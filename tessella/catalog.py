@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import scalars as sc
-from .operators import facts, graph, infer, resolve
+from .operators import facts, graph, infer, resolve, selection
 from .plans import batch_check
 from .registry import ORACLE_SQL, QUERIES, query
 from .sources import builds, files, kotlin, logs
@@ -385,7 +385,7 @@ def _(t):
 
 @query("a9_medians", "SELECT scenario, median(wall_ms) AS median_ms FROM telemetry GROUP BY scenario")
 def _(t):
-    return t("telemetry").groupBy("scenario").agg(F.median("wall_ms").alias("median_ms"))
+    return selection.medians(t("telemetry"), ["scenario"], "wall_ms", "median_ms")
 
 
 @query("o1_multiset_diff", """SELECT path, line, col, severity, message, least(a, b) AS matched, greatest(a - b, 0) AS missing, greatest(b - a, 0) AS extra FROM (

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import selection
 from .resolve import TYPE_LIKE
 
 # ---- lookups ---------------------------------------------------------------
@@ -285,23 +286,24 @@ def organized_imports(imports: DataFrame, blocked: DataFrame) -> DataFrame:
 # ---- statistics and sets ---------------------------------------------------
 
 
-def nearest_rank(col: str, p: float) -> Column:
-    """Exact percentile by nearest rank, zero without values."""
-    return F.coalesce(F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {col})"), F.lit(0.0))
+SHARES = {"p50": 0.5, "p95": 0.95}
 
 
 def scenario_stats(telemetry: DataFrame) -> DataFrame:
-    return telemetry.groupBy("scenario").agg(
-        F.count("*").alias("n"), F.count_if(~F.col("executed")).alias("failures"), nearest_rank("wall_ms", 0.5).alias("p50"), nearest_rank("wall_ms", 0.95).alias("p95"), F.min("wall_ms").alias("least"), F.max("wall_ms").alias("most")
-    )
+    """Numbers of each scenario, with percentiles of nearest rank."""
+    told = telemetry.groupBy("scenario").agg(F.count("*").alias("n"), F.count_if(~F.col("executed")).alias("failures"), F.min("wall_ms").alias("least"), F.max("wall_ms").alias("most"))
+    found = selection.percentiles(telemetry, ["scenario"], "wall_ms", SHARES)
+    joined = told.join(found, told["scenario"].eqNullSafe(found["scenario"]), "left").drop(found["scenario"])
+    return joined.select("scenario", "n", "failures", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in SHARES], "least", "most")
 
 
 def telemetry_summary(telemetry: DataFrame) -> DataFrame:
+    """Counts of all runs, and percentiles of nearest rank of the steady ones; zero without any."""
     steady = F.col("executed") & ~F.col("superseded") & ~F.col("cold")
-    ms = F.when(steady, F.col("wall_ms"))
-    return telemetry.select("*", ms.alias("steady_ms"), steady.alias("steady")).agg(
-        F.count("*").alias("total"), F.count_if("cold").alias("cold"), F.count_if(~F.col("executed")).alias("up_to_date"), F.count_if("superseded").alias("superseded"), F.count_if("steady").alias("steady"), nearest_rank("steady_ms", 0.5).alias("p50"), nearest_rank("steady_ms", 0.95).alias("p95")
-    )
+    told = telemetry.agg(F.count("*").alias("total"), F.count_if("cold").alias("cold"), F.count_if(~F.col("executed")).alias("up_to_date"), F.count_if("superseded").alias("superseded"), F.count_if(steady).alias("steady"))
+    found = selection.percentiles(telemetry.where(steady).withColumn("one", F.lit(1)), ["one"], "wall_ms", SHARES)
+    joined = told.withColumn("one", F.lit(1)).join(found, "one", "left")
+    return joined.select(*told.columns, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in SHARES])
 
 
 def normalized(diags: DataFrame) -> DataFrame:
