@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._core import Tokens, drop, filter_of, mark_by, runs, save, shingles, table_of, tidy, tokens_of
+from ._core import Tokens, drop, filter_of, mark_by, mix, runs, save, shingles, table_of, tidy, tokens_of
 
 #: What a word between two seeds of a chain costs, on either side.
 GAP = 0.1
@@ -153,57 +153,173 @@ def seeds(docs: DataFrame, k: int = 5, window: int = 5) -> DataFrame:
     return docs.mapInArrow(tidy(work), "doc_id long, seed long, pos int")
 
 
-_SHARED = pa.schema([("doc_id", pa.int64()), ("src", pa.int64()), ("pos", pa.int32()), ("src_pos", pa.int32())])
+_SHARED = pa.schema([("doc_id", pa.int64()), ("src", pa.int64()), ("pos", pa.int32()), ("src_pos", pa.int32()), ("key", pa.int64()), ("span", pa.int32()), ("before", pa.int64())])
+_SHARED_SQL = "doc_id long, src long, pos int, src_pos int, key long, span int, before long"
+#: Columns of keys made of two others: where the second begins, and what both were matched with.
+_JOINED = ("span", "a", "b", "c", "d")
 
 
-def _shared(batches: Iterator[pa.RecordBatch]):
-    """Later occurrences of a seed with those in its first document and in that before, from rows by (seed, doc, pos).
+def _shared(joined: bool):
+    """Later occurrences of a key with those in its first document and in that before, from rows by (key, doc, pos).
 
-    Where a document repeats a seed, its first occurrence is matched with the
+    Where a document repeats a key, its first occurrence is matched with the
     other document's first, its second with the second and so on, the rest with
-    the last.  Of a run of equal seeds only the occurrences in its first and its
+    the last.  Of a run of equal keys only the occurrences in its first and its
     last document are kept for what follows.
+
+    Occurrences of a key that is in three documents or more are rows, too, with
+    the ``key``, its ``span``, and in ``src`` and ``before`` the documents that
+    they were matched with: these keys are joined to longer ones.  ``joined``:
+    keys are such; both ends are matched, unless both were matched before.
     """
-    none = tuple(np.zeros(0, d) for d in (np.int64, np.int64, np.int32))
-    done = rest = none  # rows of the last seed that were matched, rows whose document may go on
-
-    def match(now: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
-        nonlocal done
-        if len(done[0]) and done[0][0] != now[0][0]:
-            done = none
-        skip = len(done[0])
-        seed, doc, pos = (np.concatenate(x) for x in zip(done, now))
-        at = np.flatnonzero(np.append(True, (seed[1:] != seed[:-1]) | (doc[1:] != doc[:-1])))
-        size = np.diff(np.append(at, len(seed)))
-        of = seed[at]
-        block = np.arange(len(at))
-        head = np.maximum.accumulate(np.where(np.append(True, of[1:] != of[:-1]), block, 0))
-        later = np.flatnonzero((head != block) & (at >= skip))
-        two = later[later - 1 != head[later]]
-        x, y = np.concatenate([later, two]), np.concatenate([head[later], two - 1])
-        if len(x):
-            n = size[x]
-            nth = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            i = np.repeat(at[x], n) + nth
-            j = np.repeat(at[y], n) + np.minimum(nth, np.repeat(size[y], n) - 1)
-            yield table_of(_SHARED, doc_id=doc[i], src=doc[j], pos=pos[i], src_pos=pos[j])
-        first, last = head[-1], block[-1]
-        keep = np.arange(at[first], at[first] + size[first])
-        if last != first:
-            keep = np.append(keep, np.arange(at[last], len(seed)))
-        done = (seed[keep], doc[keep], pos[keep])
+    names = ("key", "doc_id", "pos", *(_JOINED if joined else ()))
+    none = tuple(np.zeros(0, np.int32 if n in ("pos", "span") else np.int64) for n in names)
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        now = tuple(np.concatenate([r, batch.column(c).to_numpy()]) for r, c in zip(rest, ("seed", "doc_id", "pos")))
-        ends = np.flatnonzero((now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1]))
-        cut = int(ends[-1]) + 1 if len(ends) else 0
-        if cut:
-            yield from match(tuple(x[:cut] for x in now))
-        rest = tuple(x[cut:] for x in now)
-    if len(rest[0]):
-        yield from match(rest)
+    def work(batches: Iterator[pa.RecordBatch]):
+        done = rest = none  # rows of the last key that were matched, rows whose document may go on
+        docs = 0  # documents of the last key
+
+        def match(now: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+            nonlocal done, docs
+            if len(done[0]) and done[0][0] != now[0][0]:
+                done, docs = none, 0
+            skip = len(done[0])
+            cols = tuple(np.concatenate(x) for x in zip(done, now))
+            key, doc, pos = cols[:3]
+            at = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])))
+            size = np.diff(np.append(at, len(key)))
+            of = key[at]
+            block = np.arange(len(at))
+            fresh = np.append(True, of[1:] != of[:-1])
+            head = np.maximum.accumulate(np.where(fresh, block, 0))
+            later = np.flatnonzero((head != block) & (at >= skip))
+            two = later[later - 1 != head[later]]
+            x, y = np.concatenate([later, two]), np.concatenate([head[later], two - 1])
+            if len(x):
+                n = size[x]
+                nth = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                i = np.repeat(at[x], n) + nth
+                j = np.repeat(at[y], n) + np.minimum(nth, np.repeat(size[y], n) - 1)
+                ends = [(pos[i], pos[j])]
+                if joined:
+                    span, a, b, c, d = cols[3:]
+                    src = doc[j]
+                    new = ~(((a[i] == src) | (b[i] == src)) & ((c[i] == src) | (d[i] == src)))
+                    i, j = i[new], j[new]
+                    ends = [(pos[i], pos[j]), (pos[i] + span[i], pos[j] + span[j])]
+                for p, q in ends:
+                    if len(i):
+                        yield _rows_of(doc[i], doc[j], p, q)
+            # documents of each run, those of the batches before included
+            first = np.flatnonzero(fresh)
+            count = np.diff(np.append(first, len(at)))
+            told = docs >= 3  # rows of the run that goes on have been sent
+            if skip:
+                count[0] += docs - int((at < skip).sum())
+            many = np.repeat(np.repeat(count >= 3, np.diff(np.append(first, len(at)))), size)
+            if told:
+                many[:skip] = False
+            i = np.flatnonzero(many)
+            if len(i):
+                own = np.repeat(block, size)[i]
+                start = head[own] == own
+                src = np.where(start, -1, doc[at[head[own]]])
+                before = np.where(start, -1, doc[at[np.maximum(own - 1, 0)]])
+                yield _rows_of(doc[i], src, pos[i], None, key[i], cols[3][i] if joined else np.zeros(len(i), np.int32), before)
+            docs = int(count[-1])
+            begin, last = head[-1], block[-1]
+            keep = np.arange(at[begin], at[begin] + size[begin])
+            if last != begin:
+                keep = np.append(keep, np.arange(at[last], len(key)))
+            done = tuple(c[keep] for c in cols)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            now = tuple(np.concatenate([r, batch.column(c).to_numpy()]) for r, c in zip(rest, names))
+            ends = np.flatnonzero((now[0][1:] != now[0][:-1]) | (now[1][1:] != now[1][:-1]))
+            cut = int(ends[-1]) + 1 if len(ends) else 0
+            if cut:
+                yield from match(tuple(x[:cut] for x in now))
+            rest = tuple(x[cut:] for x in now)
+        if len(rest[0]):
+            yield from match(rest)
+
+    return work
+
+
+def _rows_of(doc, src, pos, src_pos, key=None, span=None, before=None) -> pa.RecordBatch:
+    given = {"doc_id": doc, "src": src, "pos": pos, "src_pos": src_pos, "key": key, "span": span, "before": before}
+    return pa.RecordBatch.from_arrays([pa.nulls(len(doc), f.type) if given[f.name] is None else pa.array(given[f.name], f.type) for f in _SHARED], schema=_SHARED)
+
+
+def _joins(reach: int, beyond: int):
+    """Each key with the next one of its document that begins where it ends or later, at most ``reach`` words from its start; from rows by (doc, pos).
+
+    And, if ``beyond`` is not 0, with the next one that begins so many words
+    later still, beyond what one changed word takes away.  Rows whose partner may
+    be in the next batch are kept for it.
+    """
+    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32()), ("span", pa.int32()), *((c, pa.int64()) for c in _JOINED[1:])])
+    names = ("doc_id", "pos", "key", "span", "src", "before")
+
+    def work(batches: Iterator[pa.RecordBatch]):
+        kept: tuple[np.ndarray, ...] | None = None
+        waits = np.zeros(0, np.int8)  # for which partners the kept rows wait
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cols = tuple(batch.column(c).to_numpy() if kept is None else np.append(kept[n], batch.column(c).to_numpy()) for n, c in enumerate(names))
+            doc, pos, key, span, src, before = cols
+            place = np.cumsum(np.append(False, doc[1:] != doc[:-1])).astype(np.int64) << 32 | pos
+            step = np.maximum(span, 1)
+            next_ = [np.searchsorted(place, place + step)]
+            if beyond:
+                next_.append(np.searchsorted(place, place + step + beyond))
+            # rows of the batch before were joined then, unless their partner was not there yet
+            open_ = np.append(waits, np.full(batch.num_rows, 3, np.int8))
+            near = (doc == doc[-1]) & (pos[-1] - pos <= reach + beyond)
+            wait = np.zeros(len(doc), np.int8)
+            for n, j in enumerate(next_):
+                i = np.flatnonzero((j < len(doc)) & ((open_ >> n & 1) > 0))
+                i = i[(doc[j[i]] == doc[i]) & (pos[j[i]] - pos[i] <= reach + n * beyond)]
+                wait |= ((j == len(doc)) & near & ((open_ >> n & 1) > 0)).astype(np.int8) << n
+                if len(i):
+                    k = j[i]
+                    far = pos[k] - pos[i]
+                    mixed = mix(mix(key[i].view(np.uint64)) * np.uint64(3 + n) + key[k].view(np.uint64) + far.astype(np.uint64)).view(np.int64)
+                    yield table_of(schema, key=mixed, doc_id=doc[i], pos=pos[i], span=(far + span[k]).astype(np.int32), a=src[i], b=before[i], c=src[k], d=before[k])
+            kept, waits = tuple(c[wait > 0] for c in cols), wait[wait > 0]
+
+    return work
+
+
+def shared_seeds(docs: DataFrame, k: int, window: int, words: int) -> DataFrame:
+    """``doc_id``, ``src``, ``pos``, ``src_pos``: places of a document with equal seeds in documents before it.
+
+    Each seed is matched with its first document and with that before.  Seeds of
+    three documents or more are joined with their neighbours to keys twice as
+    long, and again, up to keys of about ``words`` words, each of which is matched
+    in the same way; so documents are found that share a stretch of words though
+    each piece of it also stands elsewhere.
+    """
+    rows = seeds(docs, k, window).withColumnRenamed("seed", "key").repartition("key").sortWithinPartitions("key", "doc_id", "pos")
+    level = save(rows.mapInArrow(tidy(_shared(False)), _SHARED_SQL), "shared")
+    out, reach = [level], 2 * window
+    while reach <= 2 * words:
+        often = level.where("key is not null")
+        if often.isEmpty():
+            break
+        pairs = often.select("doc_id", "pos", "key", "span", "src", "before").repartition("doc_id").sortWithinPartitions("doc_id", "pos")
+        pairs = pairs.mapInArrow(tidy(_joins(reach, k + window if len(out) == 1 else 0)), "key long, doc_id long, pos int, span int, a long, b long, c long, d long")
+        dealt = pairs.repartition("key").sortWithinPartitions("key", "doc_id", "pos")
+        level = save(dealt.mapInArrow(tidy(_shared(True)), _SHARED_SQL), "shared")
+        out.append(level)
+        reach *= 2
+    found = out[0]
+    for x in out[1:]:
+        found = found.unionByName(x)
+    return found.where("key is null").select("doc_id", "src", "pos", "src_pos")
 
 
 class Fenwick:
@@ -399,6 +515,10 @@ def _chain_worker(k: int, beside: int):
             for g in np.flatnonzero(np.diff(bounds) >= FEWEST).tolist():
                 lo, hi = bounds[g], bounds[g + 1]
                 pos, src = c["pos"][lo:hi], c["src_pos"][lo:hi]
+                once = np.append(True, (pos[1:] != pos[:-1]) | (src[1:] != src[:-1]))  # longer keys may repeat a match
+                pos, src = pos[once], src[once]
+                if len(pos) < FEWEST:
+                    continue
                 diagonal = pos - src
                 if (diagonal == diagonal[0]).all() and (np.diff(pos) > 0).all():
                     # one diagonal: the matches are a chain as they are, unless gaps cut it
@@ -486,16 +606,15 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     least ``words`` words on either side.  ``words`` equal words in a row are
     always matched with the first document that has them all
     (:func:`exact_runs`).  Passages with changed words are looked for along
-    chains of two seeds and more, each seed matched with its first document and
-    with that before, and the words there and up to ``words`` beside are aligned.
+    chains of two seeds and more (:func:`shared_seeds`), and the words there and
+    up to ``words`` beside are aligned.
 
     Words are lower-cased (A-Z) and end at white space.  Null and short texts
     and rows with a null id have no passages; rows that repeat an id are one
     document.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
-    rows = seeds(docs, k, window).repartition("seed").sortWithinPartitions("seed", "doc_id", "pos")
-    shared = rows.mapInArrow(tidy(_shared), "doc_id long, src long, pos int, src_pos int")
+    shared = shared_seeds(docs, k, window, words)
     dealt = shared.repartition("doc_id", "src").sortWithinPartitions("doc_id", "src", "pos", "src_pos")
     found = save(dealt.mapInArrow(tidy(_chain_worker(k, words)), "doc_id long, lo int, hi int, src long, src_lo int, src_hi int, p array<int>, s array<int>"), "chains")
     x = found.select(F.col("doc_id").alias("id"), "lo", "hi")

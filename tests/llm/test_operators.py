@@ -775,3 +775,44 @@ def test_one_order_of_tokens(common):
     assert {k: sorted(v) for k, v in two.items()} == {k: sorted(v) for k, v in ((k, sets(Tokens, [k])[k]) for k in two)}
     for k in two:
         assert two[k] == sets(Tokens, [k])[k]
+
+
+def test_passages_whose_pieces_stand_elsewhere(spark):
+    """A passage with changed words is found though each piece of it also stands in documents before and between."""
+    rnd = random.Random(4)
+    vocab = ["".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(5000)]
+    text = lambda n: " ".join(rnd.choice(vocab) for _ in range(n))
+    rows, want = [], set()
+    for c in range(40):
+        p = [rnd.choice(vocab) for _ in range(60)]
+        q = list(p)
+        for i in rnd.sample(range(60), 3):
+            q[i] = rnd.choice(vocab)
+        pieces = [" ".join(x) for x in (p[:22], p[18:40], p[36:58])]
+        elsewhere = [text(40) + " " + x + " " + text(40) for x in pieces]
+        rows += [(100 * c + i, t) for i, t in enumerate([*elsewhere, f"{text(30)} {' '.join(p)} {text(30)}", *elsewhere[::-1], f"{text(30)} {' '.join(q)} {text(30)}"])]
+        want.add((100 * c + 7, 100 * c + 3))
+    got = {(r.doc_id, r.src) for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got & want) >= 0.9 * len(want)
+
+
+def test_shared_keys_over_batches(spark, batch_sizes=(3, 1000)):
+    """Matches and frequent keys do not depend on where batches end."""
+    from tessella.llm.passages import shared_seeds
+
+    rnd = random.Random(12)
+    lines_ = [" ".join(rnd.choice("abcdefgh") + rnd.choice("xyz") for _ in range(12)) for _ in range(12)]
+    rows = [(i, " ".join(rnd.choice(lines_) for _ in range(rnd.randint(1, 6)))) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = []
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for size in batch_sizes:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            found.append({tuple(r) for r in shared_seeds(df, 5, 5, 50).collect()})
+        finally:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert found[0] == found[1] and len(found[0]) > 100
+    words_ = {i: t.split() for i, t in rows}
+    for doc, src, pos, src_pos in found[0]:
+        assert src < doc and words_[doc][pos : pos + 5] == words_[src][src_pos : src_pos + 5]
