@@ -160,6 +160,11 @@ RELATIONS = {
             WHEN 3 THEN concat('class S', path, '_', nth, ' : K', c, '() {{ fun g() {{ m', c, '() }} }}') WHEN 4 THEN concat('fun f', nth, '(x: K', c, '.In', c, ') {{}}') WHEN 5 THEN concat('fun f', nth, '() {{ top', c, '() }}')
             ELSE concat('fun f', nth, '() {{ k.missing(); h9.top', c, '() }}') END, chr(10)) AS code
           FROM (SELECT l_orderkey AS path, {_NTH} AS nth, CAST((l_partkey + l_linenumber) % 7 AS INT) AS form, l_suppkey % 25 AS c FROM lineitem) u0) u1""",
+    "jar_entries": """
+        SELECT concat('lib', p_partkey % 50, '.jar') AS jar, concat('org.g', p_size % 7) AS grp, concat('org/g', p_size % 7, '/q', p_partkey % 3, '/C', p_partkey, CASE p_partkey % 4 WHEN 0 THEN '$In' WHEN 1 THEN '$In$Deep' ELSE '' END, '.class') AS entry FROM part
+        UNION ALL SELECT concat('deep', p_partkey % 20, '.jar'), concat('org.g', p_size % 7, '.q', p_partkey % 3), concat('org/g', p_size % 7, '/q', p_partkey % 3, '/C', p_partkey, CASE p_partkey % 4 WHEN 0 THEN '$In' WHEN 1 THEN '$In$Deep' ELSE '' END, '.class') FROM part WHERE p_partkey % 5 = 0
+        UNION ALL SELECT concat('other', p_partkey % 20, '.jar'), 'com.other', concat('org/g', p_size % 7, '/q', p_partkey % 3, '/C', p_partkey, '.class') FROM part WHERE p_partkey % 7 = 0""",
+    "import_fqns": "SELECT l_orderkey AS path, concat('org.g', p_size % 7, '.q', p_partkey % 3, '.C', p_partkey, CASE p_partkey % 4 WHEN 0 THEN '.In' WHEN 1 THEN '.In.Deep' ELSE '' END, CASE WHEN l_linenumber % 3 = 0 THEN 'X' ELSE '' END) AS fqn FROM lineitem JOIN part ON l_partkey = p_partkey",
     "token_spans": f"SELECT l_orderkey AS path, CAST(2 * {_NTH} + l_partkey % 5 AS BIGINT) AS start_byte, CAST(2 * {_NTH} + l_partkey % 5 + 1 + l_suppkey % 6 AS BIGINT) AS end_byte, CASE l_linenumber % 3 WHEN 0 THEN 'Class' WHEN 1 THEN 'Variable' ELSE 'Keyword' END AS kind, l_returnflag = 'A' AS declaration FROM lineitem",
 }
 

@@ -135,3 +135,9 @@ def test_embedded_poms(spark):
     assert rows(first, "path", "fingerprint", "grp", "artifact", "version") == [("x.jar", "f1", "g", "a", "1")]
     changed = spark.createDataFrame([("x.jar", bytearray(b"not opened"), "f1"), ("z.jar", rows_[0][1], "f3")], "path string, content binary, fingerprint string")
     assert rows(builds.archive_dependencies(changed, first), "path", "fingerprint") == [("x.jar", "f1"), ("z.jar", "f3")]
+
+
+def test_jars_declaring(spark):
+    entries = spark.createDataFrame([("a.jar", "org.x", "org/x/Top.class"), ("a.jar", "org.x", "org/x/y/Outer$In.class"), ("b.jar", "org.x.y", "org/x/y/Outer$In.class"), ("c.jar", "com.z", "org/x/Top.class"), ("d.jar", "org.x", "other/org/x/Top.class")], "jar string, grp string, entry string")
+    asked = spark.createDataFrame([("org.x.Top",), ("org.x.y.Outer.In",), ("org.x.Top.Missing",), ("Top",), (None,), ("org.x.Top",)], "fqn string")
+    assert rows(files.jars_declaring(asked, entries), "fqn", "jar") == [("org.x.Top", "a.jar"), ("org.x.y.Outer.In", "a.jar"), ("org.x.y.Outer.In", "b.jar")]
