@@ -257,8 +257,10 @@ def _joins(reach: int, beyond: int):
     """Each key with the next one of its document that begins where it ends or later, at most ``reach`` words from its start; from rows by (doc, pos).
 
     And, if ``beyond`` is not 0, with the next one that begins so many words
-    later still, beyond what one changed word takes away.  Rows whose partner may
-    be in the next batch are kept for it.
+    later still, beyond what one changed word takes away.  Two keys that were
+    matched with the same documents are not joined: the longer one would be
+    matched with them again.  Rows whose partner may be in the next batch are
+    kept for it.
     """
     schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32()), ("span", pa.int32()), *((c, pa.int64()) for c in _JOINED[1:])])
     names = ("doc_id", "pos", "key", "span", "src", "before")
@@ -283,6 +285,7 @@ def _joins(reach: int, beyond: int):
             for n, j in enumerate(next_):
                 i = np.flatnonzero((j < len(doc)) & ((open_ >> n & 1) > 0))
                 i = i[(doc[j[i]] == doc[i]) & (pos[j[i]] - pos[i] <= reach + n * beyond)]
+                i = i[(src[j[i]] != src[i]) | (before[j[i]] != before[i])]
                 wait |= ((j == len(doc)) & near & ((open_ >> n & 1) > 0)).astype(np.int8) << n
                 if len(i):
                     k = j[i]
@@ -294,8 +297,8 @@ def _joins(reach: int, beyond: int):
     return work
 
 
-def shared_seeds(docs: DataFrame, k: int, window: int, words: int) -> DataFrame:
-    """``doc_id``, ``src``, ``pos``, ``src_pos``: places of a document with equal seeds in documents before it.
+def shared_seeds(docs: DataFrame, k: int, window: int, words: int) -> tuple[DataFrame, list[DataFrame]]:
+    """``doc_id``, ``src``, ``pos``, ``src_pos``: places of a document with equal seeds in documents before it; and the tables they are read from.
 
     Each seed is matched with its first document and with that before.  Seeds of
     three documents or more are joined with their neighbours to keys twice as
@@ -319,7 +322,7 @@ def shared_seeds(docs: DataFrame, k: int, window: int, words: int) -> DataFrame:
     found = out[0]
     for x in out[1:]:
         found = found.unionByName(x)
-    return found.where("key is null").select("doc_id", "src", "pos", "src_pos")
+    return found.where("key is null").select("doc_id", "src", "pos", "src_pos"), out
 
 
 class Fenwick:
@@ -614,9 +617,11 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     document.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("doc_id is not null and text is not null")
-    shared = shared_seeds(docs, k, window, words)
+    shared, tables = shared_seeds(docs, k, window, words)
     dealt = shared.repartition("doc_id", "src").sortWithinPartitions("doc_id", "src", "pos", "src_pos")
     found = save(dealt.mapInArrow(tidy(_chain_worker(k, words)), "doc_id long, lo int, hi int, src long, src_lo int, src_hi int, p array<int>, s array<int>"), "chains")
+    for t in tables:
+        drop(t)
     x = found.select(F.col("doc_id").alias("id"), "lo", "hi")
     y = found.select(F.col("src").alias("id"), F.col("src_lo").alias("lo"), F.col("src_hi").alias("hi"))
     w = _words(docs, x.unionByName(y))

@@ -809,7 +809,7 @@ def test_shared_keys_over_batches(spark, batch_sizes=(3, 1000)):
     for size in batch_sizes:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
         try:
-            found.append({tuple(r) for r in shared_seeds(df, 5, 5, 50).collect()})
+            found.append({tuple(r) for r in shared_seeds(df, 5, 5, 50)[0].collect()})
         finally:
             spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert found[0] == found[1] and len(found[0]) > 100
