@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -391,18 +392,80 @@ def _long_lists(found: DataFrame, similar: float) -> DataFrame:
     return save(dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(tidy(compare), _FOUND), "long-lists")
 
 
-def _late(lists: DataFrame, similar: float) -> DataFrame:
-    """All candidate pairs of the lines ``open`` in each list (``rows``)."""
+def _open_rows(packed: bytes, wanted: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """A list's rows by token and size, and which of them are ``wanted``."""
+    rows = np.frombuffer(packed, ROW)
+    rows = rows[np.argsort(rows["token"].astype(np.uint64) << np.uint64(32) | rows["n"], kind="stable")]
+    return rows, np.isin(rows["sig"], np.array(wanted, np.int64))
 
-    def work(batches: Iterator[pa.RecordBatch]):
+
+def _late(docs: DataFrame, lists: DataFrame, similar: float) -> DataFrame:
+    """``doc_id``, ``line`` of the lines ``open`` in each list (``rows``) that match any earlier line of it.
+
+    The sets of a list's lines come to it, each once, and are compared there;
+    pairs are neither written nor sent.
+    """
+
+    def lines_of(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             for name, packed, wanted in zip(*(batch.column(c).to_pylist() for c in ("list", "rows", "open"))):
-                rows = np.frombuffer(packed, ROW)
-                rows = rows[np.argsort(rows["token"].astype(np.uint64) << np.uint64(32) | rows["n"], kind="stable")]
-                for i, j in _candidates(rows, similar, None, np.isin(rows["sig"], np.array(wanted, np.int64))):
-                    yield _found(PAIR, len(i), list=np.full(len(i), name), x=rows["sig"][i], doc_id=rows["doc"][i], line=rows["line"][i].astype(np.int32), y=rows["sig"][j], y_doc=rows["doc"][j])
+                rows, only = _open_rows(packed, wanted)
+                asked = np.zeros(len(rows), bool)
+                for i, j in _candidates(rows, similar, None, only):
+                    asked[i] = asked[j] = True
+                at = np.flatnonzero(asked)
+                at = at[np.unique(rows["sig"][at], return_index=True)[1]]
+                if len(at):
+                    yield table_of(asked_schema, list=np.full(len(at), name, np.int64), sig=rows["sig"][at], doc_id=rows["doc"][at])
 
-    return lists.mapInArrow(tidy(work), _FOUND)
+    def compare(batches: Iterator[pa.RecordBatch]):
+        for got in runs_of_keys(batches, ["list"]):
+            given = got.filter(pc.is_valid(got.column("sig")))
+            if not given.num_rows:
+                continue
+            known, first = np.unique(given.column("sig").to_numpy(), return_index=True)
+            sets = given.column("set").combine_chunks()
+            values, size = sets.flatten().to_numpy().view(np.uint64), np.diff(sets.offsets.to_numpy())
+            begin = np.cumsum(size) - size
+            for packed, wanted in zip(*(got.filter(pc.is_valid(got.column("rows"))).column(c).to_pylist() for c in ("rows", "open"))):
+                rows, only = _open_rows(packed, wanted)
+                at = first[np.minimum(np.searchsorted(known, rows["sig"]), len(known) - 1)]
+                done = np.zeros(len(rows), bool)
+                for i, j in _candidates(rows, similar, None, only):
+                    for k in range(0, len(i), 4096):
+                        x, y = i[k : k + 4096], j[k : k + 4096]
+                        x, y = x[~done[x]], y[~done[x]]
+                        if len(x):
+                            sides = []
+                            for one in (at[x], at[y]):
+                                n = size[one]
+                                sides.append((values[np.repeat(begin[one] - np.cumsum(n) + n, n) + np.arange(n.sum())], n))
+                            done[x[_alike(sides, similar)]] = True
+                hit = np.flatnonzero(done)
+                if len(hit):
+                    yield table_of(out, doc_id=rows["doc"][hit], line=rows["line"][hit].astype(np.int32))
+
+    asked_schema = pa.schema([("list", pa.int64()), ("sig", pa.int64()), ("doc_id", pa.int64())])
+    out = pa.schema([("doc_id", pa.int64()), ("line", pa.int32())])
+    asked = save(lists.mapInArrow(tidy(lines_of), "list long, sig long, doc_id long"), "late-lines")
+    sets = _sets(docs, asked)
+    with_sets = asked.select("list", "sig").join(sets.hint("merge"), "sig").select("list", "sig", "set", F.lit(None).cast("binary").alias("rows"), F.lit(None).cast("array<long>").alias("open"))
+    both = with_sets.unionByName(lists.select("list", F.lit(None).cast("long").alias("sig"), F.lit(None).cast("array<long>").alias("set"), "rows", "open"))
+    found = save(both.repartition("list").sortWithinPartitions("list").mapInArrow(tidy(compare), "doc_id long, line int"), "late")
+    drop(asked)
+    drop(sets)
+    return found
+
+
+def _alike(sides: list[tuple[np.ndarray, np.ndarray]], similar: float) -> np.ndarray:
+    """Numbers of the pairs with a Jaccard similarity of ``similar`` or more; a side has the tokens of its sets one after the other, and their sizes."""
+    rows = np.arange(len(sides[0][1]))
+    owner = np.concatenate([np.repeat(rows, n) for _, n in sides])
+    key = mix(np.concatenate([v for v, _ in sides]) + mix(owner.astype(np.uint64) + np.uint64(1)))
+    order = np.argsort(key)
+    key, owner = key[order], owner[order]
+    shared = np.bincount(owner[1:][key[1:] == key[:-1]], minlength=len(rows))
+    return np.flatnonzero(shared >= similar * (sides[0][1] + sides[1][1] - shared) - 1e-9)
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -444,19 +507,8 @@ def _verified(docs: DataFrame, pairs: DataFrame, similar: float) -> DataFrame:
         for batch in batches:
             for i in range(0, batch.num_rows, 4096):
                 part = batch.slice(i, 4096)
-                key, owner, size = [], [], []
-                for name in ("sx", "sy"):
-                    arr = part.column(name)
-                    n = np.diff(arr.offsets.to_numpy())
-                    row = np.repeat(np.arange(part.num_rows), n)
-                    key.append(mix(arr.flatten().to_numpy().view(np.uint64) + mix(row.astype(np.uint64) + np.uint64(1))))
-                    owner.append(row)
-                    size.append(n)
-                k, o = np.concatenate(key), np.concatenate(owner)
-                order = np.argsort(k)
-                k, o = k[order], o[order]
-                shared = np.bincount(o[1:][k[1:] == k[:-1]], minlength=part.num_rows)
-                hit = np.flatnonzero(shared >= similar * (size[0] + size[1] - shared) - 1e-9)
+                sides = [(arr.flatten().to_numpy().view(np.uint64), np.diff(arr.offsets.to_numpy())) for arr in (part.column("sx"), part.column("sy"))]
+                hit = _alike(sides, similar)
                 if len(hit):
                     yield table_of(out, **{f: part.column(f).to_numpy()[hit] for f in out.names})
 
@@ -496,12 +548,12 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         open_ = pairs.where("more").select("list", "x").join(matched.select("x"), "x", "left_anti")
         open_ = save(open_.groupBy("list").agg(F.collect_set("x").alias("open")), "open")
         lists = among(found.where(F.col("kind") == LATE).select("list", "rows"), "list", filter_of(open_, "list"))
-        late = save(_late(lists.join(open_.hint("merge"), "list"), similar), "late")
-        tables += [matched, open_, late]
-        if not late.isEmpty():
-            more = _verified(docs, late, similar)
-            gone = gone.unionByName(more.select("doc_id", "line"))
-            tables.append(more)
+        lists = save(lists.join(open_.hint("merge"), "list"), "late-lists")
+        tables += [matched, open_, lists]
+        if not lists.isEmpty():
+            late = _late(docs, lists, similar)
+            gone = gone.unionByName(late)
+            tables.append(late)
     out = save(gone.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("lines")), "gone")
     for t in tables:
         if t is not None:

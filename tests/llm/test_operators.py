@@ -816,3 +816,24 @@ def test_shared_keys_over_batches(spark, batch_sizes=(3, 1000)):
     words_ = {i: t.split() for i, t in rows}
     for doc, src, pos, src_pos in found[0]:
         assert src < doc and words_[doc][pos : pos + 5] == words_[src][src_pos : src_pos + 5]
+
+
+def test_lines_that_match_no_first_candidate_are_not_paired(spark, monkeypatch):
+    """What is written of a group of lines grows with its lines, not with their pairs."""
+    from tessella.llm import lines
+
+    base = [f"common{k}" for k in range(17)]
+    rows = [(n, " ".join(base + [f"own{n}_{k}" for k in range(3)])) for n in range(300)]
+    # the last one is like one of the first and not like the others
+    rows.append((300, " ".join([*base, "own7_0", "own7_1", "else"])))
+    written, save = {}, lines.save
+
+    def counted(df, name):
+        out = save(df, name)
+        written[name] = written.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(lines, "save", counted)
+    found = lines.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [(r.doc_id, r.lines) for r in found] == [(300, [0])]
+    assert written["late-lines"] > 300 and max(written.values()) <= 6 * len(rows)
