@@ -386,22 +386,26 @@ def gap(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int]]:
         return [(int(e), 1, 1) for e in (x == y).tolist()]
     wide = abs(n - m) + 8
     x, y = x.tolist(), y.tolist()
-    best: dict[tuple[int, int], tuple[int, int, tuple[int, int, int] | None]] = {(0, 0): (0, 0, None)}
+    one, never = n + m + 1, -(1 << 60)  # an equal column is worth more than all that may be saved
+    row, ways = [never] * (m + 1), []
     for i in range(n + 1):
+        above, row, way = row, [never] * (m + 1), bytearray(m + 1)
         for j in range(max(0, i - wide), min(m, i + wide) + 1):
-            if i or j:
-                ways = []
-                if i and j and (d := best.get((i - 1, j - 1))):
-                    e = int(x[i - 1] == y[j - 1])
-                    ways.append((d[0] + e, d[1] - 1, (e, 1, 1)))
-                if i and (d := best.get((i - 1, j))):
-                    ways.append((d[0], d[1] - 1, (0, 1, 0)))
-                if j and (d := best.get((i, j - 1))):
-                    ways.append((d[0], d[1] - 1, (0, 0, 1)))
-                best[i, j] = max(ways)
+            if not i and not j:
+                row[0] = 0
+                continue
+            value, step = never, 0
+            if i and j and above[j - 1] > never:
+                value, step = above[j - 1] - 1 + (one if x[i - 1] == y[j - 1] else 0), 0
+            if i and above[j] - 1 > value:
+                value, step = above[j] - 1, 1
+            if j and row[j - 1] - 1 > value:
+                value, step = row[j - 1] - 1, 2
+            row[j], way[j] = value, step
+        ways.append(way)
     out, i, j = [], n, m
     while i or j:
-        step = best[i, j][2]
+        step = (0, 1, 0) if ways[i][j] == 1 else (0, 0, 1) if ways[i][j] else (int(x[i - 1] == y[j - 1]), 1, 1)
         out.append(step)
         i, j = i - step[1], j - step[2]
     return out[::-1]
@@ -423,7 +427,8 @@ def align(x: np.ndarray, y: np.ndarray, p: list[int], s: list[int], k: int) -> t
         if n <= 0:
             continue
         a, b = a + over, b + over
-        parts.append(np.array(gap(x[i:a], y[j:b])).reshape(-1, 3))
+        if a > i or b > j:
+            parts.append(np.array(gap(x[i:a], y[j:b])).reshape(-1, 3))
         parts.append(np.ones((n, 3)))
         i, j = a + n, b + n
     after = min(len(x) - i, len(y) - j)
@@ -514,43 +519,114 @@ def _chain_worker(k: int, beside: int):
 
     def work(batches: Iterator[pa.RecordBatch]):
         for c, bounds in runs(batches, ["doc_id", "src"]):
+            rows = int(bounds[-1])
+            doc, of, pos, src = (c[n][:rows] for n in ("doc_id", "src", "pos", "src_pos"))
+            begins = np.zeros(rows, bool)
+            begins[bounds[:-1]] = True
+            once = begins.copy()  # longer keys may repeat a match
+            once[1:] |= (pos[1:] != pos[:-1]) | (src[1:] != src[:-1])
+            doc, of, pos, src, begins = (x[once] for x in (doc, of, pos, src, begins))
+            bounds = np.append(np.flatnonzero(begins), len(pos))
+            # one diagonal: the matches are a chain as they are, unless gaps cut it
+            step, shift = np.append(0, np.diff(pos)), np.append(0, np.diff(pos - src))
+            bent = np.append(0, np.cumsum(~begins & ((shift != 0) | (step <= 0))))
+            bent = bent[bounds[1:]] > bent[bounds[:-1]]
+            lo = np.flatnonzero(begins | (step * 2 * GAP >= k))
+            hi = np.append(lo[1:], len(pos))
+            some = (hi - lo >= FEWEST) & ~np.repeat(bent, np.diff(bounds))[lo]
+            lo, hi = lo[some], hi[some]
+            if len(lo):
+                size = hi - lo
+                ends = np.append(0, np.cumsum(size))
+                pick = np.repeat(lo - ends[:-1], size) + np.arange(ends[-1])
+                ends = pa.array(ends.astype(np.int32))
+                lists = (pa.ListArray.from_arrays(ends, pa.array(x[pick].astype(np.int32))) for x in (pos, src))
+                stretch = lambda x: (np.maximum(x[lo] - beside, 0), x[hi - 1] + k + beside)
+                yield table_of(_CHAINS, **dict(zip(_CHAINS.names, (doc[lo], *stretch(pos), of[lo], *stretch(src), *lists))))
             out = []
-            for g in np.flatnonzero(np.diff(bounds) >= FEWEST).tolist():
+            for g in np.flatnonzero(bent & (np.diff(bounds) >= FEWEST)).tolist():
                 lo, hi = bounds[g], bounds[g + 1]
-                pos, src = c["pos"][lo:hi], c["src_pos"][lo:hi]
-                once = np.append(True, (pos[1:] != pos[:-1]) | (src[1:] != src[:-1]))  # longer keys may repeat a match
-                pos, src = pos[once], src[once]
-                if len(pos) < FEWEST:
-                    continue
-                diagonal = pos - src
-                if (diagonal == diagonal[0]).all() and (np.diff(pos) > 0).all():
-                    # one diagonal: the matches are a chain as they are, unless gaps cut it
-                    cut = np.flatnonzero(np.diff(pos) * 2 * GAP >= k) + 1
-                    found = [x.tolist() for x in np.split(np.arange(len(pos)), cut)]
-                else:
-                    found = chains(pos, src, k)
-                for chain in found:
+                for chain in chains(pos[lo:hi], src[lo:hi], k):
                     if len(chain) >= FEWEST:
-                        p, s = pos[chain].tolist(), src[chain].tolist()
-                        out.append((c["doc_id"][lo], max(0, p[0] - beside), p[-1] + k + beside, c["src"][lo], max(0, s[0] - beside), s[-1] + k + beside, p, s))
+                        p, s = pos[lo:hi][chain].tolist(), src[lo:hi][chain].tolist()
+                        out.append((doc[lo], max(0, p[0] - beside), p[-1] + k + beside, of[lo], max(0, s[0] - beside), s[-1] + k + beside, p, s))
             if out:
                 yield table_of(_CHAINS, **dict(zip(_CHAINS.names, map(list, zip(*out)))))
 
     return work
 
 
+def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Values of lists, one after another, and where each begins and the last ends."""
+    ends = lists.offsets.to_numpy().astype(np.int64)
+    return lists.flatten().to_numpy(), ends - ends[0]
+
+
+def straight_all(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray], p: tuple[np.ndarray, np.ndarray], s: tuple[np.ndarray, np.ndarray], k: int) -> tuple[np.ndarray, ...]:
+    """What :func:`straight` gives for many rows (values and bounds of each side), all at once.
+
+    For each row whether it is to be looked at (its seeds are words of both
+    sides) and whether it is straight; its first place and the number of its
+    columns; then the columns of all rows and the number of equal ones up to each.
+    """
+    (xs, xo), (ys, yo), (ps, po), (ss, _) = x, y, p, s
+    seeds, nx, ny = np.diff(po), np.diff(xo), np.diff(yo)
+    row = np.repeat(np.arange(len(seeds)), seeds)
+    ok = (ps[po[1:] - 1] + k <= nx) & (ss[po[1:] - 1] + k <= ny)
+    inside = ok[row] & (ps < nx[row]) & (ss < ny[row])
+    good = np.zeros(len(ps), bool)
+    good[inside] = xs[xo[row[inside]] + ps[inside]] == ys[yo[row[inside]] + ss[inside]]
+    ok &= np.add.reduceat(~good, po[:-1]) == 0
+    shift = (ps - ss)[po[:-1]]
+    line = ok & (np.add.reduceat(ps - ss != shift[row], po[:-1]) == 0)
+    first = np.maximum(shift, 0)  # of x; the columns before the chain go as far as the shorter side
+    n = np.where(line, np.minimum(nx, ny + shift) - first, 0)
+    at = np.append(0, np.cumsum(n))
+    of = np.repeat(np.arange(len(n)), n)
+    place = np.arange(at[-1]) - at[of] + first[of]
+    same = xs[xo[of] + place] == ys[yo[of] + place - shift[of]]
+    equal = np.append(0, np.cumsum(same))
+    # gaps of which less than half is equal are not straight
+    i = np.flatnonzero((row[1:] == row[:-1]) & line[row[1:]])
+    a, b = ps[i] + k - first[row[i]], ps[i + 1] - first[row[i]]
+    m, base = b - a, at[row[i]]
+    wrong = np.maximum(m, 0) - (equal[base + np.maximum(a, b)] - equal[base + a])
+    line[row[i[(m > 1) & (2 * wrong > m)]]] = False
+    return ok, line, first, n, at, same, equal
+
+
 def _align_worker(k: int, least: int, similar: float):
     def work(batches: Iterator[pa.RecordBatch]):
+        few = np.ceil(similar * least - 1e-6)  # equal words that a passage has
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            c = {f.name: batch.column(i).to_numpy(zero_copy_only=False) for i, f in enumerate(batch.schema) if f.name in ("doc_id", "lo", "src", "src_lo")}
+            (x, xo), (y, yo), (p, po), (s, so) = (_flat(batch.column(f)) for f in ("x", "y", "p", "s"))
+            p, s = p - np.repeat(c["lo"], np.diff(po)), s - np.repeat(c["src_lo"], np.diff(so))
+            ok, line, first, n, at, same, equal = straight_all((x, xo), (y, yo), (p, po), (s, so), k)
+            shift = (p - s)[po[:-1]]
+            count = equal[at[1:]] - equal[at[:-1]]
+            whole = line & (count == n)
             out = []
-            c = {f.name: batch.column(i).to_numpy(zero_copy_only=False) for i, f in enumerate(batch.schema)}
-            for d, lo, src, src_lo, p, s, x, y in zip(*(c[f] for f in ("doc_id", "lo", "src", "src_lo", "p", "s", "x", "y"))):
-                p, s = p - lo, s - src_lo
-                if p[-1] + k > len(x) or s[-1] + k > len(y) or (x[p] != y[s]).any():
-                    continue  # of another row with the id
-                same, a, b = straight(x, y, p, s, k) or align(x, y, p.tolist(), s.tolist(), k)
-                for i, j in segments(same, a, b, least, similar):
-                    out.append((d, src, lo + a[i], lo + a[j], src_lo + b[i], src_lo + b[j], int(same[i:j].sum()), j - i))
+            i = np.flatnonzero(whole & (n >= least))
+            if len(i):
+                start, to = c["lo"][i] + first[i], c["src_lo"][i] + first[i] - shift[i]
+                yield table_of(_FOUND, doc_id=c["doc_id"][i], src=c["src"][i], start=start, stop=start + n[i], src_start=to, src_stop=to + n[i], equal=n[i], length=n[i])
+            # one row after another: those with changed words that may hold a passage, and those that are to be aligned
+            for r in np.flatnonzero(ok & ~whole & (~line | (count >= few))).tolist():
+                if line[r]:
+                    one = same[at[r] : at[r + 1]]
+                    a = np.arange(len(one) + 1) + first[r]
+                    b = a - shift[r]
+                else:
+                    u, v = x[xo[r] : xo[r + 1]], y[yo[r] : yo[r + 1]]
+                    if np.isin(u, v).sum() < few:
+                        continue
+                    one, a, b = align(u, v, p[po[r] : po[r + 1]].tolist(), s[po[r] : po[r + 1]].tolist(), k)
+                lo, src_lo = c["lo"][r], c["src_lo"][r]
+                for i, j in segments(one, a, b, least, similar):
+                    out.append((c["doc_id"][r], c["src"][r], lo + a[i], lo + a[j], src_lo + b[i], src_lo + b[j], int(one[i:j].sum()), j - i))
             if out:
                 yield table_of(_FOUND, **dict(zip(_FOUND.names, map(list, zip(*out)))))
 

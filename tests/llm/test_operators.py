@@ -8,6 +8,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -837,3 +838,25 @@ def test_lines_that_match_no_first_candidate_are_not_paired(spark, monkeypatch):
     found = lines.repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert [(r.doc_id, r.lines) for r in found] == [(300, [0])]
     assert written["late-lines"] > 300 and max(written.values()) <= 6 * len(rows)
+
+
+def test_stretches_with_few_equal_words_are_not_aligned(monkeypatch):
+    """Rows are told apart as arrays; only those that may hold a passage are aligned one by one."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(60):
+        x = rng.integers(0, 1 << 30, 120).astype(np.int32)
+        y = rng.integers(1 << 30, (1 << 31) - 1, 120).astype(np.int32)
+        y[20:26], y[32:38] = x[20:26], x[30:36]  # two seeds, the second shifted; 12 equal words
+        s = [20, 32]
+        if i % 3 == 0:
+            y, s = x.copy(), [20, 30]
+        rows.append({"doc_id": i + 100, "lo": 7, "src": i, "src_lo": 3, "p": [27, 37], "s": [v + 3 for v in s], "x": x.tolist(), "y": y.tolist()})
+    schema = pa.schema([("doc_id", pa.int64()), ("lo", pa.int32()), ("src", pa.int64()), ("src_lo", pa.int32()), *((c, pa.list_(pa.int32())) for c in "psxy")])
+    called = []
+    monkeypatch.setattr(passages, "align", lambda *a: called.append(a))
+    monkeypatch.setattr(passages, "straight", lambda *a: called.append(a))
+    batch = pa.RecordBatch.from_pylist(rows, schema)
+    got = [r for b in passages._align_worker(5, 50, 0.8)(iter([batch.slice(0, 20), batch.slice(20)])) for r in b.to_pylist()]
+    assert not called
+    assert got == [{"doc_id": i + 100, "src": i, "start": 7, "stop": 127, "src_start": 3, "src_stop": 123, "equal": 120, "length": 120} for i in range(0, 60, 3)]
